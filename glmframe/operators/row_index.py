@@ -3,12 +3,13 @@
 A ``row_number()`` window without partitioning would pull every row into one
 task. Instead:
 
-* **keyed order** (:func:`with_row_index`): range-partition on the order key
-  plus a unique tie-breaker (so a hot key value is split across partitions),
-  sort within partitions, count rows per partition (one partial aggregate,
-  as many rows as partitions), prefix-sum those counts and broadcast them
-  back. Index = start of the partition + position inside it. The partition
-  count is a setting, so the broadcast side is bounded by configuration.
+* **keyed order** (:func:`with_row_index`): cut the key range into buckets at
+  sampled split points (order key plus a row-hash tie-breaker, so a hot key
+  value is split across buckets), count rows per bucket (one partial
+  aggregate), prefix-sum those counts and broadcast them back; number the
+  rows inside each bucket with a window partitioned by bucket. Index = start
+  of the bucket + position inside it. The bucket count is a setting, so the
+  broadcast side and the collected sample are bounded by configuration.
 * **input order of text files** (:func:`with_input_order_index`): no shuffle
   of the data at all. Count the rows of every input split (file, split
   start), prefix-sum over the split list and broadcast the offsets; index =
@@ -22,46 +23,94 @@ from __future__ import annotations
 import logging
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 log = logging.getLogger(__name__)
 
-PARTITION_ID_SHIFT = 33  # monotonically_increasing_id = partition << 33 | row
 SPLIT_ROW_BYTES = 256  # generous size of one (path, start, count, first id) row
 DEFAULT_SPLIT_BROADCAST_BYTES = 64 * 1024 * 1024
+SAMPLE_ROWS_PER_BUCKET = 20
+SAMPLE_SEED = 20240917
 
 
-def _partitions(df: DataFrame, num_partitions: int | None) -> int:
+def _buckets(df: DataFrame, num_partitions: int | None) -> int:
     if num_partitions:
         return int(num_partitions)
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def _bucket_expr(key: Column, bounds: list[Column]) -> Column:
+    """Index of the first bound >= key (0..len(bounds)), as a balanced CASE tree."""
+
+    def build(lo: int, hi: int) -> Column:
+        # answer lies in [lo, hi]; bounds[lo..hi-1] decide it
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(key <= bounds[mid], build(lo, mid)).otherwise(build(mid + 1, hi))
+
+    return build(0, len(bounds))
+
+
+def range_bounds(df: DataFrame, key_cols: list[str], buckets: int) -> list[tuple]:
+    """Up to ``buckets - 1`` ascending split points of ``struct(key_cols)``.
+
+    One count, then a seeded sample of about ``20 * buckets`` rows sorted by
+    Spark (so the order is Spark's own) and collected: driver-side data is
+    bounded by the bucket setting, never by the row count.
+    """
+    total = df.count()
+    if total == 0 or buckets <= 1:
+        return []
+    want = SAMPLE_ROWS_PER_BUCKET * buckets
+    fraction = min(1.0, 1.5 * want / total)
+    sample = df.select(*key_cols).sample(False, fraction, SAMPLE_SEED).orderBy(*key_cols).collect()
+    if not sample:
+        return []
+    picks = []
+    for b in range(1, buckets):
+        row = tuple(sample[min(len(sample) - 1, b * len(sample) // buckets)])
+        if not picks or picks[-1] != row:
+            picks.append(row)
+    return picks
+
+
 def with_row_index(
     df: DataFrame,
     order_by: Sequence[str],
     index_col: str = "index",
     num_partitions: int | None = None,
 ) -> DataFrame:
-    """Add ``index_col`` = 0-based position in ``order_by`` order (ties: input order)."""
-    n = _partitions(df, num_partitions)
-    keyed = df.withColumn("_tie", F.monotonically_increasing_id())
-    keys = [F.col(c).asc_nulls_first() for c in order_by] + [F.col("_tie").asc()]
-    # repartitionByRange with an explicit count is never coalesced by AQE,
-    # so partition ids are stable between the two readers below.
-    ranged = keyed.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-    local = ranged.select(
-        "*", F.spark_partition_id().alias("_pid"), F.monotonically_increasing_id().alias("_mid")
-    )
-    counts = local.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+    """Add ``index_col`` = 0-based position in ``order_by`` order.
+
+    Ties on ``order_by`` are ordered by a hash of the whole row. Plan: the
+    row's bucket is a pure function of (key, row hash) against sampled
+    split points (literals), so the bucket counts and the positions inside a
+    bucket (``row_number`` over ``partitionBy(bucket)``) agree however often
+    either side is recomputed. The row hash spreads a hot key value over
+    several buckets. Offsets are one row per bucket (broadcast).
+    """
+    n = _buckets(df, num_partitions)
+    keyed = df.withColumn("_tie", F.xxhash64(*[F.col(c) for c in df.columns]))
+    key_cols = [*order_by, "_tie"]
+    schema = {f.name: f.dataType for f in keyed.schema.fields}
+    bounds = range_bounds(keyed, key_cols, n)
+    key = F.struct(*[F.col(c) for c in key_cols])
+    bound_cols = [
+        F.struct(*[F.lit(v).cast(schema[c]).alias(c) for c, v in zip(key_cols, b)]) for b in bounds
+    ]
+    bucketed = keyed.withColumn("_bucket", _bucket_expr(key, bound_cols))
+    counts = bucketed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
     start = F.coalesce(
-        F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
+        F.sum("_n").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
     )
-    offsets = counts.select("_pid", start.alias("_start"))
-    # one row per partition: bounded by the partition setting, safe to broadcast
-    joined = local.join(F.broadcast(offsets), on="_pid", how="inner")
-    index = F.col("_start") + (F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), PARTITION_ID_SHIFT))
+    # one row per bucket: bounded by the bucket setting, safe to broadcast
+    offsets = counts.select("_bucket", start.alias("_start"))
+    within = Window.partitionBy("_bucket").orderBy(*[F.col(c).asc() for c in key_cols])
+    positioned = bucketed.withColumn("_pos", F.row_number().over(within) - 1)
+    joined = positioned.join(F.broadcast(offsets), on="_bucket", how="inner")
+    index = (F.col("_start") + F.col("_pos")).cast("long")
     return joined.select(*[F.col(c) for c in df.columns], index.alias(index_col))
 
 

@@ -113,17 +113,25 @@ def predict(
 ) -> DataFrame:
     """Score a matrix CSV with a saved model; write ``index, prediction`` files.
 
-    ``row_labels`` names a column to carry as the row key; ``test`` returns
-    the accuracy row instead of the predictions.
+    ``row_labels`` names a column to carry as the row key instead of the
+    input-order index; ``test`` returns the accuracy row instead of the
+    predictions.
     """
     model = load_model(spark, model_path)
     carry = (row_labels,) if row_labels else ()
     frame = read_matrix(
-        spark, input_path, target=target, ignore=ignore, max_features=max_features, keep_order=True, carry=carry
+        spark, input_path, target=target, ignore=ignore, max_features=max_features,
+        keep_order=not row_labels, carry=carry,
     )
-    indexed = indexed_predictions(frame, model, align_mode=align_mode)
+    if row_labels:
+        # keyed rows need no global index (and no extra pass to build one)
+        out_df = score(frame, model, align_mode)
+        id_col = row_labels
+    else:
+        out_df = indexed_predictions(frame, model, align_mode=align_mode)
+        id_col = "index"
     if out:
-        write_predictions(indexed, out)
+        write_predictions(out_df, out, index_col=id_col)
     if test:
-        return accuracy(indexed)
-    return indexed
+        return accuracy(out_df)
+    return out_df

@@ -106,24 +106,22 @@ def duplicate_names(names: Sequence[str]) -> dict[str, int]:
     return {n: k for n, k in counts.items() if k > 1}
 
 
-def parsed_cells(
-    spark: SparkSession, path: str | Sequence[str], header: Sequence[str], keep_order: bool = False
-) -> DataFrame:
-    """Data lines as trimmed text cells ``c0..c<n-1>``, header lines removed.
+def parse_lines(lines: DataFrame, header: Sequence[str], keep_order: bool = False) -> DataFrame:
+    """Lines (column ``value``) as trimmed text cells ``c0..c<n-1>``, header lines removed.
 
     Lines are parsed with one extra cell so that a line with surplus cells is
-    never mistaken for the header. With ``keep_order`` the source file, split
-    start are carried (see ``ORDER_COLS``).
+    never mistaken for the header. With ``keep_order`` (file scans only) the
+    source file and split start are carried (see ``ORDER_COLS``). Works on a
+    streaming DataFrame too: it is a stateless projection and filter.
     """
     width = len(header)
-    raw = spark.read.text(_paths(path))
     extra: list[Column] = []
     if keep_order:
         extra = [
             F.col("_metadata.file_path").alias(ORDER_COLS[0]),
             F.col("_metadata.file_block_start").alias(ORDER_COLS[1]),
         ]
-    parsed = raw.select(
+    parsed = lines.select(
         F.from_csv(_normalised_line(F.col("value")), _cell_schema(width + 1), CSV_OPTIONS).alias("r"), *extra
     )
     cells = parsed.select(
@@ -138,24 +136,24 @@ def parsed_cells(
     return cells.where(~is_header).drop("_surplus")
 
 
-def read_matrix(
-    spark: SparkSession,
-    path: str | Sequence[str],
+def parsed_cells(
+    spark: SparkSession, path: str | Sequence[str], header: Sequence[str], keep_order: bool = False
+) -> DataFrame:
+    """Text cells of every data line under ``path`` (see :func:`parse_lines`)."""
+    return parse_lines(spark.read.text(_paths(path)), header, keep_order)
+
+
+def matrix_from_cells(
+    cells: DataFrame,
+    header: Sequence[str],
     target: str | None = "Y",
     ignore: str | Iterable[str] = (),
     max_features: int | None = None,
     on_error: str = "raise",
-    keep_order: bool = False,
     carry: Sequence[str] = (),
+    keep_order: bool = False,
 ) -> FeatureFrame:
-    """Read a labelled numeric matrix from CSV text files (file, folder or glob).
-
-    ``target=None`` or ``""`` means no label column (label 0.0 everywhere).
-    ``ignore`` is a set of names or comma separated text. ``max_features`` of
-    0 or None keeps all. ``carry`` names raw columns to pass through as text
-    (row keys for keyed predictions); they are also excluded from features.
-    """
-    header = read_header(spark, path)
+    """Role split and number parsing of parsed cells (see :func:`read_matrix`)."""
     dups = duplicate_names(header)
     if dups:
         log.warning("Duplicate column names: %s", truncated_text(list(dups), 200, ", "))
@@ -163,7 +161,6 @@ def read_matrix(
     ignore_set = parse_option_list(ignore) | set(carry)
     label_pos, names, positions = split_roles(header, target, ignore_set, max_features)
     carry_pos = {c: split_roles(header, c)[0] for c in carry}
-    cells = parsed_cells(spark, path, header, keep_order=keep_order)
     if label_pos is None:
         label = F.lit(0.0)
     else:
@@ -177,12 +174,48 @@ def read_matrix(
     return FeatureFrame(cells.select(*cols), tuple(names), tuple(carry) + tuple(order_cols))
 
 
+def read_matrix(
+    spark: SparkSession,
+    path: str | Sequence[str],
+    target: str | None = "Y",
+    ignore: str | Iterable[str] = (),
+    max_features: int | None = None,
+    on_error: str = "raise",
+    keep_order: bool = False,
+    carry: Sequence[str] = (),
+) -> FeatureFrame:
+    """Read a labelled numeric matrix from CSV text files (file, folder or glob).
+
+    ``target=None`` or ``""`` means no label column (label 0.0 everywhere).
+    ``ignore`` is a set of names or comma separated text. ``max_features`` of
+    0 or None keeps all. ``carry`` names raw columns to pass through as text
+    (row keys for keyed predictions); they are also excluded from features.
+    ``keep_order`` carries the input position for an input-order row index.
+    """
+    header = read_header(spark, path)
+    cells = parsed_cells(spark, path, header, keep_order=keep_order)
+    return matrix_from_cells(cells, header, target, ignore, max_features, on_error, carry, keep_order)
+
+
 def column_names(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """The header as a small DataFrame ``(position INT, name STRING)``."""
     header = read_header(spark, path)
     return spark.createDataFrame(list(enumerate(header)), "position INT, name STRING")
 
 
+def column_profile(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """``(position, name, non_empty)``: the header with the number of data
+    lines that have a non-empty cell in that column (one aggregate pass)."""
+    header = read_header(spark, path)
+    cells = parsed_cells(spark, path, header)
+    counts = cells.agg(*[F.count(F.col(f"c{i}")).alias(f"n{i}") for i in range(len(header))])
+    entries = [
+        F.struct(F.lit(i).alias("position"), F.lit(h).alias("name"), F.col(f"n{i}").alias("non_empty"))
+        for i, h in enumerate(header)
+    ]
+    return counts.select(F.inline(F.array(*entries)))
+
+
 def duplicate_columns(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """Header names that occur more than once: ``(name, occurrences)``."""
     return (

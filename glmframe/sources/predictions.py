@@ -26,10 +26,14 @@ def prediction_lines(indexed: DataFrame, index_col: str = "index", value_col: st
 
 
 def write_predictions(indexed: DataFrame, path: str, index_col: str = "index", value_col: str = "prediction") -> str:
-    """Write ``index, prediction`` CSV text (header in every part file)."""
-    out = indexed.select(
-        F.col(index_col).cast("long").alias("index"), format_fixed(value_col, 6).alias("prediction")
-    ).sortWithinPartitions("index")
+    """Write ``index, prediction`` CSV text (header in every part file).
+
+    With a key column instead of the index (keyed predictions) the header
+    names that column.
+    """
+    id_expr = F.col(index_col).cast("long") if index_col == "index" else F.col(index_col)
+    out = indexed.select(id_expr.alias(index_col), format_fixed(value_col, 6).alias("prediction"))
+    out = out.sortWithinPartitions(index_col)
     (
         out.write.mode("overwrite")
         .option("header", "true")
