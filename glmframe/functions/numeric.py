@@ -101,8 +101,13 @@ def logistic(margin: Column) -> Column:
 
 
 def threshold_class(probability: Column, threshold: float = 0.5) -> Column:
-    """1.0 when the probability is strictly above the threshold, else 0.0."""
-    return F.when(probability > F.lit(float(threshold)), F.lit(1.0)).otherwise(F.lit(0.0))
+    """1.0 when the probability is strictly above the threshold, else 0.0.
+
+    A NaN probability gives 0.0 (IEEE: NaN is above nothing), whereas Spark's
+    own ordering puts NaN above every number, hence the explicit test.
+    """
+    above = (probability > F.lit(float(threshold))) & ~F.isnan(probability)
+    return F.when(above, F.lit(1.0)).otherwise(F.lit(0.0))
 
 
 def format_fixed(c: Column | str, digits: int = 6) -> Column:
