@@ -37,15 +37,15 @@ def number_or_null(c: Column | str) -> Column:
     """Parse a trimmed cell as a Java double literal, NULL if it is not one.
 
     ``try_cast`` already accepts Java forms such as ``1d``, ``1.5f``, ``0x1p3``,
-    ``NaN`` and ``Infinity``; it also accepts ``nan``/``inf`` in any case,
-    which Java does not, so those spellings are turned away here.
+    ``NaN``, ``Infinity`` and ``1e999`` (infinite); it also accepts ``nan`` or
+    ``inf`` in any case, which Java does not, so those spellings are turned
+    away. The spelling check only runs when the value is NaN or infinite.
     """
     t = _col(c)
-    looks_special = F.lower(t).rlike(SPECIAL_ANY_CASE)
-    exact_special = t.rlike(SPECIAL_EXACT)
-    return F.when(looks_special & ~exact_special, F.lit(None).cast("double")).otherwise(
-        t.try_cast("double")
-    )
+    x = t.try_cast("double")
+    special = F.isnan(x) | (F.abs(x) == F.lit(float("inf")))
+    misspelt = special & F.lower(t).rlike(SPECIAL_ANY_CASE) & ~t.rlike(SPECIAL_EXACT)
+    return F.when(misspelt, F.lit(None).cast("double")).otherwise(x)
 
 
 def boolean_as_number(c: Column | str) -> Column:

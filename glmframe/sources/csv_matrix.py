@@ -60,6 +60,18 @@ def _normalised_line(value: Column) -> Column:
     return F.regexp_replace(value, BACKSLASH_QUOTE, DOUBLED_QUOTE)
 
 
+# Characters dropped by the header-line pre-check: blanks, quote, backslash.
+SQUEEZE_CHARS = "".join(chr(i) for i in range(0x21)) + '"' + "\\"
+
+
+def _squeeze_text(text: str) -> str:
+    return "".join(ch for ch in text if ch not in SQUEEZE_CHARS)
+
+
+def _squeezed(line: Column) -> Column:
+    return F.translate(line, SQUEEZE_CHARS, "")
+
+
 def _cell_schema(width: int) -> str:
     return ", ".join(f"c{i} STRING" for i in range(width))
 
@@ -122,18 +134,27 @@ def parse_lines(lines: DataFrame, header: Sequence[str], keep_order: bool = Fals
             F.col("_metadata.file_block_start").alias(ORDER_COLS[1]),
         ]
     parsed = lines.select(
-        F.from_csv(_normalised_line(F.col("value")), _cell_schema(width + 1), CSV_OPTIONS).alias("r"), *extra
+        F.col("value").alias("line"),
+        F.from_csv(_normalised_line(F.col("value")), _cell_schema(width + 1), CSV_OPTIONS).alias("r"),
+        *extra,
     )
     cells = parsed.select(
+        "line",
         *[trim_cell(F.col(f"r.c{i}")).alias(f"c{i}") for i in range(width)],
         F.col(f"r.c{width}").alias("_surplus"),
         *[F.col(c) for c in (ORDER_COLS if keep_order else ())],
     )
-    is_header = F.col("_surplus").isNull()
+    # Cheap necessary condition first: a header line, stripped of blanks,
+    # quotes and backslashes, equals the header stripped the same way (an
+    # extra cell, even an empty one, adds a separator). Only such lines pay
+    # for the exact cell-by-cell check, which Catalyst evaluates on its own
+    # parse once the filter is pushed below the projection.
+    candidate = _squeezed(F.col("line")) == F.lit(_squeeze_text(SEPARATOR.join(header)))
+    exact = F.col("_surplus").isNull()
     for i, h in enumerate(header):
         # an empty header cell parses as NULL, like an empty data cell
-        is_header = is_header & (F.coalesce(F.col(f"c{i}"), F.lit("")) == F.lit(h))
-    return cells.where(~is_header).drop("_surplus")
+        exact = exact & (F.coalesce(F.col(f"c{i}"), F.lit("")) == F.lit(h))
+    return cells.where(~(candidate & exact)).drop("_surplus", "line")
 
 
 def parsed_cells(
