@@ -21,6 +21,7 @@ task. Instead:
 from __future__ import annotations
 
 import logging
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -32,6 +33,7 @@ SPLIT_ROW_BYTES = 256  # generous size of one (path, start, count, first id) row
 DEFAULT_SPLIT_BROADCAST_BYTES = 64 * 1024 * 1024
 SAMPLE_ROWS_PER_BUCKET = 20
 SAMPLE_SEED = 20240917
+MIN_ROWS_PER_BUCKET = 50_000  # fewer rows than this per bucket is not worth a task
 
 
 def _buckets(df: DataFrame, num_partitions: int | None) -> int:
@@ -53,14 +55,18 @@ def _bucket_expr(key: Column, bounds: list[Column]) -> Column:
     return build(0, len(bounds))
 
 
-def range_bounds(df: DataFrame, key_cols: list[str], buckets: int) -> list[tuple]:
+def range_bounds(
+    df: DataFrame, key_cols: list[str], buckets: int, rows_per_bucket: int = MIN_ROWS_PER_BUCKET
+) -> list[tuple]:
     """Up to ``buckets - 1`` ascending split points of ``struct(key_cols)``.
 
-    One count, then a seeded sample of about ``20 * buckets`` rows sorted by
-    Spark (so the order is Spark's own) and collected: driver-side data is
+    One count (no columns read), which also lowers the bucket count for
+    small inputs, then a seeded sample of about ``20 * buckets`` rows sorted
+    by Spark (so the order is Spark's own) and collected: driver-side data is
     bounded by the bucket setting, never by the row count.
     """
     total = df.count()
+    buckets = min(buckets, math.ceil(total / max(1, rows_per_bucket)))
     if total == 0 or buckets <= 1:
         return []
     want = SAMPLE_ROWS_PER_BUCKET * buckets
@@ -81,6 +87,7 @@ def with_row_index(
     order_by: Sequence[str],
     index_col: str = "index",
     num_partitions: int | None = None,
+    rows_per_bucket: int = MIN_ROWS_PER_BUCKET,
 ) -> DataFrame:
     """Add ``index_col`` = 0-based position in ``order_by`` order.
 
@@ -95,7 +102,7 @@ def with_row_index(
     keyed = df.withColumn("_tie", F.xxhash64(*[F.col(c) for c in df.columns]))
     key_cols = [*order_by, "_tie"]
     schema = {f.name: f.dataType for f in keyed.schema.fields}
-    bounds = range_bounds(keyed, key_cols, n)
+    bounds = range_bounds(keyed, key_cols, n, rows_per_bucket)
     key = F.struct(*[F.col(c) for c in key_cols])
     bound_cols = [
         F.struct(*[F.lit(v).cast(schema[c]).alias(c) for c, v in zip(key_cols, b)]) for b in bounds

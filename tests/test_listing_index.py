@@ -45,7 +45,7 @@ def test_row_index_dense_ordered_with_hot_key(spark):
     rnd = random.Random(3)
     data = [(rnd.choice([5] * 10 + list(range(40))), rnd.random()) for _ in range(3000)]
     df = spark.createDataFrame(data, "k INT, v DOUBLE").repartition(5)
-    out = with_row_index(df, ["k"], num_partitions=7).collect()
+    out = with_row_index(df, ["k"], num_partitions=7, rows_per_bucket=100).collect()
     idx = sorted(r["index"] for r in out)
     assert idx == list(range(len(data)))
     by_index = sorted(out, key=lambda r: r["index"])
@@ -53,6 +53,17 @@ def test_row_index_dense_ordered_with_hot_key(spark):
     assert keys == sorted(keys)
 
 
+def test_row_index_buckets_split_a_hot_key(spark):
+    from glmframe.operators.row_index import range_bounds
+    from pyspark.sql import functions as G
+
+    df = spark.range(4000).select((G.col("id") % 3 == 0).cast("int").alias("k"), G.col("id"))
+    keyed = df.withColumn("_tie", G.xxhash64("k", "id"))
+    bounds = range_bounds(keyed, ["k", "_tie"], 8, rows_per_bucket=100)
+    # k=1 holds a third of the rows, yet several split points fall inside it
+    assert sum(1 for b in bounds if b[0] == 1) >= 2
+
+
 def test_row_index_empty_input(spark):
     df = spark.createDataFrame([], "k INT")
     assert with_row_index(df, ["k"]).count() == 0
