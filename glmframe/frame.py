@@ -1,9 +1,18 @@
 """FeatureFrame: a labelled numeric matrix with named features, as a DataFrame.
 
-Physical layout: one ``label DOUBLE`` column, one ``f_<i> DOUBLE`` column per
-feature in order, plus optional pass-through columns (row keys, input-order
-keys). Logical feature names live in ``feature_names`` and may repeat, which
-the physical names never do. Every operator returns a new frame over a lazy
+Two physical layouts, both with one ``label DOUBLE`` column plus optional
+pass-through columns (row keys, input-order keys):
+
+* **wide** (default up to ``WIDE_CUTOFF`` features): one ``f_<i> DOUBLE``
+  column per feature, so Catalyst prunes unused features and every
+  expression is whole-stage code generated;
+* **packed** (more features): one ``features ARRAY<DOUBLE>`` column. Plans
+  stay small however many features there are (a wide plan with thousands of
+  columns compiles slowly and a thousand-term sum overflows the code
+  generator), and profiles run through vector aggregates.
+
+Logical feature names live in ``feature_names`` and may repeat, which the
+physical names never do. Every operator returns a new frame over a lazy
 plan; only ``without_constant_features`` runs a job (one aggregate pass).
 """
 
@@ -20,6 +29,8 @@ from glmframe.functions.numeric import lenient_number
 
 LABEL = "label"
 FEATURE_PREFIX = "f_"
+PACKED = "features"
+WIDE_CUTOFF = 200
 
 
 def fcol(i: int) -> str:
@@ -75,11 +86,40 @@ def _as_double(df: DataFrame, name: str, on_error: str) -> Column:
     raise TypeError(f"column {name!r} of type {dtype.simpleString()} is not numeric")
 
 
+def build_frame(
+    df: DataFrame,
+    label: Column,
+    features: Sequence[Column],
+    names: Sequence[str],
+    carry: Sequence[Column | str] = (),
+    packed: bool | None = None,
+) -> "FeatureFrame":
+    """Select label + features (+ carry) from ``df`` in the chosen layout.
+
+    ``packed=None`` picks the packed layout above ``WIDE_CUTOFF`` features.
+    """
+    names = tuple(names)
+    use_packed = len(names) > WIDE_CUTOFF if packed is None else packed
+    carry_cols = [F.col(c) if isinstance(c, str) else c for c in carry]
+    if use_packed:
+        arr = F.array(*[e.cast("double") for e in features]) if features else F.array().cast("array<double>")
+        out = df.select(label.cast("double").alias(LABEL), arr.alias(PACKED), *carry_cols)
+    else:
+        out = df.select(
+            label.cast("double").alias(LABEL),
+            *[e.cast("double").alias(fcol(i)) for i, e in enumerate(features)],
+            *carry_cols,
+        )
+    carry_names = tuple(out.columns[len(out.columns) - len(carry_cols):]) if carry_cols else ()
+    return FeatureFrame(out, names, carry_names, use_packed)
+
+
 @dataclass(frozen=True)
 class FeatureFrame:
     df: DataFrame
     feature_names: tuple[str, ...]
     carry: tuple[str, ...] = field(default=())
+    packed: bool = False
 
     # ------------------------------------------------------------------ build
     @classmethod
@@ -89,6 +129,7 @@ class FeatureFrame:
         features: Mapping[str, Column | str] | Sequence[str],
         label: Column | str | None = None,
         carry: Sequence[str] = (),
+        packed: bool | None = None,
     ) -> "FeatureFrame":
         """Frame from column expressions: ``features`` maps name -> expression."""
         if isinstance(features, Mapping):
@@ -96,12 +137,26 @@ class FeatureFrame:
         else:
             items = [(n, n) for n in features]
         label_expr = F.lit(0.0) if label is None else (F.col(label) if isinstance(label, str) else label)
-        cols = [label_expr.cast("double").alias(LABEL)]
-        for i, (_, expr) in enumerate(items):
-            e = F.col(expr) if isinstance(expr, str) else expr
-            cols.append(e.cast("double").alias(fcol(i)))
-        cols += [F.col(c) for c in carry]
-        return cls(df.select(*cols), tuple(n for n, _ in items), tuple(carry))
+        exprs = [F.col(e) if isinstance(e, str) else e for _, e in items]
+        return build_frame(df, label_expr, exprs, [n for n, _ in items], list(carry), packed)
+
+    @classmethod
+    def from_array(
+        cls,
+        df: DataFrame,
+        array_col: str,
+        names: Sequence[str],
+        label: Column | str | None = None,
+        carry: Sequence[str] = (),
+    ) -> "FeatureFrame":
+        """Packed frame straight from a numeric array column (no unpacking)."""
+        label_expr = F.lit(0.0) if label is None else (F.col(label) if isinstance(label, str) else label)
+        out = df.select(
+            label_expr.cast("double").alias(LABEL),
+            F.col(array_col).cast("array<double>").alias(PACKED),
+            *[F.col(c) for c in carry],
+        )
+        return cls(out, tuple(names), tuple(carry), True)
 
     @classmethod
     def from_table(
@@ -112,6 +167,7 @@ class FeatureFrame:
         max_features: int | None = None,
         carry: Sequence[str] = (),
         on_error: str = "raise",
+        packed: bool | None = None,
     ) -> "FeatureFrame":
         """Frame from a typed table, with the same role rules as the CSV scan.
 
@@ -123,10 +179,8 @@ class FeatureFrame:
         all_names = df.columns
         label_pos, names, positions = split_roles(all_names, target or None, ignore_set, max_features)
         label = _as_double(df, all_names[label_pos], on_error) if label_pos is not None else F.lit(0.0)
-        cols = [label.alias(LABEL)]
-        cols += [_as_double(df, all_names[p], on_error).alias(fcol(i)) for i, p in enumerate(positions)]
-        cols += [F.col(c) for c in carry]
-        return cls(df.select(*cols), tuple(names), tuple(carry))
+        exprs = [_as_double(df, all_names[p], on_error) for p in positions]
+        return build_frame(df, label, exprs, names, list(carry), packed)
 
     # ------------------------------------------------------------ accessors
     @property
@@ -135,13 +189,41 @@ class FeatureFrame:
 
     @property
     def feature_cols(self) -> list[str]:
+        """Physical feature columns of the wide layout."""
+        if self.packed:
+            raise ValueError("a packed frame has one array column; use feature_col(i) / feature_array()")
         return [fcol(i) for i in range(self.width)]
 
+    def feature_col(self, i: int) -> Column:
+        """The i-th feature as a column expression (either layout)."""
+        return F.col(PACKED)[i] if self.packed else F.col(fcol(i))
+
+    def feature_array(self) -> Column:
+        """All features as one ``ARRAY<DOUBLE>`` expression (either layout)."""
+        if self.packed:
+            return F.col(PACKED)
+        if not self.width:
+            return F.array().cast("array<double>")
+        return F.array(*[F.col(c) for c in self.feature_cols])
+
+    def to_packed(self) -> "FeatureFrame":
+        if self.packed:
+            return self
+        out = self.df.select(F.col(LABEL), self.feature_array().alias(PACKED), *[F.col(c) for c in self.carry])
+        return FeatureFrame(out, self.feature_names, self.carry, True)
+
+    def to_wide(self) -> "FeatureFrame":
+        if not self.packed:
+            return self
+        cols = [F.col(LABEL)] + [F.col(PACKED)[i].alias(fcol(i)) for i in range(self.width)]
+        out = self.df.select(*cols, *[F.col(c) for c in self.carry])
+        return FeatureFrame(out, self.feature_names, self.carry, False)
+
     def name_positions(self) -> dict[str, int]:
         return name_positions(self.feature_names)
 
     def with_df(self, df: DataFrame) -> "FeatureFrame":
-        return FeatureFrame(df, self.feature_names, self.carry)
+        return FeatureFrame(df, self.feature_names, self.carry, self.packed)
 
     def to_df(self, named: bool = True, label: str = LABEL) -> DataFrame:
         """Plain DataFrame; with ``named`` the feature columns carry their names.
@@ -153,7 +235,7 @@ class FeatureFrame:
         if len(set(self.feature_names)) != self.width:
             raise ValueError("feature names repeat; use named=False")
         cols = [F.col(LABEL).alias(label)]
-        cols += [F.col(fcol(i)).alias(n) for i, n in enumerate(self.feature_names)]
+        cols += [self.feature_col(i).alias(n) for i, n in enumerate(self.feature_names)]
         cols += [F.col(c) for c in self.carry]
         return self.df.select(*cols)
 
@@ -171,6 +253,12 @@ class FeatureFrame:
         new_names = tuple(self.feature_names[i] for i in indices)
         if new_names == self.feature_names:
             return self
+        if self.packed:
+            # one lambda over a literal index array: plan size independent of width
+            idx = F.array(*[F.lit(i) for i in indices]) if indices else F.array().cast("array<int>")
+            arr = F.transform(idx, lambda i: F.col(PACKED)[i])
+            out = self.df.select(F.col(LABEL), arr.alias(PACKED), *[F.col(c) for c in self.carry])
+            return FeatureFrame(out, new_names, self.carry, True)
         cols = [F.col(LABEL)] + [F.col(fcol(i)).alias(fcol(j)) for j, i in enumerate(indices)]
         cols += [F.col(c) for c in self.carry]
         return FeatureFrame(self.df.select(*cols), new_names, self.carry)
@@ -191,7 +279,7 @@ class FeatureFrame:
     def transform(self, fn: Callable[[DataFrame], DataFrame]) -> "FeatureFrame":
         """Apply a DataFrame -> DataFrame function that keeps the layout."""
         out = fn(self.df)
-        expected = [LABEL, *self.feature_cols]
+        expected = [LABEL, PACKED] if self.packed else [LABEL, *self.feature_cols]
         if [c for c in out.columns if c not in self.carry] != expected:
             raise ValueError(f"transform changed the layout: {out.columns} vs {expected + list(self.carry)}")
         return self.with_df(out)
@@ -204,6 +292,10 @@ class FeatureFrame:
 
     def assembled(self, out: str = "features") -> DataFrame:
         """``label`` + one ML vector column (only for fitting)."""
+        if self.packed:
+            from pyspark.ml.functions import array_to_vector
+
+            return self.df.select(LABEL, array_to_vector(F.col(PACKED)).alias(out), *self.carry)
         from pyspark.ml.feature import VectorAssembler
 
         assembler = VectorAssembler(inputCols=self.feature_cols, outputCol=out, handleInvalid="error")

@@ -95,6 +95,25 @@ def linear_margin(
     return acc + F.lit(float(intercept))
 
 
+def packed_margin(features: Column, weights: Sequence[float], intercept: float = 0.0) -> Column:
+    """Margin of an ``ARRAY<DOUBLE>`` of features: a left-to-right fold of
+    ``x_i * w_i`` (the same order as :func:`linear_margin`) plus intercept.
+
+    The weights are one array literal, so the plan stays small for any
+    number of features; the fold is a higher-order function evaluated per
+    row without recursion depth limits. Arrays shorter than the model give
+    NULL (missing features), like a short row.
+    """
+    if weights:
+        w = F.array(*[F.lit(float(x)) for x in weights])
+    else:
+        w = F.array().cast("array<double>")
+    products = F.zip_with(features, w, lambda x, y: x * y)
+    total = F.aggregate(products, F.lit(0.0), lambda acc, v: acc + v)
+    complete = F.size(features) == F.lit(len(weights))
+    return F.when(complete, total + F.lit(float(intercept)))
+
+
 def logistic(margin: Column) -> Column:
     """The logistic link ``1 / (1 + exp(-margin))``."""
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-margin))

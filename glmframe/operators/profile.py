@@ -13,7 +13,7 @@ import logging
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from glmframe.frame import LABEL, FeatureFrame, fcol
+from glmframe.frame import LABEL, PACKED, FeatureFrame, fcol
 
 log = logging.getLogger(__name__)
 
@@ -73,8 +73,51 @@ def _is_constant(c: str) -> Column:
     return ~F.coalesce(varies, F.lit(False))
 
 
+def _packed_stats(frame: FeatureFrame) -> DataFrame:
+    """One row ``_rows, _min, _max, _nan`` (arrays: one entry per feature).
+
+    Vector aggregates (``Summarizer``) over the packed column: one pass,
+    map-side partial aggregation, no explode. NaN is counted through an
+    indicator vector; min/max only matter when no NaN is present.
+    """
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    vec = array_to_vector(F.col(PACKED))
+    nan_ind = array_to_vector(F.transform(F.col(PACKED), lambda x: F.when(F.isnan(x), 1.0).otherwise(0.0)))
+    return frame.df.agg(
+        F.count(F.lit(1)).alias("_rows"),
+        Summarizer.metrics("min", "max").summary(vec).alias("s"),
+        Summarizer.metrics("sum").summary(nan_ind).alias("n"),
+    ).select(
+        "_rows",
+        vector_to_array(F.col("s.min")).alias("_min"),
+        vector_to_array(F.col("s.max")).alias("_max"),
+        vector_to_array(F.col("n.sum")).alias("_nan"),
+    )
+
+
+def _packed_flags(stats: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    name_arr = F.array(*[F.lit(n) for n in names]) if names else F.array().cast("array<string>")
+    # constant = fewer than two rows, or no NaN and min = max (as in the wide form)
+    flags = F.transform(
+        name_arr,
+        lambda n, i: F.struct(
+            i.alias("position"),
+            n.alias("name"),
+            (
+                (F.col("_rows") < 2)
+                | ((F.col("_nan")[i] == 0.0) & (F.col("_min")[i] == F.col("_max")[i]))
+            ).alias("is_constant"),
+        ),
+    )
+    return stats.select(F.inline(flags))
+
+
 def constant_feature_flags(frame: FeatureFrame) -> DataFrame:
     """``(position, name, is_constant)`` per feature, from one aggregate row."""
+    if frame.packed:
+        return _packed_flags(_packed_stats(frame), frame.feature_names)
     stats = frame.df.agg(*_constant_stats(frame))
     entries = [
         F.struct(F.lit(i).alias("position"), F.lit(n).alias("name"), _is_constant(fcol(i)).alias("is_constant"))
@@ -92,6 +135,14 @@ def drop_constant_features(frame: FeatureFrame) -> FeatureFrame:
     """
     if frame.width == 0:
         return frame
+    if frame.packed:
+        stats = _packed_stats(frame).first()  # one value per feature (model-sized)
+        if stats["_rows"] == 0:
+            log.warning("drop_constant_features on an empty frame: nothing dropped")
+            return frame
+        rows, mins, maxs, nans = stats["_rows"], stats["_min"], stats["_max"], stats["_nan"]
+        keep = [i for i in range(frame.width) if rows >= 2 and (nans[i] > 0 or mins[i] != maxs[i])]
+        return frame.project_by_index(keep)
     row = frame.df.agg(*_constant_stats(frame)).select(
         "_rows", *[_is_constant(c).alias(c) for c in frame.feature_cols]
     ).first()
@@ -103,6 +154,19 @@ def drop_constant_features(frame: FeatureFrame) -> FeatureFrame:
 
 
 # ------------------------------------------------------------ standardising
+def _packed_moments(frame: FeatureFrame) -> list[tuple[float | None, float | None]]:
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    vec = array_to_vector(F.col(PACKED))
+    row = frame.df.agg(Summarizer.metrics("mean", "std").summary(vec).alias("s")).select(
+        vector_to_array(F.col("s.mean")).alias("mean"), vector_to_array(F.col("s.std")).alias("std")
+    ).first()
+    if row is None or row["mean"] is None:
+        return [(None, None)] * frame.width
+    return list(zip(row["mean"], row["std"]))
+
+
 def column_moments(frame: FeatureFrame) -> dict[str, tuple[float | None, float | None]]:
     """Per feature column: (mean, sample standard deviation), one pass."""
     aggs = []
@@ -118,6 +182,8 @@ def standardize(frame: FeatureFrame, center: bool = True, scale: bool = True) ->
     A column whose stddev is 0 or undefined scales to 0.0. The moments are
     one aggregate job; the result is a lazy projection with literals.
     """
+    if frame.packed:
+        return _standardize_packed(frame, center, scale)
     moments = column_moments(frame)
     cols = [F.col(LABEL)]
     for c in frame.feature_cols:
@@ -132,6 +198,26 @@ def standardize(frame: FeatureFrame, center: bool = True, scale: bool = True) ->
     return frame.with_df(frame.df.select(*cols))
 
 
+def _standardize_packed(frame: FeatureFrame, center: bool, scale: bool) -> FeatureFrame:
+    """Packed form: ``(x - mean) * (1 / sd)`` element-wise against two
+    literal arrays; a feature whose stddev is 0 or undefined becomes 0.0."""
+    moments = _packed_moments(frame)
+
+    def lit_array(values: list[float]):
+        return F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<double>")
+
+    out = F.col(PACKED)
+    if center:
+        means = lit_array([float(m) if m is not None else 0.0 for m, _ in moments])
+        out = F.zip_with(out, means, lambda x, m: x - m)
+    if scale:
+        inv = lit_array([1.0 / float(sd) if sd not in (None, 0.0) else 0.0 for _, sd in moments])
+        zero = lit_array([1.0 if sd in (None, 0.0) else 0.0 for _, sd in moments])
+        out = F.zip_with(F.zip_with(out, inv, lambda x, k: x * k), zero, lambda x, z: F.when(z == 1.0, 0.0).otherwise(x))
+    df = frame.df.select(F.col(LABEL), out.alias(PACKED), *[F.col(c) for c in frame.carry])
+    return frame.with_df(df)
+
+
 # --------------------------------------------------------- observed counters
 def observe_counters(df: DataFrame, name: str, **counters: Column) -> tuple[DataFrame, Observation]:
     """Attach named aggregate counters to a plan; read them after an action.

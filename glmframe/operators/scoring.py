@@ -3,6 +3,8 @@
 Scoring is a single projection: the model weights are literals in an
 arithmetic expression (no ML UDF), so it fuses with the scan into one
 whole-stage-codegen stage, needs no shuffle and works on streaming frames.
+Above ``WIDE_CUTOFF`` features (or on a packed frame) the margin is a fold
+over the feature array against one weight-array literal instead.
 """
 
 from __future__ import annotations
@@ -10,8 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glmframe.frame import LABEL, FeatureFrame
-from glmframe.functions.numeric import linear_margin, logistic, threshold_class
+from glmframe.frame import LABEL, WIDE_CUTOFF, FeatureFrame
+from glmframe.functions.numeric import linear_margin, logistic, packed_margin, threshold_class
 from glmframe.sources.model_store import LinearModel
 
 ALIGN_MODES = ("name", "position")
@@ -50,7 +52,10 @@ def score(frame: FeatureFrame, model: LinearModel, align_mode: str = "name", thr
     and prediction = margin.
     """
     aligned = align(frame, model, align_mode)
-    margin = linear_margin(aligned.feature_cols, model.weights, model.intercept)
+    if aligned.packed or aligned.width > WIDE_CUTOFF:
+        margin = packed_margin(aligned.feature_array(), model.weights, model.intercept)
+    else:
+        margin = linear_margin(aligned.feature_cols, model.weights, model.intercept)
     scored = aligned.df.select(*[F.col(c) for c in aligned.carry], F.col(LABEL), margin.alias("margin"))
     if model.kind == "linear":
         return scored.select("*", F.lit(None).cast("double").alias("probability"), F.col("margin").alias("prediction"))

@@ -28,7 +28,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glmframe.frame import LABEL, FeatureFrame, fcol, parse_option_list, split_roles
+from glmframe.frame import LABEL, PACKED, WIDE_CUTOFF, FeatureFrame, build_frame, parse_option_list, split_roles
 from glmframe.functions.listing import truncated_text
 from glmframe.functions.numeric import lenient_number, trim_cell
 
@@ -157,6 +157,73 @@ def parse_lines(lines: DataFrame, header: Sequence[str], keep_order: bool = Fals
     return cells.where(~(candidate & exact)).drop("_surplus", "line")
 
 
+# One field of a line: optional blanks, then a quoted text (quotes doubled
+# inside) with optional trailing blanks, or any run without a separator.
+FIELD_PATTERN = r'(?:^|,)(\s*"(?:[^"]|"")*"\s*|[^,]*)'
+QUOTED_PATTERN = r'^"(.*)"$'
+
+
+def cell_array(line: Column) -> Column:
+    """All cells of a line as ``ARRAY<STRING>``: trimmed, unquoted, ``""`` -> ``"``.
+
+    The plan is the same size for any number of cells (one regex extraction
+    and one lambda), which keeps very wide matrices cheap to plan and compile.
+    """
+    raw = F.regexp_extract_all(_normalised_line(line), F.lit(FIELD_PATTERN), 1)
+
+    def clean(c: Column) -> Column:
+        t = trim_cell(c)
+        quoted = t.rlike(QUOTED_PATTERN)
+        inner = F.regexp_replace(F.regexp_extract(t, QUOTED_PATTERN, 1), DOUBLED_QUOTE, QUOTE)
+        return F.when(quoted, trim_cell(inner)).otherwise(t)
+
+    return F.transform(raw, clean)
+
+
+def parse_lines_packed(lines: DataFrame, header: Sequence[str], keep_order: bool = False) -> DataFrame:
+    """Lines as one ``_cells`` array each, header lines removed (any width)."""
+    extra: list[Column] = []
+    if keep_order:
+        extra = [
+            F.col("_metadata.file_path").alias(ORDER_COLS[0]),
+            F.col("_metadata.file_block_start").alias(ORDER_COLS[1]),
+        ]
+    parsed = lines.select(F.col("value").alias("line"), cell_array(F.col("value")).alias("_cells"), *extra)
+    candidate = _squeezed(F.col("line")) == F.lit(_squeeze_text(SEPARATOR.join(header)))
+    exact = F.col("_cells") == F.array(*[F.lit(h) for h in header])
+    return parsed.where(~(candidate & exact)).drop("line")
+
+
+def matrix_from_cell_array(
+    cells: DataFrame,
+    header: Sequence[str],
+    target: str | None = "Y",
+    ignore: str | Iterable[str] = (),
+    max_features: int | None = None,
+    on_error: str = "raise",
+    carry: Sequence[str] = (),
+    keep_order: bool = False,
+) -> FeatureFrame:
+    """Packed frame from ``_cells`` arrays: features are one ``transform``
+    over the literal array of source positions."""
+    target = target or None
+    ignore_set = parse_option_list(ignore) | set(carry)
+    label_pos, names, positions = split_roles(header, target, ignore_set, max_features)
+    carry_pos = {c: split_roles(header, c)[0] for c in carry}
+    arr = F.col("_cells")
+    if label_pos is None:
+        label = F.lit(0.0)
+    else:
+        label = lenient_number(F.get(arr, label_pos), on_error=on_error, what=f"column {header[label_pos]}")
+    pos_arr = F.array(*[F.lit(p) for p in positions]) if positions else F.array().cast("array<int>")
+    feats = F.transform(pos_arr, lambda p: lenient_number(F.get(arr, p), on_error=on_error, what="a feature column"))
+    cols = [label.alias(LABEL), feats.alias(PACKED)]
+    cols += [F.get(arr, carry_pos[c]).alias(c) for c in carry]
+    order_cols = list(ORDER_COLS) if keep_order else []
+    cols += [F.col(c) for c in order_cols]
+    return FeatureFrame(cells.select(*cols), tuple(names), tuple(carry) + tuple(order_cols), True)
+
+
 def parsed_cells(
     spark: SparkSession, path: str | Sequence[str], header: Sequence[str], keep_order: bool = False
 ) -> DataFrame:
@@ -173,11 +240,9 @@ def matrix_from_cells(
     on_error: str = "raise",
     carry: Sequence[str] = (),
     keep_order: bool = False,
+    packed: bool | None = None,
 ) -> FeatureFrame:
     """Role split and number parsing of parsed cells (see :func:`read_matrix`)."""
-    dups = duplicate_names(header)
-    if dups:
-        log.warning("Duplicate column names: %s", truncated_text(list(dups), 200, ", "))
     target = target or None
     ignore_set = parse_option_list(ignore) | set(carry)
     label_pos, names, positions = split_roles(header, target, ignore_set, max_features)
@@ -186,13 +251,10 @@ def matrix_from_cells(
         label = F.lit(0.0)
     else:
         label = lenient_number(F.col(f"c{label_pos}"), on_error=on_error, what=f"column {header[label_pos]}")
-    cols = [label.alias(LABEL)]
-    for i, p in enumerate(positions):
-        cols.append(lenient_number(F.col(f"c{p}"), on_error=on_error, what=f"column {header[p]}").alias(fcol(i)))
-    cols += [F.col(f"c{carry_pos[c]}").alias(c) for c in carry]
-    order_cols = list(ORDER_COLS) if keep_order else []
-    cols += [F.col(c) for c in order_cols]
-    return FeatureFrame(cells.select(*cols), tuple(names), tuple(carry) + tuple(order_cols))
+    exprs = [lenient_number(F.col(f"c{p}"), on_error=on_error, what=f"column {header[p]}") for p in positions]
+    carry_cols = [F.col(f"c{carry_pos[c]}").alias(c) for c in carry]
+    carry_cols += [F.col(c) for c in (ORDER_COLS if keep_order else ())]
+    return build_frame(cells, label, exprs, names, carry_cols, packed)
 
 
 def read_matrix(
@@ -204,6 +266,7 @@ def read_matrix(
     on_error: str = "raise",
     keep_order: bool = False,
     carry: Sequence[str] = (),
+    packed: bool | None = None,
 ) -> FeatureFrame:
     """Read a labelled numeric matrix from CSV text files (file, folder or glob).
 
@@ -212,10 +275,20 @@ def read_matrix(
     0 or None keeps all. ``carry`` names raw columns to pass through as text
     (row keys for keyed predictions); they are also excluded from features.
     ``keep_order`` carries the input position for an input-order row index.
+    ``packed`` forces a layout (default: packed above ``WIDE_CUTOFF`` features).
     """
     header = read_header(spark, path)
+    dups = duplicate_names(header)
+    if dups:
+        log.warning("Duplicate column names: %s", truncated_text(list(dups), 200, ", "))
+    if packed is None:
+        _, names, _ = split_roles(header, target or None, parse_option_list(ignore) | set(carry), max_features)
+        packed = len(names) > WIDE_CUTOFF
+    if packed:
+        cells = parse_lines_packed(spark.read.text(_paths(path)), header, keep_order=keep_order)
+        return matrix_from_cell_array(cells, header, target, ignore, max_features, on_error, carry, keep_order)
     cells = parsed_cells(spark, path, header, keep_order=keep_order)
-    return matrix_from_cells(cells, header, target, ignore, max_features, on_error, carry, keep_order)
+    return matrix_from_cells(cells, header, target, ignore, max_features, on_error, carry, keep_order, False)
 
 
 def column_names(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
