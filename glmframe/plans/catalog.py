@@ -412,6 +412,31 @@ def q_observed_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def q_score_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packed layout: embeddings scored with the centroid model (array fold)."""
+    emb = table(spark, sf_dir, "embeddings")
+    model = model_from_weights(centroid_weights(spark, sf_dir))
+    frame = FeatureFrame.from_array(emb, "embedding", model.names, label=(F.col("label") >= 5), carry=["vec_id"])
+    scored = score(frame, model)
+    return scored.select("vec_id", rounded("margin").alias("margin"), "prediction")
+
+
+def q_csv_packed_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packed CSV parse: embeddings as 64 text columns, read back as one array."""
+    emb = table(spark, sf_dir, "embeddings")
+    dim = emb.select(F.max(F.size("embedding")).alias("d")).first()["d"]
+    flag = F.when(F.col("label") >= 5, F.lit("true")).otherwise(F.lit("false"))
+    src = emb.select(*[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(dim)], flag.alias("Y"))
+    paths = write_matrix_csv(src, _scratch(spark, "packed-csv"))
+    fr = read_matrix(spark, paths, target="Y", packed=True)
+    total = F.aggregate(fr.feature_array(), F.lit(0.0), lambda acc, x: acc + x)
+    return fr.df.groupBy(LABEL).agg(
+        F.count(F.lit(1)).alias("n"),
+        rounded(F.sum(total), 4).alias("sum_all"),
+        rounded(F.sum(fr.feature_col(dim - 1)), 6).alias("sum_last"),
+    )
+
+
 def q_stream_keyed_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     paths = _keyed_lineitem_csv(spark, sf_dir, "stream-in")
     header = ["row_key", "q", "l_tax", "l_discount", "Y"]
@@ -462,6 +487,8 @@ QUERIES: dict[str, Query] = {
     "truncated_listing": q_truncated_listing,
     "observed_counters": q_observed_counters,
     "stream_keyed_scoring": q_stream_keyed_scoring,
+    "score_packed": q_score_packed,
+    "csv_packed_scan": q_csv_packed_scan,
 }
 
 
@@ -659,5 +686,22 @@ FROM w GROUP BY c_nationkey
     ),
 }
 
+ORACLE_SQL["score_packed"] = f"""
+WITH w AS ({CENTROID_SQL}),
+m AS (
+  SELECT e.vec_id, any_value(e.label) AS label, sum(CAST(e.v AS DOUBLE) * w.value) AS margin
+  FROM (SELECT vec_id, label, unnest(range(len(embedding))) AS idx, unnest(embedding) AS v FROM embeddings) e
+  JOIN w ON w.idx = e.idx
+  GROUP BY e.vec_id
+)
+SELECT vec_id, round(margin, 6) + 0.0 AS margin, {_cls('margin')} AS prediction FROM m
+"""
+ORACLE_SQL["csv_packed_scan"] = """
+SELECT CAST(CASE WHEN label >= 5 THEN 1 ELSE 0 END AS DOUBLE) AS label, count(*) AS n,
+       round(sum(list_sum(CAST(embedding AS DOUBLE[]))), 4) + 0.0 AS sum_all,
+       round(sum(CAST(embedding[len(embedding)] AS DOUBLE)), 6) + 0.0 AS sum_last
+FROM embeddings GROUP BY 1
+"""
+
 # Queries whose answer has no SQL form (run-time provenance: user, host).
 ROWS_ONLY = {"model_provenance"}
