@@ -1,0 +1,33 @@
+"""Use every task slot for small inputs, without shuffling large ones.
+
+A file with one row group (or one small file) becomes one scan task, so every
+pass over it runs on one thread. When a plan has fewer partitions than the
+cluster has task slots *and* Catalyst estimates it at a few MB or more, one
+round-robin repartition spreads it; Spark sorts before a round-robin
+repartition, so a retried task gets the same rows. A large input already has
+more partitions than slots and is returned unchanged: no shuffle is added
+where it would cost most.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+# below this estimated size a spreading shuffle costs more than it saves
+SPREAD_MIN_BYTES = 2 * 1024 * 1024
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """Catalyst's size estimate of a plan (no job); huge when unknown."""
+    try:
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # no JVM plan access (e.g. Spark Connect): assume large
+        return 1 << 62
+
+
+def spread_if_narrow(df: DataFrame, min_bytes: int = SPREAD_MIN_BYTES) -> DataFrame:
+    """``df``, repartitioned over the task slots only if it is narrow and not tiny."""
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < slots and estimated_bytes(df) >= min_bytes:
+        return df.repartition(slots)
+    return df

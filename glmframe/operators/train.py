@@ -13,39 +13,24 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
 from glmframe.frame import LABEL, FeatureFrame
+from glmframe.operators.spread import spread_if_narrow
 from glmframe.sources.model_store import LinearModel
 
 
-# below this estimated size a spreading shuffle costs more than it saves
-SPREAD_MIN_BYTES = 2 * 1024 * 1024
-
-
 def training_input(frame: FeatureFrame) -> DataFrame:
     """Assembled input, spread over the task slots and persisted for the fit.
 
     The solver makes one pass per iteration, so the input is persisted
     (memory, spilling to disk) by us, once, instead of being re-derived for
-    every pass; lost blocks are recomputed from lineage. An input with fewer
-    partitions than task slots (a small file, one row group) is repartitioned
-    first so that every pass uses all slots, unless Catalyst's size estimate
-    says it is too small to be worth a shuffle; a large input already has
-    enough partitions and is not shuffled. The caller unpersists after the fit.
+    every pass; lost blocks are recomputed from lineage. A narrow input (fewer
+    partitions than task slots) is spread first unless it is tiny (see
+    ``spread_if_narrow``); a large input is not shuffled. The caller
+    unpersists after the fit.
     """
-    df = frame.assembled("features")
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < slots and estimated_bytes(df) >= SPREAD_MIN_BYTES:
-        df = df.repartition(slots)
+    df = spread_if_narrow(frame.assembled("features"))
     return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of a plan (no job); huge when unknown."""
-    try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # no JVM plan access (e.g. Spark Connect): assume large
-        return 1 << 62
-
-
 # Defaults of the training command.
 DEFAULT_ITERATIONS = 200
 DEFAULT_REG_PARAM = 1.0

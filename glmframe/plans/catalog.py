@@ -331,7 +331,7 @@ def q_predictions_input_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = table(spark, sf_dir, "events")
     flag = F.when(F.col("event_type") == "purchase", F.lit("true")).otherwise(F.lit("false"))
     src = ev.orderBy("event_id").select("event_id", "user_id", "value", flag.alias("Y"))
-    paths = write_matrix_csv(src, _scratch(spark, "events-csv"))
+    paths = write_matrix_csv(src, _scratch(spark, "events-csv"), keep_order=True)
     model_path = EVENTS_MODEL.save(spark, _scratch(spark, "events-model"))
     indexed = predict(spark, paths, model_path, ignore="event_id")
     return prediction_lines(indexed)

@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from glmframe.frame import LABEL, PACKED, WIDE_CUTOFF, FeatureFrame, build_frame, parse_option_list, split_roles
 from glmframe.functions.listing import truncated_text
 from glmframe.functions.numeric import lenient_number, trim_cell
+from glmframe.operators.spread import spread_if_narrow
 
 log = logging.getLogger(__name__)
 
@@ -320,16 +321,23 @@ def duplicate_columns(spark: SparkSession, path: str | Sequence[str]) -> DataFra
     )
 
 
-def write_matrix_csv(df: DataFrame, path: str, header: Sequence[str] | None = None) -> list[str]:
+def write_matrix_csv(
+    df: DataFrame, path: str, header: Sequence[str] | None = None, keep_order: bool = False
+) -> list[str]:
     """Write a DataFrame as matrix CSV text under ``path``; return the input paths.
 
     The header (default: the column names, repeats allowed) is written once as
     its own first file and the rows as many part files, each cell as text.
+    Unless ``keep_order`` is set (rows must reach the files in the frame's
+    order, e.g. after ``orderBy``), a narrow input is spread over the task
+    slots first (``spread_if_narrow``).
     """
     spark = df.sparkSession
     names = list(header) if header is not None else df.columns
     head_dir, rows_dir = f"{path}/0-header", f"{path}/1-rows"
     spark.createDataFrame([(SEPARATOR.join(names),)], "value STRING").coalesce(1).write.text(head_dir)
+    if not keep_order:
+        df = spread_if_narrow(df)  # before formatting, so the text work is spread too
     cells = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns]
     df.select(F.concat_ws(SEPARATOR, *cells).alias("value")).write.text(rows_dir)
     return [head_dir, rows_dir]
