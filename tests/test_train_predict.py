@@ -87,3 +87,17 @@ def test_streaming_scoring(spark, tmp_path):
     q.awaitTermination()
     got = {r["key"]: r["prediction"] for r in spark.read.parquet(out).collect()}
     assert len(got) == 200 and got["k150"] == 1.0 and got["k100"] == 0.0 and got["k3"] == 0.0
+
+
+def test_command_line(spark, tmp_path, write_lines, capsys):
+    from glmframe.__main__ import main
+
+    rows = ["id,x,Y"] + [f"r{i},{i - 50},{1 if i > 50 else 0}" for i in range(100)]
+    path = write_lines(rows)
+    model = str(tmp_path / "m")
+    assert main(["train-linear", "--input", path, "--out", model, "--reg-param", "0.01", "--ignore", "id"]) == 0
+    out = capsys.readouterr().out
+    assert "Points with label=1: 49 / 100 = 49.000000%" in out
+    assert "MODEL WEIGHTS:" in out and "                    x = " in out
+    assert main(["predict-linear", "--input", path, "--model", model, "--ignore", "id", "--test"]) == 0
+    assert "Accuracy: 100 / 100 = 1.000000" in capsys.readouterr().out
