@@ -9,7 +9,6 @@ rounded on both sides, and ``+ 0.0`` folds a negative zero into zero.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession

@@ -279,6 +279,28 @@ def read_matrix(
     ``packed`` forces a layout (default: packed above ``WIDE_CUTOFF`` features).
     """
     header = read_header(spark, path)
+    lines = spark.read.text(_paths(path))
+    return matrix_from_lines(lines, header, target, ignore, max_features, on_error, carry, keep_order, packed)
+
+
+def matrix_from_lines(
+    lines: DataFrame,
+    header: Sequence[str],
+    target: str | None = "Y",
+    ignore: str | Iterable[str] = (),
+    max_features: int | None = None,
+    on_error: str = "raise",
+    carry: Sequence[str] = (),
+    keep_order: bool = False,
+    packed: bool | None = None,
+) -> FeatureFrame:
+    """Lines (column ``value``, batch or streaming) -> FeatureFrame.
+
+    Picks the layout (packed above ``WIDE_CUTOFF`` features unless forced)
+    and the matching parse: per-cell ``from_csv`` for the wide layout, one
+    array extraction for the packed one.
+    """
+    header = list(header)
     dups = duplicate_names(header)
     if dups:
         log.warning("Duplicate column names: %s", truncated_text(list(dups), 200, ", "))
@@ -286,9 +308,9 @@ def read_matrix(
         _, names, _ = split_roles(header, target or None, parse_option_list(ignore) | set(carry), max_features)
         packed = len(names) > WIDE_CUTOFF
     if packed:
-        cells = parse_lines_packed(spark.read.text(_paths(path)), header, keep_order=keep_order)
+        cells = parse_lines_packed(lines, header, keep_order=keep_order)
         return matrix_from_cell_array(cells, header, target, ignore, max_features, on_error, carry, keep_order)
-    cells = parsed_cells(spark, path, header, keep_order=keep_order)
+    cells = parse_lines(lines, header, keep_order=keep_order)
     return matrix_from_cells(cells, header, target, ignore, max_features, on_error, carry, keep_order, False)
 
 

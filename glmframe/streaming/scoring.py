@@ -20,7 +20,7 @@ from pyspark.sql.streaming import StreamingQuery
 from glmframe.frame import FeatureFrame
 from glmframe.operators.scoring import keyed_predictions, score
 from glmframe.session import scratch_path
-from glmframe.sources.csv_matrix import matrix_from_cells, parse_lines
+from glmframe.sources.csv_matrix import matrix_from_lines
 from glmframe.sources.model_store import LinearModel
 
 
@@ -34,6 +34,7 @@ def read_matrix_stream(
     on_error: str = "raise",
     carry: Sequence[str] = (),
     max_files_per_trigger: int | None = None,
+    packed: bool | None = None,
 ) -> FeatureFrame:
     """A streaming FeatureFrame over the CSV text files arriving in ``folder``.
 
@@ -44,8 +45,7 @@ def read_matrix_stream(
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(int(max_files_per_trigger)))
     lines = reader.load(folder)
-    cells = parse_lines(lines, list(header))
-    return matrix_from_cells(cells, list(header), target, ignore, max_features, on_error, carry)
+    return matrix_from_lines(lines, header, target, ignore, max_features, on_error, carry, packed=packed)
 
 
 def start_keyed_scoring(

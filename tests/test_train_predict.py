@@ -101,3 +101,20 @@ def test_command_line(spark, tmp_path, write_lines, capsys):
     assert "MODEL WEIGHTS:" in out and "                    x = " in out
     assert main(["predict-linear", "--input", path, "--model", model, "--ignore", "id", "--test"]) == 0
     assert "Accuracy: 100 / 100 = 1.000000" in capsys.readouterr().out
+
+
+def test_streaming_packed(spark, tmp_path):
+    df = spark.range(50).select(
+        F.concat(F.lit("k"), F.col("id").cast("string")).alias("key"),
+        (F.col("id") - 25).alias("x"),
+        F.lit(1.0).alias("z"),
+        F.when(F.col("id") > 25, "true").otherwise("false").alias("Y"),
+    )
+    paths = write_matrix_csv(df, str(tmp_path / "in"))
+    fr = read_matrix_stream(spark, paths[1], ["key", "x", "z", "Y"], carry=["key"], packed=True)
+    assert fr.packed and fr.df.isStreaming
+    out = str(tmp_path / "out")
+    q = start_keyed_scoring(fr, LinearModel(("x", "z"), (1.0, 0.0)), ["key"], out, checkpoint=str(tmp_path / "ck"))
+    q.awaitTermination()
+    got = {r["key"]: r["prediction"] for r in spark.read.parquet(out).collect()}
+    assert len(got) == 50 and got["k40"] == 1.0 and got["k25"] == 0.0
