@@ -89,17 +89,31 @@ def input_files(spark: SparkSession, path: str | Sequence[str]) -> list[str]:
     return files
 
 
+def _file_length(spark: SparkSession, file: str) -> int:
+    """Length of a file from the file system's metadata (no data read)."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(file)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return int(fs.getFileStatus(path).getLen())
+
+
 def read_header(spark: SparkSession, path: str | Sequence[str]) -> list[str]:
-    """Trimmed column names from the first line of the first input file.
+    """Trimmed column names from the first line of the first non-empty input
+    file (path order), like the first element of a text scan.
 
-    ``limit(1)`` scans splits one at a time from the start, so only the
-    head of the first file is read.
+    Zero-length files are skipped by their metadata; ``limit(1)`` then scans
+    splits one at a time from the start, so only the head of one file is read.
     """
-    first = input_files(spark, path)[0]
-    rows = spark.read.text(first).limit(1).collect()
-    if not rows:
-        raise ValueError(f"first input file {first!r} is empty: no header")
-    line = rows[0][0]
+    line = None
+    for file in input_files(spark, path):
+        if _file_length(spark, file) == 0:
+            continue
+        rows = spark.read.text(file).limit(1).collect()
+        if rows:
+            line = rows[0][0]
+            break
+    if line is None:
+        raise ValueError(f"no line in any input file under {path!r}: no header")
     probe = spark.range(1).select(
         F.schema_of_csv(F.lit(line.replace('\\"', DOUBLED_QUOTE)), CSV_OPTIONS).alias("s")
     )

@@ -131,3 +131,14 @@ def test_header_and_column_profile(spark, write_lines, rm):
     assert read_header(spark, path) == ["x", "y", "Y"]
     prof = sorted(tuple(r) for r in column_profile(spark, path).collect())
     assert prof == [(0, "x", 2), (1, "y", 1), (2, "Y", 2)]
+
+
+def test_header_from_first_non_empty_file(spark, tmp_path, rm):
+    folder = tmp_path / "withempty"
+    folder.mkdir()
+    (folder / "part-00000.csv").write_text("")
+    (folder / "part-00001.csv").write_text("a,Y\n1,1\n")
+    (folder / "part-00002.csv").write_text("a,Y\n2,0\n")
+    fr = rm(spark, str(folder))
+    assert fr.feature_names == ("a",)
+    assert sorted(r["f_0"] for r in fr.to_wide().df.collect()) == [1.0, 2.0]
