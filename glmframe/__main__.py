@@ -41,10 +41,15 @@ def parser() -> argparse.ArgumentParser:
     pr.add_argument("--row-labels", default="", help="Column name to use for row labels")
     pr.add_argument("--out", default="", help="Write predictions to X")
     pr.add_argument("--test", action="store_true", help="Compute accuracy")
+    pr.add_argument(
+        "--align", default="name", choices=["name", "position"],
+        help="Match data columns to the model by feature name (default) or by position",
+    )
     return top
 
 
 def main(argv: list[str] | None = None) -> int:
+    argv = list(sys.argv[1:] if argv is None else argv)
     args = parser().parse_args(argv)
     logging.basicConfig(level=logging.DEBUG if args.debug else logging.INFO, format="--> %(message)s")
     logging.getLogger("py4j").setLevel(logging.WARNING)
@@ -55,6 +60,7 @@ def main(argv: list[str] | None = None) -> int:
         res = train(
             spark, args.input, out=args.out, kind=args.kind, num_iterations=args.num_iterations,
             reg_param=args.reg_param, target=args.target, ignore=args.ignore, max_features=max_features,
+            arguments=tuple(argv),
         )
         print(f"Points with label=1: {res.positives:,} / {res.rows:,} = {res.positive_percent:f}%")
         ranking, zeros = model_report(spark, res.model)
@@ -68,7 +74,7 @@ def main(argv: list[str] | None = None) -> int:
     else:
         out = predict(
             spark, args.input, args.model, out=args.out, target=args.target, ignore=args.ignore,
-            max_features=max_features, row_labels=args.row_labels, test=args.test,
+            max_features=max_features, row_labels=args.row_labels, test=args.test, align_mode=args.align,
         )
         if args.test:
             acc = out.first()

@@ -57,15 +57,20 @@ def train(
     ignore: str | Iterable[str] = (),
     max_features: int | None = None,
     frame: FeatureFrame | None = None,
+    arguments: tuple[str, ...] | None = None,
 ) -> TrainResult:
-    """Fit a model on a matrix CSV (or a given frame) and optionally save it."""
+    """Fit a model on a matrix CSV (or a given frame) and optionally save it.
+
+    ``arguments`` is recorded in the model's provenance (default: the options
+    used here).
+    """
     if kind not in KINDS:
         raise ValueError(f"kind must be one of {KINDS}, got {kind!r}")
     if frame is None:
         frame = read_matrix(spark, input_path, target=target, ignore=ignore, max_features=max_features)
     rows, positives = profile_once(frame)
     log.info("Loaded %d x %d matrix; label=1 on %d rows", rows, frame.width, positives)
-    args = (
+    args = arguments if arguments is not None else (
         f"--input={input_path}", f"--kind={kind}", f"--num-iterations={num_iterations}", f"--reg-param={reg_param}"
     )
     if kind == "logistic":

@@ -101,6 +101,11 @@ def test_command_line(spark, tmp_path, write_lines, capsys):
     assert "MODEL WEIGHTS:" in out and "                    x = " in out
     assert main(["predict-linear", "--input", path, "--model", model, "--ignore", "id", "--test"]) == 0
     assert "Accuracy: 100 / 100 = 1.000000" in capsys.readouterr().out
+    from glmframe.sources.model_store import read_model_df
+
+    prov = read_model_df(spark, model).first()["provenance"]
+    assert list(prov["arguments"])[:3] == ["train-linear", "--input", path]
+    assert main(["predict-linear", "--input", path, "--model", model, "--ignore", "id", "--test", "--align", "position"]) == 0
 
 
 def test_streaming_packed(spark, tmp_path):
