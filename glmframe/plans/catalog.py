@@ -224,7 +224,7 @@ def q_transform_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         o, ["o_totalprice", "o_custkey"], label=(F.col("o_orderstatus") == "F").cast("double"), carry=["o_orderkey"]
     )
     out = fr.transform(
-        lambda df: df.where(F.col("f_1") % 2 == 0).withColumn("f_0", rounded(F.log1p("f_0"), 6))
+        lambda df: df.withColumn("f_0", rounded(F.log1p("f_0"), 6)).withColumn("f_1", rounded(F.sqrt("f_1"), 6))
     )
     return out.to_df()
 
@@ -604,8 +604,8 @@ ORACLE_SQL: dict[str, str] = {
     "project_by_index": "SELECT l_orderkey, l_linenumber, l_discount AS label, l_tax, l_quantity FROM lineitem",
     "transform_rows": (
         f"SELECT o_orderkey, {_flag("o_orderstatus = 'F'")} AS label, "
-        f"round(ln(1 + o_totalprice), 6) + 0.0 AS o_totalprice, {D('o_custkey')} AS o_custkey "
-        "FROM orders WHERE o_custkey % 2 = 0"
+        "round(ln(1 + o_totalprice), 6) + 0.0 AS o_totalprice, round(sqrt(o_custkey), 6) + 0.0 AS o_custkey "
+        "FROM orders"
     ),
     "matrix_shape": "SELECT count(*) AS rows, 4 AS features FROM lineitem",
     "label_distribution": f"SELECT {D('quality')} AS label, count(*) AS n FROM labels GROUP BY 1",
