@@ -14,8 +14,9 @@ task. Instead:
   of the data at all. Count the rows of every input split (file, split
   start), prefix-sum over the split list and broadcast the offsets; index =
   offset of the split + position inside it. The split list grows with the
-  input (about one row per 128 MB), so its size is checked first; beyond
-  the limit the keyed path above is used with the key (file, split, row).
+  input (about one row per 128 MB, ~100 MB of table for 100 TB), so its
+  size is estimated from the listing first; beyond the limit (1 GiB) the
+  keyed path above is used with the key (file, split, row).
 """
 
 from __future__ import annotations
@@ -29,8 +30,11 @@ from pyspark.sql import functions as F
 
 log = logging.getLogger(__name__)
 
-SPLIT_ROW_BYTES = 256  # generous size of one (path, start, count, first id) row
-DEFAULT_SPLIT_BROADCAST_BYTES = 64 * 1024 * 1024
+SPLIT_ROW_OVERHEAD = 64  # bytes of one split row besides its path (start, count, first id, hashing)
+# A split table of this size is broadcast (built once per executor); beyond it
+# the keyed range path is used. 100 TB in 128 MB splits is about 800k splits,
+# i.e. about 100 MB here, far cheaper than sorting every row with its path.
+DEFAULT_SPLIT_BROADCAST_BYTES = 1024 * 1024 * 1024
 SAMPLE_ROWS_PER_BUCKET = 20
 SAMPLE_SEED = 20240917
 MIN_ROWS_PER_BUCKET = 50_000  # fewer rows than this per bucket is not worth a task
@@ -140,11 +144,13 @@ def with_input_order_index(
     splits = with_id.groupBy(file_col, block_col).agg(
         F.count(F.lit(1)).alias("_n"), F.min("_rid").alias("_first")
     )
-    # upper bound on the split count from the listing alone (no job): every
+    # upper bound on the split table from the listing alone (no job): every
     # file is one split or more, and a split beyond a file's first one fills
     # a whole partition
-    n_splits = len(df.inputFiles()) + df.rdd.getNumPartitions()
-    if n_splits * SPLIT_ROW_BYTES > limit:
+    files = df.inputFiles()
+    n_splits = len(files) + df.rdd.getNumPartitions()
+    avg_path = (sum(len(f) for f in files) / len(files)) if files else 0
+    if n_splits * (avg_path + SPLIT_ROW_OVERHEAD) > limit:
         log.info("%d input splits exceed the broadcast limit; ordering by a range sort", n_splits)
         indexed = with_row_index(with_id, [file_col, block_col, "_rid"], index_col)
         return indexed.drop("_rid")
