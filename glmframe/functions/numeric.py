@@ -58,15 +58,18 @@ def boolean_as_number(c: Column | str) -> Column:
     )
 
 
-def lenient_number(c: Column | str, on_error: str = "raise", what: str = "cell") -> Column:
+def lenient_number(
+    c: Column | str, on_error: str = "raise", what: str = "cell", trimmed: bool = False
+) -> Column:
     """A raw text cell as DOUBLE: trimmed, number first, then true/false.
 
     ``on_error='raise'`` fails the job on anything else (also an empty or
     missing cell), as the ingest rules require; ``'null'`` yields NULL instead.
+    ``trimmed`` skips the trim for cells that are trimmed already.
     """
     if on_error not in ON_ERROR_MODES:
         raise ValueError(f"on_error must be one of {ON_ERROR_MODES}, got {on_error!r}")
-    t = trim_cell(c)
+    t = _col(c) if trimmed else trim_cell(c)
     value = F.coalesce(number_or_null(t), boolean_as_number(t))
     if on_error == "null":
         return value

@@ -229,9 +229,13 @@ def matrix_from_cell_array(
     if label_pos is None:
         label = F.lit(0.0)
     else:
-        label = lenient_number(F.get(arr, label_pos), on_error=on_error, what=f"column {header[label_pos]}")
+        label = lenient_number(
+            F.get(arr, label_pos), on_error=on_error, what=f"column {header[label_pos]}", trimmed=True
+        )
     pos_arr = F.array(*[F.lit(p) for p in positions]) if positions else F.array().cast("array<int>")
-    feats = F.transform(pos_arr, lambda p: lenient_number(F.get(arr, p), on_error=on_error, what="a feature column"))
+    feats = F.transform(
+        pos_arr, lambda p: lenient_number(F.get(arr, p), on_error=on_error, what="a feature column", trimmed=True)
+    )
     cols = [label.alias(LABEL), feats.alias(PACKED)]
     cols += [F.get(arr, carry_pos[c]).alias(c) for c in carry]
     order_cols = list(ORDER_COLS) if keep_order else []
@@ -265,8 +269,12 @@ def matrix_from_cells(
     if label_pos is None:
         label = F.lit(0.0)
     else:
-        label = lenient_number(F.col(f"c{label_pos}"), on_error=on_error, what=f"column {header[label_pos]}")
-    exprs = [lenient_number(F.col(f"c{p}"), on_error=on_error, what=f"column {header[p]}") for p in positions]
+        label = lenient_number(
+            F.col(f"c{label_pos}"), on_error=on_error, what=f"column {header[label_pos]}", trimmed=True
+        )
+    exprs = [
+        lenient_number(F.col(f"c{p}"), on_error=on_error, what=f"column {header[p]}", trimmed=True) for p in positions
+    ]
     carry_cols = [F.col(f"c{carry_pos[c]}").alias(c) for c in carry]
     carry_cols += [F.col(c) for c in (ORDER_COLS if keep_order else ())]
     return build_frame(cells, label, exprs, names, carry_cols, packed)
