@@ -62,6 +62,7 @@ def main(argv: list[str] | None = None) -> int:
             reg_param=args.reg_param, target=args.target, ignore=args.ignore, max_features=max_features,
             arguments=tuple(argv),
         )
+        print(f"Loaded {res.rows:,} x {res.model_width:,} matrix into {res.partitions:,} partitions.")
         print(f"Points with label=1: {res.positives:,} / {res.rows:,} = {res.positive_percent:f}%")
         ranking, zeros = model_report(spark, res.model)
         print("MODEL WEIGHTS:")

@@ -34,6 +34,11 @@ class TrainResult:
     model: LinearModel
     rows: int
     positives: int
+    partitions: int = 0
+
+    @property
+    def model_width(self) -> int:
+        return len(self.model.weights)
 
     @property
     def positive_percent(self) -> float:
@@ -69,7 +74,8 @@ def train(
     if frame is None:
         frame = read_matrix(spark, input_path, target=target, ignore=ignore, max_features=max_features)
     rows, positives = profile_once(frame)
-    log.info("Loaded %d x %d matrix; label=1 on %d rows", rows, frame.width, positives)
+    partitions = frame.df.rdd.getNumPartitions()  # planning only, no job
+    log.info("Loaded %d x %d matrix into %d partitions; label=1 on %d rows", rows, frame.width, partitions, positives)
     args = arguments if arguments is not None else (
         f"--input={input_path}", f"--kind={kind}", f"--num-iterations={num_iterations}", f"--reg-param={reg_param}"
     )
@@ -79,7 +85,7 @@ def train(
         model = fit_linear(frame, reg_param=reg_param, max_iter=num_iterations, arguments=args)
     if out:
         model.save(spark, out)
-    return TrainResult(model, rows, positives)
+    return TrainResult(model, rows, positives, partitions)
 
 
 def model_report(spark: SparkSession, model: LinearModel) -> tuple[DataFrame, DataFrame]:

@@ -98,6 +98,7 @@ def test_command_line(spark, tmp_path, write_lines, capsys):
     assert main(["train-linear", "--input", path, "--out", model, "--reg-param", "0.01", "--ignore", "id"]) == 0
     out = capsys.readouterr().out
     assert "Points with label=1: 49 / 100 = 49.000000%" in out
+    assert "Loaded 100 x 1 matrix into " in out
     assert "MODEL WEIGHTS:" in out and "                    x = " in out
     assert main(["predict-linear", "--input", path, "--model", model, "--ignore", "id", "--test"]) == 0
     assert "Accuracy: 100 / 100 = 1.000000" in capsys.readouterr().out
