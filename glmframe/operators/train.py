@@ -31,6 +31,17 @@ def training_input(frame: FeatureFrame) -> DataFrame:
     return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
+def _fit(estimator, frame: FeatureFrame, data: DataFrame | None):
+    """Fit on the caller's persisted input, or on one built (and released) here."""
+    if data is not None:
+        return estimator.fit(data)
+    own = training_input(frame)
+    try:
+        return estimator.fit(own)
+    finally:
+        own.unpersist()
+
+
 # Defaults of the training command.
 DEFAULT_ITERATIONS = 200
 DEFAULT_REG_PARAM = 1.0
@@ -45,11 +56,13 @@ def fit_logistic_l1(
     tol: float = 1e-6,
     aggregation_depth: int = 2,
     arguments: tuple[str, ...] = (),
+    data: DataFrame | None = None,
 ) -> LinearModel:
     """L1-regularised binary logistic regression; labels must be 0/1.
 
     With the default ``reg_param=1.0`` the all-zero model is common; pass a
-    smaller value for data whose signal is weak.
+    smaller value for data whose signal is weak. ``data`` is a persisted
+    ``training_input(frame)`` that the caller already holds and releases.
     """
     lr = LogisticRegression(
         featuresCol="features",
@@ -63,11 +76,7 @@ def fit_logistic_l1(
         tol=tol,
         aggregationDepth=aggregation_depth,
     )
-    data = training_input(frame)
-    try:
-        fitted = lr.fit(data)
-    finally:
-        data.unpersist()
+    fitted = _fit(lr, frame, data)
     return LinearModel(
         names=frame.feature_names,
         weights=tuple(float(w) for w in fitted.coefficients.toArray()),
@@ -86,8 +95,12 @@ def fit_linear(
     standardization: bool = True,
     solver: str = "auto",
     arguments: tuple[str, ...] = (),
+    data: DataFrame | None = None,
 ) -> LinearModel:
-    """Least-squares linear model (L1 by default, i.e. the lasso)."""
+    """Least-squares linear model (L1 by default, i.e. the lasso).
+
+    ``data`` as in :func:`fit_logistic_l1`.
+    """
     lin = LinearRegression(
         featuresCol="features",
         labelCol=LABEL,
@@ -98,11 +111,7 @@ def fit_linear(
         standardization=standardization,
         solver=solver,
     )
-    data = training_input(frame)
-    try:
-        fitted = lin.fit(data)
-    finally:
-        data.unpersist()
+    fitted = _fit(lin, frame, data)
     return LinearModel(
         names=frame.feature_names,
         weights=tuple(float(w) for w in fitted.coefficients.toArray()),

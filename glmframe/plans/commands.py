@@ -1,7 +1,8 @@
 """The two end-to-end jobs: train a model from a matrix, score a matrix.
 
-``train`` = scan -> one combined profile pass (shape + label counts) ->
-fit -> model file. ``predict`` = model file -> scan -> scoring projection ->
+``train`` = scan -> persisted training input -> one combined profile pass
+(shape + label counts) and the fit, both over the persisted copy -> model
+file. ``predict`` = model file -> scan -> scoring projection ->
 distributed row index -> prediction files. Both are compositions of the
 operators; neither collects data rows to the driver.
 """
@@ -19,7 +20,13 @@ from glmframe.frame import LABEL, FeatureFrame
 from glmframe.operators.model_report import weight_ranking, zero_weight_summary
 from glmframe.operators.row_index import with_input_order_index, with_row_index
 from glmframe.operators.scoring import accuracy, score
-from glmframe.operators.train import DEFAULT_ITERATIONS, DEFAULT_REG_PARAM, fit_linear, fit_logistic_l1
+from glmframe.operators.train import (
+    DEFAULT_ITERATIONS,
+    DEFAULT_REG_PARAM,
+    fit_linear,
+    fit_logistic_l1,
+    training_input,
+)
 from glmframe.sources.csv_matrix import ORDER_COLS, read_matrix
 from glmframe.sources.model_store import LinearModel, load_model
 from glmframe.sources.predictions import write_predictions
@@ -73,16 +80,22 @@ def train(
         raise ValueError(f"kind must be one of {KINDS}, got {kind!r}")
     if frame is None:
         frame = read_matrix(spark, input_path, target=target, ignore=ignore, max_features=max_features)
-    rows, positives = profile_once(frame)
-    partitions = frame.df.rdd.getNumPartitions()  # planning only, no job
-    log.info("Loaded %d x %d matrix into %d partitions; label=1 on %d rows", rows, frame.width, partitions, positives)
     args = arguments if arguments is not None else (
         f"--input={input_path}", f"--kind={kind}", f"--num-iterations={num_iterations}", f"--reg-param={reg_param}"
     )
-    if kind == "logistic":
-        model = fit_logistic_l1(frame, reg_param=reg_param, max_iter=num_iterations, arguments=args)
-    else:
-        model = fit_linear(frame, reg_param=reg_param, max_iter=num_iterations, arguments=args)
+    partitions = frame.df.rdd.getNumPartitions()  # planning only, no job
+    # one persisted copy serves the profile pass and every solver pass, so the
+    # input is scanned and parsed once
+    data = training_input(frame)
+    try:
+        rows, positives = profile_once(frame.with_df(data))
+        log.info("Loaded %d x %d matrix into %d partitions; label=1 on %d rows", rows, frame.width, partitions, positives)
+        if kind == "logistic":
+            model = fit_logistic_l1(frame, reg_param=reg_param, max_iter=num_iterations, arguments=args, data=data)
+        else:
+            model = fit_linear(frame, reg_param=reg_param, max_iter=num_iterations, arguments=args, data=data)
+    finally:
+        data.unpersist()
     if out:
         model.save(spark, out)
     return TrainResult(model, rows, positives, partitions)
