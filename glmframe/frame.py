@@ -239,6 +239,15 @@ class FeatureFrame:
         cols += [F.col(c) for c in self.carry]
         return self.df.select(*cols)
 
+    def checkpoint(self, eager: bool = True) -> "FeatureFrame":
+        """Cut the lineage: write the frame to the shared checkpoint folder
+        (``spark.checkpoint.dir``) and continue from the written copy, which
+        survives executor loss (unlike a local checkpoint)."""
+        from glmframe.session import ensure_checkpoint_dir
+
+        ensure_checkpoint_dir(self.df.sparkSession)
+        return self.with_df(self.df.checkpoint(eager=eager))
+
     # ---------------------------------------------------------- projections
     def project_by_index(self, indices: Sequence[int]) -> "FeatureFrame":
         """Keep (reorder, repeat) features by position.

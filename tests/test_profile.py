@@ -101,3 +101,10 @@ def test_projections(spark):
         fr.transform(lambda df: df.drop("f_0"))
     doubled = fr.transform(lambda df: df.withColumn("f_0", F.col("f_0") * 2))
     assert doubled.df.first()["f_0"] == 2.0
+
+
+def test_checkpoint_keeps_rows_and_cuts_lineage(spark):
+    fr = frame_of(spark, {"a": [1.0, 2.0, 3.0]}, [1.0, 0.0, 1.0])
+    cp = fr.checkpoint()
+    assert sorted(tuple(r) for r in cp.df.collect()) == sorted(tuple(r) for r in fr.df.collect())
+    assert "LogicalRDD" in cp.df._jdf.queryExecution().logical().toString()
