@@ -1,13 +1,17 @@
 """Sources and sinks: matrix CSV text, model files, prediction files."""
 
 from glmframe.sources.csv_matrix import (
+    cell_array,
     column_names,
+    column_profile,
     duplicate_columns,
     input_files,
+    matrix_from_lines,
     read_header,
     read_matrix,
     write_matrix_csv,
 )
+from glmframe.sources.predictions import prediction_lines, write_predictions
 from glmframe.sources.model_store import (
     MODEL_SCHEMA,
     LinearModel,
@@ -20,14 +24,19 @@ from glmframe.sources.model_store import (
 __all__ = [
     "MODEL_SCHEMA",
     "LinearModel",
+    "cell_array",
     "column_names",
+    "column_profile",
     "duplicate_columns",
     "input_files",
     "load_model",
+    "matrix_from_lines",
     "model_from_weights",
+    "prediction_lines",
     "read_header",
     "read_matrix",
     "read_model_df",
     "weights_long",
     "write_matrix_csv",
+    "write_predictions",
 ]
