@@ -107,12 +107,18 @@ class LinearModel:
         return weights_long(self.to_df(spark, with_provenance=False))
 
     # ---------------------------------------------------------------- files
-    def save(self, spark: SparkSession, path: str, fmt: str = "parquet") -> str:
-        """Write (overwrite) one model file set; ``fmt`` is parquet or json."""
-        self.to_df(spark).coalesce(1).write.mode("overwrite").format(fmt).save(path)
+    def save(self, spark: SparkSession, path: str, fmt: str | None = None) -> str:
+        """Write (overwrite) one model file set; ``fmt`` is parquet or json
+        (default: json for a path ending in ``.json``, else parquet)."""
+        self.to_df(spark).coalesce(1).write.mode("overwrite").format(fmt or model_format(path)).save(path)
         return path
 
 
+def model_format(path: str) -> str:
+    """Storage format implied by a model path: ``.json`` -> json, else parquet."""
+    return "json" if path.rstrip("/").lower().endswith(".json") else "parquet"
+
+
 def weights_long(model_df: DataFrame) -> DataFrame:
     """``(idx, name, value)`` from a stored-model row, without collecting it."""
     return model_df.select(F.posexplode("weights").alias("idx", "w")).select(
@@ -120,15 +126,16 @@ def weights_long(model_df: DataFrame) -> DataFrame:
     )
 
 
-def read_model_df(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
+def read_model_df(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
     """The stored model row(s) as a DataFrame (schema enforced for json)."""
+    fmt = fmt or model_format(path)
     reader = spark.read.format(fmt)
     if fmt == "json":
         reader = reader.schema(MODEL_SCHEMA)
     return reader.load(path).select(*[f.name for f in MODEL_SCHEMA.fields])
 
 
-def load_model(spark: SparkSession, path: str, fmt: str = "parquet") -> LinearModel:
+def load_model(spark: SparkSession, path: str, fmt: str | None = None) -> LinearModel:
     """First stored model; kind from provenance (logistic when absent)."""
     rows = read_model_df(spark, path, fmt).limit(1).collect()
     if not rows:

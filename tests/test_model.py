@@ -77,3 +77,10 @@ def test_nan_feature_propagates_even_with_zero_weight(spark):
     fr = FeatureFrame.from_columns(df, ["x", "y"], label="label")
     r = score(fr, LinearModel(("x", "y"), (0.0, 5.0))).first()
     assert r["margin"] != r["margin"] and r["prediction"] == 0.0
+
+
+def test_format_from_extension(spark, tmp_path):
+    path = str(tmp_path / "model.json")
+    MODEL.save(spark, path)
+    assert spark.read.json(path).count() == 1  # really JSON
+    assert load_model(spark, path).weights == MODEL.weights
