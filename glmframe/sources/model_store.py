@@ -43,7 +43,6 @@ MODEL_SCHEMA = T.StructType(
         T.StructField("weights", T.ArrayType(WEIGHT_TYPE, False), False),
     ]
 )
-WEIGHTS_LONG_SCHEMA = "idx INT, name STRING, value DOUBLE"
 
 # Model kinds; a stored model without a kind scores as logistic.
 KINDS = ("logistic", "linear")
