@@ -49,6 +49,17 @@ def partition_count(frame: FeatureFrame) -> int:
 
 
 # -------------------------------------------------------- constant features
+# Above this many features the per-column aggregates (three or two buffers
+# per feature in one HashAggregate) lose to one vector aggregate over the
+# feature array, whatever the layout (measured: 150 features, 600k rows,
+# flags 11.7 s per column vs 5.5 s as a vector).
+VECTOR_PROFILE_MIN = 32
+
+
+def _vector_profile(frame: FeatureFrame) -> bool:
+    return frame.packed or frame.width > VECTOR_PROFILE_MIN
+
+
 def _constant_stats(frame: FeatureFrame) -> list[Column]:
     stats = [F.count(F.lit(1)).alias("_rows")]
     for c in frame.feature_cols:
@@ -83,8 +94,9 @@ def _packed_stats(frame: FeatureFrame) -> DataFrame:
     from pyspark.ml.functions import array_to_vector, vector_to_array
     from pyspark.ml.stat import Summarizer
 
-    vec = array_to_vector(F.col(PACKED))
-    nan_ind = array_to_vector(F.transform(F.col(PACKED), lambda x: F.when(F.isnan(x), 1.0).otherwise(0.0)))
+    arr = frame.feature_array()
+    vec = array_to_vector(arr)
+    nan_ind = array_to_vector(F.transform(arr, lambda x: F.when(F.isnan(x), 1.0).otherwise(0.0)))
     return frame.df.agg(
         F.count(F.lit(1)).alias("_rows"),
         Summarizer.metrics("min", "max").summary(vec).alias("s"),
@@ -116,7 +128,7 @@ def _packed_flags(stats: DataFrame, names: tuple[str, ...]) -> DataFrame:
 
 def constant_feature_flags(frame: FeatureFrame) -> DataFrame:
     """``(position, name, is_constant)`` per feature, from one aggregate row."""
-    if frame.packed:
+    if _vector_profile(frame):
         return _packed_flags(_packed_stats(frame), frame.feature_names)
     stats = frame.df.agg(*_constant_stats(frame))
     entries = [
@@ -135,7 +147,7 @@ def drop_constant_features(frame: FeatureFrame) -> FeatureFrame:
     """
     if frame.width == 0:
         return frame
-    if frame.packed:
+    if _vector_profile(frame):
         stats = _packed_stats(frame).first()  # one value per feature (model-sized)
         if stats["_rows"] == 0:
             log.warning("drop_constant_features on an empty frame: nothing dropped")
@@ -158,7 +170,7 @@ def _packed_moments(frame: FeatureFrame) -> list[tuple[float | None, float | Non
     from pyspark.ml.functions import array_to_vector, vector_to_array
     from pyspark.ml.stat import Summarizer
 
-    vec = array_to_vector(F.col(PACKED))
+    vec = array_to_vector(frame.feature_array())
     row = frame.df.agg(Summarizer.metrics("mean", "std").summary(vec).alias("s")).select(
         vector_to_array(F.col("s.mean")).alias("mean"), vector_to_array(F.col("s.std")).alias("std")
     ).first()
@@ -169,6 +181,8 @@ def _packed_moments(frame: FeatureFrame) -> list[tuple[float | None, float | Non
 
 def column_moments(frame: FeatureFrame) -> dict[str, tuple[float | None, float | None]]:
     """Per feature column: (mean, sample standard deviation), one pass."""
+    if _vector_profile(frame):
+        return dict(zip(frame.feature_cols, _packed_moments(frame)))
     aggs = []
     for c in frame.feature_cols:
         aggs += [F.avg(c).alias(f"{c}__mean"), F.stddev_samp(c).alias(f"{c}__std")]

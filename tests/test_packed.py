@@ -94,3 +94,27 @@ def test_from_array(spark):
     assert sorted(r["margin"] for r in score(fr, m).collect()) == [12.0, 34.0]
     assert sorted(F_ for F_ in fr.to_df().columns) == ["label", "p", "q"]
     assert fr.df.select(F.size(PACKED)).first()[0] == 2
+
+
+def test_vector_profiles_match_column_profiles(spark, monkeypatch):
+    from glmframe.operators import profile as P
+
+    rows = []
+    for r in range(30):
+        vals = [float((r * (i + 3)) % 7) if i % 5 else 1.0 for i in range(40)]
+        vals[7] = NAN if r % 4 == 0 else 2.0
+        vals[9] = -0.0 if r % 2 else 0.0
+        rows.append(tuple([float(r % 2)] + vals))
+    schema = "label DOUBLE, " + ", ".join(f"c{i} DOUBLE" for i in range(40))
+    fr = FeatureFrame.from_columns(spark.createDataFrame(rows, schema), [f"c{i}" for i in range(40)], label="label")
+    assert not fr.packed and P._vector_profile(fr)
+    vec_flags = sorted(tuple(r) for r in constant_feature_flags(fr).collect())
+    vec_keep = drop_constant_features(fr).feature_names
+    vec_std = standardize(fr).df.collect()
+    monkeypatch.setattr(P, "VECTOR_PROFILE_MIN", 10_000)
+    assert not P._vector_profile(fr)
+    assert sorted(tuple(r) for r in constant_feature_flags(fr).collect()) == vec_flags
+    assert drop_constant_features(fr).feature_names == vec_keep
+    col_std = standardize(fr).df.collect()
+    norm = lambda rows: canon([tuple(round(v, 9) if isinstance(v, float) and not math.isnan(v) else v for v in r) for r in rows])
+    assert norm(vec_std) == norm(col_std)
