@@ -29,16 +29,12 @@ def test_truncated_text_cases(spark, pieces, budget, expected):
 
 def test_grouped_listing_matches_loop_on_random_groups(spark):
     rnd = random.Random(7)
-    rows, expected = [], {}
-    for g in range(60):
-        pieces = ["x" * rnd.randint(0, 9) for _ in range(rnd.randint(1, 15))]
-        budget = rnd.randint(0, 40)
-        rows += [(g, i, p, budget) for i, p in enumerate(pieces)]
-        expected[(g, budget)] = truncated_text(pieces, budget)
-    df = spark.createDataFrame(rows, "g INT, k INT, p STRING, budget INT")
-    for (g, budget), text in expected.items():
-        sub = df.where(F.col("g") == g)
-        assert truncated_listing(sub, ["g"], "k", "p", budget).first()["listing"] == text
+    groups = {g: ["x" * rnd.randint(0, 9) for _ in range(rnd.randint(1, 15))] for g in range(60)}
+    rows = [(g, i, p) for g, pieces in groups.items() for i, p in enumerate(pieces)]
+    df = spark.createDataFrame(rows, "g INT, k INT, p STRING")
+    for budget in (0, 5, 6, 7, 12, 40):
+        got = {r["g"]: r["listing"] for r in truncated_listing(df, ["g"], "k", "p", budget).collect()}
+        assert got == {g: truncated_text(pieces, budget) for g, pieces in groups.items()}
 
 
 def test_row_index_dense_ordered_with_hot_key(spark):
