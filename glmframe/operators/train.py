@@ -31,15 +31,42 @@ def training_input(frame: FeatureFrame) -> DataFrame:
     return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
-def _fit(estimator, frame: FeatureFrame, data: DataFrame | None):
-    """Fit on the caller's persisted input, or on one built (and released) here."""
-    if data is not None:
-        return estimator.fit(data)
-    own = training_input(frame)
+# the partial gradients that reach the driver in one iteration stay below this
+DRIVER_MERGE_BYTES = 128 * 1024 * 1024
+
+
+def tree_depth(partitions: int, width: int, budget: int = DRIVER_MERGE_BYTES) -> int:
+    """Smallest ``treeAggregate`` depth (at least 2) whose last level sends
+    at most ``budget`` bytes of partial gradients to the driver.
+
+    With depth d about ``partitions ** (1/d)`` partials of ``8 * width``
+    bytes arrive per iteration: 100k partitions and a million features need
+    depth 5; a few thousand partitions or narrow models keep the default 2.
+    """
+    per_partial = 8 * max(1, width) + 64
+    depth = 2
+    while depth < 10 and (max(1, partitions) ** (1.0 / depth)) * per_partial > budget:
+        depth += 1
+    return depth
+
+
+def _fit(estimator, frame: FeatureFrame, data: DataFrame | None, depth: int | None):
+    """Fit on the caller's persisted input, or on one built (and released) here.
+
+    The tree-aggregation depth is set from the input's partition count and the
+    model width unless given.
+    """
+    own = None
+    if data is None:
+        data = own = training_input(frame)
     try:
-        return estimator.fit(own)
+        if estimator.hasParam("aggregationDepth"):
+            chosen = depth or tree_depth(data.rdd.getNumPartitions(), frame.width)
+            estimator = estimator.copy({estimator.getParam("aggregationDepth"): chosen})
+        return estimator.fit(data)
     finally:
-        own.unpersist()
+        if own is not None:
+            own.unpersist()
 
 
 # Defaults of the training command.
@@ -54,7 +81,7 @@ def fit_logistic_l1(
     fit_intercept: bool = False,
     standardization: bool = True,
     tol: float = 1e-6,
-    aggregation_depth: int = 2,
+    aggregation_depth: int | None = None,
     arguments: tuple[str, ...] = (),
     data: DataFrame | None = None,
 ) -> LinearModel:
@@ -63,6 +90,7 @@ def fit_logistic_l1(
     With the default ``reg_param=1.0`` the all-zero model is common; pass a
     smaller value for data whose signal is weak. ``data`` is a persisted
     ``training_input(frame)`` that the caller already holds and releases.
+    ``aggregation_depth`` defaults to :func:`tree_depth` of the input.
     """
     lr = LogisticRegression(
         featuresCol="features",
@@ -74,9 +102,8 @@ def fit_logistic_l1(
         standardization=standardization,
         family="binomial",
         tol=tol,
-        aggregationDepth=aggregation_depth,
     )
-    fitted = _fit(lr, frame, data)
+    fitted = _fit(lr, frame, data, aggregation_depth)
     return LinearModel(
         names=frame.feature_names,
         weights=tuple(float(w) for w in fitted.coefficients.toArray()),
@@ -111,7 +138,7 @@ def fit_linear(
         standardization=standardization,
         solver=solver,
     )
-    fitted = _fit(lin, frame, data)
+    fitted = _fit(lin, frame, data, None)
     return LinearModel(
         names=frame.feature_names,
         weights=tuple(float(w) for w in fitted.coefficients.toArray()),
