@@ -124,3 +124,14 @@ def test_streaming_packed(spark, tmp_path):
     q.awaitTermination()
     got = {r["key"]: r["prediction"] for r in spark.read.parquet(out).collect()}
     assert len(got) == 50 and got["k40"] == 1.0 and got["k25"] == 0.0
+
+
+def test_tree_depth_keeps_driver_merge_bounded():
+    from glmframe.operators.train import DRIVER_MERGE_BYTES, tree_depth
+
+    assert tree_depth(8, 4) == 2
+    assert tree_depth(5000, 100) == 2
+    for partitions, width in [(100_000, 1_000_000), (1_000_000, 100_000), (10_000, 10_000_000)]:
+        d = tree_depth(partitions, width)
+        assert d > 2
+        assert partitions ** (1.0 / d) * (8 * width + 64) <= DRIVER_MERGE_BYTES
