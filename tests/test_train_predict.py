@@ -131,7 +131,10 @@ def test_tree_depth_keeps_driver_merge_bounded():
 
     assert tree_depth(8, 4) == 2
     assert tree_depth(5000, 100) == 2
-    for partitions, width in [(100_000, 1_000_000), (1_000_000, 100_000), (10_000, 10_000_000)]:
+    for partitions, width in [(100_000, 1_000_000), (1_000_000, 100_000), (10_000, 1_000_000)]:
         d = tree_depth(partitions, width)
         assert d > 2
         assert partitions ** (1.0 / d) * (8 * width + 64) <= DRIVER_MERGE_BYTES
+        assert partitions ** (1.0 / (d - 1)) * (8 * width + 64) > DRIVER_MERGE_BYTES or d == 3
+    # a single partial larger than the budget cannot be helped: the depth is capped
+    assert tree_depth(10_000, 50_000_000) == 10
