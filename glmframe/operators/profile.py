@@ -60,6 +60,12 @@ def _vector_profile(frame: FeatureFrame) -> bool:
     return frame.packed or frame.width > VECTOR_PROFILE_MIN
 
 
+def _has_rows(frame: FeatureFrame) -> bool:
+    """One row probe: the scan stops at the first row (the vector aggregate
+    cannot summarise an empty input)."""
+    return bool(frame.df.select(F.lit(1)).take(1))
+
+
 def _constant_stats(frame: FeatureFrame) -> list[Column]:
     stats = [F.count(F.lit(1)).alias("_rows")]
     for c in frame.feature_cols:
@@ -129,6 +135,10 @@ def _packed_flags(stats: DataFrame, names: tuple[str, ...]) -> DataFrame:
 def constant_feature_flags(frame: FeatureFrame) -> DataFrame:
     """``(position, name, is_constant)`` per feature, from one aggregate row."""
     if _vector_profile(frame):
+        if not _has_rows(frame):
+            # no rows: every feature counts as constant (as the per-column form says)
+            flags = [(i, n, True) for i, n in enumerate(frame.feature_names)]
+            return frame.df.sparkSession.createDataFrame(flags, "position INT, name STRING, is_constant BOOLEAN")
         return _packed_flags(_packed_stats(frame), frame.feature_names)
     stats = frame.df.agg(*_constant_stats(frame))
     entries = [
@@ -148,6 +158,9 @@ def drop_constant_features(frame: FeatureFrame) -> FeatureFrame:
     if frame.width == 0:
         return frame
     if _vector_profile(frame):
+        if not _has_rows(frame):
+            log.warning("drop_constant_features on an empty frame: nothing dropped")
+            return frame
         stats = _packed_stats(frame).first()  # one value per feature (model-sized)
         if stats["_rows"] == 0:
             log.warning("drop_constant_features on an empty frame: nothing dropped")
@@ -170,6 +183,8 @@ def _packed_moments(frame: FeatureFrame) -> list[tuple[float | None, float | Non
     from pyspark.ml.functions import array_to_vector, vector_to_array
     from pyspark.ml.stat import Summarizer
 
+    if not _has_rows(frame):
+        return [(None, None)] * frame.width
     vec = array_to_vector(frame.feature_array())
     row = frame.df.agg(Summarizer.metrics("mean", "std").summary(vec).alias("s")).select(
         vector_to_array(F.col("s.mean")).alias("mean"), vector_to_array(F.col("s.std")).alias("std")

@@ -118,3 +118,12 @@ def test_vector_profiles_match_column_profiles(spark, monkeypatch):
     col_std = standardize(fr).df.collect()
     norm = lambda rows: canon([tuple(round(v, 9) if isinstance(v, float) and not math.isnan(v) else v for v in r) for r in rows])
     assert norm(vec_std) == norm(col_std)
+
+
+def test_empty_input_in_both_layouts(spark):
+    df = spark.createDataFrame([(1.0, 2.0, 0.0)], "a DOUBLE, b DOUBLE, y DOUBLE").where(F.lit(False))
+    for packed in (False, True):
+        fr = FeatureFrame.from_columns(df, ["a", "b"], label="y", packed=packed)
+        assert drop_constant_features(fr).feature_names == ("a", "b")
+        assert sorted(tuple(r) for r in constant_feature_flags(fr).collect()) == [(0, "a", True), (1, "b", True)]
+        assert standardize(fr).df.collect() == []
