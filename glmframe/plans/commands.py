@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from glmframe.frame import LABEL, FeatureFrame
 from glmframe.operators.model_report import weight_ranking, zero_weight_summary
+from glmframe.operators.profile import observe_counters
 from glmframe.operators.row_index import with_input_order_index, with_row_index
 from glmframe.operators.scoring import accuracy, score
 from glmframe.operators.train import (
@@ -139,7 +140,7 @@ def predict(
 
     ``row_labels`` names a column to carry as the row key instead of the
     input-order index; ``test`` returns the accuracy row instead of the
-    predictions.
+    predictions (counted during the write when ``out`` is given).
     """
     model = load_model(spark, model_path)
     carry = (row_labels,) if row_labels else ()
@@ -154,6 +155,18 @@ def predict(
     else:
         out_df = indexed_predictions(frame, model, align_mode=align_mode)
         id_col = "index"
+    if out and test:
+        # count inside the write job (Observation) instead of a second pass
+        observed, obs = observe_counters(
+            out_df, "prediction accuracy",
+            rows=F.count(F.lit(1)), correct=F.count_if(F.col(LABEL) == F.col("prediction")),
+        )
+        write_predictions(observed, out, index_col=id_col)
+        m = obs.get
+        acc = m["correct"] / m["rows"] if m["rows"] else None
+        return spark.createDataFrame(
+            [(m["rows"], m["correct"], acc)], "rows BIGINT, correct BIGINT, accuracy DOUBLE"
+        )
     if out:
         write_predictions(out_df, out, index_col=id_col)
     if test:

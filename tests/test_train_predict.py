@@ -138,3 +138,13 @@ def test_tree_depth_keeps_driver_merge_bounded():
         assert partitions ** (1.0 / (d - 1)) * (8 * width + 64) > DRIVER_MERGE_BYTES or d == 3
     # a single partial larger than the budget cannot be helped: the depth is capped
     assert tree_depth(10_000, 50_000_000) == 10
+
+
+def test_predict_write_and_test_in_one_pass(spark, tmp_path, write_lines):
+    rows = ["x,Y"] + [f"{i - 20},{1 if i > 25 else 0}" for i in range(40)]
+    path = write_lines(rows)
+    model_path = LinearModel(("x",), (1.0,)).save(spark, str(tmp_path / "m"))
+    acc = predict(spark, path, model_path, out=str(tmp_path / "p"), test=True).first()
+    # rows 21..25 have x > 0 (predicted 1) but label 0: 5 wrong of 40
+    assert (acc["rows"], acc["correct"]) == (40, 35) and acc["accuracy"] == 35 / 40
+    assert spark.read.text(str(tmp_path / "p")).count() >= 41
