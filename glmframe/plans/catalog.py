@@ -47,6 +47,7 @@ LINEITEM_MODEL = LinearModel(("q", "l_discount", "l_tax"), (0.08, -3.0, 5.0), -0
 EVENTS_MODEL = LinearModel(("value", "user_id"), (0.01, -0.02), 0.5)
 LEARN_REG_PARAM = 0.1
 LISTING_BUDGET = 60
+STREAM_TIMEOUT_SECONDS = 1800
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -442,7 +443,9 @@ def q_stream_keyed_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     frame = read_matrix_stream(spark, paths[1], header, target="Y", carry=["row_key"], max_files_per_trigger=4)
     out = _scratch(spark, "stream-out")
     query = start_keyed_scoring(frame, LINEITEM_MODEL, ["row_key"], out)
-    query.awaitTermination()
+    if not query.awaitTermination(STREAM_TIMEOUT_SECONDS):
+        query.stop()
+        raise TimeoutError(f"streaming scoring did not finish within {STREAM_TIMEOUT_SECONDS} s")
     if query.exception() is not None:
         raise RuntimeError(f"streaming scoring failed: {query.exception()}")
     return spark.read.schema("row_key STRING, prediction DOUBLE").parquet(out)
