@@ -172,9 +172,11 @@ def parse_lines(lines: DataFrame, header: Sequence[str], keep_order: bool = Fals
     return cells.where(~(candidate & exact)).drop("_surplus", "line")
 
 
-# One field of a line: optional blanks, then a quoted text (quotes doubled
-# inside) with optional trailing blanks, or any run without a separator.
-FIELD_PATTERN = r'(?:^|,)(\s*"(?:[^"]|"")*"\s*|[^,]*)'
+# One field of a line and the separator that ends it: optional blanks, then a
+# quoted text (quotes doubled inside) with optional trailing blanks, or any run
+# without a separator. The line gets one separator appended, so every field
+# (also an empty one) is a non-empty match and none is skipped.
+FIELD_PATTERN = r'(\s*"(?:[^"]|"")*"\s*|[^,]*),'
 QUOTED_PATTERN = r'^"(.*)"$'
 
 
@@ -184,7 +186,7 @@ def cell_array(line: Column) -> Column:
     The plan is the same size for any number of cells (one regex extraction
     and one lambda), which keeps very wide matrices cheap to plan and compile.
     """
-    raw = F.regexp_extract_all(_normalised_line(line), F.lit(FIELD_PATTERN), 1)
+    raw = F.regexp_extract_all(F.concat(_normalised_line(line), F.lit(SEPARATOR)), F.lit(FIELD_PATTERN), 1)
 
     def clean(c: Column) -> Column:
         t = trim_cell(c)
