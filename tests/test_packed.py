@@ -127,3 +127,22 @@ def test_empty_input_in_both_layouts(spark):
         assert drop_constant_features(fr).feature_names == ("a", "b")
         assert sorted(tuple(r) for r in constant_feature_flags(fr).collect()) == [(0, "a", True), (1, "b", True)]
         assert standardize(fr).df.collect() == []
+
+
+def test_predict_wide_csv_in_input_order(spark, tmp_path, write_lines):
+    from glmframe.plans.commands import predict
+
+    width = WIDE_CUTOFF + 10
+    header = ",".join(f"x{i}" for i in range(width)) + ",Y"
+    files = []
+    for part in range(3):
+        rows = [",".join(str(r if i == 0 else 0) for i in range(width)) + ",0" for r in range(part * 20 - 30, part * 20 - 10)]
+        files.append([header] + rows)
+    path = write_lines(*files)
+    model_path = LinearModel(tuple(f"x{i}" for i in range(width)), tuple(1.0 if i == 0 else 0.0 for i in range(width))).save(
+        spark, str(tmp_path / "m")
+    )
+    got = sorted((r["index"], r["margin"], r["prediction"]) for r in predict(spark, path, model_path).collect())
+    assert [g[0] for g in got] == list(range(60))
+    assert [g[1] for g in got] == [float(x) for x in range(-30, 30)]
+    assert [g[2] for g in got] == [1.0 if x > 0 else 0.0 for x in range(-30, 30)]
