@@ -33,6 +33,11 @@ PACKED = "features"
 WIDE_CUTOFF = 200
 
 
+def qcol(name: str) -> Column:
+    """A column by its exact name (dots and spaces are part of the name)."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def fcol(i: int) -> str:
     """Physical column name of the i-th feature."""
     return f"{FEATURE_PREFIX}{i}"
@@ -76,7 +81,7 @@ def parse_option_list(text: str | Iterable[str] | None) -> set[str]:
 
 def _as_double(df: DataFrame, name: str, on_error: str) -> Column:
     dtype = df.schema[name].dataType
-    c = F.col(name)
+    c = qcol(name)
     if isinstance(dtype, T.NumericType):
         return c.cast("double")
     if isinstance(dtype, T.BooleanType):
@@ -100,7 +105,7 @@ def build_frame(
     """
     names = tuple(names)
     use_packed = len(names) > WIDE_CUTOFF if packed is None else packed
-    carry_cols = [F.col(c) if isinstance(c, str) else c for c in carry]
+    carry_cols = [qcol(c) if isinstance(c, str) else c for c in carry]
     if use_packed:
         arr = F.array(*[e.cast("double") for e in features]) if features else F.array().cast("array<double>")
         out = df.select(label.cast("double").alias(LABEL), arr.alias(PACKED), *carry_cols)
@@ -136,8 +141,8 @@ class FeatureFrame:
             items = list(features.items())
         else:
             items = [(n, n) for n in features]
-        label_expr = F.lit(0.0) if label is None else (F.col(label) if isinstance(label, str) else label)
-        exprs = [F.col(e) if isinstance(e, str) else e for _, e in items]
+        label_expr = F.lit(0.0) if label is None else (qcol(label) if isinstance(label, str) else label)
+        exprs = [qcol(e) if isinstance(e, str) else e for _, e in items]
         return build_frame(df, label_expr, exprs, [n for n, _ in items], list(carry), packed)
 
     @classmethod
@@ -150,11 +155,11 @@ class FeatureFrame:
         carry: Sequence[str] = (),
     ) -> "FeatureFrame":
         """Packed frame straight from a numeric array column (no unpacking)."""
-        label_expr = F.lit(0.0) if label is None else (F.col(label) if isinstance(label, str) else label)
+        label_expr = F.lit(0.0) if label is None else (qcol(label) if isinstance(label, str) else label)
         out = df.select(
             label_expr.cast("double").alias(LABEL),
-            F.col(array_col).cast("array<double>").alias(PACKED),
-            *[F.col(c) for c in carry],
+            qcol(array_col).cast("array<double>").alias(PACKED),
+            *[qcol(c) for c in carry],
         )
         return cls(out, tuple(names), tuple(carry), True)
 
@@ -209,14 +214,14 @@ class FeatureFrame:
     def to_packed(self) -> "FeatureFrame":
         if self.packed:
             return self
-        out = self.df.select(F.col(LABEL), self.feature_array().alias(PACKED), *[F.col(c) for c in self.carry])
+        out = self.df.select(F.col(LABEL), self.feature_array().alias(PACKED), *[qcol(c) for c in self.carry])
         return FeatureFrame(out, self.feature_names, self.carry, True)
 
     def to_wide(self) -> "FeatureFrame":
         if not self.packed:
             return self
         cols = [F.col(LABEL)] + [F.col(PACKED)[i].alias(fcol(i)) for i in range(self.width)]
-        out = self.df.select(*cols, *[F.col(c) for c in self.carry])
+        out = self.df.select(*cols, *[qcol(c) for c in self.carry])
         return FeatureFrame(out, self.feature_names, self.carry, False)
 
     def name_positions(self) -> dict[str, int]:
@@ -236,7 +241,7 @@ class FeatureFrame:
             raise ValueError("feature names repeat; use named=False")
         cols = [F.col(LABEL).alias(label)]
         cols += [self.feature_col(i).alias(n) for i, n in enumerate(self.feature_names)]
-        cols += [F.col(c) for c in self.carry]
+        cols += [qcol(c) for c in self.carry]
         return self.df.select(*cols)
 
     def checkpoint(self, eager: bool = True) -> "FeatureFrame":
@@ -266,10 +271,10 @@ class FeatureFrame:
             # one lambda over a literal index array: plan size independent of width
             idx = F.array(*[F.lit(i) for i in indices]) if indices else F.array().cast("array<int>")
             arr = F.transform(idx, lambda i: F.col(PACKED)[i])
-            out = self.df.select(F.col(LABEL), arr.alias(PACKED), *[F.col(c) for c in self.carry])
+            out = self.df.select(F.col(LABEL), arr.alias(PACKED), *[qcol(c) for c in self.carry])
             return FeatureFrame(out, new_names, self.carry, True)
         cols = [F.col(LABEL)] + [F.col(fcol(i)).alias(fcol(j)) for j, i in enumerate(indices)]
-        cols += [F.col(c) for c in self.carry]
+        cols += [qcol(c) for c in self.carry]
         return FeatureFrame(self.df.select(*cols), new_names, self.carry)
 
     def project(self, names: Sequence[str]) -> "FeatureFrame":

@@ -13,7 +13,7 @@ import logging
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from glmframe.frame import LABEL, PACKED, FeatureFrame, fcol
+from glmframe.frame import LABEL, PACKED, FeatureFrame, fcol, qcol
 
 log = logging.getLogger(__name__)
 
@@ -223,7 +223,7 @@ def standardize(frame: FeatureFrame, center: bool = True, scale: bool = True) ->
         if scale:
             x = x / F.lit(float(std)) if std not in (None, 0.0) else F.lit(0.0)
         cols.append(x.alias(c))
-    cols += [F.col(c) for c in frame.carry]
+    cols += [qcol(c) for c in frame.carry]
     return frame.with_df(frame.df.select(*cols))
 
 
@@ -243,7 +243,7 @@ def _standardize_packed(frame: FeatureFrame, center: bool, scale: bool) -> Featu
         inv = lit_array([1.0 / float(sd) if sd not in (None, 0.0) else 0.0 for _, sd in moments])
         zero = lit_array([1.0 if sd in (None, 0.0) else 0.0 for _, sd in moments])
         out = F.zip_with(F.zip_with(out, inv, lambda x, k: x * k), zero, lambda x, z: F.when(z == 1.0, 0.0).otherwise(x))
-    df = frame.df.select(F.col(LABEL), out.alias(PACKED), *[F.col(c) for c in frame.carry])
+    df = frame.df.select(F.col(LABEL), out.alias(PACKED), *[qcol(c) for c in frame.carry])
     return frame.with_df(df)
 
 

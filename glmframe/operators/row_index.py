@@ -28,6 +28,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from glmframe.frame import qcol
+
 log = logging.getLogger(__name__)
 
 SPLIT_ROW_OVERHEAD = 64  # bytes of one split row besides its path (start, count, first id, hashing)
@@ -75,7 +77,8 @@ def range_bounds(
         return []
     want = SAMPLE_ROWS_PER_BUCKET * buckets
     fraction = min(1.0, 1.5 * want / total)
-    sample = df.select(*key_cols).sample(False, fraction, SAMPLE_SEED).orderBy(*key_cols).collect()
+    keys = [qcol(c) for c in key_cols]
+    sample = df.select(*keys).sample(False, fraction, SAMPLE_SEED).orderBy(*keys).collect()
     if not sample:
         return []
     picks = []
@@ -103,11 +106,11 @@ def with_row_index(
     several buckets. Offsets are one row per bucket (broadcast).
     """
     n = _buckets(df, num_partitions)
-    keyed = df.withColumn("_tie", F.xxhash64(*[F.col(c) for c in df.columns]))
+    keyed = df.withColumn("_tie", F.xxhash64(*[qcol(c) for c in df.columns]))
     key_cols = [*order_by, "_tie"]
     schema = {f.name: f.dataType for f in keyed.schema.fields}
     bounds = range_bounds(keyed, key_cols, n, rows_per_bucket)
-    key = F.struct(*[F.col(c) for c in key_cols])
+    key = F.struct(*[qcol(c) for c in key_cols])
     bound_cols = [
         F.struct(*[F.lit(v).cast(schema[c]).alias(c) for c, v in zip(key_cols, b)]) for b in bounds
     ]
@@ -118,11 +121,11 @@ def with_row_index(
     )
     # one row per bucket: bounded by the bucket setting, safe to broadcast
     offsets = counts.select("_bucket", start.alias("_start"))
-    within = Window.partitionBy("_bucket").orderBy(*[F.col(c).asc() for c in key_cols])
+    within = Window.partitionBy("_bucket").orderBy(*[qcol(c).asc() for c in key_cols])
     positioned = bucketed.withColumn("_pos", F.row_number().over(within) - 1)
     joined = positioned.join(F.broadcast(offsets), on="_bucket", how="inner")
     index = (F.col("_start") + F.col("_pos")).cast("long")
-    return joined.select(*[F.col(c) for c in df.columns], index.alias(index_col))
+    return joined.select(*[qcol(c) for c in df.columns], index.alias(index_col))
 
 
 def with_input_order_index(
@@ -160,4 +163,4 @@ def with_input_order_index(
     )
     joined = with_id.join(F.broadcast(offsets), on=[file_col, block_col], how="inner")
     index = F.col("_start") + (F.col("_rid") - F.col("_first"))
-    return joined.select(*[F.col(c) for c in df.columns], index.alias(index_col))
+    return joined.select(*[qcol(c) for c in df.columns], index.alias(index_col))

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glmframe.frame import LABEL, WIDE_CUTOFF, FeatureFrame
+from glmframe.frame import LABEL, WIDE_CUTOFF, FeatureFrame, qcol
 from glmframe.functions.numeric import linear_margin, logistic, packed_margin, threshold_class
 from glmframe.sources.model_store import LinearModel
 
@@ -56,7 +56,7 @@ def score(frame: FeatureFrame, model: LinearModel, align_mode: str = "name", thr
         margin = packed_margin(aligned.feature_array(), model.weights, model.intercept)
     else:
         margin = linear_margin(aligned.feature_cols, model.weights, model.intercept)
-    scored = aligned.df.select(*[F.col(c) for c in aligned.carry], F.col(LABEL), margin.alias("margin"))
+    scored = aligned.df.select(*[qcol(c) for c in aligned.carry], F.col(LABEL), margin.alias("margin"))
     if model.kind == "linear":
         return scored.select("*", F.lit(None).cast("double").alias("probability"), F.col("margin").alias("prediction"))
     prob = logistic(F.col("margin"))
@@ -81,4 +81,4 @@ def accuracy(scored: DataFrame) -> DataFrame:
 
 def keyed_predictions(scored: DataFrame, keys: list[str]) -> DataFrame:
     """Predictions carried with a row key instead of a bare index."""
-    return scored.select(*keys, "prediction")
+    return scored.select(*[qcol(k) for k in keys], "prediction")

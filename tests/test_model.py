@@ -84,3 +84,18 @@ def test_format_from_extension(spark, tmp_path):
     MODEL.save(spark, path)
     assert spark.read.json(path).count() == 1  # really JSON
     assert load_model(spark, path).weights == MODEL.weights
+
+
+def test_dotted_column_names(spark):
+    from glmframe.operators.row_index import with_row_index
+    from glmframe.operators.scoring import keyed_predictions
+
+    df = spark.createDataFrame([(i, float(i) - 2.0, float(i % 2)) for i in range(5)], "`k.id` INT, `x.v` DOUBLE, `y.t` DOUBLE")
+    fr = FeatureFrame.from_table(df, target="y.t", carry=["k.id"])
+    assert fr.feature_names == ("x.v",)
+    scored = score(fr, LinearModel(("x.v",), (1.0,)))
+    keyed = sorted(tuple(r) for r in keyed_predictions(scored, ["k.id"]).collect())
+    assert keyed == [(0, 0.0), (1, 0.0), (2, 0.0), (3, 1.0), (4, 1.0)]
+    idx = sorted((r["k.id"], r["index"]) for r in with_row_index(scored, ["k.id"], rows_per_bucket=1).collect())
+    assert idx == [(i, i) for i in range(5)]
+    assert fr.to_df().columns == ["label", "x.v", "k.id"]
