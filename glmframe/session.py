@@ -35,9 +35,22 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
     )
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    make_importable(spark)
     return spark
 
 
+def make_importable(spark: SparkSession) -> None:
+    """Let Python workers that see this folder import the package from it.
+
+    On a cluster the package is shipped with ``--py-files``; this serves sessions
+    started elsewhere on the same machine.
+    """
+    parent = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    known = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if parent not in known.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([parent, *filter(None, [known])])
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder, setting a local one only if unset."""
     sc = spark.sparkContext
