@@ -35,7 +35,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glmframe.llm.common import checkpointed, connected_components, shuffle_partitions, slices, span_hashes, utf8, words_of
+from glmframe.llm.common import (
+    checkpointed,
+    connected_components,
+    mix64,
+    shuffle_partitions,
+    slices,
+    span_hashes,
+    utf8,
+    words_of,
+)
 
 BANDS = 48
 BAND_ROWS = 5
@@ -79,8 +88,6 @@ def minhash(shingles: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def odd_sketch(samples: np.ndarray, bits: int = SKETCH_BITS) -> np.ndarray:
     """Bitmap (as uint64 words) in which each (sample number, value) toggles one bit."""
-    from glmframe.llm.common import mix64
-
     key = mix64((np.arange(len(samples), dtype=np.uint64) << np.uint64(32)) | samples.astype(np.uint64))
     odd = np.bincount((key % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.uint64)

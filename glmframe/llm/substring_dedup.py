@@ -29,9 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glmframe.llm.common import id_blocks, shuffle_partitions, slices, utf8, words_of
+from glmframe.llm.common import id_blocks, shuffle_partitions, slices, span_hashes, utf8, words_of
 
 WINDOW_WORDS = 20
+#: Several blocks a partition even out what hashing deals to each.
+BLOCKS_PER_PARTITION = 3
 RESULT = "text string, n_words long, n_removed long, spans array<struct<start:long,end:long>>"
 
 
@@ -40,8 +42,6 @@ def window_hashes(texts: list[bytes], window: int) -> tuple[np.ndarray, np.ndarr
 
     Words are numbered through all texts; a text's byte offsets are its own.
     """
-    from glmframe.llm.common import span_hashes
-
     hashes, at, starts, ends, base = [], [], [], [], 0
     for a, b in slices(texts):
         s, e, h, first = words_of(texts[a:b])
@@ -60,9 +60,9 @@ def window_hashes(texts: list[bytes], window: int) -> tuple[np.ndarray, np.ndarr
 
 
 def _packed(values: np.ndarray) -> bytes:
-    """Sorted hashes as differences of 6 bytes each, or of 8 where one is larger (first byte: the width)."""
+    """Sorted hashes as differences, of as many bytes as the largest needs (first byte: the width)."""
     steps = np.diff(values, prepend=np.uint64(0))
-    width = 6 if len(steps) and int(steps[1:].max(initial=0)) >> 48 == 0 else 8
+    width = max(1, -(-int(steps[1:].max(initial=0)).bit_length() // 8))
     head = steps[:1].astype("<u8").tobytes()
     return bytes([width]) + head + steps[1:].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
@@ -157,10 +157,9 @@ def _apply(window: int):
             known = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=n) for x, n in bits]).astype(bool)
         later = known[which] | (first[which] != np.arange(len(hashes)))
         counts = np.array([len(s) for s in starts], dtype=np.int64)
-        cover = np.zeros(counts.sum() + 1, dtype=np.int64)
-        np.add.at(cover, at[later], 1)
-        np.add.at(cover, at[later] + window, -1)
-        gone = np.cumsum(cover)[:-1] > 0
+        size = int(counts.sum()) + 1
+        opened, closed = (np.bincount(at[later] + k, minlength=size) for k in (0, window))
+        gone = np.cumsum(opened - closed)[:-1] > 0
         begin = np.concatenate([[0], np.cumsum(counts)])
         new: list = [None] * len(order)
         for k, i in enumerate(order):
@@ -189,20 +188,20 @@ def substring_dedup(
     Returns ``row`` (a struct of all columns of ``docs`` but the text), ``text``
     (without the removed words; null stays null), ``n_words``, ``n_removed``
     and ``spans`` (the removed intervals of word numbers, end exclusive).
-    ``blocks`` (the shuffle partitions unless given) is how many parts of the
-    corpus are processed one by one: give more to bound the memory of a task.
+    ``blocks`` is how many parts of the corpus are processed one by one: give
+    more to bound the memory of a task.
     """
-    blocks = blocks or shuffle_partitions(docs.sparkSession)
+    parts = shuffle_partitions(docs.sparkSession)
+    blocks = blocks or BLOCKS_PER_PARTITION * parts
     others = [f"`{c}`" for c in docs.columns if c != text_col]
     rows = docs.select(
         id_blocks(docs, f"`{id_col}`", blocks).alias("block"),
         F.col(f"`{id_col}`").alias("id"),
         F.col(f"`{text_col}`").alias("text"),
         F.struct(*others).alias("row"),
-    ).repartition(blocks, "block")
-    sent = rows.select("block", "text").mapInArrow(
-        _block_hashes(window, blocks), "bucket int, block int, hashes binary"
-    )
+    ).repartition(parts, "block")
+    # the same columns on both paths, so that Spark writes this exchange once
+    sent = rows.mapInArrow(_block_hashes(window, parts), "bucket int, block int, hashes binary")
     answers = sent.groupBy("bucket").applyInArrow(_answer, "block int, bucket int, bits binary, n int")
     kind = rows.schema["row"].dataType.simpleString()
     return (
