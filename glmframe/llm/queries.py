@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from glmframe.llm.common import read_table
+from glmframe.llm.fingerprints import op10_fingerprints
+from glmframe.llm.html_template import op6_html_extraction
 from glmframe.llm.line_dedup import OP5_SQL, op5_line_dedup
 from glmframe.llm.near_dedup import op9_near_dedup
 from glmframe.llm.packing import op8_packing
+from glmframe.llm.piece_viterbi import op3_piece_viterbi
 from glmframe.llm.quality_knn import op1_quality_classifier
 from glmframe.llm.quality_rules import OP2_SQL, op2_quality_rules
 from glmframe.llm.substring_dedup import op4_substring_dedup
+from glmframe.llm.token_counts import op7_token_counts
 
 
 def _over(table: str, operator: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -30,10 +34,14 @@ def _op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": _op1,
     "op2_quality_rules": _over("documents", op2_quality_rules),
+    "op3_piece_viterbi": _over("documents", op3_piece_viterbi),
     "op4_substring_dedup": _over("documents", op4_substring_dedup),
     "op5_line_dedup": _over("documents", op5_line_dedup),
+    "op6_html_extraction": _over("pages", op6_html_extraction),
+    "op7_token_counts": _over("documents", op7_token_counts),
     "op8_packing": _over("documents", op8_packing),
     "op9_near_dedup": _over("documents", op9_near_dedup),
+    "op10_fingerprints": _over("documents", op10_fingerprints),
 }
 
 #: The other operators can't be put as SQL and are tested against brute force.
