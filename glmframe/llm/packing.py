@@ -22,8 +22,10 @@ the id column and the text are read, so other columns can't clash.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -31,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glmframe.llm.common import checkpointed
+from glmframe.llm.merges import CACHE_PIECES, Merges
 
 WINDOW = 2048
 CLOSING_ID = 1
@@ -39,33 +42,52 @@ OPEN_WINDOWS = 16
 MERGE = 32
 LEAST_TAIL = 64
 #: Distinct parts whose ids a worker keeps at most; beyond it starts anew.
-CACHE_PARTS = 200_000
+CACHE_PARTS = 100_000
 PIECE = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
     "ids binary, slot long"
 )
 
 
+#: How the vocabulary splits lower-case Latin text.
+_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:_|[^\w\s])+")
+
+
 class PartEncoder:
-    """Little-endian unsigned 32-bit ids of texts, through a bounded cache of parts between blanks."""
+    """Little-endian unsigned 32-bit ids of texts, through bounded caches of parts between blanks and of pieces."""
 
-    def __init__(self, path: str, cache: int = CACHE_PARTS):
-        from tokenizers import Tokenizer
+    def __init__(self, path: str):
+        self.merges = Merges(path)
+        self.parts: dict[str, bytes] = {"": b""}
+        self.pieces: dict[str, bytes] = {}
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.cache, self.known = cache, {"": b""}
+    def _piece(self, piece: str) -> bytes:
+        found = self.pieces.get(piece)
+        if found is None:
+            found = self.pieces[piece] = b"".join([t.id.to_bytes(4, "little") for t in self.merges.tokens(piece)])
+        return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        parts = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.known) > self.cache:
-            self.known = {"": b""}
-        new = list({p for own in parts for p in own}.difference(self.known))
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            for part, found in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
-                self.known[part] = b"".join([i.to_bytes(4, "little") for i in found.ids])
-        known = self.known
-        return [b"".join([known[p] for p in own]) for own in parts]
+        own = [t.replace("\n", " ").split(" ") for t in texts]
+        if len(self.parts) > CACHE_PARTS:
+            self.parts = {"": b""}
+        if len(self.pieces) > CACHE_PIECES:
+            self.pieces = {}
+        known, odd = self.parts, []
+        for part in {p for parts in own for p in parts}.difference(known):
+            if self.merges.plain(part):
+                known[part] = b"".join([self._piece(x) for x in _PIECE.findall(part.lower())])
+            else:
+                odd.append(part)
+        for part, found in zip(odd, self.merges.whole.encode_batch(odd, add_special_tokens=False), strict=True):
+            known[part] = b"".join([i.to_bytes(4, "little") for i in found.ids])
+        return [b"".join([known[p] for p in parts]) for parts in own]
+
+
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> PartEncoder:
+    """One a worker: what it remembers serves its next tasks."""
+    return PartEncoder(path)
 
 
 class Packer:
@@ -151,7 +173,7 @@ def _first_sequence(round_: int, group: int) -> int:
 def _pack_partition(path: str, size: int, open_windows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slot = TaskContext.get().partitionId()
-        encoder, packer = PartEncoder(path), Packer(size, open_windows, _first_sequence(0, slot))
+        encoder, packer = _encoder(path), Packer(size, open_windows, _first_sequence(0, slot))
         closing = CLOSING_ID.to_bytes(4, "little")
         for batch in batches:
             ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()

@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -132,6 +133,12 @@ class WordEncoder:
         return text.removeprefix(b" ").decode("utf-8", "replace")
 
 
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> WordEncoder:
+    """One a worker: what it remembers serves its next tasks."""
+    return WordEncoder(path)
+
+
 def _others(docs: DataFrame, gone: str) -> DataFrame:
     return docs.select(F.struct(*(f"`{c}`" for c in docs.columns if c != gone)).alias("row"), F.col(f"`{gone}`").alias("value"))
 
@@ -140,7 +147,7 @@ def encode_pieces(docs: DataFrame, vocabulary: str, text_col: str = "text") -> D
     """``row`` (a struct of the columns but the text) and ``ids`` (little-endian unsigned 32-bit, binary)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(vocabulary)
+        encoder = _encoder(vocabulary)
         for batch in batches:
             texts, ids = batch.column("value").to_pylist(), []
             for at in range(0, len(texts), 1024):
@@ -155,7 +162,7 @@ def decode_pieces(encoded: DataFrame, vocabulary: str, ids_col: str = "ids") ->
     """``row`` (a struct of the columns but the ids), ``ids`` and the ``text`` they stand for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(vocabulary)
+        encoder = _encoder(vocabulary)
         for batch in batches:
             texts = [encoder.decode(ids or b"") for ids in batch.column("value").to_pylist()]
             columns = [batch.column("row"), batch.column("value"), pa.array(texts, pa.string())]

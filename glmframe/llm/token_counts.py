@@ -24,48 +24,83 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glmframe.llm.merges import CACHE_PIECES, Merges
+
 #: Unicode white space, as the vocabulary's pattern has it (fixed value).
 _SPACE = "\t-\r \x85\xa0  -     　"
 _PART = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 #: Distinct parts a worker remembers at most; beyond it starts anew.
-CACHE_PARTS = 150_000
+CACHE_PARTS = 100_000
 RESULT = "doc_id long, section long, start long, length long, n_tokens long, n_crossing long"
 
 
+#: How the vocabulary splits Latin text.
+_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:_|[^\w\s])+|\s+(?!\S)|\s+")
+
+
 class SpanEncoder:
-    """Spans (start, end) of a text's tokens, in characters."""
+    """Spans (start, end) of a text's tokens, in characters, through bounded caches of parts and of pieces."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer, processors
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.tokenizer.post_processor = processors.ByteLevel(trim_offsets=False)
-        self.known: dict[str, bytes] = {}
+        from tokenizers import processors
+
+        self.merges = Merges(path)
+        self.merges.whole.encode_special_tokens = True
+        self.merges.whole.post_processor = processors.ByteLevel(trim_offsets=False)
+        self.parts: dict[str, bytes] = {}
+        self.pieces: dict[str, list[tuple[int, int]]] = {}
+
+    def _piece(self, piece: str) -> list[tuple[int, int]]:
+        found = self.pieces.get(piece)
+        if found is None:
+            ends = list(accumulate(len(t.value) for t in self.merges.tokens(piece)))
+            found = list(zip([0, *ends], ends, strict=False))
+            if not piece.isascii():  # bytes to the characters they belong to
+                of = [k for k, c in enumerate(piece) for _ in c.encode()]
+                found = [(of[a], of[b - 1] + 1) for a, b in found]
+            self.pieces[piece] = found
+        return found
 
     def spans(self, texts: list[str]) -> Iterator[np.ndarray]:
         found = [_PART.findall(t) for t in texts]
-        if len(self.known) > CACHE_PARTS:
-            self.known = {}
-        new = list({p for own in found for p in own}.difference(self.known))
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            for part, coded in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
-                self.known[part] = np.array(coded.offsets, dtype="<i4").tobytes()
+        if len(self.parts) > CACHE_PARTS:
+            self.parts = {}
+        if len(self.pieces) > CACHE_PIECES:
+            self.pieces = {}
+        known, odd = self.parts, []
+        for part in {p for own in found for p in own}.difference(known):
+            if self.merges.plain(part):
+                at, own = 0, []
+                for piece in _PIECE.findall(part):
+                    own += [(at + a, at + b) for a, b in self._piece(piece)]
+                    at += len(piece)
+                known[part] = np.array(own, dtype="<i4").tobytes()
+            else:
+                odd.append(part)
+        for part, coded in zip(odd, self.merges.whole.encode_batch(odd, add_special_tokens=False), strict=True):
+            known[part] = np.array(coded.offsets, dtype="<i4").tobytes()
         for own in found:
-            values = [self.known[p] for p in own]
+            values = [known[p] for p in own]
             counts = np.fromiter(map(len, values), dtype=np.int64, count=len(own)) // 8
             ends = np.cumsum(np.fromiter(map(len, own), dtype=np.int64, count=len(own)))
             begin = np.concatenate([[0], ends[:-1]]) if len(own) else ends
             yield np.frombuffer(b"".join(values), dtype="<i4").reshape(-1, 2) + np.repeat(begin, counts)[:, None]
 
 
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> SpanEncoder:
+    """One a worker: what it remembers serves its next tasks."""
+    return SpanEncoder(path)
+
+
 def line_starts(text: str) -> np.ndarray:
     """Where each line begins."""
     breaks = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4") == 0x0A
@@ -104,7 +139,7 @@ def section_token_counts(
         raise ValueError(f"unknown rule {rule!r}: largest, first or last")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = SpanEncoder(vocabulary)
+        encoder = _encoder(vocabulary)
         names = [x.split()[0] for x in RESULT.split(", ")]
         for batch in batches:
             ids, texts = batch.column("id").to_pylist(), [t or "" for t in batch.column("text").to_pylist()]
