@@ -105,6 +105,22 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Bytes of rows that go to a Python worker at once.
+BATCH_BYTES = "8m"
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(df: DataFrame) -> DataFrame:
+    """``df`` itself; from now on its session sends small batches, so long texts don't add up in a worker.
+
+    A session that was started with a bound of its own keeps it.
+    """
+    spark = df.sparkSession
+    if not spark.sparkContext.getConf().contains(_BATCH_CONF):
+        spark.conf.set(_BATCH_CONF, BATCH_BYTES)
+    return df
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

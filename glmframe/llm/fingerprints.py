@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glmframe.llm.common import id_blocks, mix64, shuffle_partitions
+from glmframe.llm.common import bound_batches, id_blocks, mix64, shuffle_partitions
 
 SPAN = 16
 BINS = 128
@@ -166,7 +166,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ``common_prefix`` is how many code points a text and its edited text share
     from the start. Other columns are as the module says.
     """
-    spark = docs.sparkSession
+    spark = bound_batches(docs).sparkSession
     parts = shuffle_partitions(spark)
     rows = docs.select(
         id_blocks(docs, f"`{id_col}`", parts).alias("block"),

@@ -31,6 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glmframe.llm.common import bound_batches
 from glmframe.session import scratch_path
 
 #: A subtree is template on a host if so many of its pages, and this share of them, have it.
@@ -269,7 +270,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url and main text of every page."""
-    spark = pages.sparkSession
+    spark = bound_batches(pages).sparkSession
     host = F.lower(F.regexp_extract(F.coalesce(F.col(f"`{url_col}`"), F.lit("")), r"^\s*(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)", 1))
     rows = pages.select(
         F.col(f"`{id_col}`").cast("long").alias("page_id"),

@@ -15,7 +15,7 @@ import re
 #: compose nor change their length in lower case (fixed value).
 _PLAIN = re.compile("[\t-\r -~À-ÖØ-öø-įı-ɏ]*")
 #: Pieces a worker remembers at most; beyond it starts anew.
-CACHE_PIECES = 300_000
+CACHE_PIECES = 150_000
 
 
 def byte_alphabet() -> list[str]:

@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glmframe.llm.common import (
+    bound_batches,
     checkpointed,
     connected_components,
     mix64,
@@ -246,7 +247,7 @@ def near_duplicates(
     set) and ``component_id`` (the smallest id reachable over links, the own
     included; null without an id).
     """
-    spark = docs.sparkSession
+    spark = bound_batches(docs).sparkSession
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
     signed = checkpointed(texts.mapInArrow(_signatures(width), SIGNATURE))
 

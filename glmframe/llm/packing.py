@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glmframe.llm.common import checkpointed
+from glmframe.llm.common import bound_batches, checkpointed
 from glmframe.llm.merges import CACHE_PIECES, Merges
 
 WINDOW = 2048
@@ -42,7 +42,7 @@ OPEN_WINDOWS = 16
 MERGE = 32
 LEAST_TAIL = 64
 #: Distinct parts whose ids a worker keeps at most; beyond it starts anew.
-CACHE_PARTS = 100_000
+CACHE_PARTS = 50_000
 PIECE = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
     "ids binary, slot long"
@@ -218,7 +218,7 @@ def pack(
     ``vocabulary`` is the path of a tokenizers file that drops white space
     before merging; executors read it too.
     """
-    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    texts = bound_batches(docs).select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     now = checkpointed(texts.mapInArrow(_pack_partition(vocabulary, size, open_windows), PIECE))
     done = [now.where("slot is null")]
     groups, round_ = now.rdd.getNumPartitions(), 0

@@ -1,8 +1,8 @@
 """SentencePiece encoding and decoding (operator 3): shared-prefix Viterbi.
 
 Texts are marked as the vocabulary wants it (a mark for every blank, one in
-front) and cut where no piece can span: before a mark that follows another
-character, and around line breaks. The distinct marked words of a batch are
+front) and cut where no piece can span: between words, and between characters
+that no piece has side by side. The distinct marked words of a batch are
 sorted, which lists their trie depth-first: a word keeps the forward entries of
 the prefix it shares with the word before it, and only its own end is computed.
 
@@ -24,6 +24,7 @@ columns, whatever their names, pass untouched inside ``row``.
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -33,10 +34,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glmframe.llm.common import bound_batches
+
 MARK = "▁"
 _WORD = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
-#: Words and pairs a worker remembers at most; beyond it starts anew.
-CACHE = 200_000
+_RUN = re.compile(f"{MARK}*[^\\W\\d_]+|{MARK}+|[^\\w{MARK}]+|[\\d_]+")
+#: Marked words, parts of them, and pairs of pieces a worker remembers at most; beyond it starts anew.
+CACHE_WORDS, CACHE_PARTS, CACHE_PAIRS = 50_000, 300_000, 200_000
 
 
 class Pieces:
@@ -51,7 +55,8 @@ class Pieces:
         names = [model.id_to_piece(i) for i in range(size)]
         self.number = {x: i for i, x in enumerate(names) if not special[i] and not model.is_byte(i)}
         self.score = {x: model.get_score(i) for x, i in self.number.items()}
-        self.longest = max(map(len, self.number))
+        #: Pairs of characters that stand side by side in a piece.
+        self.neighbours = {x[i : i + 2] for x in self.number for i in range(len(x) - 1)}
         self.of_byte = {int(x[3:5], 16): i for i, x in enumerate(names) if model.is_byte(i)}
         unknown = " ⁇ ".encode()
         self.raw = [unknown if model.is_unknown(i) else b"" if special[i] else x.replace(MARK, " ").encode() for i, x in enumerate(names)]
@@ -59,6 +64,25 @@ class Pieces:
             self.raw[i] = bytes([byte])
         self.pairs: dict[tuple[str, str], bool] = {}
 
+    def coded(self, piece: str) -> bytes:
+        """Id of a piece, or of the bytes of a character that is none."""
+        number = self.number.get(piece)
+        ids = [self.of_byte[b] for b in piece.encode()] if number is None else [number]
+        return b"".join([i.to_bytes(4, "little") for i in ids])
+
+    def cut(self, word: str) -> list[str]:
+        """The word, cut between runs of letters, marks, digits and signs where no piece can span."""
+        runs = _RUN.findall(word)
+        if len(runs) < 2:
+            return runs
+        out = runs[:1]
+        for run in runs[1:]:
+            if out[-1][-1] + run[0] in self.neighbours:
+                out[-1] += run
+            else:
+                out.append(run)
+        return out
+
     def merged(self, text: str) -> list[str]:
         """The characters of a short text, merged by the best score, the leftmost of equal ones first."""
         parts = list(text)
@@ -73,14 +97,11 @@ class Pieces:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def agree(self, one: str, two: str) -> bool:
-        """Whether the merges leave the two pieces apart (and make each of them)."""
-        key = (one, two)
-        found = self.pairs.get(key)
-        if found is None:
-            if len(self.pairs) > 4 * CACHE:
-                self.pairs = {}
-            found = self.pairs[key] = self.merged(one + two) == [p for p in key if p]
+    def agree(self, pair: tuple[str, str]) -> bool:
+        """Whether the merges leave two pieces apart, and make each of them; remembered in ``pairs``."""
+        if len(self.pairs) > CACHE_PAIRS:
+            self.pairs.clear()
+        found = self.pairs[pair] = self.merged("".join(pair)) == [p for p in pair if p]
         return found
 
 
@@ -90,42 +111,52 @@ class WordEncoder:
     def __init__(self, path: str):
         self.pieces = Pieces(path)
         self.known: dict[str, bytes] = {}
+        self.whole: dict[str, bytes] = {}
 
     def _learn(self, words: list[str]) -> None:
         """Encodes words in sorted order: a depth-first walk over their trie."""
         pieces, before = self.pieces, ""
+        scores, pairs, agree = pieces.score, pieces.pairs, pieces.agree
         last: list[str] = [""]  # the best path's last piece, per prefix
-        score = [0.0]  # and its score
+        total = [0.0]  # and its score
         for word in sorted(words):
-            shared = 0
-            for a, b in zip(before, word, strict=False):
-                if a != b:
-                    break
-                shared += 1
-            del last[shared + 1 :], score[shared + 1 :]
+            shared = len(os.path.commonprefix((before, word)))
+            del last[shared + 1 :], total[shared + 1 :]
             for end in range(shared + 1, len(word) + 1):
-                for start in range(max(0, end - pieces.longest), end):
+                for start in range(end - 1, -1, -1):
                     piece = word[start:end]
-                    if (piece in pieces.number or end - start == 1) and pieces.agree(last[start], piece):
+                    score = scores.get(piece)
+                    if score is None:
+                        if start < end - 1:
+                            continue
+                        score = 0.0  # a character that is no piece
+                    pair = (last[start], piece)
+                    allowed = pairs.get(pair)
+                    if agree(pair) if allowed is None else allowed:
                         last.append(piece)
-                        score.append(score[start] + pieces.score.get(piece, 0.0))
+                        total.append(total[start] + score)
                         break
+                else:
+                    raise ValueError(f"no path to {word[:end]!r}")
             ids, end = [], len(word)
             while end:
-                piece = last[end]
-                number = pieces.number.get(piece)
-                ids.append([number] if number is not None else [pieces.of_byte[b] for b in piece.encode()])
-                end -= len(piece)
-            self.known[word] = np.array([i for own in reversed(ids) for i in own], dtype="<u4").tobytes()
+                ids.append(pieces.coded(last[end]))
+                end -= len(last[end])
+            self.known[word] = b"".join(reversed(ids))
             before = word
 
     def encode(self, texts: list[str]) -> list[bytes]:
         found = [_WORD.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        if len(self.known) > CACHE:
+        if len(self.whole) > CACHE_WORDS:
+            self.whole = {}
+        if len(self.known) > CACHE_PARTS:
             self.known = {}
-        self._learn(list({w for own in found for w in own}.difference(self.known)))
-        known = self.known
-        return [b"".join([known[w] for w in own]) for own in found]
+        new = {w: self.pieces.cut(w) for w in {w for own in found for w in own}.difference(self.whole)}
+        self._learn(list({x for parts in new.values() for x in parts}.difference(self.known)))
+        known, whole = self.known, self.whole
+        for word, parts in new.items():
+            whole[word] = b"".join([known[x] for x in parts])
+        return [b"".join([whole[w] for w in own]) for own in found]
 
     def decode(self, ids: bytes) -> str:
         raw = self.pieces.raw
@@ -140,7 +171,7 @@ def _encoder(path: str) -> WordEncoder:
 
 
 def _others(docs: DataFrame, gone: str) -> DataFrame:
-    return docs.select(F.struct(*(f"`{c}`" for c in docs.columns if c != gone)).alias("row"), F.col(f"`{gone}`").alias("value"))
+    return bound_batches(docs).select(F.struct(*(f"`{c}`" for c in docs.columns if c != gone)).alias("row"), F.col(f"`{gone}`").alias("value"))
 
 
 def encode_pieces(docs: DataFrame, vocabulary: str, text_col: str = "text") -> DataFrame:
@@ -150,8 +181,8 @@ def encode_pieces(docs: DataFrame, vocabulary: str, text_col: str = "text") -> D
         encoder = _encoder(vocabulary)
         for batch in batches:
             texts, ids = batch.column("value").to_pylist(), []
-            for at in range(0, len(texts), 1024):
-                ids += encoder.encode([t or "" for t in texts[at : at + 1024]])
+            for at in range(0, len(texts), 512):
+                ids += encoder.encode([t or "" for t in texts[at : at + 512]])
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(ids, pa.binary())], names=["row", "ids"])
 
     rows = _others(docs, text_col)

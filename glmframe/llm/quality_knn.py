@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glmframe.llm.common import slices, utf8, words_of
+from glmframe.llm.common import bound_batches, slices, utf8, words_of
 
 SAMPLE = 4096
 WORD_TERMS = 1024
@@ -158,7 +158,7 @@ def fit_quality(
         .orderBy(F.xxhash64("id"), "id")
         .limit(sample)
     )
-    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    texts = bound_batches(docs).select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     # at most ``sample`` ids: a broadcast of bounded size
     rows = (
         texts.join(F.broadcast(chosen), "id")
@@ -175,7 +175,7 @@ def fit_quality(
 
 def score_quality(docs: DataFrame, model: NeighbourModel, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``row`` (a struct of the columns ``keep``, all unless given), ``score`` and ``predicted`` (1: accepted)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = bound_batches(docs).sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glmframe.llm.common import id_blocks, shuffle_partitions, slices, span_hashes, utf8, words_of
+from glmframe.llm.common import bound_batches, id_blocks, shuffle_partitions, slices, span_hashes, utf8, words_of
 
 WINDOW_WORDS = 20
 #: Several blocks a partition even out what hashing deals to each.
@@ -191,7 +191,7 @@ def substring_dedup(
     ``blocks`` is how many parts of the corpus are processed one by one: give
     more to bound the memory of a task.
     """
-    parts = shuffle_partitions(docs.sparkSession)
+    parts = shuffle_partitions(bound_batches(docs).sparkSession)
     blocks = blocks or BLOCKS_PER_PARTITION * parts
     others = [f"`{c}`" for c in docs.columns if c != text_col]
     rows = docs.select(

@@ -32,13 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glmframe.llm.common import bound_batches
 from glmframe.llm.merges import CACHE_PIECES, Merges
 
 #: Unicode white space, as the vocabulary's pattern has it (fixed value).
 _SPACE = "\t-\r \x85\xa0  -     　"
 _PART = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 #: Distinct parts a worker remembers at most; beyond it starts anew.
-CACHE_PARTS = 100_000
+CACHE_PARTS = 50_000
 RESULT = "doc_id long, section long, start long, length long, n_tokens long, n_crossing long"
 
 
@@ -155,7 +156,7 @@ def section_token_counts(
                 joined = [pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*columns, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(owners, pa.int64()), *joined], names=names)
 
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    rows = bound_batches(docs).select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
     return rows.mapInArrow(run, RESULT)
 
 
