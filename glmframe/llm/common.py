@@ -8,6 +8,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from glmframe.session import ensure_checkpoint_dir
 
@@ -121,6 +122,11 @@ def bound_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def with_row(rows: DataFrame, results: str) -> T.StructType:
+    """Schema of ``row``, as it is in ``rows`` (any column names), followed by the ``results``."""
+    return T.StructType([T.StructField("row", rows.schema["row"].dataType), *T.StructType.fromDDL(results).fields])
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glmframe.llm.common import bound_batches
+from glmframe.llm.common import bound_batches, with_row
 
 MARK = "▁"
 _WORD = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
@@ -186,7 +186,7 @@ def encode_pieces(docs: DataFrame, vocabulary: str, text_col: str = "text") -> D
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(ids, pa.binary())], names=["row", "ids"])
 
     rows = _others(docs, text_col)
-    return rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, ids binary")
+    return rows.mapInArrow(run, with_row(rows, "ids binary"))
 
 
 def decode_pieces(encoded: DataFrame, vocabulary: str, ids_col: str = "ids") -> DataFrame:
@@ -200,7 +200,7 @@ def decode_pieces(encoded: DataFrame, vocabulary: str, ids_col: str = "ids") ->
             yield pa.RecordBatch.from_arrays(columns, names=["row", "ids", "text"])
 
     rows = _others(encoded, ids_col)
-    return rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, ids binary, text string")
+    return rows.mapInArrow(run, with_row(rows, "ids binary, text string"))
 
 
 def op3_piece_viterbi(docs: DataFrame) -> DataFrame:

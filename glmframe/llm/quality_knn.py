@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glmframe.llm.common import bound_batches, slices, utf8, words_of
+from glmframe.llm.common import bound_batches, slices, utf8, with_row, words_of
 
 SAMPLE = 4096
 WORD_TERMS = 1024
@@ -184,7 +184,7 @@ def score_quality(docs: DataFrame, model: NeighbourModel, text_col: str = "text"
 
     row = F.struct(*(F.col(f"`{c}`") for c in (docs.columns if keep is None else keep)))
     rows = docs.select(F.col(f"`{text_col}`").alias("text"), row.alias("row"))
-    found = rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, score double")
+    found = rows.mapInArrow(run, with_row(rows, "score double"))
     return found.withColumn("predicted", (F.col("score") >= ACCEPT).cast("int"))
 
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glmframe.llm.common import bound_batches, id_blocks, shuffle_partitions, slices, span_hashes, utf8, words_of
+from glmframe.llm.common import bound_batches, id_blocks, shuffle_partitions, slices, span_hashes, utf8, with_row, words_of
 
 WINDOW_WORDS = 20
 #: Several blocks a partition even out what hashing deals to each.
@@ -203,11 +203,10 @@ def substring_dedup(
     # the same columns on both paths, so that Spark writes this exchange once
     sent = rows.mapInArrow(_block_hashes(window, parts), "bucket int, block int, hashes binary")
     answers = sent.groupBy("bucket").applyInArrow(_answer, "block int, bucket int, bits binary, n int")
-    kind = rows.schema["row"].dataType.simpleString()
     return (
         rows.groupBy("block")
         .cogroup(answers.groupBy("block"))
-        .applyInArrow(_apply(window), f"row {kind}, {RESULT}")
+        .applyInArrow(_apply(window), with_row(rows, RESULT))
     )
 
 
