@@ -18,11 +18,11 @@ from glmframe.session import ensure_checkpoint_dir
 
 
 def _read_options(p: argparse.ArgumentParser) -> None:
-    p.add_argument("--input", required=True, help="Input data in csv (file, folder or glob)")
-    p.add_argument("--max-features", type=int, default=0, help="Use only the first X features")
-    p.add_argument("--ignore", default="", help="Comma separated list of field names to ignore")
-    p.add_argument("--target", default="Y", help="Target column name if training (empty: none)")
-    p.add_argument("--debug", action="store_true", help="More log output")
+    p.add_argument("--input", required=True, help="matrix CSV to read: a file, a folder or a glob")
+    p.add_argument("--max-features", type=int, default=0, help="keep this many leading features (0: all)")
+    p.add_argument("--ignore", default="", help="columns to leave out, separated by commas")
+    p.add_argument("--target", default="Y", help="column that holds the label (empty: there is none)")
+    p.add_argument("--debug", action="store_true", help="log at debug level")
 
 
 def parser() -> argparse.ArgumentParser:
@@ -30,17 +30,17 @@ def parser() -> argparse.ArgumentParser:
     sub = top.add_subparsers(dest="command", required=True)
     tr = sub.add_parser("train-linear", help="fit a logistic (or linear) regression model")
     _read_options(tr)
-    tr.add_argument("--out", default="", help="Write resulting model to X")
+    tr.add_argument("--out", default="", help="folder for the fitted model")
     tr.add_argument("--kind", default="logistic", choices=["logistic", "linear"])
     tr.add_argument("--num-iterations", type=int, default=200)
-    tr.add_argument("--step-size", type=float, default=1.0, help="Accepted for compatibility; not used")
+    tr.add_argument("--step-size", type=float, default=1.0, help="has no effect; kept so that old calls still parse")
     tr.add_argument("--reg-param", type=float, default=1.0)
     pr = sub.add_parser("predict-linear", help="use a model to make predictions")
     _read_options(pr)
-    pr.add_argument("--model", required=True, help="Model to use")
-    pr.add_argument("--row-labels", default="", help="Column name to use for row labels")
-    pr.add_argument("--out", default="", help="Write predictions to X")
-    pr.add_argument("--test", action="store_true", help="Compute accuracy")
+    pr.add_argument("--model", required=True, help="folder of a saved model")
+    pr.add_argument("--row-labels", default="", help="column that names each row in the output")
+    pr.add_argument("--out", default="", help="folder for the predictions")
+    pr.add_argument("--test", action="store_true", help="compare predictions with the labels")
     pr.add_argument(
         "--align", default="name", choices=["name", "position"],
         help="Match data columns to the model by feature name (default) or by position",
@@ -62,16 +62,15 @@ def main(argv: list[str] | None = None) -> int:
             reg_param=args.reg_param, target=args.target, ignore=args.ignore, max_features=max_features,
             arguments=tuple(argv),
         )
-        print(f"Loaded {res.rows:,} x {res.model_width:,} matrix into {res.partitions:,} partitions.")
-        print(f"Points with label=1: {res.positives:,} / {res.rows:,} = {res.positive_percent:f}%")
+        print(f"Input: {res.rows:,} rows, {res.model_width:,} features, {res.partitions:,} partitions")
+        print(f"Label 1 on {res.positives:,} of {res.rows:,} rows ({res.positive_percent:f}%)")
         ranking, zeros = model_report(spark, res.model)
-        print("MODEL WEIGHTS:")
         for row in ranking.orderBy("rank").select("line").toLocalIterator():
             print(row["line"])
         z = zeros.first()
-        print(f"Remaining {z['zero']:,} / {z['total']:,} = {z['percent'] or 0.0:f}% features have 0 weight.")
+        print(f"Zero weight: {z['zero']:,} of {z['total']:,} features ({z['percent'] or 0.0:f}%)")
         if args.out:
-            print(f"Wrote: {args.out}")
+            print(f"Saved under {args.out}")
     else:
         out = predict(
             spark, args.input, args.model, out=args.out, target=args.target, ignore=args.ignore,
@@ -83,7 +82,7 @@ def main(argv: list[str] | None = None) -> int:
         elif not args.out:
             print("No --out given: predictions were computed but not written.")
         if args.out:
-            print(f"Wrote: {args.out}")
+            print(f"Saved under {args.out}")
     return 0
 
 

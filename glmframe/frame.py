@@ -3,10 +3,10 @@
 Two physical layouts, both with one ``label DOUBLE`` column plus optional
 pass-through columns (row keys, input-order keys):
 
-* **wide** (default up to ``WIDE_CUTOFF`` features): one ``f_<i> DOUBLE``
+* **wide** (the default): one ``f_<i> DOUBLE``
   column per feature, so Catalyst prunes unused features and every
   expression is whole-stage code generated;
-* **packed** (more features): one ``features ARRAY<DOUBLE>`` column. Plans
+* **packed** (on request, for hundreds of features or more): one ``features ARRAY<DOUBLE>`` column. Plans
   stay small however many features there are (a wide plan with thousands of
   columns compiles slowly and a thousand-term sum overflows the code
   generator), and profiles run through vector aggregates.
@@ -18,6 +18,7 @@ plan; only ``without_constant_features`` runs a job (one aggregate pass).
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
 
@@ -30,7 +31,6 @@ from glmframe.functions.numeric import lenient_number
 LABEL = "label"
 FEATURE_PREFIX = "f_"
 PACKED = "features"
-WIDE_CUTOFF = 200
 
 
 def qcol(name: str) -> Column:
@@ -97,16 +97,12 @@ def build_frame(
     features: Sequence[Column],
     names: Sequence[str],
     carry: Sequence[Column | str] = (),
-    packed: bool | None = None,
+    packed: bool = False,
 ) -> "FeatureFrame":
-    """Select label + features (+ carry) from ``df`` in the chosen layout.
-
-    ``packed=None`` picks the packed layout above ``WIDE_CUTOFF`` features.
-    """
+    """Select label + features (+ carry) from ``df`` in the chosen layout."""
     names = tuple(names)
-    use_packed = len(names) > WIDE_CUTOFF if packed is None else packed
     carry_cols = [qcol(c) if isinstance(c, str) else c for c in carry]
-    if use_packed:
+    if packed:
         arr = F.array(*[e.cast("double") for e in features]) if features else F.array().cast("array<double>")
         out = df.select(label.cast("double").alias(LABEL), arr.alias(PACKED), *carry_cols)
     else:
@@ -116,7 +112,7 @@ def build_frame(
             *carry_cols,
         )
     carry_names = tuple(out.columns[len(out.columns) - len(carry_cols):]) if carry_cols else ()
-    return FeatureFrame(out, names, carry_names, use_packed)
+    return FeatureFrame(out, names, carry_names, packed)
 
 
 @dataclass(frozen=True)
@@ -134,7 +130,7 @@ class FeatureFrame:
         features: Mapping[str, Column | str] | Sequence[str],
         label: Column | str | None = None,
         carry: Sequence[str] = (),
-        packed: bool | None = None,
+        packed: bool = False,
     ) -> "FeatureFrame":
         """Frame from column expressions: ``features`` maps name -> expression."""
         if isinstance(features, Mapping):
@@ -154,11 +150,22 @@ class FeatureFrame:
         label: Column | str | None = None,
         carry: Sequence[str] = (),
     ) -> "FeatureFrame":
-        """Packed frame straight from a numeric array column (no unpacking)."""
+        """Packed frame straight from a numeric array column (no unpacking).
+
+        An array whose length isn't that of ``names`` fails the job; a NULL array
+        is a row without features.
+        """
         label_expr = F.lit(0.0) if label is None else (qcol(label) if isinstance(label, str) else label)
+        array_col_expr = qcol(array_col).cast("array<double>")
         out = df.select(
             label_expr.cast("double").alias(LABEL),
-            qcol(array_col).cast("array<double>").alias(PACKED),
+            F.when(
+                F.size(array_col_expr) == len(names), array_col_expr
+            ).when(
+                array_col_expr.isNotNull(),
+                F.raise_error(F.concat(F.lit(f"{array_col}: not {len(names)} long but "), F.size(array_col_expr)))
+                .cast("array<double>"),
+            ).alias(PACKED),
             *[qcol(c) for c in carry],
         )
         return cls(out, tuple(names), tuple(carry), True)
@@ -172,7 +179,7 @@ class FeatureFrame:
         max_features: int | None = None,
         carry: Sequence[str] = (),
         on_error: str = "raise",
-        packed: bool | None = None,
+        packed: bool = False,
     ) -> "FeatureFrame":
         """Frame from a typed table, with the same role rules as the CSV scan.
 
@@ -269,7 +276,7 @@ class FeatureFrame:
             return self
         if self.packed:
             # one lambda over a literal index array: plan size independent of width
-            idx = F.array(*[F.lit(i) for i in indices]) if indices else F.array().cast("array<int>")
+            idx = F.from_json(F.lit(json.dumps(indices)), "array<int>")
             arr = F.transform(idx, lambda i: F.col(PACKED)[i])
             out = self.df.select(F.col(LABEL), arr.alias(PACKED), *[qcol(c) for c in self.carry])
             return FeatureFrame(out, new_names, self.carry, True)

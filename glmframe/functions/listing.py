@@ -55,11 +55,10 @@ def truncated_listing(
     """
     group_cols = list(group_cols)
     pieces = df.select(*group_cols, F.col(order_col).alias("_k"), F.col(piece_col).cast("string").alias("_p"))
+    totals = pieces.groupBy(*group_cols).agg(F.count("_p").alias("_n_total"))
     pieces = pieces.where(F.col("_p").isNotNull())
     order = Window.partitionBy(*group_cols).orderBy("_k", "_p")
 
-    totals = pieces.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_n_total"))
-
     cap = rank_cap(max_length, separator, ellipsis)
     head = pieces
     if cap is not None:
@@ -71,29 +70,14 @@ def truncated_listing(
         F.array_sort(F.collect_list(F.when(F.col("_keep"), F.struct("_k", "_p")))).alias("_kept"),
         F.count_if(F.col("_keep")).alias("_n_kept"),
     )
-    joined = totals.join(kept, on=group_cols, how="left")
+    # NULL is a group like any other; a group of NULL pieces alone has an empty text
+    same = [totals[c].eqNullSafe(kept[c]) for c in group_cols]
+    joined = totals.join(kept, on=same, how="left")
     n_kept = F.coalesce(F.col("_n_kept"), F.lit(0))
     text = F.coalesce(F.array_join(F.transform("_kept", lambda x: x["_p"]), separator), F.lit(""))
     tail = (
         F.when(F.col("_n_total") > n_kept, F.when(n_kept > 0, F.lit(separator + ellipsis)).otherwise(F.lit(ellipsis)))
         .otherwise(F.lit(""))
     )
-    return joined.select(*group_cols, F.concat(text, tail).alias(out_col))
-
+    return joined.select(*[totals[c] for c in group_cols], F.concat(text, tail).alias(out_col))
 
-def truncated_text(pieces: Sequence[str], max_length: int, separator: str = DEFAULT_SEPARATOR,
-                   ellipsis: str = DEFAULT_ELLIPSIS) -> str:
-    """Driver-side form for a short, already local list (option text, messages)."""
-    out: list[str] = []
-    remaining = max_length
-    n = len(pieces)
-    i = 0
-    while i < n and remaining > len(ellipsis):
-        out.append(pieces[i])
-        if i + 1 < n:
-            out.append(separator)
-        remaining -= len(pieces[i]) + len(separator)
-        i += 1
-    if i < n:
-        out.append(ellipsis)
-    return "".join(out)

@@ -6,6 +6,7 @@ inside whole-stage codegen and work unchanged on streaming DataFrames.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -98,6 +99,11 @@ def linear_margin(
     return acc + F.lit(float(intercept))
 
 
+def double_array(values: Sequence[float]) -> Column:
+    """An ``ARRAY<DOUBLE>`` literal, as one value whatever its length."""
+    return F.from_json(F.lit(json.dumps([float(v) for v in values])), "array<double>")
+
+
 def packed_margin(features: Column, weights: Sequence[float], intercept: float = 0.0) -> Column:
     """Margin of an ``ARRAY<DOUBLE>`` of features: a left-to-right fold of
     ``x_i * w_i`` (the same order as :func:`linear_margin`) plus intercept.
@@ -105,12 +111,9 @@ def packed_margin(features: Column, weights: Sequence[float], intercept: float =
     The weights are one array literal, so the plan stays small for any
     number of features; the fold is a higher-order function evaluated per
     row without recursion depth limits. Arrays shorter than the model give
-    NULL (missing features), like a short row.
+    NULL (missing features), like a short row, and so do longer ones.
     """
-    if weights:
-        w = F.array(*[F.lit(float(x)) for x in weights])
-    else:
-        w = F.array().cast("array<double>")
+    w = double_array(weights)
     products = F.zip_with(features, w, lambda x, y: x * y)
     total = F.aggregate(products, F.lit(0.0), lambda acc, v: acc + v)
     complete = F.size(features) == F.lit(len(weights))
@@ -126,10 +129,11 @@ def threshold_class(probability: Column, threshold: float = 0.5) -> Column:
     """1.0 when the probability is strictly above the threshold, else 0.0.
 
     A NaN probability gives 0.0 (IEEE: NaN is above nothing), whereas Spark's
-    own ordering puts NaN above every number, hence the explicit test.
+    own ordering puts NaN above every number, hence the explicit test. A NULL
+    probability (a missing feature) gives NULL, never a class.
     """
     above = (probability > F.lit(float(threshold))) & ~F.isnan(probability)
-    return F.when(above, F.lit(1.0)).otherwise(F.lit(0.0))
+    return F.when(probability.isNotNull(), F.when(above, F.lit(1.0)).otherwise(F.lit(0.0)))
 
 
 def format_fixed(c: Column | str, digits: int = 6) -> Column:

@@ -11,7 +11,6 @@ from glmframe.operators.profile import (
     standardize,
 )
 from glmframe.operators.row_index import with_input_order_index, with_row_index
-from glmframe.operators.spread import spread_if_narrow
 from glmframe.operators.scoring import accuracy, align, confusion_counts, keyed_predictions, score
 from glmframe.operators.train import fit_linear, fit_logistic_l1
 
@@ -30,7 +29,6 @@ __all__ = [
     "observe_counters",
     "positive_rate",
     "score",
-    "spread_if_narrow",
     "standardize",
     "weight_ranking",
     "with_input_order_index",

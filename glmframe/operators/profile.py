@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from glmframe.frame import LABEL, PACKED, FeatureFrame, fcol, qcol
+from glmframe.functions.numeric import double_array
 
 log = logging.getLogger(__name__)
 
@@ -44,28 +45,14 @@ def matrix_shape(frame: FeatureFrame) -> DataFrame:
 
 
 def partition_count(frame: FeatureFrame) -> int:
-    """Number of partitions of the frame's plan (planning only, no job)."""
+    """Number of partitions of the frame's plan.
+
+    Under adaptive execution this runs the plan's shuffle stages, if it has any.
+    """
     return frame.df.rdd.getNumPartitions()
 
 
 # -------------------------------------------------------- constant features
-# Above this many features the per-column aggregates (three or two buffers
-# per feature in one HashAggregate) lose to one vector aggregate over the
-# feature array, whatever the layout (measured: 150 features, 600k rows,
-# flags 11.7 s per column vs 5.5 s as a vector).
-VECTOR_PROFILE_MIN = 32
-
-
-def _vector_profile(frame: FeatureFrame) -> bool:
-    return frame.packed or frame.width > VECTOR_PROFILE_MIN
-
-
-def _has_rows(frame: FeatureFrame) -> bool:
-    """One row probe: the scan stops at the first row (the vector aggregate
-    cannot summarise an empty input)."""
-    return bool(frame.df.select(F.lit(1)).take(1))
-
-
 def _constant_stats(frame: FeatureFrame) -> list[Column]:
     stats = [F.count(F.lit(1)).alias("_rows")]
     for c in frame.feature_cols:
@@ -90,56 +77,32 @@ def _is_constant(c: str) -> Column:
     return ~F.coalesce(varies, F.lit(False))
 
 
-def _packed_stats(frame: FeatureFrame) -> DataFrame:
-    """One row ``_rows, _min, _max, _nan`` (arrays: one entry per feature).
+def _by_position(frame: FeatureFrame, *aggs: Column) -> DataFrame:
+    """Aggregates of a packed frame's features: one row per position, combined map-side.
 
-    Vector aggregates (``Summarizer``) over the packed column: one pass,
-    map-side partial aggregation, no explode. NaN is counted through an
-    indicator vector; min/max only matter when no NaN is present.
+    Column ``x`` is the feature, so NULL and NaN count exactly as in the
+    aggregates of the wide layout's columns.
     """
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-    from pyspark.ml.stat import Summarizer
-
-    arr = frame.feature_array()
-    vec = array_to_vector(arr)
-    nan_ind = array_to_vector(F.transform(arr, lambda x: F.when(F.isnan(x), 1.0).otherwise(0.0)))
-    return frame.df.agg(
-        F.count(F.lit(1)).alias("_rows"),
-        Summarizer.metrics("min", "max").summary(vec).alias("s"),
-        Summarizer.metrics("sum").summary(nan_ind).alias("n"),
-    ).select(
-        "_rows",
-        vector_to_array(F.col("s.min")).alias("_min"),
-        vector_to_array(F.col("s.max")).alias("_max"),
-        vector_to_array(F.col("n.sum")).alias("_nan"),
-    )
+    exploded = frame.df.select(F.posexplode(PACKED).alias("position", "x"))
+    return exploded.groupBy("position").agg(F.count(F.lit(1)).alias("_rows"), *aggs)
 
 
-def _packed_flags(stats: DataFrame, names: tuple[str, ...]) -> DataFrame:
-    name_arr = F.array(*[F.lit(n) for n in names]) if names else F.array().cast("array<string>")
-    # constant = fewer than two rows, or no NaN and min = max (as in the wide form)
-    flags = F.transform(
-        name_arr,
-        lambda n, i: F.struct(
-            i.alias("position"),
-            n.alias("name"),
-            (
-                (F.col("_rows") < 2)
-                | ((F.col("_nan")[i] == 0.0) & (F.col("_min")[i] == F.col("_max")[i]))
-            ).alias("is_constant"),
-        ),
+def _packed_flags(frame: FeatureFrame) -> DataFrame:
+    stats = _by_position(
+        frame, F.min("x").alias("x__min"), F.max("x").alias("x__max"), F.count_if(F.isnan("x")).alias("x__nan")
+    )
+    names = frame.df.sparkSession.createDataFrame(
+        list(enumerate(frame.feature_names)), "position INT, name STRING"
     )
-    return stats.select(F.inline(flags))
+    # no rows: every feature counts as constant
+    flag = F.coalesce(_is_constant("x"), F.lit(True))
+    return names.join(stats, "position", "left").select("position", "name", flag.alias("is_constant"))
 
 
 def constant_feature_flags(frame: FeatureFrame) -> DataFrame:
-    """``(position, name, is_constant)`` per feature, from one aggregate row."""
-    if _vector_profile(frame):
-        if not _has_rows(frame):
-            # no rows: every feature counts as constant (as the per-column form says)
-            flags = [(i, n, True) for i, n in enumerate(frame.feature_names)]
-            return frame.df.sparkSession.createDataFrame(flags, "position INT, name STRING, is_constant BOOLEAN")
-        return _packed_flags(_packed_stats(frame), frame.feature_names)
+    """``(position, name, is_constant)`` per feature, from one aggregate pass."""
+    if frame.packed:
+        return _packed_flags(frame)
     stats = frame.df.agg(*_constant_stats(frame))
     entries = [
         F.struct(F.lit(i).alias("position"), F.lit(n).alias("name"), _is_constant(fcol(i)).alias("is_constant"))
@@ -157,52 +120,28 @@ def drop_constant_features(frame: FeatureFrame) -> FeatureFrame:
     """
     if frame.width == 0:
         return frame
-    if _vector_profile(frame):
-        if not _has_rows(frame):
-            log.warning("drop_constant_features on an empty frame: nothing dropped")
-            return frame
-        stats = _packed_stats(frame).first()  # one value per feature (model-sized)
-        if stats["_rows"] == 0:
-            log.warning("drop_constant_features on an empty frame: nothing dropped")
-            return frame
-        rows, mins, maxs, nans = stats["_rows"], stats["_min"], stats["_max"], stats["_nan"]
-        keep = [i for i in range(frame.width) if rows >= 2 and (nans[i] > 0 or mins[i] != maxs[i])]
-        return frame.project_by_index(keep)
-    row = frame.df.agg(*_constant_stats(frame)).select(
-        "_rows", *[_is_constant(c).alias(c) for c in frame.feature_cols]
-    ).first()
-    if row["_rows"] == 0:
+    if not frame.df.select(F.lit(1)).take(1):
         log.warning("drop_constant_features on an empty frame: nothing dropped")
         return frame
-    keep = [i for i, c in enumerate(frame.feature_cols) if not row[c]]
-    return frame.project_by_index(keep)
+    # one flag per feature: model-sized
+    flags = constant_feature_flags(frame).collect()
+    return frame.project_by_index(sorted(r["position"] for r in flags if not r["is_constant"]))
 
 
 # ------------------------------------------------------------ standardising
-def _packed_moments(frame: FeatureFrame) -> list[tuple[float | None, float | None]]:
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-    from pyspark.ml.stat import Summarizer
-
-    if not _has_rows(frame):
-        return [(None, None)] * frame.width
-    vec = array_to_vector(frame.feature_array())
-    row = frame.df.agg(Summarizer.metrics("mean", "std").summary(vec).alias("s")).select(
-        vector_to_array(F.col("s.mean")).alias("mean"), vector_to_array(F.col("s.std")).alias("std")
-    ).first()
-    if row is None or row["mean"] is None:
-        return [(None, None)] * frame.width
-    return list(zip(row["mean"], row["std"]))
-
-
-def column_moments(frame: FeatureFrame) -> dict[str, tuple[float | None, float | None]]:
-    """Per feature column: (mean, sample standard deviation), one pass."""
-    if _vector_profile(frame):
-        return dict(zip(frame.feature_cols, _packed_moments(frame)))
+def column_moments(frame: FeatureFrame) -> list[tuple[float | None, float | None]]:
+    """Per feature: (mean, sample standard deviation), one pass."""
+    if frame.packed:
+        rows = _by_position(frame, F.avg("x").alias("mean"), F.stddev_samp("x").alias("std")).collect()
+        found = {r["position"]: (r["mean"], r["std"]) for r in rows}
+        return [found.get(i, (None, None)) for i in range(frame.width)]
     aggs = []
     for c in frame.feature_cols:
         aggs += [F.avg(c).alias(f"{c}__mean"), F.stddev_samp(c).alias(f"{c}__std")]
+    if not aggs:
+        return []
     row = frame.df.agg(*aggs).first()
-    return {c: (row[f"{c}__mean"], row[f"{c}__std"]) for c in frame.feature_cols}
+    return [(row[f"{c}__mean"], row[f"{c}__std"]) for c in frame.feature_cols]
 
 
 def standardize(frame: FeatureFrame, center: bool = True, scale: bool = True) -> FeatureFrame:
@@ -215,8 +154,7 @@ def standardize(frame: FeatureFrame, center: bool = True, scale: bool = True) ->
         return _standardize_packed(frame, center, scale)
     moments = column_moments(frame)
     cols = [F.col(LABEL)]
-    for c in frame.feature_cols:
-        mean, std = moments[c]
+    for c, (mean, std) in zip(frame.feature_cols, moments):
         x = F.col(c)
         if center and mean is not None:
             x = x - F.lit(float(mean))
@@ -228,21 +166,16 @@ def standardize(frame: FeatureFrame, center: bool = True, scale: bool = True) ->
 
 
 def _standardize_packed(frame: FeatureFrame, center: bool, scale: bool) -> FeatureFrame:
-    """Packed form: ``(x - mean) * (1 / sd)`` element-wise against two
-    literal arrays; a feature whose stddev is 0 or undefined becomes 0.0."""
-    moments = _packed_moments(frame)
-
-    def lit_array(values: list[float]):
-        return F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<double>")
-
+    """The same formula element-wise, against arrays of means and deviations."""
+    moments = column_moments(frame)
     out = F.col(PACKED)
     if center:
-        means = lit_array([float(m) if m is not None else 0.0 for m, _ in moments])
-        out = F.zip_with(out, means, lambda x, m: x - m)
+        out = F.zip_with(out, double_array([m or 0.0 for m, _ in moments]), lambda x, m: x - m)
     if scale:
-        inv = lit_array([1.0 / float(sd) if sd not in (None, 0.0) else 0.0 for _, sd in moments])
-        zero = lit_array([1.0 if sd in (None, 0.0) else 0.0 for _, sd in moments])
-        out = F.zip_with(F.zip_with(out, inv, lambda x, k: x * k), zero, lambda x, z: F.when(z == 1.0, 0.0).otherwise(x))
+        # a deviation of 0 or none stands for "becomes 0.0"
+        out = F.zip_with(
+            out, double_array([sd or 0.0 for _, sd in moments]), lambda x, sd: F.when(sd == 0.0, 0.0).otherwise(x / sd)
+        )
     df = frame.df.select(F.col(LABEL), out.alias(PACKED), *[qcol(c) for c in frame.carry])
     return frame.with_df(df)
 

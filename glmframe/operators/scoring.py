@@ -3,7 +3,7 @@
 Scoring is a single projection: the model weights are literals in an
 arithmetic expression (no ML UDF), so it fuses with the scan into one
 whole-stage-codegen stage, needs no shuffle and works on streaming frames.
-Above ``WIDE_CUTOFF`` features (or on a packed frame) the margin is a fold
+On a packed frame the margin is a fold
 over the feature array against one weight-array literal instead.
 """
 
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glmframe.frame import LABEL, WIDE_CUTOFF, FeatureFrame, qcol
+from glmframe.frame import LABEL, FeatureFrame, qcol
 from glmframe.functions.numeric import linear_margin, logistic, packed_margin, threshold_class
 from glmframe.sources.model_store import LinearModel
 
@@ -49,10 +49,10 @@ def score(frame: FeatureFrame, model: LinearModel, align_mode: str = "name", thr
 
     Logistic models: probability = logistic(margin), prediction = 1.0 when
     probability > threshold else 0.0. Linear models: probability is NULL
-    and prediction = margin.
+    and prediction = margin. A row with a missing feature has no prediction.
     """
     aligned = align(frame, model, align_mode)
-    if aligned.packed or aligned.width > WIDE_CUTOFF:
+    if aligned.packed:
         margin = packed_margin(aligned.feature_array(), model.weights, model.intercept)
     else:
         margin = linear_margin(aligned.feature_cols, model.weights, model.intercept)
@@ -71,12 +71,13 @@ def confusion_counts(scored: DataFrame) -> DataFrame:
 
 
 def accuracy(scored: DataFrame) -> DataFrame:
-    """One row ``(rows, correct, accuracy)``; accuracy is NULL on no rows."""
+    """One row ``(rows, correct, unscored, accuracy)``: ``rows`` have a prediction,
+    ``unscored`` ones don't; accuracy is over the former (NULL on no rows)."""
     agg = scored.agg(
-        F.count(F.lit(1)).alias("rows"), F.count_if(F.col(LABEL) == F.col("prediction")).alias("correct")
+        F.count("prediction").alias("rows"), F.count_if(F.col("prediction").isNull()).alias("unscored"), F.count_if(F.col(LABEL) == F.col("prediction")).alias("correct")
     )
     acc = F.when(F.col("rows") > 0, F.col("correct") / F.col("rows"))
-    return agg.select("rows", "correct", acc.alias("accuracy"))
+    return agg.select("rows", "correct", "unscored", acc.alias("accuracy"))
 
 
 def keyed_predictions(scored: DataFrame, keys: list[str]) -> DataFrame:

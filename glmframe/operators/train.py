@@ -13,22 +13,19 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
 from glmframe.frame import LABEL, FeatureFrame
-from glmframe.operators.spread import spread_if_narrow
 from glmframe.sources.model_store import LinearModel
 
 
 def training_input(frame: FeatureFrame) -> DataFrame:
-    """Assembled input, spread over the task slots and persisted for the fit.
+    """Assembled input, persisted for the fit.
 
     The solver makes one pass per iteration, so the input is persisted
     (memory, spilling to disk) by us, once, instead of being re-derived for
-    every pass; lost blocks are recomputed from lineage. A narrow input (fewer
-    partitions than task slots) is spread first unless it is tiny (see
-    ``spread_if_narrow``); a large input is not shuffled. The caller
+    every pass; lost blocks are recomputed from lineage. It is never shuffled:
+    a caller whose input has too few partitions repartitions it. The caller
     unpersists after the fit.
     """
-    df = spread_if_narrow(frame.assembled("features"))
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+    return frame.assembled("features").persist(StorageLevel.MEMORY_AND_DISK)
 
 
 # the partial gradients that reach the driver in one iteration stay below this
@@ -44,8 +41,10 @@ def tree_depth(partitions: int, width: int, budget: int = DRIVER_MERGE_BYTES) ->
     depth 5; a few thousand partitions or narrow models keep the default 2.
     """
     per_partial = 8 * max(1, width) + 64
+    if per_partial > budget:
+        raise ValueError(f"one gradient of {width} features exceeds the budget of {budget} bytes")
     depth = 2
-    while depth < 10 and (max(1, partitions) ** (1.0 / depth)) * per_partial > budget:
+    while (max(1, partitions) ** (1.0 / depth)) * per_partial > budget:
         depth += 1
     return depth
 
@@ -61,6 +60,7 @@ def _fit(estimator, frame: FeatureFrame, data: DataFrame | None, depth: int | No
         data = own = training_input(frame)
     try:
         if estimator.hasParam("aggregationDepth"):
+            data.count()  # fills the persisted copy, whose partitions are known then
             chosen = depth or tree_depth(data.rdd.getNumPartitions(), frame.width)
             estimator = estimator.copy({estimator.getParam("aggregationDepth"): chosen})
         return estimator.fit(data)

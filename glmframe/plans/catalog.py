@@ -47,7 +47,6 @@ LINEITEM_MODEL = LinearModel(("q", "l_discount", "l_tax"), (0.08, -3.0, 5.0), -0
 EVENTS_MODEL = LinearModel(("value", "user_id"), (0.01, -0.02), 0.5)
 LEARN_REG_PARAM = 0.1
 LISTING_BUDGET = 60
-STREAM_TIMEOUT_SECONDS = 1800
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -294,7 +293,47 @@ def q_score_class(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_score_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     acc = accuracy(_scored_fixed(spark, sf_dir))
-    return acc.select("rows", "correct", rounded("accuracy").alias("accuracy"))
+    return acc.select("rows", "correct", "unscored", rounded("accuracy").alias("accuracy"))
+
+
+def _events_with_missing(spark: SparkSession, sf_dir: str) -> FeatureFrame:
+    """Events as text cells, every seventh value no number."""
+    ev = table(spark, sf_dir, "events")
+    text = F.when(F.col("event_id") % 7 == 0, F.lit("n/a")).otherwise(F.col("value").cast("string"))
+    cells = ev.select("event_id", text.alias("value"), "user_id", (F.col("event_type") == "purchase").alias("Y"))
+    return FeatureFrame.from_table(cells, target="Y", carry=["event_id"], on_error="null")
+
+
+def q_score_with_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score(_events_with_missing(spark, sf_dir), EVENTS_MODEL).select("event_id", "label", "prediction")
+
+
+def q_csv_quoted_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text (commas, quotes, backslashes put in) as a quoted cell beside numbers, read back."""
+    docs = table(spark, sf_dir, "documents")
+    told = F.concat(F.lit('"\\'), F.regexp_replace("text", "[\\r\\n]+", " "), F.lit(',\\"'))
+    src = docs.select("doc_id", told.alias("text"), "n_chars", (F.col("lang") == "en").alias("Y"))
+    paths = write_matrix_csv(src, _scratch(spark, "csv-quoted"))
+    fr = read_matrix(spark, paths, target="Y", carry=["doc_id", "text"])
+    key = F.col("doc_id").cast("long").alias("doc_id")
+    return fr.df.select(key, F.md5("text").alias("text_md5"), "label", F.col("f_0").alias("n_chars"))
+
+
+def q_duplicate_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names that a header repeats: part columns, two of them written twice."""
+    src = table(spark, sf_dir, "part").select("p_size", "p_retailprice", "p_size", "p_partkey", "p_size", "p_retailprice")
+    names = ["size", "price", "size", "key", "size", "price"]
+    paths = write_matrix_csv(src.toDF(*[f"c{i}" for i in range(6)]), _scratch(spark, "dup-names"), header=names)
+    return duplicate_columns(spark, paths)
+
+
+def q_constant_flags_with_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packed profile of the embedding dimensions, every third one NULL in most rows."""
+    emb = table(spark, sf_dir, "embeddings")
+    holes = F.transform("embedding", lambda x, i: F.when((i % 3 != 0) | (F.col("vec_id") == 0), x.cast("double")))
+    names = [f"e{i}" for i in range(emb.select(F.max(F.size("embedding")).alias("d")).first()["d"])]
+    fr = FeatureFrame.from_array(emb.select(holes.alias("v"), "vec_id"), "v", names)
+    return constant_feature_flags(fr)
 
 
 def q_confusion_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -440,12 +479,10 @@ def q_csv_packed_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_stream_keyed_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     paths = _keyed_lineitem_csv(spark, sf_dir, "stream-in")
     header = ["row_key", "q", "l_tax", "l_discount", "Y"]
-    frame = read_matrix_stream(spark, paths[1], header, target="Y", carry=["row_key"], max_files_per_trigger=4)
+    frame = read_matrix_stream(spark, paths[1], header, target="Y", carry=["row_key"])
     out = _scratch(spark, "stream-out")
     query = start_keyed_scoring(frame, LINEITEM_MODEL, ["row_key"], out)
-    if not query.awaitTermination(STREAM_TIMEOUT_SECONDS):
-        query.stop()
-        raise TimeoutError(f"streaming scoring did not finish within {STREAM_TIMEOUT_SECONDS} s")
+    query.awaitTermination()  # an availableNow run ends by itself
     if query.exception() is not None:
         raise RuntimeError(f"streaming scoring failed: {query.exception()}")
     return spark.read.schema("row_key STRING, prediction DOUBLE").parquet(out)
@@ -475,6 +512,10 @@ QUERIES: dict[str, Query] = {
     "score_probability": q_score_probability,
     "score_class": q_score_class,
     "score_accuracy": q_score_accuracy,
+    "score_with_missing": q_score_with_missing,
+    "csv_quoted_scan": q_csv_quoted_scan,
+    "duplicate_names": q_duplicate_names,
+    "constant_flags_with_missing": q_constant_flags_with_missing,
     "confusion_counts": q_confusion_counts,
     "predictions_keyed": q_predictions_keyed,
     "predictions_indexed": q_predictions_indexed,
@@ -628,8 +669,28 @@ ORACLE_SQL: dict[str, str] = {
         f"SELECT l_orderkey, l_linenumber, round({_prob(LI_MARGIN)}, 6) + 0.0 AS probability FROM lineitem"
     ),
     "score_class": f"SELECT l_orderkey, l_linenumber, {_cls(LI_MARGIN)} AS prediction FROM lineitem",
+    "score_with_missing": (
+        "SELECT event_id, CASE WHEN event_type = 'purchase' THEN 1.0 ELSE 0.0 END::DOUBLE AS label, "
+        "CASE WHEN event_id % 7 = 0 THEN NULL WHEN 0.01 * value - 0.02 * user_id + 0.5 > 0 THEN 1.0 ELSE 0.0 END::DOUBLE "
+        "AS prediction FROM events"
+    ),
+    "csv_quoted_scan": (
+        "SELECT doc_id, md5(trim('\"' || chr(92) || regexp_replace(text, '[\\r\\n]+', ' ', 'g') || ',' || chr(92) || '\"')) "
+        "AS text_md5, CASE WHEN lang = 'en' THEN 1.0 ELSE 0.0 END::DOUBLE AS label, n_chars::DOUBLE AS n_chars FROM documents"
+    ),
+    "duplicate_names": (
+        "SELECT name, n::BIGINT AS occurrences FROM (VALUES ('size', 3), ('price', 2)) t(name, n) "
+        "WHERE (SELECT count(*) FROM part) > 0"
+    ),
+    "constant_flags_with_missing": (
+        "SELECT position, 'e' || position AS name, "
+        "count(DISTINCT CASE WHEN position % 3 <> 0 OR vec_id = 0 THEN v END) < 2 AS is_constant "
+        "FROM (SELECT vec_id, unnest(embedding)::DOUBLE AS v, "
+        "(generate_subscripts(embedding, 1) - 1)::INTEGER AS position FROM embeddings) GROUP BY position"
+    ),
     "score_accuracy": (
         "SELECT count(*) AS rows, count(*) FILTER (WHERE label = prediction) AS correct, "
+        "count(*) FILTER (WHERE prediction IS NULL) AS unscored, "
         "round(CAST(count(*) FILTER (WHERE label = prediction) AS DOUBLE) / count(*), 6) + 0.0 AS accuracy "
         f"FROM (SELECT {_flag('l_quantity > 25')} AS label, {_cls(LI_MARGIN)} AS prediction FROM lineitem)"
     ),

@@ -84,12 +84,12 @@ def train(
     args = arguments if arguments is not None else (
         f"--input={input_path}", f"--kind={kind}", f"--num-iterations={num_iterations}", f"--reg-param={reg_param}"
     )
-    partitions = frame.df.rdd.getNumPartitions()  # planning only, no job
     # one persisted copy serves the profile pass and every solver pass, so the
     # input is scanned and parsed once
     data = training_input(frame)
     try:
         rows, positives = profile_once(frame.with_df(data))
+        partitions = data.rdd.getNumPartitions()  # of the persisted copy: no job
         log.info("Loaded %d x %d matrix into %d partitions; label=1 on %d rows", rows, frame.width, partitions, positives)
         if kind == "logistic":
             model = fit_logistic_l1(frame, reg_param=reg_param, max_iter=num_iterations, arguments=args, data=data)

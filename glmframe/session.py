@@ -61,6 +61,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return sc.getCheckpointDir() or current
+    if not sc.master.startswith("local"):
+        raise RuntimeError(f"{CHECKPOINT_CONF} isn't set: on a cluster it must name a folder that all executors share")
     local = tempfile.mkdtemp(prefix="glmframe-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     spark.conf.set(CHECKPOINT_CONF, local)
     sc.setCheckpointDir(local)

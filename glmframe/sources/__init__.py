@@ -5,7 +5,7 @@ from glmframe.sources.csv_matrix import (
     column_names,
     column_profile,
     duplicate_columns,
-    input_files,
+    first_line,
     matrix_from_lines,
     read_header,
     read_matrix,
@@ -28,7 +28,7 @@ __all__ = [
     "column_names",
     "column_profile",
     "duplicate_columns",
-    "input_files",
+    "first_line",
     "load_model",
     "matrix_from_lines",
     "model_from_weights",

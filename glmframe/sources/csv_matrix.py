@@ -16,49 +16,44 @@ Rules kept from the command-line tool this library replaces:
 * a cell is a Java double literal, else ``true``/``false`` in any case, else
   the job fails (``on_error='null'`` keeps going with NULL).
 
-Physical plan: ``text`` scan -> one ``from_csv`` per line -> projection of the
-needed cells. Nothing but the single header line reaches the driver.
+Physical plan: ``text`` scan -> one array of cells per line -> projection of
+the needed positions; the same parse whatever the number of columns. Nothing
+but the single header line reaches the driver.
 """
 
 from __future__ import annotations
 
+import json
 import logging
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glmframe.frame import LABEL, PACKED, WIDE_CUTOFF, FeatureFrame, build_frame, parse_option_list, split_roles
-from glmframe.functions.listing import truncated_text
+from glmframe.frame import LABEL, PACKED, FeatureFrame, build_frame, parse_option_list, split_roles
 from glmframe.functions.numeric import lenient_number, trim_cell
-from glmframe.operators.spread import spread_if_narrow
 
 log = logging.getLogger(__name__)
 
 # Parser settings of the matrix CSV format.
 SEPARATOR = ","
 QUOTE = '"'
-BACKSLASH_QUOTE = r'\\"'  # regex for a backslash-escaped quote
 DOUBLED_QUOTE = '""'
-NULL_MARK = "\u0000"  # never produced by a trimmed cell; keeps "" distinct from NULL
+BACKSLASH_MARK = "\ue000"  # a private-use character (trimming leaves it): stands for an escaped backslash while a line is split
 
 # Pass-through columns that remember where a line came from (input order).
 ORDER_COLS = ("_src_file", "_src_block")
 
-CSV_OPTIONS = {
-    "sep": SEPARATOR,
-    "quote": QUOTE,
-    "escape": QUOTE,
-    "ignoreLeadingWhiteSpace": "true",
-    "ignoreTrailingWhiteSpace": "true",
-    "nullValue": NULL_MARK,
-    "mode": "PERMISSIVE",
-}
-
 
 def _normalised_line(value: Column) -> Column:
-    """Rewrite backslash-escaped quotes to doubled quotes before parsing."""
-    return F.regexp_replace(value, BACKSLASH_QUOTE, DOUBLED_QUOTE)
+    """Backslash escapes as the field pattern reads them.
+
+    An escaped backslash is marked, an escaped quote doubled, and a backslash
+    before anything else dropped; runs of backslashes pair up from the left.
+    """
+    value = F.regexp_replace(value, r"\\\\", BACKSLASH_MARK)
+    value = F.regexp_replace(value, r'\\"', DOUBLED_QUOTE)
+    return F.translate(value, "\\", "")
 
 
 # Characters dropped by the header-line pre-check: blanks, quote, backslash.
@@ -73,56 +68,47 @@ def _squeezed(line: Column) -> Column:
     return F.translate(line, SQUEEZE_CHARS, "")
 
 
-def _cell_schema(width: int) -> str:
-    return ", ".join(f"c{i} STRING" for i in range(width))
-
-
 def _paths(path: str | Sequence[str]) -> list[str]:
     return [path] if isinstance(path, str) else list(path)
 
 
-def input_files(spark: SparkSession, path: str | Sequence[str]) -> list[str]:
-    """Input files in path order (listing only, no data is read)."""
-    files = sorted(spark.read.text(_paths(path)).inputFiles())
-    if not files:
-        raise FileNotFoundError(f"no input files under {path!r}")
-    return files
+def _input_files_in_order(spark: SparkSession, path: str | Sequence[str]):
+    """Input files in path order, as a JVM set (listing only; no data is read, no name crosses to Python)."""
+    jvm = spark.sparkContext._jvm
+    names = jvm.scala.collection.immutable.ArraySeq.unsafeWrapArray(spark.read.text(_paths(path))._jdf.inputFiles())
+    return jvm.java.util.TreeSet(jvm.scala.jdk.javaapi.CollectionConverters.asJava(names.toSeq()))
 
 
-def _file_length(spark: SparkSession, file: str) -> int:
-    """Length of a file from the file system's metadata (no data read)."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(file)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return int(fs.getFileStatus(path).getLen())
+def _literal_path(name: str) -> str:
+    """A path as Spark's readers take it literally: glob characters escaped."""
+    return "".join("\\" + ch if ch in "{}[]*?\\" else ch for ch in name)
 
 
-def read_header(spark: SparkSession, path: str | Sequence[str]) -> list[str]:
-    """Trimmed column names from the first line of the first non-empty input
-    file (path order), like the first element of a text scan.
+def first_line(spark: SparkSession, path: str | Sequence[str]) -> str | None:
+    """The first line of the first non-empty file; None without any line.
 
-    Zero-length files are skipped by their metadata; ``limit(1)`` then scans
-    splits one at a time from the start, so only the head of one file is read.
+    Empty files are skipped by their metadata; file names cross to Python one
+    at a time, and only until a line is found.
     """
-    line = None
-    for file in input_files(spark, path):
-        if _file_length(spark, file) == 0:
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    files = _input_files_in_order(spark, path)
+    while not files.isEmpty():
+        file = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(files.pollFirst()))
+        if file.getFileSystem(conf).getFileStatus(file).getLen() == 0:
             continue
-        rows = spark.read.text(file).limit(1).collect()
+        rows = spark.read.text(_literal_path(file.toString())).limit(1).collect()
         if rows:
-            line = rows[0][0]
-            break
+            return rows[0][0]
+    return None
+
+
+def read_header(spark: SparkSession, path: str | Sequence[str]) -> list[str]:
+    """Trimmed column names from the first line of the first non-empty input
+    file (path order), parsed like any other line: any number of names."""
+    line = first_line(spark, path)
     if line is None:
         raise ValueError(f"no line in any input file under {path!r}: no header")
-    probe = spark.range(1).select(
-        F.schema_of_csv(F.lit(line.replace('\\"', DOUBLED_QUOTE)), CSV_OPTIONS).alias("s")
-    )
-    width = probe.first()["s"].count(":")
-    parsed = spark.range(1).select(
-        F.from_csv(_normalised_line(F.lit(line)), _cell_schema(width), CSV_OPTIONS).alias("r")
-    )
-    cells = parsed.select(*[trim_cell(F.col(f"r.c{i}")).alias(f"c{i}") for i in range(width)]).first()
-    return [c if c is not None else "" for c in cells]
+    return list(spark.range(1).select(cell_array(F.lit(line)).alias("c")).first()["c"])
 
 
 def duplicate_names(names: Sequence[str]) -> dict[str, int]:
@@ -133,51 +119,14 @@ def duplicate_names(names: Sequence[str]) -> dict[str, int]:
     return {n: k for n, k in counts.items() if k > 1}
 
 
-def parse_lines(lines: DataFrame, header: Sequence[str], keep_order: bool = False) -> DataFrame:
-    """Lines (column ``value``) as trimmed text cells ``c0..c<n-1>``, header lines removed.
-
-    Lines are parsed with one extra cell so that a line with surplus cells is
-    never mistaken for the header. With ``keep_order`` (file scans only) the
-    source file and split start are carried (see ``ORDER_COLS``). Works on a
-    streaming DataFrame too: it is a stateless projection and filter.
-    """
-    width = len(header)
-    extra: list[Column] = []
-    if keep_order:
-        extra = [
-            F.col("_metadata.file_path").alias(ORDER_COLS[0]),
-            F.col("_metadata.file_block_start").alias(ORDER_COLS[1]),
-        ]
-    parsed = lines.select(
-        F.col("value").alias("line"),
-        F.from_csv(_normalised_line(F.col("value")), _cell_schema(width + 1), CSV_OPTIONS).alias("r"),
-        *extra,
-    )
-    cells = parsed.select(
-        "line",
-        *[trim_cell(F.col(f"r.c{i}")).alias(f"c{i}") for i in range(width)],
-        F.col(f"r.c{width}").alias("_surplus"),
-        *[F.col(c) for c in (ORDER_COLS if keep_order else ())],
-    )
-    # Cheap necessary condition first: a header line, stripped of blanks,
-    # quotes and backslashes, equals the header stripped the same way (an
-    # extra cell, even an empty one, adds a separator). Only such lines pay
-    # for the exact cell-by-cell check, which Catalyst evaluates on its own
-    # parse once the filter is pushed below the projection.
-    candidate = _squeezed(F.col("line")) == F.lit(_squeeze_text(SEPARATOR.join(header)))
-    exact = F.col("_surplus").isNull()
-    for i, h in enumerate(header):
-        # an empty header cell parses as NULL, like an empty data cell
-        exact = exact & (F.coalesce(F.col(f"c{i}"), F.lit("")) == F.lit(h))
-    return cells.where(~(candidate & exact)).drop("_surplus", "line")
-
-
-# One field of a line and the separator that ends it: optional blanks, then a
-# quoted text (quotes doubled inside) with optional trailing blanks, or any run
+# One field of a line with the separator that ends it: a quoted text (quotes
+# doubled inside) between blanks, or a quoted text that never ends, or any run
 # without a separator. The line gets one separator appended, so every field
-# (also an empty one) is a non-empty match and none is skipped.
-FIELD_PATTERN = r'(\s*"(?:[^"]|"")*"\s*|[^,]*),'
-QUOTED_PATTERN = r'^"(.*)"$'
+# (also an empty one) is a non-empty match. Possessive loops only: matching
+# needs no stack, however long a cell is.
+_QUOTED = r'\s*+"[^"]*+(?:""[^"]*+)*+'
+FIELD_PATTERN = rf'(?s){_QUOTED}"\s*+,|{_QUOTED}\z|[^,]*+,'
+QUOTED_PATTERN = r'(?s)^"(.*?)"?$'
 
 
 def cell_array(line: Column) -> Column:
@@ -186,19 +135,23 @@ def cell_array(line: Column) -> Column:
     The plan is the same size for any number of cells (one regex extraction
     and one lambda), which keeps very wide matrices cheap to plan and compile.
     """
-    raw = F.regexp_extract_all(F.concat(_normalised_line(line), F.lit(SEPARATOR)), F.lit(FIELD_PATTERN), 1)
+    raw = F.regexp_extract_all(F.concat(_normalised_line(line), F.lit(SEPARATOR)), F.lit(FIELD_PATTERN), 0)
 
     def clean(c: Column) -> Column:
-        t = trim_cell(c)
-        quoted = t.rlike(QUOTED_PATTERN)
+        t = trim_cell(F.substring(c, F.lit(1), F.length(c) - 1))
         inner = F.regexp_replace(F.regexp_extract(t, QUOTED_PATTERN, 1), DOUBLED_QUOTE, QUOTE)
-        return F.when(quoted, trim_cell(inner)).otherwise(t)
+        return F.translate(F.when(t.startswith(QUOTE), trim_cell(inner)).otherwise(t), BACKSLASH_MARK, "\\")
 
     return F.transform(raw, clean)
 
 
-def parse_lines_packed(lines: DataFrame, header: Sequence[str], keep_order: bool = False) -> DataFrame:
-    """Lines as one ``_cells`` array each, header lines removed (any width)."""
+def parse_lines(lines: DataFrame, header: Sequence[str], keep_order: bool = False) -> DataFrame:
+    """Lines (column ``value``) as one ``_cells`` array of trimmed text each, header lines removed.
+
+    With ``keep_order`` (file scans only) the source file and split start are
+    carried (see ``ORDER_COLS``). Works on a streaming DataFrame too: it is a
+    stateless projection and filter.
+    """
     extra: list[Column] = []
     if keep_order:
         extra = [
@@ -207,11 +160,11 @@ def parse_lines_packed(lines: DataFrame, header: Sequence[str], keep_order: bool
         ]
     parsed = lines.select(F.col("value").alias("line"), cell_array(F.col("value")).alias("_cells"), *extra)
     candidate = _squeezed(F.col("line")) == F.lit(_squeeze_text(SEPARATOR.join(header)))
-    exact = F.col("_cells") == F.array(*[F.lit(h) for h in header])
+    exact = F.col("_cells") == F.from_json(F.lit(json.dumps(list(header))), "array<string>")
     return parsed.where(~(candidate & exact)).drop("line")
 
 
-def matrix_from_cell_array(
+def matrix_from_cells(
     cells: DataFrame,
     header: Sequence[str],
     target: str | None = "Y",
@@ -220,9 +173,14 @@ def matrix_from_cell_array(
     on_error: str = "raise",
     carry: Sequence[str] = (),
     keep_order: bool = False,
+    packed: bool = False,
+    carry_prefix: str = "",
 ) -> FeatureFrame:
-    """Packed frame from ``_cells`` arrays: features are one ``transform``
-    over the literal array of source positions."""
+    """Role split and number parsing of ``_cells`` arrays (see :func:`read_matrix`).
+
+    Only the needed positions are read. Packed features are one ``transform``
+    over the array of source positions, a single literal.
+    """
     target = target or None
     ignore_set = parse_option_list(ignore) | set(carry)
     label_pos, names, positions = split_roles(header, target, ignore_set, max_features)
@@ -234,15 +192,19 @@ def matrix_from_cell_array(
         label = lenient_number(
             F.get(arr, label_pos), on_error=on_error, what=f"column {header[label_pos]}", trimmed=True
         )
-    pos_arr = F.array(*[F.lit(p) for p in positions]) if positions else F.array().cast("array<int>")
+    order_cols = list(ORDER_COLS) if keep_order else []
+    carried = [F.get(arr, carry_pos[c]).alias(carry_prefix + c) for c in carry] + [F.col(c) for c in order_cols]
+    if not packed:
+        exprs = [
+            lenient_number(F.get(arr, p), on_error=on_error, what=f"column {header[p]}", trimmed=True) for p in positions
+        ]
+        return build_frame(cells, label, exprs, names, carried, False)
+    pos_arr = F.from_json(F.lit(json.dumps(positions)), "array<int>")
     feats = F.transform(
         pos_arr, lambda p: lenient_number(F.get(arr, p), on_error=on_error, what="a feature column", trimmed=True)
     )
-    cols = [label.alias(LABEL), feats.alias(PACKED)]
-    cols += [F.get(arr, carry_pos[c]).alias(c) for c in carry]
-    order_cols = list(ORDER_COLS) if keep_order else []
-    cols += [F.col(c) for c in order_cols]
-    return FeatureFrame(cells.select(*cols), tuple(names), tuple(carry) + tuple(order_cols), True)
+    out = cells.select(label.alias(LABEL), feats.alias(PACKED), *carried)
+    return FeatureFrame(out, tuple(names), tuple(out.columns[2:]), True)
 
 
 def parsed_cells(
@@ -252,36 +214,6 @@ def parsed_cells(
     return parse_lines(spark.read.text(_paths(path)), header, keep_order)
 
 
-def matrix_from_cells(
-    cells: DataFrame,
-    header: Sequence[str],
-    target: str | None = "Y",
-    ignore: str | Iterable[str] = (),
-    max_features: int | None = None,
-    on_error: str = "raise",
-    carry: Sequence[str] = (),
-    keep_order: bool = False,
-    packed: bool | None = None,
-) -> FeatureFrame:
-    """Role split and number parsing of parsed cells (see :func:`read_matrix`)."""
-    target = target or None
-    ignore_set = parse_option_list(ignore) | set(carry)
-    label_pos, names, positions = split_roles(header, target, ignore_set, max_features)
-    carry_pos = {c: split_roles(header, c)[0] for c in carry}
-    if label_pos is None:
-        label = F.lit(0.0)
-    else:
-        label = lenient_number(
-            F.col(f"c{label_pos}"), on_error=on_error, what=f"column {header[label_pos]}", trimmed=True
-        )
-    exprs = [
-        lenient_number(F.col(f"c{p}"), on_error=on_error, what=f"column {header[p]}", trimmed=True) for p in positions
-    ]
-    carry_cols = [F.col(f"c{carry_pos[c]}").alias(c) for c in carry]
-    carry_cols += [F.col(c) for c in (ORDER_COLS if keep_order else ())]
-    return build_frame(cells, label, exprs, names, carry_cols, packed)
-
-
 def read_matrix(
     spark: SparkSession,
     path: str | Sequence[str],
@@ -291,7 +223,8 @@ def read_matrix(
     on_error: str = "raise",
     keep_order: bool = False,
     carry: Sequence[str] = (),
-    packed: bool | None = None,
+    packed: bool = False,
+    carry_prefix: str = "",
 ) -> FeatureFrame:
     """Read a labelled numeric matrix from CSV text files (file, folder or glob).
 
@@ -300,11 +233,12 @@ def read_matrix(
     0 or None keeps all. ``carry`` names raw columns to pass through as text
     (row keys for keyed predictions); they are also excluded from features.
     ``keep_order`` carries the input position for an input-order row index.
-    ``packed`` forces a layout (default: packed above ``WIDE_CUTOFF`` features).
+    ``packed`` chooses the one-array layout (right for hundreds of features or
+    more); the parse is the same. ``carry_prefix`` is put before carried names.
     """
     header = read_header(spark, path)
     lines = spark.read.text(_paths(path))
-    return matrix_from_lines(lines, header, target, ignore, max_features, on_error, carry, keep_order, packed)
+    return matrix_from_lines(lines, header, target, ignore, max_features, on_error, carry, keep_order, packed, carry_prefix)
 
 
 def matrix_from_lines(
@@ -316,26 +250,18 @@ def matrix_from_lines(
     on_error: str = "raise",
     carry: Sequence[str] = (),
     keep_order: bool = False,
-    packed: bool | None = None,
+    packed: bool = False,
+    carry_prefix: str = "",
 ) -> FeatureFrame:
-    """Lines (column ``value``, batch or streaming) -> FeatureFrame.
-
-    Picks the layout (packed above ``WIDE_CUTOFF`` features unless forced)
-    and the matching parse: per-cell ``from_csv`` for the wide layout, one
-    array extraction for the packed one.
-    """
+    """Lines (column ``value``, batch or streaming) -> FeatureFrame."""
     header = list(header)
     dups = duplicate_names(header)
     if dups:
-        log.warning("Duplicate column names: %s", truncated_text(list(dups), 200, ", "))
-    if packed is None:
-        _, names, _ = split_roles(header, target or None, parse_option_list(ignore) | set(carry), max_features)
-        packed = len(names) > WIDE_CUTOFF
-    if packed:
-        cells = parse_lines_packed(lines, header, keep_order=keep_order)
-        return matrix_from_cell_array(cells, header, target, ignore, max_features, on_error, carry, keep_order)
+        log.warning("Duplicate column names: %s", ", ".join(dups))
     cells = parse_lines(lines, header, keep_order=keep_order)
-    return matrix_from_cells(cells, header, target, ignore, max_features, on_error, carry, keep_order, False)
+    return matrix_from_cells(
+        cells, header, target, ignore, max_features, on_error, carry, keep_order, packed, carry_prefix
+    )
 
 
 def column_names(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
@@ -348,13 +274,16 @@ def column_profile(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """``(position, name, non_empty)``: the header with the number of data
     lines that have a non-empty cell in that column (one aggregate pass)."""
     header = read_header(spark, path)
-    cells = parsed_cells(spark, path, header)
-    counts = cells.agg(*[F.count(F.col(f"c{i}")).alias(f"n{i}") for i in range(len(header))])
-    entries = [
-        F.struct(F.lit(i).alias("position"), F.lit(h).alias("name"), F.col(f"n{i}").alias("non_empty"))
-        for i, h in enumerate(header)
-    ]
-    return counts.select(F.inline(F.array(*entries)))
+    cells = parse_lines(spark.read.text(_paths(path)), header)
+    filled = (
+        cells.select(F.posexplode("_cells").alias("position", "cell"))
+        .groupBy("position")
+        .agg(F.count_if(F.col("cell") != "").alias("non_empty"))
+    )
+    names = column_names(spark, path).alias("h")
+    return names.join(filled.alias("f"), F.col("h.position") == F.col("f.position"), "left").select(
+        "h.position", "name", F.coalesce("non_empty", F.lit(0)).alias("non_empty")
+    )
 
 
 def duplicate_columns(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
@@ -367,23 +296,36 @@ def duplicate_columns(spark: SparkSession, path: str | Sequence[str]) -> DataFra
     )
 
 
+def _quoted_text(text: str) -> str:
+    plain = not any(ch in text for ch in ',"\\')
+    return text if plain else '"' + text.replace("\\", "\\\\").replace('"', DOUBLED_QUOTE) + '"'
+
+
+def _quoted(cell: Column) -> Column:
+    cell = F.regexp_replace(cell, "[\r\n]+", " ")
+    inner = F.replace(F.replace(cell, F.lit("\\"), F.lit("\\\\")), F.lit(QUOTE), F.lit(DOUBLED_QUOTE))
+    return F.when(cell.rlike(r'[,"\\]'), F.concat(F.lit(QUOTE), inner, F.lit(QUOTE))).otherwise(cell)
+
+
 def write_matrix_csv(
     df: DataFrame, path: str, header: Sequence[str] | None = None, keep_order: bool = False
 ) -> list[str]:
     """Write a DataFrame as matrix CSV text under ``path``; return the input paths.
 
     The header (default: the column names, repeats allowed) is written once as
-    its own first file and the rows as many part files, each cell as text.
-    Unless ``keep_order`` is set (rows must reach the files in the frame's
-    order, e.g. after ``orderBy``), a narrow input is spread over the task
-    slots first (``spread_if_narrow``).
+    its own first file and the rows as many part files, each cell as text;
+    cells that a reader would split or change are quoted, line breaks become
+    blanks (one line is one record). Unless ``keep_order`` is set (rows must
+    reach the files in the frame's order, e.g. after ``orderBy``), rows are
+    spread over the task slots first.
     """
     spark = df.sparkSession
     names = list(header) if header is not None else df.columns
     head_dir, rows_dir = f"{path}/0-header", f"{path}/1-rows"
-    spark.createDataFrame([(SEPARATOR.join(names),)], "value STRING").coalesce(1).write.text(head_dir)
+    head = SEPARATOR.join(_quoted_text(n) for n in names)
+    spark.createDataFrame([(head,)], "value STRING").coalesce(1).write.text(head_dir)
     if not keep_order:
-        df = spread_if_narrow(df)  # before formatting, so the text work is spread too
-    cells = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns]
+        df = df.repartition(spark.sparkContext.defaultParallelism)  # before formatting
+    cells = [_quoted(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))) for c in df.columns]
     df.select(F.concat_ws(SEPARATOR, *cells).alias("value")).write.text(rows_dir)
     return [head_dir, rows_dir]

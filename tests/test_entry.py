@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from glmframe.plans import catalog
 from conftest import SF_SMALL
 
 TABLES = (
@@ -47,10 +48,10 @@ def test_entry_runs(spark):
 def test_registry_keys():
     qs, sql = E.queries(), E.oracle_sql()
     assert set(sql) <= set(qs)
-    assert set(qs) - set(sql) == {"model_provenance"}
+    assert set(catalog.QUERIES) - set(sql) == {"model_provenance"}
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query_matches_oracle(spark, con, name):
     df = E.queries()[name](spark, SF_SMALL)
     rows = [tuple(r) for r in df.collect()]

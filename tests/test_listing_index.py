@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from glmframe.functions.listing import truncated_listing, truncated_text
+from glmframe.functions.listing import truncated_listing
 from glmframe.operators.row_index import with_input_order_index, with_row_index
 from glmframe.sources.csv_matrix import ORDER_COLS, read_matrix
 
@@ -19,14 +19,28 @@ from glmframe.sources.csv_matrix import ORDER_COLS, read_matrix
         ([], 5, ""),
     ],
 )
-def test_truncated_text_cases(spark, pieces, budget, expected):
-    assert truncated_text(pieces, budget) == expected
+def test_truncated_listing_cases(spark, pieces, budget, expected):
     rows = [("g", i, p) for i, p in enumerate(pieces)]
     if rows:
         df = spark.createDataFrame(rows, "g STRING, k INT, p STRING")
         assert truncated_listing(df, ["g"], "k", "p", budget).first()["listing"] == expected
 
 
+def brute(pieces, budget):
+    """The longest run of first pieces that leaves room for the ellipsis before each of them."""
+    n = 0
+    while n < len(pieces) and budget - sum(len(p) + 1 for p in pieces[:n]) > 6:
+        n += 1
+    return ",".join(pieces[:n]) + ("" if n == len(pieces) else ", [...]" if n else " [...]")
+
+
+def test_null_group_and_null_pieces(spark):
+    rows = [(None, 1, "a"), (None, 2, "b"), ("x", 1, None), ("y", 1, "c"), ("y", 2, None)]
+    df = spark.createDataFrame(rows, "g STRING, k INT, p STRING")
+    got = {r["g"]: r["listing"] for r in truncated_listing(df, ["g"], "k", "p", 100).collect()}
+    assert got == {None: "a,b", "x": "", "y": "c"}
+
+
 def test_grouped_listing_matches_loop_on_random_groups(spark):
     rnd = random.Random(7)
     groups = {g: ["x" * rnd.randint(0, 9) for _ in range(rnd.randint(1, 15))] for g in range(60)}
@@ -34,7 +48,7 @@ def test_grouped_listing_matches_loop_on_random_groups(spark):
     df = spark.createDataFrame(rows, "g INT, k INT, p STRING")
     for budget in (0, 5, 6, 7, 12, 40):
         got = {r["g"]: r["listing"] for r in truncated_listing(df, ["g"], "k", "p", budget).collect()}
-        assert got == {g: truncated_text(pieces, budget) for g, pieces in groups.items()}
+        assert got == {g: brute(pieces, budget) for g, pieces in groups.items()}
 
 
 def test_row_index_dense_ordered_with_hot_key(spark):

@@ -5,7 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from glmframe.frame import PACKED, WIDE_CUTOFF, FeatureFrame
+from glmframe.frame import PACKED, FeatureFrame
 from glmframe.operators.profile import constant_feature_flags, drop_constant_features, standardize
 from glmframe.operators.scoring import score
 from glmframe.operators.train import fit_logistic_l1
@@ -73,12 +73,12 @@ def test_score_and_fit_agree(spark):
     assert fit_logistic_l1(fw, reg_param=0.01).weights == pytest.approx(fit_logistic_l1(fp, reg_param=0.01).weights)
 
 
-def test_wide_csv_is_packed_and_scores(spark, write_lines):
-    width = WIDE_CUTOFF + 50
+def test_packed_csv_scores(spark, write_lines):
+    width = 250
     header = ",".join(f"x{i}" for i in range(width)) + ",Y"
     rows = [",".join(str((r * 7 + i) % 11) for i in range(width)) + f",{r % 2}" for r in range(40)]
     path = write_lines([header] + rows)
-    fr = read_matrix(spark, path)
+    fr = read_matrix(spark, path, packed=True)
     assert fr.packed and fr.width == width
     model = LinearModel(fr.feature_names, tuple(1.0 if i == 3 else 0.0 for i in range(width)))
     got = sorted((r["margin"]) for r in score(fr, model).collect())
@@ -96,28 +96,33 @@ def test_from_array(spark):
     assert fr.df.select(F.size(PACKED)).first()[0] == 2
 
 
-def test_vector_profiles_match_column_profiles(spark, monkeypatch):
-    from glmframe.operators import profile as P
-
+def test_profiles_agree_between_layouts_at_any_width(spark):
+    """NULL and NaN cells, a far-off column, 40 features: the same flags and moments either way."""
     rows = []
     for r in range(30):
         vals = [float((r * (i + 3)) % 7) if i % 5 else 1.0 for i in range(40)]
         vals[7] = NAN if r % 4 == 0 else 2.0
         vals[9] = -0.0 if r % 2 else 0.0
+        vals[11] = None if r % 3 else 4.0
+        vals[12] = 1e9 + r
         rows.append(tuple([float(r % 2)] + vals))
     schema = "label DOUBLE, " + ", ".join(f"c{i} DOUBLE" for i in range(40))
-    fr = FeatureFrame.from_columns(spark.createDataFrame(rows, schema), [f"c{i}" for i in range(40)], label="label")
-    assert not fr.packed and P._vector_profile(fr)
-    vec_flags = sorted(tuple(r) for r in constant_feature_flags(fr).collect())
-    vec_keep = drop_constant_features(fr).feature_names
-    vec_std = standardize(fr).df.collect()
-    monkeypatch.setattr(P, "VECTOR_PROFILE_MIN", 10_000)
-    assert not P._vector_profile(fr)
-    assert sorted(tuple(r) for r in constant_feature_flags(fr).collect()) == vec_flags
-    assert drop_constant_features(fr).feature_names == vec_keep
-    col_std = standardize(fr).df.collect()
-    norm = lambda rows: canon([tuple(round(v, 9) if isinstance(v, float) and not math.isnan(v) else v for v in r) for r in rows])
-    assert norm(vec_std) == norm(col_std)
+    df = spark.createDataFrame(rows, schema)
+    wide, packed = (
+        FeatureFrame.from_columns(df, [f"c{i}" for i in range(40)], label="label", packed=p) for p in (False, True)
+    )
+    flags = [sorted(tuple(r) for r in constant_feature_flags(f).collect()) for f in (wide, packed)]
+    assert flags[0] == flags[1]
+    assert drop_constant_features(wide).feature_names == drop_constant_features(packed).feature_names
+    norm = lambda f: canon([tuple(None if v is None else round(v, 9) if not math.isnan(v) else v for v in r) for r in f.to_df().collect()])
+    assert norm(standardize(wide)) == norm(standardize(packed))
+
+
+def test_array_of_another_length_fails(spark):
+    df = spark.createDataFrame([([1.0, 2.0, 3.0],)], "v ARRAY<DOUBLE>")
+    fr = FeatureFrame.from_array(df, "v", ["p", "q"])
+    with pytest.raises(Exception, match="not 2 long but 3"):
+        fr.df.collect()
 
 
 def test_empty_input_in_both_layouts(spark):
@@ -132,7 +137,7 @@ def test_empty_input_in_both_layouts(spark):
 def test_predict_wide_csv_in_input_order(spark, tmp_path, write_lines):
     from glmframe.plans.commands import predict
 
-    width = WIDE_CUTOFF + 10
+    width = 210
     header = ",".join(f"x{i}" for i in range(width)) + ",Y"
     files = []
     for part in range(3):
