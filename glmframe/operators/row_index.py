@@ -3,90 +3,33 @@
 A ``row_number()`` window without partitioning would pull every row into one
 task. Instead:
 
-* **keyed order** (:func:`with_row_index`): cut the key range into buckets at
-  sampled split points (order key plus a row-hash tie-breaker, so a hot key
-  value is split across buckets), count rows per bucket (one partial
-  aggregate), prefix-sum those counts and broadcast them back; number the
-  rows inside each bucket with a window partitioned by bucket. Index = start
-  of the bucket + position inside it. The bucket count is a setting, so the
-  broadcast side and the collected sample are bounded by configuration.
+* **keyed order** (:func:`with_row_index`): rows are range-partitioned and
+  sorted by the key, a hash of the whole row and the row's place in the
+  source, so a hot key, and rows that are equal in every column, spread over
+  as many partitions as their number needs. That order is written once (a
+  reliable checkpoint); a row's index is the start of its partition plus its
+  place there, both 64-bit.
 * **input order of text files** (:func:`with_input_order_index`): no shuffle
-  of the data at all. Count the rows of every input split (file, split
-  start), prefix-sum over the split list and broadcast the offsets; index =
-  offset of the split + position inside it. The split list grows with the
-  input (about one row per 128 MB, ~100 MB of table for 100 TB), so its
-  size is estimated from the listing first; beyond the limit (1 GiB) the
-  keyed path above is used with the key (file, split, row).
+  for ordering. Count the rows of every input split, prefix-sum the counts in
+  (file, split start) order, and join them back on numeric split keys; index =
+  offset of the split + position inside it. The join has no hint: Spark
+  broadcasts the split table only where its measured size allows that.
 """
 
 from __future__ import annotations
 
-import logging
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glmframe.frame import qcol
+from glmframe.session import ensure_checkpoint_dir
 
-log = logging.getLogger(__name__)
-
-SPLIT_ROW_OVERHEAD = 64  # bytes of one split row besides its path (start, count, first id, hashing)
-# A split table of this size is broadcast (built once per executor); beyond it
-# the keyed range path is used. 100 TB in 128 MB splits is about 800k splits,
-# i.e. about 100 MB here, far cheaper than sorting every row with its path.
-DEFAULT_SPLIT_BROADCAST_BYTES = 1024 * 1024 * 1024
-SAMPLE_ROWS_PER_BUCKET = 20
-SAMPLE_SEED = 20240917
-MIN_ROWS_PER_BUCKET = 50_000  # fewer rows than this per bucket is not worth a task
-
-
-def _buckets(df: DataFrame, num_partitions: int | None) -> int:
-    if num_partitions:
-        return int(num_partitions)
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-
-
-def _bucket_expr(key: Column, bounds: list[Column]) -> Column:
-    """Index of the first bound >= key (0..len(bounds)), as a balanced CASE tree."""
-
-    def build(lo: int, hi: int) -> Column:
-        # answer lies in [lo, hi]; bounds[lo..hi-1] decide it
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(key <= bounds[mid], build(lo, mid)).otherwise(build(mid + 1, hi))
-
-    return build(0, len(bounds))
-
-
-def range_bounds(
-    df: DataFrame, key_cols: list[str], buckets: int, rows_per_bucket: int = MIN_ROWS_PER_BUCKET
-) -> list[tuple]:
-    """Up to ``buckets - 1`` ascending split points of ``struct(key_cols)``.
-
-    One count (no columns read), which also lowers the bucket count for
-    small inputs, then a seeded sample of about ``20 * buckets`` rows sorted
-    by Spark (so the order is Spark's own) and collected: driver-side data is
-    bounded by the bucket setting, never by the row count.
-    """
-    total = df.count()
-    buckets = min(buckets, math.ceil(total / max(1, rows_per_bucket)))
-    if total == 0 or buckets <= 1:
-        return []
-    want = SAMPLE_ROWS_PER_BUCKET * buckets
-    fraction = min(1.0, 1.5 * want / total)
-    keys = [qcol(c) for c in key_cols]
-    sample = df.select(*keys).sample(False, fraction, SAMPLE_SEED).orderBy(*keys).collect()
-    if not sample:
-        return []
-    picks = []
-    for b in range(1, buckets):
-        row = tuple(sample[min(len(sample) - 1, b * len(sample) // buckets)])
-        if not picks or picks[-1] != row:
-            picks.append(row)
-    return picks
+ROWS_PER_BUCKET = 2_000_000
+#: Bits of a monotonically increasing id that count rows within a partition.
+_ROW_BITS = 33
 
 
 def with_row_index(
@@ -94,47 +37,33 @@ def with_row_index(
     order_by: Sequence[str],
     index_col: str = "index",
     num_partitions: int | None = None,
-    rows_per_bucket: int = MIN_ROWS_PER_BUCKET,
+    rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
     """Add ``index_col`` = 0-based position in ``order_by`` order.
 
-    Ties on ``order_by`` are ordered by a hash of the whole row. Plan: the
-    row's bucket is a pure function of (key, row hash) against sampled
-    split points (literals), so the bucket counts and the positions inside a
-    bucket (``row_number`` over ``partitionBy(bucket)``) agree however often
-    either side is recomputed. The row hash spreads a hot key value over
-    several buckets. Offsets are one row per bucket (broadcast).
+    Ties on ``order_by`` are ordered by a hash of the whole row, then by the
+    place in the source. The partition count follows from the row count (one
+    count without columns) unless it is given.
     """
-    n = _buckets(df, num_partitions)
-    keyed = df.withColumn("_tie", F.xxhash64(*[qcol(c) for c in df.columns]))
-    key_cols = [*order_by, "_tie"]
-    schema = {f.name: f.dataType for f in keyed.schema.fields}
-    bounds = range_bounds(keyed, key_cols, n, rows_per_bucket)
-    key = F.struct(*[qcol(c) for c in key_cols])
-    bound_cols = [
-        F.struct(*[F.lit(v).cast(schema[c]).alias(c) for c, v in zip(key_cols, b)]) for b in bounds
-    ]
-    bucketed = keyed.withColumn("_bucket", _bucket_expr(key, bound_cols))
-    counts = bucketed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    start = F.coalesce(
-        F.sum("_n").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
+    n = num_partitions or max(1, math.ceil(df.count() / max(1, rows_per_bucket)))
+    keyed = df.withColumns(
+        {"_tie": F.xxhash64(*[qcol(c) for c in df.columns]), "_at": F.monotonically_increasing_id()}
     )
-    # one row per bucket: bounded by the bucket setting, safe to broadcast
-    offsets = counts.select("_bucket", start.alias("_start"))
-    within = Window.partitionBy("_bucket").orderBy(*[qcol(c).asc() for c in key_cols])
-    positioned = bucketed.withColumn("_pos", F.row_number().over(within) - 1)
-    joined = positioned.join(F.broadcast(offsets), on="_bucket", how="inner")
-    index = (F.col("_start") + F.col("_pos")).cast("long")
-    return joined.select(*[qcol(c) for c in df.columns], index.alias(index_col))
-
-
-def with_input_order_index(
-    df: DataFrame,
-    file_col: str,
-    block_col: str,
-    index_col: str = "index",
-    broadcast_bytes: int | None = None,
-) -> DataFrame:
+    order = [*(qcol(c) for c in order_by), F.col("_tie"), F.col("_at")]
+    ranged = keyed.repartitionByRange(n, *order).sortWithinPartitions(*order).drop("_tie", "_at")
+    ensure_checkpoint_dir(df.sparkSession)
+    written = ranged.withColumn("_id", F.monotonically_increasing_id()).checkpoint()
+    written = written.withColumn("_part", F.shiftright("_id", _ROW_BITS))
+    counts = written.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    # one row per partition of ``rows_per_bucket`` rows: safe to broadcast
+    offsets = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    place = F.col("_id").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
+    joined = written.join(F.broadcast(offsets), on="_part", how="inner")
+    return joined.select(*[qcol(c) for c in df.columns], (F.col("_start") + place).cast("long").alias(index_col))
+
+
+def with_input_order_index(df: DataFrame, file_col: str, block_col: str, index_col: str = "index") -> DataFrame:
     """Index in the order of the input files (path order, then file offset).
 
     ``df`` must come from a file scan through narrow operations only (select,
@@ -142,25 +71,13 @@ def with_input_order_index(
     rows of one split are still contiguous and in file order inside a task.
     The within-split position is taken here, after every filter.
     """
-    limit = broadcast_bytes or DEFAULT_SPLIT_BROADCAST_BYTES
-    with_id = df.withColumn("_rid", F.monotonically_increasing_id())
-    splits = with_id.groupBy(file_col, block_col).agg(
-        F.count(F.lit(1)).alias("_n"), F.min("_rid").alias("_first")
+    with_id = df.withColumn("_rid", F.monotonically_increasing_id()).withColumns(
+        {"_part": F.shiftright("_rid", _ROW_BITS), "_file": F.xxhash64(qcol(file_col))}
     )
-    # upper bound on the split table from the listing alone (no job): every
-    # file is one split or more, and a split beyond a file's first one fills
-    # a whole partition
-    files = df.inputFiles()
-    n_splits = len(files) + df.rdd.getNumPartitions()
-    avg_path = (sum(len(f) for f in files) / len(files)) if files else 0
-    if n_splits * (avg_path + SPLIT_ROW_OVERHEAD) > limit:
-        log.info("%d input splits exceed the broadcast limit; ordering by a range sort", n_splits)
-        indexed = with_row_index(with_id, [file_col, block_col, "_rid"], index_col)
-        return indexed.drop("_rid")
+    keys = ["_part", "_file", block_col]
+    splits = with_id.groupBy(*keys, file_col).agg(F.count(F.lit(1)).alias("_n"), F.min("_rid").alias("_first"))
     order = Window.orderBy(file_col, block_col).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = splits.select(
-        file_col, block_col, "_first", F.coalesce(F.sum("_n").over(order), F.lit(0)).alias("_start")
-    )
-    joined = with_id.join(F.broadcast(offsets), on=[file_col, block_col], how="inner")
+    offsets = splits.select(*keys, "_first", F.coalesce(F.sum("_n").over(order), F.lit(0)).alias("_start"))
+    joined = with_id.join(offsets, on=keys, how="inner")
     index = F.col("_start") + (F.col("_rid") - F.col("_first"))
     return joined.select(*[qcol(c) for c in df.columns], index.alias(index_col))

@@ -32,7 +32,7 @@ from glmframe.operators.scoring import accuracy, confusion_counts, keyed_predict
 from glmframe.operators.train import fit_linear, fit_logistic_l1
 from glmframe.plans.commands import predict
 from glmframe.session import scratch_path
-from glmframe.sources.csv_matrix import column_profile, read_matrix, write_matrix_csv
+from glmframe.sources.csv_matrix import column_profile, duplicate_columns, read_matrix, write_matrix_csv
 from glmframe.sources.model_store import LinearModel, model_from_weights, read_model_df, weights_long
 from glmframe.sources.predictions import prediction_lines
 from glmframe.streaming.scoring import read_matrix_stream, start_keyed_scoring

@@ -35,6 +35,8 @@ from glmframe.sources.predictions import write_predictions
 log = logging.getLogger(__name__)
 
 KINDS = ("logistic", "linear")
+# row keys travel under this prefix, so that a key may have any name
+KEY_PREFIX = "_key_"
 
 
 @dataclass(frozen=True)
@@ -146,12 +148,12 @@ def predict(
     carry = (row_labels,) if row_labels else ()
     frame = read_matrix(
         spark, input_path, target=target, ignore=ignore, max_features=max_features,
-        keep_order=not row_labels, carry=carry,
+        keep_order=not row_labels, carry=carry, carry_prefix=KEY_PREFIX,
     )
     if row_labels:
         # keyed rows need no global index (and no extra pass to build one)
         out_df = score(frame, model, align_mode)
-        id_col = row_labels
+        id_col = KEY_PREFIX + row_labels
     else:
         out_df = indexed_predictions(frame, model, align_mode=align_mode)
         id_col = "index"
@@ -159,16 +161,21 @@ def predict(
         # count inside the write job (Observation) instead of a second pass
         observed, obs = observe_counters(
             out_df, "prediction accuracy",
-            rows=F.count(F.lit(1)), correct=F.count_if(F.col(LABEL) == F.col("prediction")),
+            rows=F.count("prediction"), unscored=F.count_if(F.col("prediction").isNull()),
+            correct=F.count_if(F.col(LABEL) == F.col("prediction")),
         )
-        write_predictions(observed, out, index_col=id_col)
+        write_predictions(observed, out, index_col=id_col, header_name=row_labels or "index")
         m = obs.get
+        log.info("Scored %d rows x %d features; %d rows without a prediction", m["rows"], frame.width, m["unscored"])
         acc = m["correct"] / m["rows"] if m["rows"] else None
         return spark.createDataFrame(
-            [(m["rows"], m["correct"], acc)], "rows BIGINT, correct BIGINT, accuracy DOUBLE"
+            [(m["rows"], m["correct"], m["unscored"], acc)],
+            "rows BIGINT, correct BIGINT, unscored BIGINT, accuracy DOUBLE",
         )
     if out:
-        write_predictions(out_df, out, index_col=id_col)
+        write_predictions(out_df, out, index_col=id_col, header_name=row_labels or "index")
     if test:
         return accuracy(out_df)
+    if row_labels and row_labels not in out_df.columns:
+        out_df = out_df.withColumnRenamed(id_col, row_labels)
     return out_df

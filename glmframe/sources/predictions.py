@@ -25,15 +25,20 @@ def prediction_lines(indexed: DataFrame, index_col: str = "index", value_col: st
     return indexed.select(F.col(index_col).alias("index"), line.alias("line"))
 
 
-def write_predictions(indexed: DataFrame, path: str, index_col: str = "index", value_col: str = "prediction") -> str:
+def write_predictions(
+    indexed: DataFrame,
+    path: str,
+    index_col: str = "index",
+    value_col: str = "prediction",
+    header_name: str | None = None,
+) -> str:
     """Write ``index, prediction`` CSV text (header in every part file).
 
     With a key column instead of the index (keyed predictions) the header
-    names that column.
+    names that column, or ``header_name`` where it is given.
     """
-    id_expr = F.col(index_col).cast("long") if index_col == "index" else F.col(index_col)
-    out = indexed.select(id_expr.alias(index_col), format_fixed(value_col, 6).alias("prediction"))
-    out = out.sortWithinPartitions(index_col)
+    out = indexed.select(F.col(f"`{index_col}`").alias("_id"), format_fixed(value_col, 6).alias("prediction"))
+    out = out.sortWithinPartitions("_id").toDF(header_name or index_col, "prediction")
     (
         out.write.mode("overwrite")
         .option("header", "true")

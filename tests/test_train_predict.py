@@ -97,9 +97,9 @@ def test_command_line(spark, tmp_path, write_lines, capsys):
     model = str(tmp_path / "m")
     assert main(["train-linear", "--input", path, "--out", model, "--reg-param", "0.01", "--ignore", "id"]) == 0
     out = capsys.readouterr().out
-    assert "Points with label=1: 49 / 100 = 49.000000%" in out
-    assert "Loaded 100 x 1 matrix into " in out
-    assert "MODEL WEIGHTS:" in out and "                    x = " in out
+    assert "Label 1 on 49 of 100 rows (49.000000%)" in out
+    assert "Input: 100 rows, 1 features, " in out
+    assert "                    x = " in out
     assert main(["predict-linear", "--input", path, "--model", model, "--ignore", "id", "--test"]) == 0
     assert "Accuracy: 100 / 100 = 1.000000" in capsys.readouterr().out
     from glmframe.sources.model_store import read_model_df
@@ -136,8 +136,8 @@ def test_tree_depth_keeps_driver_merge_bounded():
         assert d > 2
         assert partitions ** (1.0 / d) * (8 * width + 64) <= DRIVER_MERGE_BYTES
         assert partitions ** (1.0 / (d - 1)) * (8 * width + 64) > DRIVER_MERGE_BYTES or d == 3
-    # a single partial larger than the budget cannot be helped: the depth is capped
-    assert tree_depth(10_000, 50_000_000) == 10
+    with pytest.raises(ValueError, match="exceeds the budget"):
+        tree_depth(10_000, 50_000_000)
 
 
 def test_predict_write_and_test_in_one_pass(spark, tmp_path, write_lines):
@@ -148,3 +148,13 @@ def test_predict_write_and_test_in_one_pass(spark, tmp_path, write_lines):
     # rows 21..25 have x > 0 (predicted 1) but label 0: 5 wrong of 40
     assert (acc["rows"], acc["correct"]) == (40, 35) and acc["accuracy"] == 35 / 40
     assert spark.read.text(str(tmp_path / "p")).count() >= 41
+
+
+@pytest.mark.parametrize("key", ["index", "label", "prediction", "a.b"])
+def test_row_labels_of_any_name(spark, tmp_path, write_lines, key):
+    path = write_lines([f"{key},x,Y", "r1,1,1", "r2,-1,0"])
+    model = LinearModel(("x",), (1.0,)).save(spark, str(tmp_path / "m"))
+    out = str(tmp_path / "out")
+    predict(spark, path, model, out=out, row_labels=key)
+    lines = sorted(r[0] for r in spark.read.text(out).collect() if not r[0].startswith(key))
+    assert lines == ["r1, 1.000000", "r2, 0.000000"]
