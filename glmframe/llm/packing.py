@@ -42,7 +42,7 @@ OPEN_WINDOWS = 16
 MERGE = 32
 LEAST_TAIL = 64
 #: Distinct parts whose ids a worker keeps at most; beyond it starts anew.
-CACHE_PARTS = 50_000
+CACHE_PARTS = 120_000
 PIECE = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
     "ids binary, slot long"

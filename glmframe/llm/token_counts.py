@@ -23,6 +23,7 @@ Only the id and text columns are read.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import accumulate
@@ -39,7 +40,7 @@ from glmframe.llm.merges import CACHE_PIECES, Merges
 _SPACE = "\t-\r \x85\xa0  -     　"
 _PART = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 #: Distinct parts a worker remembers at most; beyond it starts anew.
-CACHE_PARTS = 50_000
+CACHE_PARTS = 150_000
 RESULT = "doc_id long, section long, start long, length long, n_tokens long, n_crossing long"
 
 
@@ -57,16 +58,17 @@ class SpanEncoder:
         self.merges.whole.encode_special_tokens = True
         self.merges.whole.post_processor = processors.ByteLevel(trim_offsets=False)
         self.parts: dict[str, bytes] = {}
-        self.pieces: dict[str, list[tuple[int, int]]] = {}
+        self.pieces: dict[str, list[int]] = {}
 
-    def _piece(self, piece: str) -> list[tuple[int, int]]:
+    def _piece(self, piece: str) -> list[int]:
+        """start, end, start, end ... of a piece's tokens."""
         found = self.pieces.get(piece)
         if found is None:
             ends = list(accumulate(len(t.value) for t in self.merges.tokens(piece)))
-            found = list(zip([0, *ends], ends, strict=False))
+            found = [x for both in zip([0, *ends], ends, strict=False) for x in both]
             if not piece.isascii():  # bytes to the characters they belong to
                 of = [k for k, c in enumerate(piece) for _ in c.encode()]
-                found = [(of[a], of[b - 1] + 1) for a, b in found]
+                found = [of[x - 1] + 1 if k % 2 else of[x] for k, x in enumerate(found)]
             self.pieces[piece] = found
         return found
 
@@ -81,9 +83,9 @@ class SpanEncoder:
             if self.merges.plain(part):
                 at, own = 0, []
                 for piece in _PIECE.findall(part):
-                    own += [(at + a, at + b) for a, b in self._piece(piece)]
+                    own += [at + x for x in self._piece(piece)] if at else self._piece(piece)
                     at += len(piece)
-                known[part] = np.array(own, dtype="<i4").tobytes()
+                known[part] = array("i", own).tobytes()
             else:
                 odd.append(part)
         for part, coded in zip(odd, self.merges.whole.encode_batch(odd, add_special_tokens=False), strict=True):
