@@ -30,11 +30,11 @@ from glmframe.operators.profile import (
 from glmframe.operators.row_index import with_row_index
 from glmframe.operators.scoring import accuracy, confusion_counts, keyed_predictions, score
 from glmframe.operators.train import fit_linear, fit_logistic_l1
-from glmframe.plans.commands import predict
+from glmframe.plans.commands import predict, train
 from glmframe.session import scratch_path
 from glmframe.sources.csv_matrix import column_profile, duplicate_columns, read_matrix, write_matrix_csv
 from glmframe.sources.model_store import LinearModel, model_from_weights, read_model_df, weights_long
-from glmframe.sources.predictions import prediction_lines
+from glmframe.sources.predictions import PREDICTION_HEADER, prediction_lines
 from glmframe.streaming.scoring import read_matrix_stream, start_keyed_scoring
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,6 +46,8 @@ LINEITEM_NON_FEATURES = "l_partkey, l_suppkey, l_returnflag, l_linestatus, l_shi
 LINEITEM_MODEL = LinearModel(("q", "l_discount", "l_tax"), (0.08, -3.0, 5.0), -0.1)
 EVENTS_MODEL = LinearModel(("value", "user_id"), (0.01, -0.02), 0.5)
 LEARN_REG_PARAM = 0.1
+TRAIN_JOB_REG_PARAM = 0.02
+LASSO_REG_PARAM = 1000.0
 LISTING_BUDGET = 60
 
 
@@ -361,6 +363,25 @@ def q_predictions_keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyed_predictions(indexed, ["row_key"])
 
 
+def q_predictions_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The written prediction files as text, keyed by a column that is called ``index``."""
+    li = table(spark, sf_dir, "lineitem")
+    key = F.concat_ws("-", *LINEITEM_KEYS).alias("index")
+    src = li.select(key, (F.col("l_quantity") - F.lit(25.5)).alias("q"), "l_tax", "l_discount")
+    paths = write_matrix_csv(src, _scratch(spark, "file-csv"))
+    model_path = LINEITEM_MODEL.save(spark, _scratch(spark, "file-model"))
+    out = _scratch(spark, "file-predictions")
+    predict(spark, paths, model_path, out=out, target=None, row_labels="index")
+    return spark.read.text(out).where(F.col("value") != PREDICTION_HEADER).withColumnRenamed("value", "line")
+
+
+def q_predictions_two_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Row index over a column of two values: where each value's rows begin and end."""
+    indexed = with_row_index(table(spark, sf_dir, "lineitem"), ["l_linestatus"])
+    places = [F.min("index").alias("first"), F.max("index").alias("last"), F.count(F.lit(1)).alias("n")]
+    return indexed.groupBy("l_linestatus").agg(*places, F.sum("index").alias("total"))
+
+
 def q_predictions_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = score(events_frame(spark, sf_dir), EVENTS_MODEL)
     return prediction_lines(with_row_index(scored, ["event_id"]))
@@ -382,6 +403,24 @@ def q_train_logistic_l1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(fr, model).select(*LINEITEM_KEYS, "prediction")
 
 
+def q_train_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The training job, from CSV text to the stored weights; one 0/1 feature per return flag."""
+    li = table(spark, sf_dir, "lineitem")
+    least = F.when(F.col("l_returnflag") == "A", 40).when(F.col("l_returnflag") == "N", 10).otherwise(25)
+    flags = [(F.col("l_returnflag") == v).alias(v) for v in ("A", "N", "R")]
+    paths = write_matrix_csv(li.select(*flags, (F.col("l_quantity") > least).alias("Y")), _scratch(spark, "train-csv"))
+    out = _scratch(spark, "train-model")
+    train(spark, paths, out, reg_param=TRAIN_JOB_REG_PARAM)
+    return weights_long(read_model_df(spark, out)).select("idx", "name", rounded("value", 3).alias("value"))
+
+
+def q_train_lasso(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L1 least squares without an intercept."""
+    fr = FeatureFrame.from_columns(table(spark, sf_dir, "lineitem"), ["l_quantity"], label="l_extendedprice")
+    model = fit_linear(fr, reg_param=LASSO_REG_PARAM)
+    return model.weights_df(spark).select("name", rounded("value", 2).alias("value"))
+
+
 def q_train_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     fr = FeatureFrame.from_columns(li, ["l_quantity"], label="l_extendedprice")
@@ -421,10 +460,8 @@ def q_model_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = model.save(spark, _scratch(spark, "prov-model"))
     stored = read_model_df(spark, path)
     return stored.select(
-        F.col("provenance.user").alias("user"),
-        F.col("provenance.host").alias("host"),
-        F.col("provenance.timestamp").isNotNull().alias("has_timestamp"),
-        F.col("provenance.arguments").alias("arguments"),
+        *[F.col(f"provenance.{c}").isNotNull().alias(f"has_{c}") for c in ("user", "host", "timestamp")],
+        F.array_join("provenance.arguments", " ").alias("arguments"),
         F.col("provenance.attributes")["kind"].alias("kind"),
         F.size("weights").alias("n_weights"),
     )
@@ -518,9 +555,13 @@ QUERIES: dict[str, Query] = {
     "constant_flags_with_missing": q_constant_flags_with_missing,
     "confusion_counts": q_confusion_counts,
     "predictions_keyed": q_predictions_keyed,
+    "predictions_file": q_predictions_file,
+    "predictions_two_keys": q_predictions_two_keys,
     "predictions_indexed": q_predictions_indexed,
     "predictions_input_order": q_predictions_input_order,
     "train_logistic_l1": q_train_logistic_l1,
+    "train_job": q_train_job,
+    "train_lasso": q_train_lasso,
     "train_linear": q_train_linear,
     "model_weight_ranking": q_model_weight_ranking,
     "model_zero_weights": q_model_zero_weights,
@@ -702,11 +743,33 @@ ORACLE_SQL: dict[str, str] = {
         "SELECT CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) AS row_key, "
         f"{_cls(LI_MARGIN)} AS prediction FROM lineitem"
     ),
+    "predictions_file": (
+        "SELECT CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) || "
+        f"printf(', %f', {_cls(LI_MARGIN)}) AS line FROM lineitem"
+    ),
+    "predictions_two_keys": (
+        'SELECT l_linestatus, min(i) AS "first", max(i) AS "last", count(*) AS n, CAST(sum(i) AS BIGINT) AS total '
+        "FROM (SELECT l_linestatus, row_number() OVER (ORDER BY l_linestatus) - 1 AS i FROM lineitem) GROUP BY 1"
+    ),
     "predictions_indexed": _indexed_sql(),
     "predictions_input_order": _indexed_sql(),
     "train_logistic_l1": (
         f"SELECT l_orderkey, l_linenumber, {_flag('l_quantity > 25.5')} AS prediction FROM lineitem"
     ),
+    # one 0/1 feature a group: the L1 optimum moves each group's share of ones towards a half
+    "train_job": (
+        "WITH g AS (SELECT l_returnflag AS name, CAST(count(*) AS DOUBLE) AS n, avg(CASE WHEN l_quantity > "
+        "CASE l_returnflag WHEN 'A' THEN 40 WHEN 'N' THEN 10 ELSE 25 END THEN 1.0 ELSE 0.0 END) AS p "
+        "FROM lineitem GROUP BY 1), t AS (SELECT CAST(count(*) AS DOUBLE) AS total FROM lineitem), "
+        "m AS (SELECT name, p, sqrt(n / total * (1 - n / total) * total / (total - 1)) * total / n "
+        f"* {TRAIN_JOB_REG_PARAM} AS shift FROM g, t), "
+        "q AS (SELECT name, CASE WHEN p > 0.5 THEN greatest(p - shift, 0.5) ELSE least(p + shift, 0.5) END AS s FROM m) "
+        "SELECT CAST(row_number() OVER (ORDER BY name) - 1 AS INTEGER) AS idx, name, round(ln(s / (1 - s)), 3) + 0.0 AS value FROM q"
+    ),
+    "train_lasso": (
+        "SELECT 'l_quantity' AS name, round(greatest(avg(l_quantity * l_extendedprice) - "
+        f"{LASSO_REG_PARAM} * stddev_samp(l_quantity), 0) / avg(l_quantity * l_quantity), 2) + 0.0 AS value FROM lineitem"
+    ),
     "train_linear": (
         "SELECT round(regr_slope(l_extendedprice, l_quantity), 3) + 0.0 AS slope, "
         "round(regr_intercept(l_extendedprice, l_quantity), 3) + 0.0 AS intercept FROM lineitem"
@@ -720,6 +783,10 @@ ORACLE_SQL: dict[str, str] = {
         "round(CAST(count(*) FILTER (WHERE value = 0) AS DOUBLE) * 100.0 / count(*), 6) + 0.0 AS percent FROM w"
     ),
     "model_roundtrip": f"WITH w AS ({CENTROID_SQL}) SELECT idx, name, value FROM w",
+    "model_provenance": (
+        "SELECT true AS has_user, true AS has_host, true AS has_timestamp, '--reg-param=0.1' AS arguments, "
+        "'logistic' AS kind, 3 AS n_weights"
+    ),
     "model_missing_features": (
         f"WITH w AS ({CENTROID_SQL}) SELECT name, idx FROM w "
         "WHERE idx >= (SELECT max(len(embedding)) * 3 // 4 FROM embeddings)"
@@ -765,6 +832,3 @@ SELECT CAST(CASE WHEN label >= 5 THEN 1 ELSE 0 END AS DOUBLE) AS label, count(*)
        round(sum(CAST(embedding[len(embedding)] AS DOUBLE)), 6) + 0.0 AS sum_last
 FROM embeddings GROUP BY 1
 """
-
-# Queries whose answer has no SQL form (run-time provenance: user, host).
-ROWS_ONLY = {"model_provenance"}

@@ -157,8 +157,8 @@ def predict(
     else:
         out_df = indexed_predictions(frame, model, align_mode=align_mode)
         id_col = "index"
-    if out and test:
-        # count inside the write job (Observation) instead of a second pass
+    if out:
+        # counted inside the write job (Observation), not in a second pass
         observed, obs = observe_counters(
             out_df, "prediction accuracy",
             rows=F.count("prediction"), unscored=F.count_if(F.col("prediction").isNull()),
@@ -167,13 +167,12 @@ def predict(
         write_predictions(observed, out, index_col=id_col, header_name=row_labels or "index")
         m = obs.get
         log.info("Scored %d rows x %d features; %d rows without a prediction", m["rows"], frame.width, m["unscored"])
-        acc = m["correct"] / m["rows"] if m["rows"] else None
-        return spark.createDataFrame(
-            [(m["rows"], m["correct"], m["unscored"], acc)],
-            "rows BIGINT, correct BIGINT, unscored BIGINT, accuracy DOUBLE",
-        )
-    if out:
-        write_predictions(out_df, out, index_col=id_col, header_name=row_labels or "index")
+        if test:
+            acc = m["correct"] / m["rows"] if m["rows"] else None
+            return spark.createDataFrame(
+                [(m["rows"], m["correct"], m["unscored"], acc)],
+                "rows BIGINT, correct BIGINT, unscored BIGINT, accuracy DOUBLE",
+            )
     if test:
         return accuracy(out_df)
     if row_labels and row_labels not in out_df.columns:

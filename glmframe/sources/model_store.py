@@ -107,15 +107,20 @@ class LinearModel:
 
     # ---------------------------------------------------------------- files
     def save(self, spark: SparkSession, path: str, fmt: str | None = None) -> str:
-        """Write (overwrite) one model file set; ``fmt`` is parquet or json
-        (default: json for a path ending in ``.json``, else parquet)."""
+        """Write (overwrite) one model file set; ``fmt`` is parquet, json or avro
+        (default: as :func:`model_format` says)."""
         self.to_df(spark).coalesce(1).write.mode("overwrite").format(fmt or model_format(path)).save(path)
         return path
 
 
 def model_format(path: str) -> str:
-    """Storage format implied by a model path: ``.json`` -> json, else parquet."""
-    return "json" if path.rstrip("/").lower().endswith(".json") else "parquet"
+    """Storage format implied by a model path: ``.json``, ``.avro``, else parquet.
+
+    Avro needs Spark's Avro module on the class path; Spark's error says so
+    where it is missing.
+    """
+    name = path.rstrip("/").lower()
+    return next((f for f in ("json", "avro") if name.endswith(f".{f}")), "parquet")
 
 
 def weights_long(model_df: DataFrame) -> DataFrame:
