@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from glmframe.llm.common import read_table
 from glmframe.llm.line_dedup import line_dedup
 from glmframe.llm.near_dedup import near_duplicates
-from glmframe.llm.packing import op8_packing
+from glmframe.llm.packing import pack_words
 from glmframe.llm.quality_knn import fit_quality, score_quality
 from glmframe.llm.substring_dedup import substring_dedup
 from glmframe.session import make_importable, scratch_path
@@ -54,8 +54,8 @@ def substring_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in windows of at most 2048 tokens."""
-    return op8_packing(docs)
+    """Pieces of the documents in windows of at most 2048 tokens, with their ids and a checksum of these."""
+    return pack_words(docs).withColumn("ids_crc32", F.crc32("ids"))
 
 
 STAGES = [

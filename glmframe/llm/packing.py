@@ -23,7 +23,6 @@ the id column and the text are read, so other columns can't clash.
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -44,8 +43,7 @@ LEAST_TAIL = 64
 #: Distinct parts whose ids a worker keeps at most; beyond it starts anew.
 CACHE_PARTS = 120_000
 PIECE = (
-    "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
-    "ids binary, slot long"
+    "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, slot long"
 )
 
 
@@ -102,7 +100,7 @@ class Packer:
         at = 0
         for doc, start, ids, total in pieces:
             n = len(ids) // 4
-            self.done.append((doc, start, n, zlib.crc32(ids), total, self.next, at, None, None))
+            self.done.append((doc, start, n, ids, total, self.next, at, None))
             at += n
         self.next += 1
 
@@ -131,10 +129,10 @@ class Packer:
             self.open[best] = (held + n, pieces)
 
     def leftovers(self, slot: int) -> None:
-        """Hands the open windows on, with their ids: sequence_id numbers them within the slot."""
+        """Hands the open windows on: sequence_id numbers them within the slot."""
         for k, (_, pieces) in enumerate(self.open):
             for at, (doc, start, ids, total) in enumerate(pieces):
-                self.done.append((doc, start, len(ids) // 4, zlib.crc32(ids), total, k, at, ids, slot))
+                self.done.append((doc, start, len(ids) // 4, ids, total, k, at, slot))
         self.open = []
 
     def close(self, least: int) -> None:
@@ -157,11 +155,11 @@ class Packer:
             self._emit(now)
 
     def batch(self) -> pa.RecordBatch:
-        kinds = [pa.int64()] * 7 + [pa.binary(), pa.int64()]
-        names = [x.split()[0] for x in PIECE.split(", ")]
+        names, kinds = zip(*(x.split() for x in PIECE.split(", ")), strict=True)
         done, self.done = self.done, []
         return pa.RecordBatch.from_arrays(
-            [pa.array([r[j] for r in done], kind) for j, kind in enumerate(kinds)], names=names
+            [pa.array([r[j] for r in done], pa.binary() if kind == "binary" else pa.int64()) for j, kind in enumerate(kinds)],
+            names=names,
         )
 
 
@@ -213,8 +211,10 @@ def pack(
     size: int = WINDOW,
     open_windows: int = OPEN_WINDOWS,
 ) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
+    """One row per piece: doc_id, start, length, ids, doc_tokens, sequence_id, offset.
 
+    ``ids`` are the piece's token ids, as little-endian unsigned 32-bit numbers.
+    A window is the ids of one sequence_id, one after another by offset.
     ``vocabulary`` is the path of a tokenizers file that drops white space
     before merging; executors read it too.
     """
@@ -234,11 +234,18 @@ def pack(
     out = done[0]
     for part in done[1:]:
         out = out.union(part)
-    return out.drop("ids", "slot")
+    return out.drop("slot")
 
 
-def op8_packing(docs: DataFrame) -> DataFrame:
-    """The pieces of all documents, in the lower-case word vocabulary."""
+def pack_words(docs: DataFrame) -> DataFrame:
+    """The pieces of all documents, with their ids in the lower-case word vocabulary."""
     import public_tokenizers
 
     return pack(docs.select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op8_packing(docs: DataFrame) -> DataFrame:
+    """The pieces of all documents, with a checksum in place of the ids."""
+    return pack_words(docs).select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )

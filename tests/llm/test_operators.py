@@ -16,7 +16,7 @@ from glmframe.llm import fingerprints as fp
 from glmframe.llm import near_dedup as nd
 from glmframe.llm.html_template import extract_main_text, main_text, parse
 from glmframe.llm.line_dedup import line_dedup
-from glmframe.llm.packing import PartEncoder, op8_packing
+from glmframe.llm.packing import PartEncoder, op8_packing, pack
 from glmframe.llm.piece_viterbi import WordEncoder, op3_piece_viterbi
 from glmframe.llm.quality_knn import fit_quality, op1_quality_classifier, score_quality
 from glmframe.llm.quality_rules import RULES, order_rules, quality_rules
@@ -178,6 +178,22 @@ def test_packing(spark, docs):
     assert sum(r.length for r in twice) == 8
 
 
+def test_packed_windows_hold_the_ids(spark, docs):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer, windows, own = Tokenizer.from_file(path), {}, {}
+    for r in pack(docs.where("doc_id <> 901 and doc_id is not null"), path).collect():
+        ids = np.frombuffer(r.ids, "<u4").tolist()
+        assert len(ids) == r.length
+        windows.setdefault(r.sequence_id, []).append((r.offset, ids))
+        own.setdefault(r.doc_id, []).append((r.start, ids))
+    together = {k: [i for _, ids in sorted(pieces) for i in ids] for k, pieces in windows.items()}
+    assert max(len(w) for w in together.values()) == 2048
+    assert sum(w.count(1) for w in together.values()) == len(own)
+    for doc, text in odd_docs():
+        if doc not in (None, 901):
+            assert [i for _, ids in sorted(own[doc]) for i in ids] == tokenizer.encode(text or "", add_special_tokens=False).ids + [1]
+
+
 #: Characters at the edges of every rule that the encoders split by.
 ALPHABET = "abc the'sXYZ09_-\t\n\x00\x1c\x7f\xa0\xb2éÉİıŉſßΣς日本ﬁ🙂́​ 　▁<|endoftext|><s>"
 

@@ -1,5 +1,7 @@
 """The corpus pipeline: every stage against its own input on a small table."""
 
+import zlib
+
 import corpus_pipeline
 from glmframe.llm.common import read_table
 
@@ -21,3 +23,9 @@ def test_stages(spark, tmp_path):
             docs = after
     pieces = after.groupBy("doc_id").sum("length").count()
     assert pieces == docs.count()
+
+
+def test_packing_stage_writes_ids(spark):
+    docs = read_table(spark, SF, "documents").limit(20)
+    for r in corpus_pipeline.packing_stage(spark, docs, SF).collect():
+        assert len(r.ids) == 4 * r.length and zlib.crc32(r.ids) == r.ids_crc32
