@@ -38,7 +38,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines of repeated runs."""
+    """Documents without the lines of repeated runs, short ones of five words or more among them."""
     return _columns(line_dedup(docs), docs)
 
 

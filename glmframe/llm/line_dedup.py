@@ -8,8 +8,10 @@ fingerprint in both places. Positions of fingerprints that occur more than
 once are joined, and each match is extended to both sides: all windows around
 the fingerprint are compared with those of the other places. A window whose
 lines also start earlier (smaller id, or the same document further up) is a
-repeated run; overlapping ones merge, and their lines are deleted. Runs are
-judged on the input, so the first copy of every run stays.
+repeated run; overlapping ones merge, and their lines are deleted. A shorter
+run, down to a single line, counts as one too if it has ``short_words`` words
+or more; its hash is its own fingerprint. Runs are judged on the input, so the
+first copy of every run stays.
 
 Defined cases: null text stays null and empty text empty, with no lines;
 documents with fewer lines than a run lose nothing; rows with one id are one
@@ -25,30 +27,56 @@ from pyspark.sql import functions as F
 from glmframe.llm.common import checkpointed
 
 RUN_LINES = 3
+#: Words (between white space) that a repeated run of fewer lines needs.
+SHORT_WORDS = 5
 #: White space removed around a line before it is compared (fixed value).
 _BLANKS = " \t\x0b\x0c\r"
 
 
 def _line_keys(text: Column) -> Column:
-    """(at, key) of every line that isn't blank, in order."""
+    """(at, key, words) of every line that isn't blank, in order."""
     lines = F.split(text, "\n")
     keyed = F.transform(lines, lambda line, i: F.struct(i.alias("at"), F.btrim(line, F.lit(_BLANKS)).alias("line")))
     full = F.filter(keyed, lambda x: x["line"] != "")
-    return F.transform(full, lambda x: F.struct(x["at"].alias("at"), F.xxhash64(x["line"]).alias("key")))
+    return F.transform(
+        full,
+        lambda x: F.struct(
+            x["at"].alias("at"),
+            F.xxhash64(x["line"]).alias("key"),
+            F.size(F.split(x["line"], f"[{_BLANKS}]+")).alias("words"),
+        ),
+    )
+
+
+def _windows(lines: str, run: int, short_words: int | None) -> Column:
+    """Per window: its first line (numbered without the blanks), number of lines, hash, and fingerprint."""
+    def windows_of(n: int) -> Column:
+        def own(i: Column, name: str) -> list[Column]:
+            return [F.get(F.col(lines), i + k)[name] for k in range(n)]
+
+        def window(i: Column) -> Column:
+            found = F.xxhash64(*own(i, "key"))
+            mark = F.least(*own(i, "key")) if n == run and n > 1 else found
+            return F.struct(i.alias("first"), F.lit(n).alias("n"), found.alias("hash"), mark.alias("mark"))
 
+        starts = F.when(F.size(lines) >= n, F.sequence(F.lit(0), F.size(lines) - n)).otherwise(F.array().cast("array<int>"))
+        if n < run:
+            starts = F.filter(starts, lambda i: sum(own(i, "words"), F.lit(0)) >= short_words)
+        return F.transform(starts, window)
 
-def _windows(lines: str, run: int) -> Column:
-    """Per window: its first line (numbered without the blanks), hash, and fingerprint."""
-    def window(i: Column) -> Column:
-        keys = [F.get(F.col(lines), i + k)["key"] for k in range(run)]
-        return F.struct(i.alias("first"), F.xxhash64(*keys).alias("hash"), F.least(*keys).alias("mark"))
+    return F.concat(*(windows_of(n) for n in range(run if short_words is None else 1, run + 1)))
 
-    starts = F.when(F.size(lines) >= run, F.sequence(F.lit(0), F.size(lines) - run)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, window)
 
+def line_dedup(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    run: int = RUN_LINES,
+    short_words: int | None = SHORT_WORDS,
+) -> DataFrame:
+    """Delete every line that a repeated run covers: ``run`` or more lines, or fewer with ``short_words`` words in all.
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN_LINES) -> DataFrame:
-    """Delete every line that a repeated run of ``run`` or more lines covers.
+    Without ``short_words``, runs of fewer lines stay.
 
     Returns ``row`` (a struct of the columns of ``docs`` but the text), ``text``
     without the deleted lines, ``n_lines`` (blank ones not counted),
@@ -63,8 +91,11 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # winnowing: windows come with the fingerprint they select
     marks = (
         rows.select("id", "place", _line_keys(F.col("text")).alias("lines"))
-        .select("id", "place", "lines", F.explode(_windows("lines", run)).alias("w"))
-        .select("id", "place", "w.*", F.transform(F.slice("lines", F.col("w.first") + 1, run), lambda x: x["at"]).alias("at"))
+        .select("id", "place", "lines", F.explode(_windows("lines", run, short_words)).alias("w"))
+        .select(
+            "id", "place", "w.first", "w.hash", "w.mark",
+            F.transform(F.slice("lines", F.col("w.first") + 1, F.col("w.n")), lambda x: x["at"]).alias("at"),
+        )
     )
     marks = checkpointed(marks)
     often = marks.groupBy("mark").agg(F.count("*").alias("n")).where("n > 1").select("mark")
@@ -93,8 +124,11 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def op5_line_dedup(docs: DataFrame) -> DataFrame:
-    """doc_id, n_lines, n_removed, kept_sha256 (of the text that is left; a null text as an empty one)."""
-    found = line_dedup(docs.select("doc_id", "text"))
+    """doc_id, n_lines, n_removed, kept_sha256 (of the text that is left; a null text as an empty one).
+
+    By the rule of ``OP5_SQL``: runs of fewer than ``RUN_LINES`` lines stay.
+    """
+    found = line_dedup(docs.select("doc_id", "text"), short_words=None)
     return found.select(
         "row.doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256")
     )

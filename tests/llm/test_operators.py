@@ -147,6 +147,31 @@ def test_line_dedup(spark):
     assert line_dedup(df.limit(0)).count() == 0
 
 
+def test_line_dedup_short_runs(spark):
+    rnd = random.Random(5)
+    lines = ["one two three four five", "  one  two\tthree", "four five", "x", "", "six seven eight nine ten eleven "]
+    rows = [(i, "\n".join(rnd.choice(lines) for _ in range(rnd.randint(0, 4)))) for i in range(30)]
+    rows += [(40 + i, f"own {i}\nalone it stands in many texts\nmore {i}") for i in range(3)]
+    rows += [(50, "alone it stands in many texts"), (51, "x"), (52, None), (None, lines[0])]
+    seen, want = set(), []
+    for doc, text in ordered(rows):
+        own = (text or "").split("\n")
+        full = [i for i, x in enumerate(own) if x.strip()]
+        gone = set()
+        for n in (1, 2, 3):
+            for k in range(len(full) - n + 1):
+                key = tuple(own[i].strip() for i in full[k : k + n])
+                if n == 3 or len(" ".join(key).split()) >= 5:
+                    if key in seen:
+                        gone |= set(full[k : k + n])
+                    seen.add(key)
+        want.append((str(doc), str(sorted(gone))))
+    found = line_dedup(spark.createDataFrame(rows, SCHEMA).repartition(4))
+    got = {r["row"]["doc_id"]: r for r in found.collect()}
+    assert sorted((str(doc), str(list(r["removed"]))) for doc, r in got.items()) == sorted(want)
+    assert got[50]["text"] == "" and got[42]["text"] == "own 2\nmore 2"
+
+
 def test_packing(spark, docs):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     rows = op8_packing(docs.where("doc_id <> 901 and doc_id is not null")).collect()
