@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glmframe.llm.common import read_table
+from glmframe.llm.common import checkpointed, read_table
 from glmframe.llm.line_dedup import line_dedup
 from glmframe.llm.near_dedup import near_duplicates
 from glmframe.llm.packing import pack_words
@@ -43,9 +43,20 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of every group of near copies (five-word shingles, 0.8)."""
+    """The document with the smallest id of every group of near copies (five-word shingles, 0.8).
+
+    Of rows that repeat one doc_id with the same text, one stays; rows of one
+    doc_id with other texts, and rows without a doc_id, aren't told apart and
+    all stay.
+    """
     gone = near_duplicates(docs, width=5, percent=80).where("id <> component_id").select("id").distinct()
-    return docs.join(gone, docs["doc_id"] == gone["id"], "left_anti")
+    kept = docs.join(gone, docs["doc_id"] == gone["id"], "left_anti")
+    counts = docs.where("doc_id is not null").groupBy(F.col("doc_id").alias("id")).count()
+    often = checkpointed(counts.where("count > 1").select("id"))
+    if often.isEmpty():
+        return kept
+    again = kept.join(often, kept["doc_id"] == often["id"], "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(often, kept["doc_id"] == often["id"], "left_anti").unionByName(again)
 
 
 def substring_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -29,3 +29,14 @@ def test_packing_stage_writes_ids(spark):
     docs = read_table(spark, SF, "documents").limit(20)
     for r in corpus_pipeline.packing_stage(spark, docs, SF).collect():
         assert len(r.ids) == 4 * r.length and zlib.crc32(r.ids) == r.ids_crc32
+
+
+def test_near_dedup_keeps_one_of_repeated_rows(spark):
+    words = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, words), (1, words), (1, words), (2, words + " end"), (3, "a b"), (3, "a b"), (3, "other"), (4, "c")]
+    rows += [(5, None), (5, None), (None, "n"), (None, "n")]
+    docs = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, n_chars int")
+    out = corpus_pipeline.near_dedup_stage(spark, docs.repartition(3), SF)
+    assert out.dtypes == docs.dtypes
+    want = [(1, words), (3, "a b"), (3, "other"), (4, "c"), (5, None), (None, "n"), (None, "n")]
+    assert sorted(map(str, ((r.doc_id, r.text) for r in out.collect()))) == sorted(map(str, want))
