@@ -3,10 +3,8 @@
 Lines are split at newlines and compared without the white space around them;
 blank lines take no part. In every window of ``run`` consecutive lines the
 line with the smallest hash is selected as the fingerprint (the rightmost of
-equal ones), so any run of that many lines that occurs twice has a selected
-fingerprint in both places. Positions of fingerprints that occur more than
-once are joined, and each match is extended to both sides: all windows around
-the fingerprint are compared with those of the other places. A window whose
+equal ones). Windows whose fingerprint is counted once are set aside; the hashes
+of all others are counted, with no extension of single matches. A window whose
 lines also start earlier (smaller id, or the same document further up) is a
 repeated run; overlapping ones merge, and their lines are deleted. A shorter
 run, down to a single line, counts as one too if it has ``short_words`` words
