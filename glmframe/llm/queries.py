@@ -10,6 +10,7 @@ from glmframe.llm.common import read_table
 from glmframe.llm.fingerprints import op10_fingerprints
 from glmframe.llm.html_template import op6_html_extraction
 from glmframe.llm.line_dedup import OP5_SQL, op5_line_dedup
+from glmframe.llm.merkle_manifest import OP13_SQL, op13_merkle_manifest
 from glmframe.llm.near_dedup import op9_near_dedup
 from glmframe.llm.packing import op8_packing
 from glmframe.llm.piece_viterbi import op3_piece_viterbi
@@ -42,7 +43,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": _over("documents", op8_packing),
     "op9_near_dedup": _over("documents", op9_near_dedup),
     "op10_fingerprints": _over("documents", op10_fingerprints),
+    "op13_merkle_manifest": _over("documents", op13_merkle_manifest),
 }
 
 #: The other operators can't be put as SQL and are tested against brute force.
-ORACLE_SQL: dict[str, str] = {"op2_quality_rules": OP2_SQL, "op5_line_dedup": OP5_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_quality_rules": OP2_SQL, "op5_line_dedup": OP5_SQL, "op13_merkle_manifest": OP13_SQL}
