@@ -10,6 +10,7 @@ from glmframe.llm.common import read_table
 from glmframe.llm.fingerprints import op10_fingerprints
 from glmframe.llm.html_template import op6_html_extraction
 from glmframe.llm.line_dedup import OP5_SQL, op5_line_dedup
+from glmframe.llm.lm_scoring import op12_lm_scoring
 from glmframe.llm.merkle_manifest import OP13_SQL, op13_merkle_manifest
 from glmframe.llm.near_dedup import op9_near_dedup
 from glmframe.llm.packing import op8_packing
@@ -17,6 +18,7 @@ from glmframe.llm.piece_viterbi import op3_piece_viterbi
 from glmframe.llm.quality_knn import op1_quality_classifier
 from glmframe.llm.quality_rules import OP2_SQL, op2_quality_rules
 from glmframe.llm.substring_dedup import op4_substring_dedup
+from glmframe.llm.token_alignment import op11_token_alignment
 from glmframe.llm.token_counts import op7_token_counts
 
 
@@ -43,6 +45,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": _over("documents", op8_packing),
     "op9_near_dedup": _over("documents", op9_near_dedup),
     "op10_fingerprints": _over("documents", op10_fingerprints),
+    "op11_token_alignment": _over("documents", op11_token_alignment),
+    "op12_lm_scoring": _over("documents", op12_lm_scoring),
     "op13_merkle_manifest": _over("documents", op13_merkle_manifest),
 }
 
