@@ -35,6 +35,7 @@ def parser() -> argparse.ArgumentParser:
     tr.add_argument("--num-iterations", type=int, default=200)
     tr.add_argument("--step-size", type=float, default=1.0, help="has no effect; kept so that old calls still parse")
     tr.add_argument("--reg-param", type=float, default=1.0)
+    tr.add_argument("--scale", action="store_true", help="train on centred and scaled features, with an intercept")
     pr = sub.add_parser("predict-linear", help="use a model to make predictions")
     _read_options(pr)
     pr.add_argument("--model", required=True, help="folder of a saved model")
@@ -60,7 +61,7 @@ def main(argv: list[str] | None = None) -> int:
         res = train(
             spark, args.input, out=args.out, kind=args.kind, num_iterations=args.num_iterations,
             reg_param=args.reg_param, target=args.target, ignore=args.ignore, max_features=max_features,
-            arguments=tuple(argv),
+            arguments=tuple(argv), scale=args.scale,
         )
         print(f"Input: {res.rows:,} rows, {res.model_width:,} features, {res.partitions:,} partitions")
         print(f"Label 1 on {res.positives:,} of {res.rows:,} rows ({res.positive_percent:f}%)")

@@ -13,6 +13,12 @@ window group limit *before* the shuffle, so at most ``cap`` rows per group
 per map partition move. The number of pieces per group (needed to decide on
 the ellipsis) is a separate partial aggregate. No rows are dropped from the
 answer: the cap is exact, not a sample.
+
+An empty separator has no such cap, since empty pieces cost nothing. There
+the characters spent before every piece are running totals over
+range-partitioned pieces (``with_running_total``), and no group is sorted in
+one task; of the kept pieces only those with text are gathered, which the
+budget bounds.
 """
 
 from __future__ import annotations
@@ -57,17 +63,23 @@ def truncated_listing(
     pieces = df.select(*group_cols, F.col(order_col).alias("_k"), F.col(piece_col).cast("string").alias("_p"))
     totals = pieces.groupBy(*group_cols).agg(F.count("_p").alias("_n_total"))
     pieces = pieces.where(F.col("_p").isNotNull())
-    order = Window.partitionBy(*group_cols).orderBy("_k", "_p")
 
     cap = rank_cap(max_length, separator, ellipsis)
-    head = pieces
-    if cap is not None:
-        head = head.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= cap)
     cost = F.length("_p") + F.lit(len(separator))
-    spent = F.sum(cost).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    head = head.withColumn("_keep", (F.lit(max_length) - F.coalesce(spent, F.lit(0))) > F.lit(len(ellipsis)))
+    if cap is None:
+        from glmframe.operators.prefix_sums import with_running_total
+
+        head = with_running_total(pieces, group_cols, ["_k", "_p"], cost, "_spent")
+    else:
+        order = Window.partitionBy(*group_cols).orderBy("_k", "_p")
+        head = pieces.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= cap)
+        before = F.sum(cost).over(order.rowsBetween(Window.unboundedPreceding, -1))
+        head = head.withColumn("_spent", F.coalesce(before, F.lit(0)))
+    head = head.withColumn("_keep", (F.lit(max_length) - F.col("_spent")) > F.lit(len(ellipsis)))
+    # without a separator, empty pieces leave no trace in the text
+    shown = F.col("_keep") & (F.lit(bool(separator)) | (F.col("_p") != ""))
     kept = head.groupBy(*group_cols).agg(
-        F.array_sort(F.collect_list(F.when(F.col("_keep"), F.struct("_k", "_p")))).alias("_kept"),
+        F.array_sort(F.collect_list(F.when(shown, F.struct("_k", "_p")))).alias("_kept"),
         F.count_if(F.col("_keep")).alias("_n_kept"),
     )
     # NULL is a group like any other; a group of NULL pieces alone has an empty text

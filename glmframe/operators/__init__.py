@@ -8,13 +8,14 @@ from glmframe.operators.profile import (
     matrix_shape,
     observe_counters,
     positive_rate,
-    standardize,
 )
 from glmframe.operators.row_index import with_input_order_index, with_row_index
+from glmframe.operators.scaling import Scaler, standardize
 from glmframe.operators.scoring import accuracy, align, confusion_counts, keyed_predictions, score
 from glmframe.operators.train import fit_linear, fit_logistic_l1
 
 __all__ = [
+    "Scaler",
     "accuracy",
     "align",
     "confusion_counts",

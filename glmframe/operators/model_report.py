@@ -1,18 +1,19 @@
 """Model report: weight ranking, zero-weight summary, missing features.
 
-All three work on the long weights frame ``(idx, name, value)``. That frame
-has one row per model feature, so its size is bounded by the model, not by
-the data; the global ordering of the ranking runs over those rows only.
+All three work on the long weights frame ``(idx, name, value)``, one row per
+model feature. The ranking is a range exchange over those rows with an offset
+per partition, so a model of any width is ranked by many tasks.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Layout of one ranking line and of the zero-weight summary.
+from glmframe.operators.row_index import with_row_index
+
+# Fixed value: layout of one ranking line.
 RANKING_LINE = " [%10d] %20s = %.15f"
-ZERO_SUMMARY_LINE = "Remaining %,d / %,d = %,f%% features have 0 weight."
 
 
 def weight_ranking(weights: DataFrame) -> DataFrame:
@@ -20,10 +21,10 @@ def weight_ranking(weights: DataFrame) -> DataFrame:
 
     ``(rank, idx, name, value, line)``; ``rank`` is 1-based.
     """
-    order = Window.orderBy(F.abs(F.col("value")).desc(), F.col("idx").asc())
-    nonzero = weights.where(F.col("value") != F.lit(0.0))
-    return nonzero.select(
-        F.row_number().over(order).alias("rank"),
+    nonzero = weights.where(F.col("value") != F.lit(0.0)).select("idx", "name", "value")
+    ranked = with_row_index(nonzero, [F.abs("value").desc(), F.col("idx").asc()])
+    return ranked.select(
+        (F.col("index") + 1).alias("rank"),
         "idx",
         "name",
         "value",

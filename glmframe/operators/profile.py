@@ -13,8 +13,7 @@ import logging
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from glmframe.frame import LABEL, PACKED, FeatureFrame, fcol, qcol
-from glmframe.functions.numeric import double_array
+from glmframe.frame import LABEL, PACKED, FeatureFrame, fcol
 
 log = logging.getLogger(__name__)
 
@@ -44,14 +43,6 @@ def matrix_shape(frame: FeatureFrame) -> DataFrame:
     return frame.df.agg(F.count(F.lit(1)).alias("rows")).select("rows", F.lit(frame.width).alias("features"))
 
 
-def partition_count(frame: FeatureFrame) -> int:
-    """Number of partitions of the frame's plan.
-
-    Under adaptive execution this runs the plan's shuffle stages, if it has any.
-    """
-    return frame.df.rdd.getNumPartitions()
-
-
 # -------------------------------------------------------- constant features
 def _constant_stats(frame: FeatureFrame) -> list[Column]:
     stats = [F.count(F.lit(1)).alias("_rows")]
@@ -128,7 +119,7 @@ def drop_constant_features(frame: FeatureFrame) -> FeatureFrame:
     return frame.project_by_index(sorted(r["position"] for r in flags if not r["is_constant"]))
 
 
-# ------------------------------------------------------------ standardising
+# ------------------------------------------------------------------ moments
 def column_moments(frame: FeatureFrame) -> list[tuple[float | None, float | None]]:
     """Per feature: (mean, sample standard deviation), one pass."""
     if frame.packed:
@@ -144,42 +135,6 @@ def column_moments(frame: FeatureFrame) -> list[tuple[float | None, float | None
     return [(row[f"{c}__mean"], row[f"{c}__std"]) for c in frame.feature_cols]
 
 
-def standardize(frame: FeatureFrame, center: bool = True, scale: bool = True) -> FeatureFrame:
-    """Centre and/or scale every feature by its mean and sample stddev.
-
-    A column whose stddev is 0 or undefined scales to 0.0. The moments are
-    one aggregate job; the result is a lazy projection with literals.
-    """
-    if frame.packed:
-        return _standardize_packed(frame, center, scale)
-    moments = column_moments(frame)
-    cols = [F.col(LABEL)]
-    for c, (mean, std) in zip(frame.feature_cols, moments):
-        x = F.col(c)
-        if center and mean is not None:
-            x = x - F.lit(float(mean))
-        if scale:
-            x = x / F.lit(float(std)) if std not in (None, 0.0) else F.lit(0.0)
-        cols.append(x.alias(c))
-    cols += [qcol(c) for c in frame.carry]
-    return frame.with_df(frame.df.select(*cols))
-
-
-def _standardize_packed(frame: FeatureFrame, center: bool, scale: bool) -> FeatureFrame:
-    """The same formula element-wise, against arrays of means and deviations."""
-    moments = column_moments(frame)
-    out = F.col(PACKED)
-    if center:
-        out = F.zip_with(out, double_array([m or 0.0 for m, _ in moments]), lambda x, m: x - m)
-    if scale:
-        # a deviation of 0 or none stands for "becomes 0.0"
-        out = F.zip_with(
-            out, double_array([sd or 0.0 for _, sd in moments]), lambda x, sd: F.when(sd == 0.0, 0.0).otherwise(x / sd)
-        )
-    df = frame.df.select(F.col(LABEL), out.alias(PACKED), *[qcol(c) for c in frame.carry])
-    return frame.with_df(df)
-
-
 # --------------------------------------------------------- observed counters
 def observe_counters(df: DataFrame, name: str, **counters: Column) -> tuple[DataFrame, Observation]:
     """Attach named aggregate counters to a plan; read them after an action.

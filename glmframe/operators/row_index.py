@@ -9,19 +9,21 @@ task. Instead:
   as many partitions as their number needs. That order is written once (a
   reliable checkpoint); a row's index is the start of its partition plus its
   place there, both 64-bit.
-* **input order of text files** (:func:`with_input_order_index`): no shuffle
-  for ordering. Count the rows of every input split, prefix-sum the counts in
-  (file, split start) order, and join them back on numeric split keys; index =
-  offset of the split + position inside it. The join has no hint: Spark
-  broadcasts the split table only where its measured size allows that.
+* **input order of text files** (:func:`with_input_order_index`): rows never
+  move. Count the rows of every input split, prefix-sum the counts in (file,
+  split start) order, and look each row's split up in an array by partition
+  number; index = offset of the split + position inside it. The array is one
+  literal of four numbers per split, and the driver plans every split anyway.
 """
 
 from __future__ import annotations
 
+import json
 import math
+from collections import defaultdict
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glmframe.frame import qcol
@@ -34,12 +36,12 @@ _ROW_BITS = 33
 
 def with_row_index(
     df: DataFrame,
-    order_by: Sequence[str],
+    order_by: Sequence[str | Column],
     index_col: str = "index",
     num_partitions: int | None = None,
     rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
-    """Add ``index_col`` = 0-based position in ``order_by`` order.
+    """Add ``index_col`` = 0-based position in ``order_by`` order (names, or columns with a direction).
 
     Ties on ``order_by`` are ordered by a hash of the whole row, then by the
     place in the source. The partition count follows from the row count (one
@@ -49,7 +51,7 @@ def with_row_index(
     keyed = df.withColumns(
         {"_tie": F.xxhash64(*[qcol(c) for c in df.columns]), "_at": F.monotonically_increasing_id()}
     )
-    order = [*(qcol(c) for c in order_by), F.col("_tie"), F.col("_at")]
+    order = [*(qcol(c) if isinstance(c, str) else c for c in order_by), F.col("_tie"), F.col("_at")]
     ranged = keyed.repartitionByRange(n, *order).sortWithinPartitions(*order).drop("_tie", "_at")
     ensure_checkpoint_dir(df.sparkSession)
     written = ranged.withColumn("_id", F.monotonically_increasing_id()).checkpoint()
@@ -72,12 +74,29 @@ def with_input_order_index(df: DataFrame, file_col: str, block_col: str, index_c
     The within-split position is taken here, after every filter.
     """
     with_id = df.withColumn("_rid", F.monotonically_increasing_id()).withColumns(
-        {"_part": F.shiftright("_rid", _ROW_BITS), "_file": F.xxhash64(qcol(file_col))}
+        {"_part": F.shiftright("_rid", _ROW_BITS), "_file": F.xxhash64(qcol(file_col)), "_block": qcol(block_col)}
     )
-    keys = ["_part", "_file", block_col]
-    splits = with_id.groupBy(*keys, file_col).agg(F.count(F.lit(1)).alias("_n"), F.min("_rid").alias("_first"))
-    order = Window.orderBy(file_col, block_col).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = splits.select(*keys, "_first", F.coalesce(F.sum("_n").over(order), F.lit(0)).alias("_start"))
-    joined = with_id.join(offsets, on=keys, how="inner")
-    index = F.col("_start") + (F.col("_rid") - F.col("_first"))
-    return joined.select(*[qcol(c) for c in df.columns], index.alias(index_col))
+    place = F.col("_rid").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
+    splits = with_id.groupBy("_part", "_file", "_block", qcol(file_col).alias("_path")).agg(
+        F.count(F.lit(1)).alias("_n"), F.min(place).alias("_first")
+    )
+    order = Window.orderBy("_path", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    shift = F.coalesce(F.sum("_n").over(order), F.lit(0)) - F.col("_first")
+    index = place + _split_shift(splits.select("_part", "_file", "_block", shift.alias("_shift")))
+    return with_id.select(*[qcol(c) for c in df.columns], index.alias(index_col))
+
+
+def _split_shift(splits: DataFrame) -> Column:
+    """What a split's rows add to their place in the partition, looked up by (_part, _file, _block).
+
+    One list of splits per partition, most often of one. A row whose split
+    isn't there fails the job: the scan was planned otherwise than when counted.
+    """
+    lists: dict[int, list[list[int]]] = defaultdict(list)
+    for part, file, block, shift in splits.toLocalIterator():
+        lists[part].append([file, block, shift])
+    table = [lists[i] for i in range(max(lists, default=-1) + 1)]
+    found = F.get(F.from_json(F.lit(json.dumps(table)), "array<array<array<bigint>>>"), F.col("_part").cast("int"))
+    own = F.filter(found, lambda s: (s[0] == F.col("_file")) & (s[1] == F.col("_block")))
+    missing = F.raise_error(F.lit("the input splits changed between counting and indexing")).cast("bigint")
+    return F.coalesce(F.get(F.get(own, F.lit(0)), F.lit(2)), missing)

@@ -60,7 +60,8 @@ def _fit(estimator, frame: FeatureFrame, data: DataFrame | None, depth: int | No
         data = own = training_input(frame)
     try:
         if estimator.hasParam("aggregationDepth"):
-            data.count()  # fills the persisted copy, whose partitions are known then
+            if own is not None:
+                data.count()  # fills the persisted copy, whose partitions are known then
             chosen = depth or tree_depth(data.rdd.getNumPartitions(), frame.width)
             estimator = estimator.copy({estimator.getParam("aggregationDepth"): chosen})
         return estimator.fit(data)

@@ -25,17 +25,18 @@ from glmframe.operators.profile import (
     matrix_shape,
     observe_counters,
     positive_rate,
-    standardize,
 )
 from glmframe.operators.row_index import with_row_index
+from glmframe.operators.scaling import Scaler, standardize
 from glmframe.operators.scoring import accuracy, confusion_counts, keyed_predictions, score
 from glmframe.operators.train import fit_linear, fit_logistic_l1
 from glmframe.plans.commands import predict, train
 from glmframe.session import scratch_path
 from glmframe.sources.csv_matrix import column_profile, duplicate_columns, read_matrix, write_matrix_csv
-from glmframe.sources.model_store import LinearModel, model_from_weights, read_model_df, weights_long
+from glmframe.sources.model_store import LinearModel, load_model, model_from_weights, read_model_df, weights_long
 from glmframe.sources.predictions import PREDICTION_HEADER, prediction_lines
-from glmframe.streaming.scoring import read_matrix_stream, start_keyed_scoring
+from glmframe.sources.wide_model import WideModel, load_wide_model, score_entries
+from glmframe.streaming.scoring import ScoringCounters, read_matrix_stream, start_keyed_scoring
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -322,10 +323,12 @@ def q_csv_quoted_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_duplicate_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names that a header repeats: part columns, two of them written twice."""
-    src = table(spark, sf_dir, "part").select("p_size", "p_retailprice", "p_size", "p_partkey", "p_size", "p_retailprice")
-    names = ["size", "price", "size", "key", "size", "price"]
-    paths = write_matrix_csv(src.toDF(*[f"c{i}" for i in range(6)]), _scratch(spark, "dup-names"), header=names)
+    """Names that a header repeats: suppliers counted per nation, each column under its region's name."""
+    nations = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    header = nations.select("n_nationkey", "r_name").orderBy("n_nationkey").collect()  # one row per nation
+    counts = [F.count_if(F.col("s_nationkey") == r["n_nationkey"]).alias(f"c{i}") for i, r in enumerate(header)]
+    src = table(spark, sf_dir, "supplier").agg(*counts)
+    paths = write_matrix_csv(src, _scratch(spark, "dup-names"), header=[r["r_name"] for r in header])
     return duplicate_columns(spark, paths)
 
 
@@ -429,6 +432,16 @@ def q_train_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
     return row.select(rounded("slope", 3).alias("slope"), rounded("intercept", 3).alias("intercept"))
 
 
+def q_train_scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A lasso of scaled features, folded, stored, loaded, and applied to raw rows of another table."""
+    fr = FeatureFrame.from_columns(table(spark, sf_dir, "lineitem"), {"size": "l_quantity"}, label="l_extendedprice")
+    scaler = Scaler.fit(fr)
+    scaled = fit_linear(scaler.apply(fr), reg_param=LASSO_REG_PARAM, fit_intercept=True, standardization=False)
+    path = scaler.fold(scaled).save(spark, _scratch(spark, "scaled-model"))
+    raw = FeatureFrame.from_columns(table(spark, sf_dir, "part"), {"size": "p_size"}, carry=["p_partkey"])
+    return score(raw, load_model(spark, path)).select("p_partkey", rounded("prediction", 2).alias("prediction"))
+
+
 def q_model_weight_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranking = weight_ranking(centroid_weights(spark, sf_dir))
     return ranking.select(F.col("rank").cast("long").alias("rank"), "idx", "name", "value", "line")
@@ -445,6 +458,27 @@ def q_model_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weights_long(read_model_df(spark, path))
 
 
+def _wide_part_model(spark: SparkSession, sf_dir: str) -> WideModel:
+    """One weight per part, how its mean quantity differs from 25.5; stored and loaded."""
+    parts = table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.avg("l_quantity").alias("q"))
+    name = F.concat(F.lit("part-"), F.col("l_partkey").cast("string")).alias("name")
+    weights = parts.select(F.col("l_partkey").alias("idx"), name, (F.floor(F.col("q") * 4) - 102).cast("double").alias("value"))
+    return load_wide_model(spark, WideModel(weights, -3.0, "linear").save(_scratch(spark, "wide-model")))
+
+
+def q_model_wide_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranking of a model whose weights never reach the driver."""
+    return weight_ranking(_wide_part_model(spark, sf_dir).weights)
+
+
+def q_score_wide_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders scored from (order, part, quantity) rows by a model with a weight per part."""
+    li = table(spark, sf_dir, "lineitem")
+    name = F.concat(F.lit("part-"), F.col("l_partkey").cast("string")).alias("name")
+    entries = li.select("l_orderkey", name, F.col("l_quantity").alias("value"))
+    return score_entries(entries, _wide_part_model(spark, sf_dir), ["l_orderkey"]).select("l_orderkey", "prediction")
+
+
 def q_model_missing_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     emb = table(spark, sf_dir, "embeddings")
     dim = emb.select(F.max(F.size("embedding")).alias("d")).first()["d"]
@@ -472,6 +506,13 @@ def q_truncated_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncated_listing(cu, ["c_nationkey"], "c_custkey", "c_name", LISTING_BUDGET)
 
 
+def q_truncated_listing_unseparated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces without a separator, some empty, in groups of a fifth of all rows each."""
+    piece = F.when(F.col("user_id") % 3 != 0, F.col("user_id").cast("string")).otherwise(F.lit(""))
+    ev = table(spark, sf_dir, "events").select("event_type", "event_id", piece.alias("piece"))
+    return truncated_listing(ev, ["event_type"], "event_id", "piece", LISTING_BUDGET, separator="")
+
+
 def q_observed_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = score(events_frame(spark, sf_dir), EVENTS_MODEL)
     observed, obs = observe_counters(
@@ -525,6 +566,24 @@ def q_stream_keyed_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema("row_key STRING, prediction DOUBLE").parquet(out)
 
 
+def q_stream_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows with and without a prediction, added up over the micro-batches of a stream of several files."""
+    ev = table(spark, sf_dir, "events")
+    text = F.when(F.col("event_id") % 7 == 0, F.lit("n/a")).otherwise(F.col("value").cast("string"))
+    src = ev.select("event_id", text.alias("value"), "user_id", (F.col("event_type") == "purchase").alias("Y"))
+    paths = write_matrix_csv(src.repartition(3, "event_id"), _scratch(spark, "counted-in"))
+    header = ["event_id", "value", "user_id", "Y"]
+    frame = read_matrix_stream(
+        spark, paths[1], header, carry=["event_id"], on_error="null", max_files_per_trigger=1
+    )
+    query = start_keyed_scoring(frame, EVENTS_MODEL, ["event_id"], _scratch(spark, "counted-out"))
+    query.awaitTermination()  # an availableNow run ends by itself
+    if query.exception() is not None:
+        raise RuntimeError(f"streaming scoring failed: {query.exception()}")
+    batches = ScoringCounters().update(query).to_df(spark)
+    return batches.agg(F.sum("scored").alias("scored"), F.sum("unscored").alias("unscored"), (F.count("*") > 1).alias("in_batches"))
+
+
 QUERIES: dict[str, Query] = {
     "csv_scan": q_csv_scan,
     "csv_header": q_csv_header,
@@ -563,12 +622,17 @@ QUERIES: dict[str, Query] = {
     "train_job": q_train_job,
     "train_lasso": q_train_lasso,
     "train_linear": q_train_linear,
+    "train_scaled": q_train_scaled,
+    "model_wide_ranking": q_model_wide_ranking,
+    "score_wide_entries": q_score_wide_entries,
     "model_weight_ranking": q_model_weight_ranking,
     "model_zero_weights": q_model_zero_weights,
     "model_roundtrip": q_model_roundtrip,
     "model_missing_features": q_model_missing_features,
     "model_provenance": q_model_provenance,
     "truncated_listing": q_truncated_listing,
+    "truncated_listing_unseparated": q_truncated_listing_unseparated,
+    "stream_counters": q_stream_counters,
     "observed_counters": q_observed_counters,
     "stream_keyed_scoring": q_stream_keyed_scoring,
     "score_packed": q_score_packed,
@@ -720,8 +784,8 @@ ORACLE_SQL: dict[str, str] = {
         "AS text_md5, CASE WHEN lang = 'en' THEN 1.0 ELSE 0.0 END::DOUBLE AS label, n_chars::DOUBLE AS n_chars FROM documents"
     ),
     "duplicate_names": (
-        "SELECT name, n::BIGINT AS occurrences FROM (VALUES ('size', 3), ('price', 2)) t(name, n) "
-        "WHERE (SELECT count(*) FROM part) > 0"
+        "SELECT r_name AS name, count(*) AS occurrences FROM nation JOIN region ON r_regionkey = n_regionkey "
+        "GROUP BY 1 HAVING count(*) > 1"
     ),
     "constant_flags_with_missing": (
         "SELECT position, 'e' || position AS name, "
@@ -832,3 +896,41 @@ SELECT CAST(CASE WHEN label >= 5 THEN 1 ELSE 0 END AS DOUBLE) AS label, count(*)
        round(sum(CAST(embedding[len(embedding)] AS DOUBLE)), 6) + 0.0 AS sum_last
 FROM embeddings GROUP BY 1
 """
+# centred by its mean, the feature leaves the label's mean to the intercept, and the L1 optimum shrinks its covariance
+ORACLE_SQL["train_scaled"] = f"""
+WITH t AS (
+  SELECT avg(l_quantity) AS m, stddev_samp(l_quantity) AS s, covar_pop(l_quantity, l_extendedprice) AS c,
+         avg(l_extendedprice) AS b, count(*) AS n FROM lineitem
+), w AS (
+  SELECT m, s, b, greatest(c / s - {LASSO_REG_PARAM}, 0) * n / (n - 1) AS w FROM t
+)
+SELECT p_partkey, round(w * (p_size - m) / s + b, 2) + 0.0 AS prediction FROM part, w
+"""
+PART_WEIGHTS_SQL = """
+  SELECT l_partkey AS idx, 'part-' || l_partkey AS name, (floor(avg(l_quantity) * 4) - 102)::DOUBLE AS value
+  FROM lineitem GROUP BY l_partkey
+"""
+ORACLE_SQL["model_wide_ranking"] = f"""
+WITH w AS ({PART_WEIGHTS_SQL})
+SELECT row_number() OVER (ORDER BY abs(value) DESC, idx) AS rank, idx, name, value,
+       printf(' [%10d] %20s = %.15f', idx, name, value) AS line FROM w WHERE value <> 0
+"""
+ORACLE_SQL["score_wide_entries"] = f"""
+WITH w AS ({PART_WEIGHTS_SQL})
+SELECT l_orderkey, sum(value * l_quantity) - 3.0 AS prediction FROM lineitem JOIN w ON idx = l_partkey GROUP BY 1
+"""
+ORACLE_SQL["truncated_listing_unseparated"] = f"""
+WITH p AS (
+  SELECT event_type, event_id, CASE WHEN user_id % 3 <> 0 THEN user_id::VARCHAR ELSE '' END AS piece FROM events
+), w AS (
+  SELECT *, {LISTING_BUDGET} - coalesce(sum(length(piece)) OVER (
+    PARTITION BY event_type ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) > 6 AS keep FROM p
+)
+SELECT event_type, coalesce(string_agg(piece, '' ORDER BY event_id) FILTER (WHERE keep), '') ||
+       CASE WHEN bool_and(keep) THEN '' ELSE ' [...]' END AS listing
+FROM w GROUP BY event_type
+"""
+ORACLE_SQL["stream_counters"] = (
+    "SELECT count(*) FILTER (WHERE event_id % 7 <> 0) AS scored, count(*) FILTER (WHERE event_id % 7 = 0) AS unscored, "
+    "true AS in_batches FROM events"
+)

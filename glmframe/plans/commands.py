@@ -20,6 +20,7 @@ from glmframe.frame import LABEL, FeatureFrame
 from glmframe.operators.model_report import weight_ranking, zero_weight_summary
 from glmframe.operators.profile import observe_counters
 from glmframe.operators.row_index import with_input_order_index, with_row_index
+from glmframe.operators.scaling import Scaler
 from glmframe.operators.scoring import accuracy, score
 from glmframe.operators.train import (
     DEFAULT_ITERATIONS,
@@ -73,9 +74,12 @@ def train(
     max_features: int | None = None,
     frame: FeatureFrame | None = None,
     arguments: tuple[str, ...] | None = None,
+    scale: bool = False,
 ) -> TrainResult:
     """Fit a model on a matrix CSV (or a given frame) and optionally save it.
 
+    With ``scale`` the features are centred and scaled first, an intercept is
+    fitted, and the model is folded: it scores raw rows, and carries the moments.
     ``arguments`` is recorded in the model's provenance (default: the options
     used here).
     """
@@ -84,8 +88,12 @@ def train(
     if frame is None:
         frame = read_matrix(spark, input_path, target=target, ignore=ignore, max_features=max_features)
     args = arguments if arguments is not None else (
-        f"--input={input_path}", f"--kind={kind}", f"--num-iterations={num_iterations}", f"--reg-param={reg_param}"
+        f"--input={input_path}", f"--kind={kind}", f"--num-iterations={num_iterations}", f"--reg-param={reg_param}",
+        *(("--scale",) if scale else ()),
     )
+    scaler = Scaler.fit(frame) if scale else None
+    if scaler:
+        frame = scaler.apply(frame)
     # one persisted copy serves the profile pass and every solver pass, so the
     # input is scanned and parsed once
     data = training_input(frame)
@@ -93,12 +101,15 @@ def train(
         rows, positives = profile_once(frame.with_df(data))
         partitions = data.rdd.getNumPartitions()  # of the persisted copy: no job
         log.info("Loaded %d x %d matrix into %d partitions; label=1 on %d rows", rows, frame.width, partitions, positives)
-        if kind == "logistic":
-            model = fit_logistic_l1(frame, reg_param=reg_param, max_iter=num_iterations, arguments=args, data=data)
-        else:
-            model = fit_linear(frame, reg_param=reg_param, max_iter=num_iterations, arguments=args, data=data)
+        fit = fit_logistic_l1 if kind == "logistic" else fit_linear
+        model = fit(
+            frame, reg_param=reg_param, max_iter=num_iterations, fit_intercept=scale, standardization=not scale,
+            arguments=args, data=data,
+        )
     finally:
         data.unpersist()
+    if scaler:
+        model = scaler.fold(model)
     if out:
         model.save(spark, out)
     return TrainResult(model, rows, positives, partitions)

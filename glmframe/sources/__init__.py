@@ -20,22 +20,26 @@ from glmframe.sources.model_store import (
     read_model_df,
     weights_long,
 )
+from glmframe.sources.wide_model import WideModel, load_wide_model, score_entries
 
 __all__ = [
     "MODEL_SCHEMA",
     "LinearModel",
+    "WideModel",
     "cell_array",
     "column_names",
     "column_profile",
     "duplicate_columns",
     "first_line",
     "load_model",
+    "load_wide_model",
     "matrix_from_lines",
     "model_from_weights",
     "prediction_lines",
     "read_header",
     "read_matrix",
     "read_model_df",
+    "score_entries",
     "weights_long",
     "write_matrix_csv",
     "write_predictions",

@@ -6,6 +6,7 @@ Stored schema (one row per model file):
                        arguments ARRAY<STRING>, attributes MAP<STRING,STRING>>
     intercept   DOUBLE
     weights     ARRAY<STRUCT<name STRING, value DOUBLE>>
+    scaling     ARRAY<STRUCT<shift DOUBLE, divisor DOUBLE>>   only in models folded with a scaler
 
 A model is as wide as its feature list, so holding the weights on the driver
 (as Spark ML models do) is bounded by the model, not by the data. The long
@@ -19,6 +20,7 @@ import getpass
 import socket
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,6 +45,10 @@ MODEL_SCHEMA = T.StructType(
         T.StructField("weights", T.ArrayType(WEIGHT_TYPE, False), False),
     ]
 )
+SCALING_COLUMN = "scaling"
+SCALING_TYPE = T.ArrayType(
+    T.StructType([T.StructField("shift", T.DoubleType(), False), T.StructField("divisor", T.DoubleType(), False)]), False
+)
 
 # Model kinds; a stored model without a kind scores as logistic.
 KINDS = ("logistic", "linear")
@@ -74,32 +80,46 @@ def provenance_column(
     )
 
 
+class Scaling(NamedTuple):
+    """Moments of one feature in training: subtracted, and divided by (0.0: no deviation)."""
+
+    shift: float
+    divisor: float
+
+
 @dataclass(frozen=True)
 class LinearModel:
+    """Weights of raw features; ``scaling`` holds the moments of a model that was trained on scaled ones."""
+
     names: tuple[str, ...]
     weights: tuple[float, ...]
     intercept: float = 0.0
     kind: str = DEFAULT_KIND
     arguments: tuple[str, ...] = field(default=())
+    scaling: tuple[Scaling, ...] | None = None
 
     def __post_init__(self) -> None:
         if len(self.names) != len(self.weights):
             raise ValueError(f"{len(self.names)} feature names but {len(self.weights)} weights")
+        if self.scaling is not None and len(self.scaling) != len(self.weights):
+            raise ValueError(f"{len(self.scaling)} moments but {len(self.weights)} weights")
         if self.kind not in KINDS:
             raise ValueError(f"kind must be one of {KINDS}, got {self.kind!r}")
 
     # --------------------------------------------------------------- frames
     def to_df(self, spark: SparkSession, with_provenance: bool = True) -> DataFrame:
         """The model as one row with the stored schema."""
-        base = spark.createDataFrame(
-            [(float(self.intercept), [(n, float(w)) for n, w in zip(self.names, self.weights)])],
-            T.StructType(MODEL_SCHEMA.fields[1:]),
-        )
+        row = [float(self.intercept), [(n, float(w)) for n, w in zip(self.names, self.weights)]]
+        fields = MODEL_SCHEMA.fields[1:]
+        if self.scaling is not None:
+            row.append([(float(s.shift), float(s.divisor)) for s in self.scaling])
+            fields = [*fields, T.StructField(SCALING_COLUMN, SCALING_TYPE, True)]
+        base = spark.createDataFrame([tuple(row)], T.StructType(fields))
         if with_provenance:
             prov = provenance_column(self.arguments, {KIND_ATTRIBUTE: self.kind})
         else:
             prov = F.lit(None).cast(PROVENANCE_TYPE)
-        return base.select(prov.alias("provenance"), "intercept", "weights")
+        return base.select(prov.alias("provenance"), *base.columns)
 
     def weights_df(self, spark: SparkSession) -> DataFrame:
         """Long form ``(idx, name, value)``."""
@@ -132,16 +152,23 @@ def weights_long(model_df: DataFrame) -> DataFrame:
 
 def read_model_df(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
     """The stored model row(s) as a DataFrame (schema enforced for json)."""
+    return _stored(spark, path, fmt).select(*[f.name for f in MODEL_SCHEMA.fields])
+
+
+def _stored(spark: SparkSession, path: str, fmt: str | None) -> DataFrame:
+    """The stored row(s) with ``scaling``, NULL in files without it."""
     fmt = fmt or model_format(path)
     reader = spark.read.format(fmt)
     if fmt == "json":
-        reader = reader.schema(MODEL_SCHEMA)
-    return reader.load(path).select(*[f.name for f in MODEL_SCHEMA.fields])
+        reader = reader.schema(T.StructType([*MODEL_SCHEMA.fields, T.StructField(SCALING_COLUMN, SCALING_TYPE, True)]))
+    stored = reader.load(path)
+    scaling = F.col(SCALING_COLUMN) if SCALING_COLUMN in stored.columns else F.lit(None).cast(SCALING_TYPE).alias(SCALING_COLUMN)
+    return stored.select(*[f.name for f in MODEL_SCHEMA.fields], scaling)
 
 
 def load_model(spark: SparkSession, path: str, fmt: str | None = None) -> LinearModel:
     """First stored model; kind from provenance (logistic when absent)."""
-    rows = read_model_df(spark, path, fmt).limit(1).collect()
+    rows = _stored(spark, path, fmt).limit(1).collect()
     if not rows:
         raise ValueError(f"no model record in {path!r}")
     return model_from_row(rows[0])
@@ -156,12 +183,14 @@ def model_from_row(row) -> LinearModel:
         kind = attrs.get(KIND_ATTRIBUTE, DEFAULT_KIND)
         arguments = tuple(prov["arguments"] or ())
     weights = row["weights"] or []
+    scaling = row[SCALING_COLUMN] if SCALING_COLUMN in row else None
     return LinearModel(
         names=tuple(w["name"] for w in weights),
         weights=tuple(float(w["value"]) for w in weights),
         intercept=float(row["intercept"] or 0.0),
         kind=kind,
         arguments=arguments,
+        scaling=None if scaling is None else tuple(Scaling(x["shift"], x["divisor"]) for x in scaling),
     )
 
 

@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from glmframe.frame import PACKED, FeatureFrame
-from glmframe.operators.profile import constant_feature_flags, drop_constant_features, standardize
+from glmframe.operators.profile import constant_feature_flags, drop_constant_features
+from glmframe.operators.scaling import standardize
 from glmframe.operators.scoring import score
 from glmframe.operators.train import fit_logistic_l1
 from glmframe.sources.csv_matrix import read_matrix

@@ -13,8 +13,8 @@ from glmframe.operators.profile import (
     matrix_shape,
     observe_counters,
     positive_rate,
-    standardize,
 )
+from glmframe.operators.scaling import standardize
 
 NAN = float("nan")
 

@@ -9,7 +9,7 @@ from glmframe.operators.train import fit_linear, fit_logistic_l1
 from glmframe.plans.commands import predict, train
 from glmframe.sources.csv_matrix import read_matrix, write_matrix_csv
 from glmframe.sources.model_store import LinearModel
-from glmframe.streaming.scoring import read_matrix_stream, start_keyed_scoring
+from glmframe.streaming.scoring import ScoringCounters, read_matrix_stream, start_keyed_scoring
 
 from conftest import SF_MID
 
@@ -158,3 +158,16 @@ def test_row_labels_of_any_name(spark, tmp_path, write_lines, key):
     predict(spark, path, model, out=out, row_labels=key)
     lines = sorted(r[0] for r in spark.read.text(out).collect() if not r[0].startswith(key))
     assert lines == ["r1, 1.000000", "r2, 0.000000"]
+
+
+def test_stream_counters_per_batch(spark, write_lines):
+    folder = write_lines(["id,x", "a,1", "b,none"], ["id,x", "c,2"], ["id,x", "d,", "e,x", "f,3"])
+    frame = read_matrix_stream(spark, folder, ["id", "x"], target=None, carry=["id"], on_error="null", max_files_per_trigger=1)
+    query = start_keyed_scoring(frame, LinearModel(("x",), (1.0,)), ["id"], folder + "-out")
+    query.awaitTermination()
+    counters = ScoringCounters().update(query).update(query)
+    assert (counters.scored, counters.unscored) == (3, 3)
+    assert sorted((r["scored"], r["unscored"]) for r in counters.to_df(spark).collect()) == [(1, 0), (1, 1), (1, 2)]
+    counters.batches.pop(1)
+    with pytest.raises(RuntimeError, match="dropped"):
+        ScoringCounters({0: (1, 1), 5: (1, 1)}).update(query)
