@@ -25,7 +25,9 @@ is kept. Only the id and text columns are read.
 
 from __future__ import annotations
 
+import gc
 import re
+from array import array
 from bisect import bisect_left
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
@@ -41,13 +43,15 @@ from pyspark.sql import functions as F
 
 from glmframe.llm.blocks import BLOCK_BYTES, block_number, packed, sums, unpacked
 from glmframe.llm.common import bound_batches, checkpointed
-from glmframe.llm.merges import byte_alphabet
+from glmframe.llm.merges import CACHE_PIECES, Merges, byte_alphabet
 
 #: Unicode white space but the blank and the newline, the only ones that both vocabularies always cut before
 #: (fixed values).
 _TIED = "\t\x0b-\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _SPACE = f" \n{_TIED}"
 _PART = re.compile(f"[{_SPACE}]*[^{_SPACE}]+(?:[{_TIED}][{_SPACE}]*[^{_SPACE}]*)*|[{_SPACE}]+")
+#: How the byte-level vocabulary splits Latin text.
+_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:_|[^\w\s])+|\s+(?!\S)|\s+")
 MARK = "▁"
 #: Distinct parts a worker remembers at most; beyond it closes its block and starts anew.
 CACHE_PARTS = 400_000
@@ -59,24 +63,35 @@ RESULT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best l
 
 
 def shared_cuts(ends_a: Sequence[int], ends_b: Sequence[int]) -> list[tuple[int, int]]:
-    """Numbers (i, j) of all tokens that end together, ascending; both sides' last tokens must."""
+    """Numbers (i, j) of all tokens that end together, ascending; both sides' last tokens must.
+
+    An interval is searched from the middle of A's ends outwards.
+    """
     found, stack = [], [(0, len(ends_a) - 1, 0, len(ends_b) - 1)]
     while stack:
         a, last_a, b, last_b = stack.pop()
-        middle = (a + last_a) // 2
-        for off in range(max(middle - a, last_a - 1 - middle) + 1 if last_a > a and last_b > b else 0):
-            for i in (middle - off, middle + off) if off else (middle,):
-                if a <= i < last_a:
-                    j = bisect_left(ends_b, ends_a[i], b, last_b)
-                    if j < last_b and ends_b[j] == ends_a[i]:
-                        # the left half comes off the stack first
-                        stack += [(i + 1, last_a, j + 1, last_b), (a, i, b, j)]
+        i = j = -1
+        if a < last_a and b < last_b:
+            up = (a + last_a) // 2
+            down = up - 1
+            while up < last_a or down >= a:
+                if up < last_a:
+                    at = bisect_left(ends_b, ends_a[up], b, last_b)
+                    if at < last_b and ends_b[at] == ends_a[up]:
+                        i, j = up, at
                         break
-            else:
-                continue
-            break
-        else:
+                    up += 1
+                if down >= a:
+                    at = bisect_left(ends_b, ends_a[down], b, last_b)
+                    if at < last_b and ends_b[at] == ends_a[down]:
+                        i, j = down, at
+                        break
+                    down -= 1
+        if i < 0:
             found.append((last_a, last_b))
+        else:  # the left half comes off the stack first
+            stack.append((i + 1, last_a, j + 1, last_b))
+            stack.append((a, i, b, j))
     return found
 
 
@@ -84,7 +99,8 @@ class Aligner:
     """Parts of texts in both vocabularies, aligned once each.
 
     ``known`` numbers the distinct parts; per number there are the counts of
-    tokens and groups, the groups as text, and the links (numbers in ``pairs``).
+    tokens, whether they join to the part, the groups as text, and the links
+    (numbers in ``pairs``).
     """
 
     def __init__(self, path_a: str, path_b: str):
@@ -104,14 +120,39 @@ class Aligner:
             piece = self.b.id_to_piece(i)
             self.bytes_b.append(bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace(MARK, " ").encode())
         self.mark = self.b.piece_to_id(MARK)
+        self.merges = Merges(path_a)
+        self.text_a, self.text_b = {i: str(i) for i in self.bytes_a}, [str(i) for i in range(len(self.bytes_b))]
+        self.size_a, self.size_b = {i: len(x) for i, x in self.bytes_a.items()}, [len(x) for x in self.bytes_b]
         self.clear()
 
     def clear(self) -> None:
         self.known: dict[str, int] = {}
-        self.counts: list[tuple[int, int, int, bool]] = []
+        self.n_a, self.n_b, self.valid = array("q"), array("q"), array("b")
         self.groups: list[str] = []
-        self.links: list[list[int]] = []
+        self.links: list[tuple[int, ...]] = []
         self.pairs: dict[int, int] = {}
+        self.pieces: dict[str, list[int]] = {}
+
+    def encode_a(self, parts: list[str]) -> list[list[int]]:
+        """Ids of parts: plain Latin ones by their pieces, which are fewer, the rest through the whole library."""
+        pieces, odd, out = self.pieces, [], []
+        if len(pieces) > CACHE_PIECES:
+            pieces.clear()
+        for part in parts:
+            if not self.merges.plain(part):
+                odd.append(len(out))
+                out.append([])
+                continue
+            ids: list[int] = []
+            for piece in _PIECE.findall(part):
+                own = pieces.get(piece)
+                if own is None:
+                    own = pieces[piece] = [t.id for t in self.merges.tokens(piece)]
+                ids += own
+            out.append(ids)
+        for k, coded in zip(odd, self.a.encode_batch([parts[k] for k in odd], add_special_tokens=False), strict=True):
+            out[k] = coded.ids
+        return out
 
     def encode_b(self, parts: list[str]) -> list[list[int]]:
         """Ids as within a text: the library's own first mark stands for a part's first blank."""
@@ -126,31 +167,42 @@ class Aligner:
         return found
 
     def learn(self, parts: list[str]) -> None:
-        coded_a = self.a.encode_batch(parts, add_special_tokens=False)
-        for part, coded, b in zip(parts, coded_a, self.encode_b(parts), strict=True):
-            a, raw = coded.ids, part.encode()
-            tokens_a, tokens_b = [self.bytes_a[i] for i in a], [self.bytes_b[i] for i in b]
-            self.known[part] = len(self.counts)
-            if b"".join(tokens_a) != raw or b"".join(tokens_b) != raw:
-                self.counts.append((0, 0, 0, False))
+        bytes_a, bytes_b, size_a, size_b = self.bytes_a, self.bytes_b, self.size_a, self.size_b
+        text_a, text_b, pairs = self.text_a, self.text_b, self.pairs
+        for part, a, b in zip(parts, self.encode_a(parts), self.encode_b(parts), strict=True):
+            raw = part.encode()
+            self.known[part] = len(self.groups)
+            if b"".join([bytes_a[i] for i in a]) != raw or b"".join([bytes_b[i] for i in b]) != raw:
+                self.n_a.append(0)
+                self.n_b.append(0)
+                self.valid.append(0)
                 self.groups.append("")
-                self.links.append([])
+                self.links.append(())
                 continue
+            if len(a) == 1 or len(b) == 1:
+                cuts = [(len(a) - 1, len(b) - 1)]
+            else:
+                cuts = shared_cuts(list(accumulate([size_a[i] for i in a])), list(accumulate([size_b[i] for i in b])))
             texts, links, at_a, at_b = [], [], 0, 0
-            for i, j in shared_cuts(list(accumulate(map(len, tokens_a))), list(accumulate(map(len, tokens_b)))):
-                texts.append(",".join(map(str, a[at_a : i + 1])) + "|" + ",".join(map(str, b[at_b : j + 1])))
-                links.append(self.pairs.setdefault(a[i] << 32 | b[j], len(self.pairs)))
+            for i, j in cuts:
+                links.append(pairs.setdefault(a[i] << 32 | b[j], len(pairs)))
+                if at_a == i and at_b == j:
+                    texts.append(f"{text_a[a[i]]}|{text_b[b[j]]}")
+                else:
+                    texts.append(",".join([text_a[x] for x in a[at_a : i + 1]]) + "|" + ",".join([text_b[x] for x in b[at_b : j + 1]]))
                 at_a, at_b = i + 1, j + 1
-            self.counts.append((len(a), len(b), len(links), True))
+            self.n_a.append(len(a))
+            self.n_b.append(len(b))
+            self.valid.append(1)
             self.groups.append(";".join(texts))
-            self.links.append(links)
+            self.links.append(tuple(links))
 
     def codes(self, texts: list[str | None]) -> list[list[int]]:
         """The numbers of each text's parts, those of the text after a blank; none without tokens."""
         parts = [_PART.findall(" " + t) if t else [] for t in texts]
         new = {p for own in parts for p in own}.difference(self.known)
         if new:
-            self.learn(sorted(new))
+            self.learn(list(new))
         known = self.known
         return [[known[p] for p in own] for own in parts]
 
@@ -165,44 +217,49 @@ class _Block:
     """The texts of a block, until it is written."""
 
     def __init__(self) -> None:
-        self.rows: list[tuple] = []
+        self.ids: list[int | None] = []
+        self.digests: list[str] = []
         self.codes: list[np.ndarray] = []
         self.bytes = 0
 
     def add(self, aligner: Aligner, ids: list, texts: list[str | None]) -> None:
-        for doc, text, own in zip(ids, texts, aligner.codes(texts), strict=True):
-            counts = [aligner.counts[i] for i in own]
-            if all(x[3] for x in counts) and own:
-                a, b, groups, _ = map(sum, zip(*counts, strict=True))
-                digest = sha256(";".join([aligner.groups[i] for i in own]).encode()).hexdigest()
-                self.rows.append((doc, a, b, groups, digest))
-                self.codes.append(np.array(own, dtype=np.uint32))
-            else:
-                self.rows.append((doc, 0, 0, 0, ""))
-                self.codes.append(np.zeros(0, dtype=np.uint32))
-            self.bytes += len(text or "")
+        self.ids += ids
+        codes = aligner.codes(texts)
+        groups = aligner.groups
+        for own in codes:
+            self.digests.append(sha256(";".join([groups[i] for i in own]).encode()).hexdigest() if own else "")
+            self.codes.append(np.array(own, dtype=np.uint32))
+        self.bytes += sum(len(t) for t in texts if t)
 
     def batch(self, aligner: Aligner, number: int) -> pa.RecordBatch:
         """One row with the dictionaries, and one per text."""
-        used = np.bincount(np.concatenate(self.codes), minlength=len(aligner.counts)) if self.codes else np.zeros(0, np.int64)
+        n, cuts = len(self.ids), np.cumsum([0, *map(len, self.codes)])
+        joined = np.concatenate(self.codes)
+        # a text with a part that fails has no tokens
+        valid = sums(1 - np.frombuffer(aligner.valid, dtype=np.int8).astype(np.int64)[joined], cuts) == 0
+        valid &= np.diff(cuts) > 0
+        joined = joined[np.repeat(valid, np.diff(cuts))]
+        cuts = np.cumsum([0, *np.where(valid, np.diff(cuts), 0).tolist()])
+        n_links = np.fromiter(map(len, aligner.links), dtype=np.int64, count=len(aligner.links))
+        counts = [sums(np.array(x, dtype=np.int64)[joined], cuts) for x in (aligner.n_a, aligner.n_b, n_links)]
+
+        used = np.bincount(joined, minlength=len(aligner.groups))
         parts = np.flatnonzero(used)
         renumber = np.zeros(len(used), dtype=np.uint32)
         renumber[parts] = np.arange(len(parts))
-        own = [aligner.links[i] for i in parts.tolist()]
-        sizes = np.fromiter(map(len, own), dtype=np.int64, count=len(own))
-        linked = np.fromiter((x for links in own for x in links), dtype=np.int64, count=int(sizes.sum()))
+        codes, sizes = renumber[joined], n_links[parts]
+        linked = np.fromiter((x for i in parts.tolist() for x in aligner.links[i]), dtype=np.int64, count=int(sizes.sum()))
         times = np.bincount(linked, np.repeat(used[parts], sizes), minlength=len(aligner.pairs)).astype(np.int64)
         pairs = np.flatnonzero(times)
         small = np.zeros(len(aligner.pairs), dtype=np.uint32)
         small[pairs] = np.arange(len(pairs))
         values = np.fromiter(aligner.pairs, dtype=np.int64, count=len(aligner.pairs))
-        doc, a, b, groups, digests = zip(*self.rows, strict=True) if self.rows else ([],) * 5
-        n = len(self.rows)
         columns = [
             pa.array([number] * (n + 1), pa.int64()),
-            *(pa.array([None, *x], pa.int64()) for x in (doc, a, b, groups)),
-            pa.array([None, *digests], pa.string()),
-            pa.array([packed(sizes), *(packed(renumber[c]) for c in self.codes)], pa.binary()),
+            pa.array([None, *self.ids], pa.int64()),
+            *(pa.array([None, *c.tolist()], pa.int64()) for c in counts),
+            pa.array([None, *(d if v else "" for d, v in zip(self.digests, valid.tolist(), strict=True))], pa.string()),
+            pa.array([packed(sizes), *(packed(codes[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True))], pa.binary()),
             pa.array([packed(small[linked]), *[None] * n], pa.binary()),
             pa.array([values[pairs], *[None] * n], pa.list_(pa.int64())),
             pa.array([times[pairs], *[None] * n], pa.list_(pa.int64())),
@@ -214,6 +271,8 @@ def _encode(path_a: str, path_b: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slot, sequence = TaskContext.get().partitionId(), 0
         aligner, block = _aligner(path_a, path_b), _Block()
+        gc.freeze()  # many small objects that live long, none in a cycle
+        gc.disable()
         for batch in batches:
             ids, texts = batch.column("id").to_pylist(), batch.column("text").to_pylist()
             for at in range(0, len(texts), 256):
@@ -223,7 +282,7 @@ def _encode(path_a: str, path_b: str):
                     block, sequence = _Block(), sequence + 1
                     if len(aligner.known) > CACHE_PARTS:
                         aligner.clear()
-        if block.rows:
+        if block.ids:
             yield block.batch(aligner, block_number(slot, sequence))
 
     return run
