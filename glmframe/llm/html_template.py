@@ -1,16 +1,32 @@
 """HTML extraction (operator 6): site template removal.
 
-Pages are parsed by a tolerant tree builder. The hash of every element's
-subtree (its tags and texts) is counted per host in Spark. A subtree that
-recurs on many pages of its host is template and is deleted, wherever it
-stands outside the main text; inside it only if most of the pages have it.
-Elements that by their tag, role, class or id are no main text (menus,
-headers, footers, side bars, notices, adverts, forms, scripts, styles,
-comments) go as well. What is left of the outermost ``article`` or ``main``
-elements, or of the whole body in pages without any, is the text.
+Pages are parsed by a tolerant tree builder. Every element has two subtree
+hashes: one of its tags and texts, and one of its skeleton: its place (the tag
+above it), tags, class names, and children, repeated ones counted once, without
+any text. Both are counted per host in Spark.
+
+- Outside the main text (``article`` and ``main`` elements), a subtree that
+  ``LEAST_PAGES`` pages of its host have is template, whatever the size of the
+  host; so is a skeleton that as many pages have beside a main element, as a
+  menu or a footer whose words differ from page to page. A page without a main
+  element could hold its text in such a place: there a skeleton counts only
+  if most of the subtree's text is in links.
+- Inside the main text, a subtree is template if most pages of the host have it.
+- Elements that by their tag, role, class or id are no main text (menus,
+  headers, footers, side bars, notices, adverts, forms, scripts, styles,
+  comments) go as well (``lists``). A form, header or named element that holds a
+  main element stays; inside the main text only names that leave no doubt count.
+
+What is left of the outermost main elements is the text; in pages without any,
+and in all pages with ``main_only=False``, what is left of the whole body.
+
+Only pages whose text outside the main elements is asked for are joined with
+templates one by one: each of their subtrees by (host, hash), common ones by
+broadcast, so a host with a third of all pages is no single key. What recurs
+inside the main text is a list per host, bounded by its share.
 
 Character references are decoded, block elements and breaks separate, and
-white space runs become one space.
+white space runs become one space. Parsing is linear in the page.
 
 Defined cases: null and empty html give an empty text; a page without a host
 has no template and is only cleaned; equal pages of a host count one by one;
@@ -24,7 +40,6 @@ import html
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
 import pyarrow as pa
 import xxhash
@@ -34,11 +49,14 @@ from pyspark.sql import functions as F
 from glmframe.llm.common import bound_batches
 from glmframe.session import scratch_path
 
-#: A subtree is template on a host if so many of its pages, and this share of them, have it.
+#: A subtree outside the main text is template on a host if so many of its pages have it.
 LEAST_PAGES = 5
-TEMPLATE_SHARE = 0.2
-#: The share needed inside an article.
+#: The share of pages needed besides inside the main text.
 ARTICLE_SHARE = 0.6
+#: The share of its text that a menu has in links.
+LINK_SHARE = 0.5
+#: Keys with more than this share's inverse of all rows are joined by broadcast; there are fewer than so many.
+HOT_KEYS = 1000
 
 # Element names of HTML.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -48,10 +66,12 @@ _BLOCKS = frozenset(
     "form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody "
     "td tfoot th thead tr ul".split()
 )
+#: Never text.
 _DROPPED = frozenset(
-    "aside button canvas datalist dialog embed footer form head iframe map menu nav noscript object script select "
-    "style svg template textarea title".split()
+    "button canvas datalist embed head iframe map noscript object script select style svg template textarea title".split()
 )
+#: Text about other things than the page's.
+_BESIDE = frozenset("aside dialog footer menu nav".split())
 _MAIN = frozenset(("article", "main"))
 #: Which open elements a start tag ends.
 _ENDS = {
@@ -78,64 +98,124 @@ _TOKEN = re.compile(
 )
 _ATTRIBUTE = re.compile(r"""([^\s=/"']+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))|([^\s=/"']+)""")
 _SPLIT = re.compile(r"[^a-z0-9]+")
+#: First words of class names that say something about a part of the element, not what it is.
+_ABOUT = frozenset("has no with without is not hide show include".split())
+#: Names of lists of other texts, which are no main text even if they are made of articles.
+_OTHERS = frozenset("comment comments reply replies disqus respond related recommended".split())
+#: Names that say enough as a part of a longer one inside the main text, too.
+_SURE = frozenset(
+    "ad ads advert advertisement adverts breadcrumb breadcrumbs comment comments cookie cookies newsletter promo related "
+    "replies reply share sharing sidebar sponsored subscribe".split()
+)
+#: What a start tag can end: kept per element, with the depth of the nearest one.
+_ENDED = frozenset("p li dt dd tr td th option".split())
 
 
-@dataclass
 class Element:
-    tag: str
-    dropped: bool = False
-    parts: list = field(default_factory=list)
-    digest: int = 0
-    main: bool = False
+    """A node of the tree; ``parts`` are texts and elements in order."""
 
+    __slots__ = ("tag", "names", "marked", "beside", "dropped", "main", "inside", "holds_main", "parts", "digest", "skeleton", "reach")
 
-def _is_dropped(tag: str, attributes: str, inside: bool) -> bool:
-    """Whether an element is no main text by its tag, role, class or id."""
-    if tag in _DROPPED or (tag == "header" and not inside):
-        return True
-    if not attributes.strip("/ \t\n\r\f") or tag in ("html", "body"):
-        return False
-    for name, a, b, c, alone in _ATTRIBUTE.findall(attributes):
-        name, value = (name or alone).lower(), (a or b or c).lower()
-        if name == "hidden" or (name == "style" and "display:none" in value.replace(" ", "")):
+    def __init__(self, tag: str, inside: bool = False, reach: dict | None = None):
+        self.tag, self.inside, self.reach = tag, inside, reach or {}
+        self.names: tuple[str, ...] = ()
+        self.marked = self.beside = self.dropped = self.main = self.holds_main = False
+        self.parts: list = []
+        self.digest = self.skeleton = ""  # 64-bit hashes in hexadecimal
+
+
+def _named(value: str, inside: bool) -> bool:
+    """Whether class or id names mark an element; inside the main text only sure ones do as a part of a name."""
+    for name in value.split():
+        if name in _MARKS:
             return True
-        if name == "role" and value.strip() in _ROLES:
+        words = _SPLIT.split(name)
+        if words[0] not in _ABOUT and (_SURE if inside else _MARKS).intersection((words[0], words[-1])):
             return True
-        if name in ("class", "id") and tag != "main":
-            marks = _MARKS.intersection(_SPLIT.split(value))
-            if marks and (tag != "article" or marks & {"comment", "comments", "reply", "replies"}):
-                return True
     return False
 
 
-def parse(page: str) -> Element:
-    """The tree of a page; every element knows its subtree's hash, and whether it is dropped."""
+def _read_attributes(element: Element, attributes: str) -> None:
+    """What tag, role and names say: ``dropped`` never text, ``beside`` other texts, ``marked`` no main text of its own."""
+    tag = element.tag
+    element.dropped, element.beside = tag in _DROPPED, tag in _BESIDE
+    element.marked = tag == "form" or (tag == "header" and not element.inside)
+    if not attributes.strip("/ \t\n\r\f") or tag in ("html", "body"):
+        return
+    for name, a, b, c, alone in _ATTRIBUTE.findall(attributes):
+        name, value = (name or alone).lower(), (a or b or c).lower()
+        if name == "hidden" or (name == "style" and "display:none" in value.replace(" ", "")):
+            element.dropped = True
+        elif name == "role" and value.strip() in _ROLES:
+            element.beside = True
+        elif name in ("class", "id"):
+            names = value.split()
+            if name == "class":
+                element.names = tuple(sorted(names))
+            if tag == "article":
+                names = [w for n in names for w in _SPLIT.split(n)]
+            if _OTHERS.intersection(names):
+                element.beside = element.beside or tag != "main"
+            elif tag not in _MAIN and _named(value, element.inside):
+                element.marked = True
+
+
+def parse(page: str, hashes: bool = True, lists: bool = True, beside: bool = True) -> Element:
+    """The tree of a page; every element knows its hashes, and whether it is dropped (never text only, without ``lists``).
+
+    Where all main elements lie in parts ``beside`` the page's own text, those that hold one stay.
+    """
     root = Element("")
     stack = [root]
+    open_tags: Counter = Counter()
+    lost = []  # parts beside that hold a main element
 
     def close(depth: int) -> None:
         while len(stack) > depth:
             element = stack.pop()
-            seed = [element.tag, *(p if isinstance(p, str) else str(p.digest) for p in element.parts)]
-            element.digest = xxhash.xxh3_64_intdigest("\x00".join(seed))
+            tag, above = element.tag, stack[-1]
+            open_tags[tag] -= 1
+            holds_main = element.holds_main or element.main
+            if lists and not element.dropped:
+                if element.beside and holds_main:
+                    lost.append(element)
+                element.dropped = (element.beside and (beside or not holds_main)) or (element.marked and not holds_main)
+            element.holds_main = holds_main and not element.dropped
+            if element.holds_main:
+                above.holds_main = True
+            if hashes:
+                words, shapes = [tag], {}
+                for part in element.parts:
+                    if isinstance(part, str):
+                        words.append(part)
+                    else:
+                        words.append(part.digest)
+                        shapes[part.skeleton] = None
+                element.digest = xxhash.xxh3_64_hexdigest("\x00".join(words))
+                element.skeleton = xxhash.xxh3_64_hexdigest("\x00".join([above.tag, tag, *element.names, "", *shapes]))
 
     def open_tag(name: str, attributes: str) -> None:
         ends = _ENDS.get(name) or (frozenset(("p",)) if name in _BLOCKS and name != "br" else None)
-        if ends:
-            for depth in range(len(stack) - 1, 0, -1):
-                tag = stack[depth].tag
-                if tag in ends:
-                    close(depth)
-                    if name not in ("tr",):
-                        break
-                elif tag in _FENCES:
-                    break
-        inside = any(e.main for e in stack)
-        element = Element(name, _is_dropped(name, attributes, inside))
-        element.main = name in _MAIN and not element.dropped
-        stack[-1].parts.append(element)
-        if name not in _VOID:
-            stack.append(element)
+        while ends:
+            reach = stack[-1].reach
+            depth = max([reach.get(t, 0) for t in ends]) if reach else 0
+            if not depth:
+                break
+            close(depth)
+            if name != "tr":
+                break
+        above = stack[-1]
+        reach = {} if name in _FENCES else above.reach
+        if name in _ENDED:
+            reach = {**reach, name: len(stack)}
+        element = Element(name, above.inside or above.main, reach)
+        _read_attributes(element, attributes)
+        element.main = name in _MAIN and not element.inside and not (lists and (element.dropped or (element.beside and beside)))
+        above.parts.append(element)
+        stack.append(element)
+        open_tags[name] += 1
+        if name in _VOID:
+            close(len(stack) - 1)
 
     at, n = 0, len(page)
     while at < n:
@@ -149,10 +229,11 @@ def parse(page: str) -> Element:
             continue
         name = name.lower()
         if slash:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth].tag == name:
-                    close(depth)
-                    break
+            if open_tags[name]:
+                depth = len(stack) - 1
+                while stack[depth].tag != name:
+                    depth -= 1
+                close(depth)
             continue
         open_tag(name, attributes)
         if name in _RAW:
@@ -163,6 +244,8 @@ def parse(page: str) -> Element:
             at = end.end() if end else n
             close(len(stack) - 1)
     close(1)
+    if lost and beside and not root.holds_main:
+        return parse(page, hashes, lists, beside=False)
     return root
 
 
@@ -172,33 +255,49 @@ def _spaced(text: str) -> str:
     return (" " if text[:1].isspace() else "") + inner + (" " if inner and text[-1:].isspace() else "")
 
 
-def _elements(element: Element, inside: bool) -> Iterator[tuple[Element, bool]]:
-    """Elements that could be template, and whether they lie in the main text; not the main elements themselves."""
-    stack = [(element, inside)]
+def _linked(element: Element) -> bool:
+    """Whether most of an element's text is in links."""
+    total = linked = 0
+    stack = [(element, element.tag == "a")]
     while stack:
-        element, inside = stack.pop()
-        inside = inside or element.main
-        for part in element.parts:
+        now, link = stack.pop()
+        for part in now.parts:
+            if isinstance(part, str):
+                total += len(part)
+                linked += len(part) if link else 0
+            else:
+                stack.append((part, link or part.tag == "a"))
+    return linked > LINK_SHARE * total
+
+
+def _elements(root: Element) -> Iterator[Element]:
+    """Elements that could be template: not the main elements, nor what holds one."""
+    stack = [root]
+    while stack:
+        for part in stack.pop().parts:
             if not isinstance(part, str) and not part.dropped:
-                if not part.main and part.parts and part.tag not in ("html", "body"):
-                    yield part, inside
-                stack.append((part, inside))
+                if not part.holds_main and part.parts and part.tag not in ("html", "body"):
+                    yield part
+                stack.append(part)
+
 
+#: What a hash stands for.
+INSIDE, OUTSIDE, SHAPE = 0, 1, 2
 
-def main_text(root: Element, template: frozenset[int] = frozenset(), strict: frozenset[int] = frozenset()) -> str:
-    """Text of the main elements, or of the page without any; ``strict`` subtrees go inside them too."""
 
-    def has_main(element: Element) -> bool:
-        stack = [element]
-        while stack:
-            for part in stack.pop().parts:
-                if not isinstance(part, str) and not part.dropped:
-                    if part.main:
-                        return True
-                    stack.append(part)
-        return False
+def _keys(root: Element, counted: bool) -> set[tuple[int, str]]:
+    """(kind, hash) of a page's subtrees; as ``counted``, skeletons count beside a main element only."""
+    found = set()
+    for e in _elements(root):
+        found.add((INSIDE if e.inside else OUTSIDE, e.digest))
+        if not e.inside and (root.holds_main or (not counted and _linked(e))):
+            found.add((SHAPE, e.skeleton))
+    return found
 
-    only_main, out = has_main(root), []
+
+def main_text(root: Element, template: frozenset = frozenset(), main_only: bool = True) -> str:
+    """Text of the main elements, or of the page, without the ``template`` subtrees, (kind, hash) pairs."""
+    only_main, out = main_only and root.holds_main, []
     # a string on the stack is text that is due, as are block ends
     stack: list[tuple] = [(root, False)]
     while stack:
@@ -206,7 +305,14 @@ def main_text(root: Element, template: frozenset[int] = frozenset(), strict: fro
         if isinstance(part, str):
             out.append(part)
             continue
-        if part.dropped or (not part.main and part.parts and part.digest in (strict if inside else template)):
+        gone = part.dropped
+        if template and not gone and not part.holds_main and part.parts:
+            if inside:
+                gone = (INSIDE, part.digest) in template
+            else:
+                gone = (OUTSIDE, part.digest) in template
+                gone = gone or ((SHAPE, part.skeleton) in template and (root.holds_main or _linked(part)))
+        if gone:
             if part.tag in _BLOCKS:
                 out.append(" ")
             continue
@@ -217,59 +323,73 @@ def main_text(root: Element, template: frozenset[int] = frozenset(), strict: fro
     return " ".join("".join(out).split())
 
 
-def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How many pages of a host have a subtree, within each batch."""
-    for batch in batches:
-        counts: Counter = Counter()
-        for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
-            counts.update({(host, e.digest, inside) for e, inside in _elements(parse(page or ""), False)})
-        keys = list(counts)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([k[0] for k in keys], pa.string()),
-                # the same 64 bits as a signed number
-                pa.array([k[1] - (1 << 64) if k[1] >> 63 else k[1] for k in keys], pa.int64()),
-                pa.array([k[2] for k in keys], pa.bool_()),
-                pa.array([counts[k] for k in keys], pa.int64()),
-            ],
-            names=["host", "subtree", "inside", "pages"],
-        )
-
-
-def site_templates(pages: DataFrame) -> DataFrame:
-    """host, template, strict: the subtrees that recur on a host (columns host, html of ``pages``).
-
-    A host has at most mean elements of a page / ``TEMPLATE_SHARE`` of them.
+SUBTREES = "page long, host string, kind int, hash string, pages long"
+
+
+def _subtrees(lists: bool, main_only: bool):
+    """How many pages of a host have a subtree, within each batch; and one by one (``page`` set) the subtrees of
+    pages whose text outside the main elements is asked for."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts: Counter = Counter()
+            own = []
+            for page, host, text in zip(*(batch.column(c).to_pylist() for c in ("page", "host", "html")), strict=True):
+                root = parse(text or "", lists=lists)
+                counts.update([(host, *key) for key in _keys(root, True)])
+                if not (main_only and root.holds_main):
+                    own += [(page, host, *key, 1) for key in _keys(root, False) if key[0] != INSIDE]
+            own += [(None, *key, n) for key, n in counts.items()]
+            columns = list(zip(*own, strict=True)) or [()] * 5
+            kinds = (pa.int64(), pa.string(), pa.int32(), pa.string(), pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in SUBTREES.split(", ")]
+            )
+
+    return run
+
+
+def site_templates(subtrees: DataFrame, pages: DataFrame) -> DataFrame:
+    """host, kind, hash, pages: the subtrees that recur on a host.
+
+    ``kind``: 0 in the main text, on most of the host's pages; 1 outside of it,
+    and 2 by skeleton, on ``LEAST_PAGES``.
+    """
+    counts = subtrees.where("page is null").groupBy("host", "kind", "hash").agg(F.sum("pages").alias("pages"))
+    total = pages.groupBy("host").agg(F.count("*").alias("all_pages"))
+    often = counts.where(F.col("pages") >= LEAST_PAGES).join(total, "host")
+    often = often.where((F.col("kind") != INSIDE) | (F.col("pages") >= ARTICLE_SHARE * F.col("all_pages")))
+    return often.select("host", "kind", "hash", "pages")
+
+
+def _extract(lists: bool, main_only: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = []
+            for page, strict, own in zip(*(batch.column(c).to_pylist() for c in ("html", "strict", "own")), strict=True):
+                template = {(INSIDE, x) for x in strict or ()} | {(t["kind"], t["hash"]) for t in own or ()}
+                texts.append(main_text(parse(page or "", bool(template), lists), frozenset(template), main_only))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"]
+            )
+
+    return run
+
+
+def extract_main_text(
+    pages: DataFrame,
+    id_col: str = "page_id",
+    url_col: str = "url",
+    html_col: str = "html",
+    lists: bool = True,
+    main_only: bool = True,
+) -> DataFrame:
+    """page_id, url and main text of every page.
+
+    Without ``lists`` no element goes by its tag, role or names, but for raw
+    ones; without ``main_only`` text outside the main elements is kept too,
+    unless it is template or listed.
     """
-    known = pages.where("host <> ''")
-    total = known.groupBy("host").agg(F.count("*").alias("all_pages"))
-    counts = (
-        known.select("host", "html")
-        .mapInArrow(_subtrees, "host string, subtree long, inside boolean, pages long")
-        .groupBy("host", "subtree", "inside")
-        .agg(F.sum("pages").alias("pages"))
-        .where(F.col("pages") >= LEAST_PAGES)
-    )
-    share = F.when(F.col("inside"), ARTICLE_SHARE).otherwise(TEMPLATE_SHARE)
-    often = counts.join(total, "host").where(F.col("pages") >= share * F.col("all_pages"))
-    listed = lambda inside: F.collect_list(F.when(F.col("inside") == inside, F.col("subtree")))
-    return often.groupBy("host").agg(listed(False).alias("template"), listed(True).alias("strict"))
-
-
-def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        columns = (batch.column(c).to_pylist() for c in ("html", "template", "strict"))
-        texts = [
-            main_text(parse(page or ""), *(frozenset(x % (1 << 64) for x in found or ()) for found in (template, strict)))
-            for page, template, strict in zip(*columns, strict=True)
-        ]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"]
-        )
-
-
-def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """page_id, url and main text of every page."""
     spark = bound_batches(pages).sparkSession
     host = F.lower(F.regexp_extract(F.coalesce(F.col(f"`{url_col}`"), F.lit("")), r"^\s*(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)", 1))
     rows = pages.select(
@@ -278,12 +398,29 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
         F.col(f"`{html_col}`").alias("html"),
         host.alias("host"),
     )
-    # a written table, so that Spark knows its size when it plans the join
-    path = scratch_path(spark, "site-templates")
-    site_templates(rows).write.parquet(path)
-    found = spark.read.parquet(path)
+    page = F.xxhash64("host", "html").alias("page")
+    known = rows.where("host <> ''")
+
+    def written(df: DataFrame, name: str) -> DataFrame:
+        """A written table: Spark knows its size when it plans the joins."""
+        path = scratch_path(spark, name)
+        df.write.parquet(path)
+        return spark.read.parquet(path)
+
+    subtrees = written(known.select(page, "host", "html").mapInArrow(_subtrees(lists, main_only), SUBTREES), "subtrees")
+    found = written(site_templates(subtrees, known), "site-templates")
+    strict = found.where(F.col("kind") == INSIDE).groupBy("host").agg(F.collect_list("hash").alias("strict"))
+
+    # the templates among the own subtrees of pages; equal pages have equal ones
+    keys, own = ["host", "kind", "hash"], subtrees.where("page is not null").select("page", "host", "kind", "hash").distinct()
+    outside = found.where(F.col("kind") != INSIDE)
+    hot = F.broadcast(outside.where(F.col("pages") > F.lit(max(1, known.count() // HOT_KEYS))).select(*keys))
+    matched = own.join(hot, keys, "left_semi").union(own.join(hot, keys, "left_anti").join(outside, keys, "left_semi"))
+    listed = written(matched.groupBy("page").agg(F.collect_list(F.struct("kind", "hash")).alias("own")), "page-templates")
+
     kind = rows.schema["url"].dataType.simpleString()
-    return rows.join(found, "host", "left").mapInArrow(_extract, f"page_id long, url {kind}, text string")
+    joined = rows.withColumn("page", page).join(strict, "host", "left").join(listed, "page", "left")
+    return joined.mapInArrow(_extract(lists, main_only), f"page_id long, url {kind}, text string")
 
 
 def op6_html_extraction(pages: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 import bisect
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -341,6 +342,58 @@ def test_main_text():
     assert main_text(parse("<p>a<p>b</p> c<ul><li>d<li>e</ul>")) == "a b c d e"
 
 
+def clashing_pages(df):
+    return df.select("*", *[F.lit(i).alias(c) for i, c in enumerate(("host", "page", "own", "strict", "hash", "a.b"))])
+
+
+def test_wrappers_of_the_main_text_stay():
+    for page in (
+        "<div class='layout has-sidebar'><article>Text</article></div>",
+        "<section id='content' class='no-sidebar'><p>Text</p></section>",
+        "<article><div class='social-science'>Text</div></article>",
+        "<article><p class='search-engine'>Text</p></article>",
+        "<form id=aspnet><article>Text</article></form>",
+        "<aside><article>Text</article></aside>",
+        "<main>Text<div class='comment-list'>no</div></main><aside><article>no</article></aside>",
+        "<article>Text</article><div class='related'><article>no</article></div>",
+        "<div class='site-footer'>no</div><article>Text<div class='ad'>no</div></article>",
+    ):
+        assert main_text(parse(page)) == "Text", page
+
+
+@pytest.mark.parametrize("page", ["<b>" * 350_000 + "x", "<b>" * 100_000 + "<h1>x</h1>" * 50_000, "<p><b>" * 150_000, "<b>" * 100_000 + "</i>" * 100_000, "<div>" + "<i class=c>" * 5 + "</div>" * 100_000])
+def test_parsing_is_linear(page):
+    begin = time.process_time()
+    main_text(parse(page[: len(page) // 8]))
+    small = time.process_time() - begin
+    main_text(parse(page))
+    assert time.process_time() - begin - small < 8 * 3 * max(small, 0.05)
+
+
+def test_templates_are_found_by_counting(spark):
+    """Menus, adverts and footers go by their skeletons, without any list of tags or names."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").where("url like '%blog.tionsh.example.com%'")
+    want = {r.page_id: r.text for r in extract_main_text(pages).collect()}
+    counted = extract_main_text(pages, lists=False, main_only=False).collect()
+    assert len(want) > 100 and {r.page_id: r.text for r in counted} == want
+    few = extract_main_text(pages.limit(3), lists=False, main_only=False).collect()
+    assert all(len(r.text) > len(want[r.page_id]) for r in few)
+
+
+def test_templates_on_pages_without_main_elements(spark):
+    """Menus of other words each, a fixed notice, and text of one place on all pages, which stays."""
+    def page(i):
+        menu = "".join(f"<li><a href=/{i}{k}>item {i} {k}</a></li>" for k in range(3 + i % 4))
+        return f"<html><body><div class=m><ul>{menu}</ul></div><div class=t><p>Own {i} text</p><p>and more {i * 7}</p></div><p>Same notice</p></body></html>"
+
+    plain = [(i, "http://h.example/x", page(i)) for i in range(200)]
+    marked = [(1000 + i, "http://h.example/y", page(i).replace("<div class=t>", "<article>").replace("</p></div>", "</p></article>")) for i in range(6)]
+    df = spark.createDataFrame(plain + marked, "page_id long, url string, html string").repartition(4)
+    got = {r.page_id: r.text for r in extract_main_text(df).collect()}
+    assert all(got[i] == f"Own {i} text and more {i * 7}" for i in range(200))
+    assert all(got[1000 + i] == f"Own {i} text and more {i * 7}" for i in range(6))
+
+
 def test_site_templates_go(spark):
     page = "<html><body><div><p>Welcome to our site</p></div><div><p>Own text {0} here</p></div></body></html>"
     rows = [(i, f"http://h.example/{i}", page.format(i)) for i in range(12)]
@@ -349,6 +402,7 @@ def test_site_templates_go(spark):
     got = {r.page_id: r.text for r in extract_main_text(df).collect()}
     assert [got[i] for i in range(12)] == [f"Own text {i} here" for i in range(12)]
     assert got[50] == "Welcome to our site Own text 50 here" and got[51] == got[52] == ""
+    assert extract_main_text(clashing_pages(df)).count() == len(rows)
     assert extract_main_text(df.limit(0)).count() == 0
 
 
