@@ -141,7 +141,9 @@ def line_dedup(
     # winnowing: every window with the position that it chooses; a row holds no more than its window
     lines = rows.select("id", "copy", _line_keys(F.col("text")).alias("lines"))
     windows = lines.select("id", "copy", _windows("lines", run, short_words).alias("windows"))
-    chosen = checkpointed(windows.select("id", "copy", F.explode("windows").alias("w")).select("id", "copy", "w.*"))
+    # not explode: it would infer a filter on the windows, which computes a text's lines anew for each of them
+    each = windows.select("id", "copy", F.explode_outer("windows").alias("w")).where("w is not null")
+    chosen = checkpointed(each.select("id", "copy", "w.*"))
     total = chosen.count()
 
     # positions with a fingerprint in common
