@@ -96,6 +96,22 @@ class PrefixHashes:
     def span(self, start: int, end: int) -> int:
         return int(self.spans(np.array([start]), np.array([end]))[0])
 
+    def edited(self, keep: int, other: PrefixHashes, take: int) -> PrefixHashes:
+        """Of this text's first ``keep`` code points and the other's first ``take``, from both prefix arrays."""
+        new = PrefixHashes("")
+        new.n, new.sums = keep + take, []
+        new.tables = _TABLES.get(new.n + 1)
+        for own, others, (up, _) in zip(self.sums, other.sums, new.tables, strict=True):
+            new.sums.append(np.concatenate([own[: keep + 1], _mod(own[keep] + others[1 : take + 1] * up[keep])]))
+        return new
+
+    def values(self) -> np.ndarray:
+        """Mixed hashes of all ``SPAN``-character spans, by start; of the whole text if it is shorter."""
+        if not self.n:
+            return np.zeros(0, dtype=np.uint64)
+        starts = np.arange(max(self.n - SPAN, 0) + 1)
+        return mix64(self.spans(starts, np.minimum(starts + SPAN, self.n)))
+
     def common_extension(self, at: int, other: PrefixHashes, other_at: int) -> int:
         """Length of the longest equal spans that begin at the two places, by binary search."""
         low, high = 0, min(self.n - at, other.n - other_at)
@@ -108,12 +124,23 @@ class PrefixHashes:
         return low
 
 
-def fingerprint(hashes: PrefixHashes) -> str:
+def edited_values(hashes: PrefixHashes, keep: int, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """``values`` of a text edited after ``keep``: ``one`` and ``two`` are those of the texts it is made of.
+
+    A span's hash doesn't depend on its place, so only spans across the seam are new.
+    """
+    if hashes.n < SPAN:
+        return hashes.values()
+    seam = np.arange(max(keep - SPAN + 1, 0), min(keep, hashes.n - SPAN + 1))
+    crossing = mix64(hashes.spans(seam, seam + SPAN))
+    return np.concatenate([one[: max(keep - SPAN + 1, 0)], crossing, two[: max(hashes.n - keep - SPAN + 1, 0)]])
+
+
+def fingerprint(hashes: PrefixHashes, values: np.ndarray | None = None) -> str:
     """length:hash:bins, in hexadecimal; a bin that no span falls into is 00."""
     n, bins = hashes.n, np.zeros(BINS, dtype=np.uint8)
     if n:
-        starts = np.arange(max(n - SPAN, 0) + 1)
-        found = np.sort(mix64(hashes.spans(starts, np.minimum(starts + SPAN, n))))
+        found = np.sort(hashes.values() if values is None else values)
         edges = np.searchsorted(found, np.arange(BINS, dtype=np.uint64) << np.uint64(64 - BINS.bit_length() + 1))
         full = np.flatnonzero(np.diff(edges, append=len(found)))
         bins[full] = 1 + (found[edges[full]] >> np.uint64(8)) % np.uint64(255)
@@ -143,18 +170,20 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, tail, doc, text in zip(*columns, strict=True):
             text = text or ""
             hashes = PrefixHashes(text)
-            own = fingerprint(hashes)
+            values = hashes.values()
+            own = fingerprint(hashes, values)
             if before and before[0] == block:
-                _, last, last_text, last_hashes, last_print = before
+                _, last, last_text, last_hashes, last_values, last_print = before
                 moved = len(last_text) // 4
-                edited = last_text[: len(last_text) - moved] + text[:moved]
-                edited_hashes = PrefixHashes(edited)
-                edited_print = fingerprint(edited_hashes)
+                keep = len(last_text) - moved
+                edited = last_text[:keep] + text[:moved]
+                edited_hashes = last_hashes.edited(keep, hashes, len(edited) - keep)
+                edited_print = fingerprint(edited_hashes, edited_values(edited_hashes, keep, last_values, values))
                 digest = hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest()
                 near = likeness(last_print, edited_print), likeness(last_print, own)
                 common = last_hashes.common_extension(0, edited_hashes, 0)
                 out.append((last, len(last_text), digest, last_print, edited_print, *near, common))
-            before = None if tail else (block, doc, text, hashes, own)
+            before = None if tail else (block, doc, text, hashes, values, own)
         yield pa.RecordBatch.from_arrays(
             [pa.array([r[j] for r in out], kind) for j, kind in enumerate(kinds)], names=names
         )
@@ -190,4 +219,5 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def op10_fingerprints(docs: DataFrame) -> DataFrame:
+    """Fingerprints and likenesses of every document, its edited text and the next document."""
     return fingerprints(docs.select("doc_id", "text"))

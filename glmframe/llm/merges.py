@@ -29,12 +29,26 @@ def byte_alphabet() -> list[str]:
     return out
 
 
+#: Rules of a plain byte-level vocabulary (fixed values).
+BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+
+
+def check_rules(path: str, normalizer: dict | None, pre_tokenizer: dict | None) -> None:
+    """Raises unless a tokenizers file normalises and splits texts by the given rules."""
+    with open(path, encoding="utf-8") as file:
+        parts = json.load(file)
+    for name, want in (("normalizer", normalizer), ("pre_tokenizer", pre_tokenizer)):
+        if parts[name] != want:
+            raise ValueError(f"{path}: its {name} is {parts[name]}, texts are split here for {want}")
+
+
 class Merges:
-    """The merges of a tokenizers file, by piece."""
+    """The merges of a tokenizers file, by piece, for texts that are split by the given rules."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, normalizer: dict | None = None, pre_tokenizer: dict | None = BYTE_LEVEL):
         from tokenizers import Tokenizer
 
+        check_rules(path, normalizer, pre_tokenizer)
         self.whole = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as file:
             parts = json.load(file)

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glmframe.llm.common import bound_batches, checkpointed
-from glmframe.llm.merges import CACHE_PIECES, Merges
+from glmframe.llm.merges import CACHE_PIECES, Merges, check_rules
 
 WINDOW = 2048
 CLOSING_ID = 1
@@ -47,6 +47,23 @@ PIECE = (
 )
 
 
+# The rules that texts are split by here; a vocabulary with others is refused.
+NORMALIZER = {
+    "type": "Sequence",
+    "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}],
+}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {
+            "type": "Split",
+            "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"},
+            "behavior": "Removed",
+            "invert": True,
+        },
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
 #: How the vocabulary splits lower-case Latin text.
 _PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:_|[^\w\s])+")
 
@@ -55,7 +72,7 @@ class PartEncoder:
     """Little-endian unsigned 32-bit ids of texts, through bounded caches of parts between blanks and of pieces."""
 
     def __init__(self, path: str):
-        self.merges = Merges(path)
+        self.merges = Merges(path, NORMALIZER, PRE_TOKENIZER)
         self.parts: dict[str, bytes] = {"": b""}
         self.pieces: dict[str, bytes] = {}
 
@@ -105,23 +122,25 @@ class Packer:
         self.next += 1
 
     def add(self, doc: int, start: int, ids: bytes, total: int) -> None:
+        view, at = memoryview(ids), 0  # windows are cut by offset: a long text is copied once
         n = len(ids) // 4
         while n >= self.size:
-            self._emit([(doc, start, ids[: 4 * self.size], total)])
-            start, ids, n = start + self.size, ids[4 * self.size :], n - self.size
+            self._emit([(doc, start, bytes(view[at : at + 4 * self.size]), total)])
+            start, at, n = start + self.size, at + 4 * self.size, n - self.size
         if not n:
             return
         best = max((k for k, (held, _) in enumerate(self.open) if held + n <= self.size), key=lambda k: self.open[k][0], default=None)
         if best is None and len(self.open) >= self.limit:
             held, pieces = self.open.pop(max(range(len(self.open)), key=lambda k: self.open[k][0]))
             head = self.size - held
-            self._emit([*pieces, (doc, start, ids[: 4 * head], total)])
-            start, ids, n = start + head, ids[4 * head :], n - head
+            self._emit([*pieces, (doc, start, bytes(view[at : at + 4 * head]), total)])
+            start, at, n = start + head, at + 4 * head, n - head
+        rest = bytes(view[at:])
         if best is None:
-            self.open.append((n, [(doc, start, ids, total)]))
+            self.open.append((n, [(doc, start, rest, total)]))
             return
         held, pieces = self.open[best]
-        pieces.append((doc, start, ids, total))
+        pieces.append((doc, start, rest, total))
         if held + n == self.size:
             self._emit(pieces)
             self.open.pop(best)
@@ -215,9 +234,10 @@ def pack(
 
     ``ids`` are the piece's token ids, as little-endian unsigned 32-bit numbers.
     A window is the ids of one sequence_id, one after another by offset.
-    ``vocabulary`` is the path of a tokenizers file that drops white space
-    before merging; executors read it too.
+    ``vocabulary`` is the path of a tokenizers file with the rules named above
+    (any other raises); executors read it too.
     """
+    check_rules(vocabulary, NORMALIZER, PRE_TOKENIZER)
     texts = bound_batches(docs).select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     now = checkpointed(texts.mapInArrow(_pack_partition(vocabulary, size, open_windows), PIECE))
     done = [now.where("slot is null")]

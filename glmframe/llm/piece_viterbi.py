@@ -6,12 +6,16 @@ that no piece has side by side. The distinct marked words of a batch are
 sorted, which lists their trie depth-first: a word keeps the forward entries of
 the prefix it shares with the word before it, and only its own end is computed.
 
-A forward entry holds the best last piece of a prefix. The vocabulary is one of
-merges, not of free choice: a path is allowed only if merging any two
-neighbouring pieces' characters by score gives these two pieces again. Exactly
-one path to every prefix passes, the one the merges make; its score is summed
-along as in any Viterbi search. So ids equal those of the library that the
-vocabulary is for, which tests hold over whole tables.
+A forward entry holds the score and the last piece of the best path to a
+prefix. Vocabularies whose scores decide (``by_score``) take the path with the
+largest sum, of equal sums the one with the longest last piece; a character
+that is no piece costs ``UNKNOWN_COST`` more than the least score.
+
+A vocabulary of merges, as the registered query's, is not one of free choice:
+there the merges decide, not the sums. A path is allowed only if merging any
+two neighbouring pieces' characters by score gives these two pieces again, and
+exactly one path to every prefix passes. So ids equal those of the library that
+the vocabulary is for, which tests hold over whole tables.
 
 Characters beyond the vocabulary become byte pieces. Decoding joins the pieces,
 turns marks into blanks, takes the first blank away, and reads bytes as UTF-8
@@ -43,6 +47,10 @@ _RUN = re.compile(f"{MARK}*[^\\W\\d_]+|{MARK}+|[^\\w{MARK}]+|[\\d_]+")
 CACHE_WORDS, CACHE_PARTS, CACHE_PAIRS = 50_000, 300_000, 200_000
 
 
+#: What a character beyond the vocabulary costs beside the least score, where scores decide.
+UNKNOWN_COST = 10.0
+
+
 class Pieces:
     """The pieces of a vocabulary file: numbers, scores, and texts."""
 
@@ -55,6 +63,7 @@ class Pieces:
         names = [model.id_to_piece(i) for i in range(size)]
         self.number = {x: i for i, x in enumerate(names) if not special[i] and not model.is_byte(i)}
         self.score = {x: model.get_score(i) for x, i in self.number.items()}
+        self.longest, self.least = max(map(len, self.score), default=1), min(self.score.values(), default=0.0)
         #: Pairs of characters that stand side by side in a piece.
         self.neighbours = {x[i : i + 2] for x in self.number for i in range(len(x) - 1)}
         self.of_byte = {int(x[3:5], 16): i for i, x in enumerate(names) if model.is_byte(i)}
@@ -108,42 +117,60 @@ class Pieces:
 class WordEncoder:
     """Little-endian unsigned 32-bit ids of texts, through forward entries that words with one prefix share."""
 
-    def __init__(self, path: str):
-        self.pieces = Pieces(path)
+    def __init__(self, path: str, by_score: bool = False):
+        self.pieces, self.by_score = Pieces(path), by_score
         self.known: dict[str, bytes] = {}
         self.whole: dict[str, bytes] = {}
 
-    def _learn(self, words: list[str]) -> None:
-        """Encodes words in sorted order: a depth-first walk over their trie."""
-        pieces, before = self.pieces, ""
-        scores, pairs, agree = pieces.score, pieces.pairs, pieces.agree
+    def last_by_score(self, word: str, end: int, total: list[float]) -> tuple[float, str]:
+        """The largest sum of a path to word[:end], and its last piece."""
+        scores, best = self.pieces.score, (-np.inf, "")
+        for start in range(max(0, end - self.pieces.longest), end):
+            piece = word[start:end]
+            score = scores.get(piece)
+            if score is None:
+                if start < end - 1:
+                    continue
+                score = self.pieces.least - UNKNOWN_COST
+            if total[start] + score > best[0]:
+                best = total[start] + score, piece
+        return best
+
+    def paths(self, words: list[str]) -> Iterator[tuple[str, list[str]]]:
+        """Words in sorted order, a depth-first walk over their trie, with the last pieces of all their prefixes."""
+        scores, pairs, agree, before = self.pieces.score, self.pieces.pairs, self.pieces.agree, ""
         last: list[str] = [""]  # the best path's last piece, per prefix
-        total = [0.0]  # and its score
+        total = [0.0]  # and its score, where scores decide
         for word in sorted(words):
             shared = len(os.path.commonprefix((before, word)))
             del last[shared + 1 :], total[shared + 1 :]
             for end in range(shared + 1, len(word) + 1):
+                if self.by_score:
+                    score, piece = self.last_by_score(word, end, total)
+                    total.append(score)
+                    last.append(piece)
+                    continue
                 for start in range(end - 1, -1, -1):
                     piece = word[start:end]
-                    score = scores.get(piece)
-                    if score is None:
-                        if start < end - 1:
-                            continue
-                        score = 0.0  # a character that is no piece
+                    if piece not in scores and start < end - 1:
+                        continue  # a single character may be no piece
                     pair = (last[start], piece)
                     allowed = pairs.get(pair)
                     if agree(pair) if allowed is None else allowed:
                         last.append(piece)
-                        total.append(total[start] + score)
                         break
                 else:
                     raise ValueError(f"no path to {word[:end]!r}")
+            yield word, last
+            before = word
+
+    def _learn(self, words: list[str]) -> None:
+        for word, last in self.paths(words):
             ids, end = [], len(word)
             while end:
-                ids.append(pieces.coded(last[end]))
+                ids.append(self.pieces.coded(last[end]))
                 end -= len(last[end])
             self.known[word] = b"".join(reversed(ids))
-            before = word
 
     def encode(self, texts: list[str]) -> list[bytes]:
         found = [_WORD.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
@@ -165,20 +192,23 @@ class WordEncoder:
 
 
 @lru_cache(maxsize=1)
-def _encoder(path: str) -> WordEncoder:
+def _encoder(path: str, by_score: bool = False) -> WordEncoder:
     """One a worker: what it remembers serves its next tasks."""
-    return WordEncoder(path)
+    return WordEncoder(path, by_score)
 
 
 def _others(docs: DataFrame, gone: str) -> DataFrame:
     return bound_batches(docs).select(F.struct(*(f"`{c}`" for c in docs.columns if c != gone)).alias("row"), F.col(f"`{gone}`").alias("value"))
 
 
-def encode_pieces(docs: DataFrame, vocabulary: str, text_col: str = "text") -> DataFrame:
-    """``row`` (a struct of the columns but the text) and ``ids`` (little-endian unsigned 32-bit, binary)."""
+def encode_pieces(docs: DataFrame, vocabulary: str, text_col: str = "text", by_score: bool = False) -> DataFrame:
+    """``row`` (a struct of the columns but the text) and ``ids`` (little-endian unsigned 32-bit, binary).
+
+    ``by_score`` is for vocabularies whose scores decide, not merges.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(vocabulary)
+        encoder = _encoder(vocabulary, by_score)
         for batch in batches:
             texts, ids = batch.column("value").to_pylist(), []
             for at in range(0, len(texts), 512):

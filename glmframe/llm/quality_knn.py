@@ -14,7 +14,8 @@ broadcast whatever the input's size. Labels are never inputs of a score.
 Defined cases: null, empty and white-space texts have no terms and get the
 mean label of the sample; without any labelled row every score is 0.5.
 Repeated rows are scored alike; of several labels of one document the largest
-counts, null labels don't. Other columns, whatever their names, pass untouched.
+counts, null labels don't; of labelled rows that repeat an id with other texts
+one teaches, that with the least term numbers. Other columns, whatever their names, pass untouched.
 """
 
 from __future__ import annotations
@@ -163,7 +164,9 @@ def fit_quality(
     rows = (
         texts.join(F.broadcast(chosen), "id")
         .mapInArrow(_sample_terms, "id long, label int, at binary, counts binary")
-        .dropDuplicates(["id"])
+        .groupBy("id", "label")
+        .agg(F.min(F.struct("at", "counts")).alias("terms"))
+        .select("id", "label", "terms.*")
         .collect()
     )
     rows.sort(key=lambda r: r["id"])

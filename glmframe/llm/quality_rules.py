@@ -1,10 +1,15 @@
 """Quality rules (operator 2): a short-circuit cascade of native expressions.
 
-``order_rules`` measures each rule on a bounded sample: how many rows it
-rejects, and the seconds its expressions take. The rules then run by rejection
-per cost; what a later rule needs is computed only for rows that no earlier
-one has rejected. The order changes the time and ``failed_rule``, never
-``kept``.
+``order_rules`` measures the rules on a bounded sample, fetched once: which rows
+each rejects, and the seconds its expressions take on a local batch that holds
+the sample many times. Rules are then chosen one after another by rejection
+per cost, among the rows that those before have left; what a later rule needs
+is computed only for rows that no earlier one has rejected. The order changes
+the time and ``failed_rule``, never ``kept``.
+
+A text without enough words or mostly made of repeated ones fails whatever the
+rules are. The first is asked before any rule, the second has its place in the
+cascade like any rule; both are named ``base``.
 
 Everything is DataFrame functions, in one pass without a shuffle. Words are
 split once and three-word windows are hashed; where a text has equal hashes,
@@ -19,13 +24,16 @@ names, pass untouched inside ``row``.
 from __future__ import annotations
 
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE_ROWS = 1000
+#: The sample: so many rows at most, of texts of so many characters at most (they only set the order).
+SAMPLE_ROWS, SAMPLE_CHARS = 1000, 20_000
+#: How often the timed batch holds the sample.
+REPEATS = 8
 #: Space and 0x09-0x0D, between words (fixed value).
 _SPACES = " \t\n\x0b\x0c\r"
 #: Characters counted as symbols (fixed value).
@@ -33,6 +41,8 @@ _SYMBOLS = "#*$%&|<>"
 _CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: A text without enough words, or mostly made of repeated ones, fails before any rule.
 BASE = "n_words < 50 or 100 * n_repeat_words > 50 * n_words"
+#: First characters of list lines, and ends of cut ones (fixed values).
+_BULLET, _ELLIPSIS = r"^[-*\x{2022}]", r"(\.\.\.|\x{2026})$"
 
 
 @dataclass(frozen=True)
@@ -44,12 +54,18 @@ class Rule:
     rejects: str
 
 
+FEW_WORDS = Rule("base", ("words",), "n_words < 50")
+MOSTLY_REPEATED = Rule("base", ("words", "repeats"), "100 * n_repeat_words > 50 * n_words")
 RULES = (
     Rule("symbols", ("words", "symbols"), "10 * n_symbols > word_chars"),
     Rule("word_length", ("words",), "word_chars < 2 * n_words or word_chars > 20 * n_words"),
     Rule("repeated_lines", ("lines",), "n_lines >= 4 and 2 * n_dup_lines > n_lines"),
     Rule("repeated_words", ("words", "repeats"), "3 * n_repeat_words > n_words"),
     Rule("capitals", ("words", "capitals"), "2 * n_capitals > word_chars"),
+    Rule("bullet_lines", ("lines",), "n_lines >= 4 and 10 * n_bullets > 9 * n_lines"),
+    Rule("ellipsis_lines", ("lines",), "n_lines >= 4 and 10 * n_ellipses > 3 * n_lines"),
+    Rule("letters", ("words", "letters"), "5 * n_letterless > n_words"),
+    Rule("top_pair", ("words", "pairs"), "n_top_pair >= 5 and 10 * n_top_pair > n_words"),
 )
 
 
@@ -78,7 +94,30 @@ def _lines(df: DataFrame, on: Column) -> DataFrame:
     full = F.filter(F.split("text", "\n"), lambda x: F.btrim(x, F.lit(_SPACES)) != "")
     df = df.withColumn("lines", F.when(on, full))
     n = F.size("lines").cast("long")
-    return df.withColumns({"n_lines": n, "n_dup_lines": n - F.size(F.array_distinct("lines"))}).drop("lines")
+    matching = lambda pattern: F.size(F.filter("lines", lambda x: F.btrim(x, F.lit(_SPACES)).rlike(pattern))).cast("long")
+    counts = {"n_dup_lines": n - F.size(F.array_distinct("lines")), "n_bullets": matching(_BULLET), "n_ellipses": matching(_ELLIPSIS)}
+    return df.withColumns({"n_lines": n, **counts}).drop("lines")
+
+
+def _letters(df: DataFrame, on: Column) -> DataFrame:
+    """Words without a letter."""
+    count = F.size(F.filter("parts", lambda x: ~x.rlike(r"\p{L}")))
+    return df.withColumn("n_letterless", F.when(on, count).cast("long"))
+
+
+def _pairs(df: DataFrame, on: Column) -> DataFrame:
+    """How often the most frequent pair of neighbouring words stands in the text: the longest run of sorted hashes."""
+    n = F.size("parts") - 1
+    twos = F.arrays_zip(F.slice("parts", 1, n).alias("a"), F.slice("parts", 2, n).alias("b"))
+    df = df.withColumn("ranked", F.when(on & (n > 0), F.sort_array(F.transform(twos, lambda x: F.xxhash64(x)))))
+    start = F.struct(F.lit(0).cast("long").alias("last"), F.lit(0).cast("long").alias("run"), F.lit(0).cast("long").alias("most"))
+
+    def step(s: Column, x: Column) -> Column:
+        run = F.when(x == s["last"], s["run"] + 1).otherwise(F.lit(1).cast("long"))
+        return F.struct(x.alias("last"), run.alias("run"), F.greatest(s["most"], run).alias("most"))
+
+    most = F.aggregate("ranked", start, step, lambda s: s["most"])
+    return df.withColumn("n_top_pair", F.when(on, F.coalesce(most, F.lit(0).cast("long")))).drop("ranked")
 
 
 def _repeats(df: DataFrame, on: Column) -> DataFrame:
@@ -114,38 +153,72 @@ _GROUPS: dict[str, Callable[[DataFrame, Column], DataFrame]] = {
     "lines": _lines,
     "repeats": _repeats,
     "capitals": _capitals,
+    "letters": _letters,
+    "pairs": _pairs,
 }
 
 
-def order_rules(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES, rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """Rules by rejected rows per second on ``rows`` rows; nothing but the order depends on this sample."""
-    some = docs.select(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")).limit(rows).persist()
-    rate: dict[Rule, float] = {}
+def _measured(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    for group in dict.fromkeys(g for rule in rules for g in rule.uses):
+        df = _GROUPS[group](df, F.lit(True))
+    return df
+
+
+def order_rules(docs: DataFrame, text_col: str = "text", rules: Sequence[Rule] = RULES, rows: int = SAMPLE_ROWS) -> list[Rule]:
+    """Rules by rejected rows per second, each among the rows that those before it leave.
+
+    At most ``rows`` texts are fetched (from the first partitions that have
+    enough), and timed as a local batch; nothing but the order depends on them.
+    """
+    rules, spark = list(rules), docs.sparkSession
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    taken = docs.select(text.alias("text")).where(F.length("text") <= SAMPLE_CHARS).take(rows)
+    if not taken or not rules:
+        return rules
+    batch = spark.createDataFrame(taken, "text string").coalesce(1)
+    hits = _measured(batch, rules).select(*(F.coalesce(F.expr(r.rejects), F.lit(False)) for r in rules)).collect()
+    many = batch.select(F.explode(F.array_repeat("text", REPEATS)).alias("text")).coalesce(1).persist()
+
+    def seconds(some: Sequence[Rule]) -> float:
+        df, found = _measured(many, some), F.lit(False)
+        for rule in some:
+            found = F.expr(rule.rejects)
+        began = time.perf_counter()
+        df.agg(F.count_if(found), F.sum(F.length("text"))).collect()
+        return time.perf_counter() - began
+
     try:
-        some.agg(F.sum(F.length("text"))).collect()
-        for _ in range(2):  # the second round counts: code is compiled by then
-            for rule in rules:
-                df = some
-                for group in rule.uses:
-                    df = _GROUPS[group](df, F.lit(True))
-                began = time.perf_counter()
-                hit = df.agg(F.count_if(F.expr(rule.rejects)).alias("n")).first()["n"]
-                rate[rule] = (hit + 0.5) / (time.perf_counter() - began)
+        seconds([])
+        nothing = min(seconds([]) for _ in range(2))
+        # the second round counts: code is compiled by then
+        cost = {i: max(min(seconds([r]) for _ in range(2)) - nothing, 1e-3) for i, r in enumerate(rules)}
     finally:
-        some.unpersist()
-    return sorted(rules, key=lambda r: -rate[r])
+        many.unpersist()
+    left, order, open_ = range(len(hits)), [], set(cost)
+    while open_:
+        rejected = {i: sum(hits[k][i] for k in left) for i in open_}
+        best = max(sorted(open_), key=lambda i: (rejected[i] + 0.5) / cost[i])
+        order.append(rules[best])
+        open_.remove(best)
+        left = [k for k in left if not hits[k][best]]
+    return order
 
 
 def quality_rules(
-    docs: DataFrame, text_col: str = "text", rules: list[Rule] | None = None, counted: bool = False
+    docs: DataFrame, text_col: str = "text", rules: Sequence[Rule] | None = None, counted: bool = False
 ) -> DataFrame:
     """``row`` (a struct of the columns but the text), ``failed_rule`` (null: none) and ``kept``.
 
-    ``counted`` gives the base measures of every row too (n_words, word_chars,
-    n_symbols, n_dup_lines, n_repeat_words, base_failed); without it nothing is
-    computed that the verdict doesn't need.
+    ``rules`` run in their order; without any given, all of ``RULES`` by
+    ``order_rules``. ``kept`` is the same for any order, and with or without
+    ``counted``, which gives the base measures of every row too (n_words,
+    word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed); without
+    it nothing is computed that the verdict doesn't need.
     """
-    rules = rules if rules is not None else order_rules(docs, text_col)
+    if rules is None:
+        rules = order_rules(docs, text_col, RULES if counted else (*RULES, MOSTLY_REPEATED))
+    elif not counted:
+        rules = (*rules, MOSTLY_REPEATED)
     others = [f"`{c}`" for c in docs.columns if c != text_col]
     df = docs.select(F.struct(*others).alias("row"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     every, ready = F.lit(True), {"words"}
@@ -155,9 +228,8 @@ def quality_rules(
             df = _GROUPS[group](df, every)
         ready |= {"symbols", "lines", "repeats"}
         df = df.withColumn("base_failed", F.expr(BASE))
-        df = df.withColumn("failed_rule", F.when(F.col("base_failed"), F.lit("base")))
-    else:
-        df = df.withColumn("failed_rule", F.when(F.col("n_words") < 50, F.lit("base")))
+    first = F.col("base_failed") if counted else F.expr(FEW_WORDS.rejects)
+    df = df.withColumn("failed_rule", F.when(first, F.lit(FEW_WORDS.name)))
     for rule in rules:
         on = F.col("failed_rule").isNull()
         for group in rule.uses:
@@ -189,14 +261,23 @@ WITH base AS (
 ), covered AS (
   SELECT doc_id, count(DISTINCT p) AS n
   FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM counted WHERE n > 1) GROUP BY doc_id
+), pairs AS (
+  SELECT doc_id, max(n) AS n FROM (
+    SELECT doc_id, ws[i] AS a, ws[i + 1] AS b, count(*) AS n
+    FROM (SELECT doc_id, ws, unnest(generate_series(1, len(ws) - 1)) AS i FROM base) GROUP BY ALL
+  ) GROUP BY doc_id
 ), measured AS (
   SELECT b.doc_id, len(ws)::BIGINT AS n_words,
          length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
          (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
          len(ls)::BIGINT AS n_lines, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
          coalesce(c.n, 0)::BIGINT AS n_repeat_words,
-         (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')))::BIGINT AS n_capitals
-  FROM base b LEFT JOIN covered c ON c.doc_id = b.doc_id
+         (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')))::BIGINT AS n_capitals,
+         len(list_filter(ls, lambda x: regexp_matches(x, '^[\x20\x09-\x0D]*[-*\x{2022}]'))) AS n_bullets,
+         len(list_filter(ls, lambda x: regexp_matches(x, '(\.\.\.|\x{2026})[\x20\x09-\x0D]*$'))) AS n_ellipses,
+         len(list_filter(ws, lambda x: NOT regexp_matches(x, '\p{L}'))) AS n_letterless,
+         coalesce(p.n, 0) AS n_top_pair
+  FROM base b LEFT JOIN covered c ON c.doc_id = b.doc_id LEFT JOIN pairs p ON p.doc_id = b.doc_id
 ), judged AS (
   SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM measured
 )
@@ -204,6 +285,8 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        NOT (base_failed OR 10 * n_symbols > word_chars
             OR word_chars < 2 * n_words OR word_chars > 20 * n_words
             OR (n_lines >= 4 AND 2 * n_dup_lines > n_lines)
-            OR 3 * n_repeat_words > n_words OR 2 * n_capitals > word_chars) AS kept
+            OR 3 * n_repeat_words > n_words OR 2 * n_capitals > word_chars
+            OR (n_lines >= 4 AND 10 * n_bullets > 9 * n_lines) OR (n_lines >= 4 AND 10 * n_ellipses > 3 * n_lines)
+            OR 5 * n_letterless > n_words OR (n_top_pair >= 5 AND 10 * n_top_pair > n_words)) AS kept
 FROM judged
 """

@@ -16,7 +16,8 @@ Equality of windows is equality of 64-bit hashes.
 Defined cases: a null or empty text has no words and stays as it is; a
 document shorter than a window loses nothing; rows with one id are one place
 ordered by their text, and of equal rows the first that the block lists stays
-whole; null ids come first. Other columns, whatever their names, are passed
+whole; null ids come first, dealt to blocks of their own by a hash of the text
+and in the order of these blocks. Other columns, whatever their names, are passed
 through untouched.
 """
 
@@ -194,8 +195,11 @@ def substring_dedup(
     parts = shuffle_partitions(bound_batches(docs).sparkSession)
     blocks = blocks or BLOCKS_PER_PARTITION * parts
     others = [f"`{c}`" for c in docs.columns if c != text_col]
+    # rows without an id may be any number: they have blocks -1, -2, ... before all others
+    nameless = -1 - F.pmod(F.xxhash64(F.col(f"`{text_col}`")), F.lit(blocks)).cast("int")
+    block = F.when(F.col(f"`{id_col}`").isNull(), nameless).otherwise(id_blocks(docs, f"`{id_col}`", blocks))
     rows = docs.select(
-        id_blocks(docs, f"`{id_col}`", blocks).alias("block"),
+        block.cast("int").alias("block"),
         F.col(f"`{id_col}`").alias("id"),
         F.col(f"`{text_col}`").alias("text"),
         F.struct(*others).alias("row"),

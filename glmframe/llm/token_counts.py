@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glmframe.llm.common import bound_batches
-from glmframe.llm.merges import CACHE_PIECES, Merges
+from glmframe.llm.merges import BYTE_LEVEL, CACHE_PIECES, Merges, check_rules
 
 #: Unicode white space, as the vocabulary's pattern has it (fixed value).
 _SPACE = "\t-\r \x85\xa0  -     　"
@@ -137,9 +137,13 @@ def section_token_counts(
     rule: str = "largest",
     sections: Callable[[str], np.ndarray] = line_starts,
 ) -> DataFrame:
-    """One row per section: doc_id, section (from 0), start, length, n_tokens, n_crossing (of these, across a boundary)."""
+    """One row per section: doc_id, section (from 0), start, length, n_tokens, n_crossing (of these, across a boundary).
+
+    ``vocabulary`` is a byte-level tokenizers file without a normalizer; any other raises.
+    """
     if rule not in ("largest", "first", "last"):
         raise ValueError(f"unknown rule {rule!r}: largest, first or last")
+    check_rules(vocabulary, None, BYTE_LEVEL)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(vocabulary)
