@@ -2,9 +2,11 @@
 
 import bisect
 import hashlib
+import json
 import random
 import time
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -16,11 +18,11 @@ from tokenizers import Tokenizer, processors
 from glmframe.llm import fingerprints as fp
 from glmframe.llm import near_dedup as nd
 from glmframe.llm.html_template import extract_main_text, main_text, parse
-from glmframe.llm.line_dedup import line_dedup
-from glmframe.llm.packing import PartEncoder, op8_packing, pack
+from glmframe.llm import line_dedup as ld
+from glmframe.llm.packing import Packer, PartEncoder, op8_packing, pack
 from glmframe.llm.piece_viterbi import WordEncoder, op3_piece_viterbi
-from glmframe.llm.quality_knn import fit_quality, op1_quality_classifier, score_quality
-from glmframe.llm.quality_rules import RULES, order_rules, quality_rules
+from glmframe.llm.quality_knn import NeighbourModel, fit_quality, op1_quality_classifier, score_quality, term_counts
+from glmframe.llm.quality_rules import RULES, Rule, order_rules, quality_rules
 from glmframe.llm.substring_dedup import op4_substring_dedup, substring_dedup
 from glmframe.llm.token_counts import SpanEncoder, attribute, section_token_counts
 
@@ -125,36 +127,9 @@ def test_units_of_two_chunks_lose_no_link(spark, docs, monkeypatch):
     assert sorted((str(r.id), str(r.component_id)) for r in nd.near_duplicates(docs, width=3, percent=85).collect()) == want
 
 
-def test_line_dedup(spark):
-    rnd = random.Random(2)
-    lines = ["A x", "B", "C", " D ", "", "E", "F f"]
-    rows = [(i, "\n".join(rnd.choice(lines) for _ in range(rnd.randint(0, 9)))) for i in range(60)]
-    rows += [(100, None), (101, ""), (102, "A x\nB\nC\nnew"), (None, "A x\nB\nC")]
-    seen, want = set(), []
-    for doc, text in ordered(rows):
-        own = (text or "").split("\n")
-        full = [i for i, x in enumerate(own) if x.strip()]
-        gone = set()
-        for k in range(len(full) - 2):
-            key = tuple(own[i].strip() for i in full[k : k + 3])
-            if key in seen:
-                gone |= set(full[k : k + 3])
-            seen.add(key)
-        left = None if text is None else text if not gone else "\n".join(x for i, x in enumerate(own) if i not in gone)
-        want.append((str(doc), str(left), 0 if text is None else len(full), len(gone)))
-    df = spark.createDataFrame(rows, SCHEMA).repartition(4)
-    got = line_dedup(clashing(df)).collect()
-    assert sorted((str(r["row"]["doc_id"]), str(r["text"]), r["n_lines"], r["n_removed"]) for r in got) == sorted(want)
-    assert line_dedup(df.limit(0)).count() == 0
-
-
-def test_line_dedup_short_runs(spark):
-    rnd = random.Random(5)
-    lines = ["one two three four five", "  one  two\tthree", "four five", "x", "", "six seven eight nine ten eleven "]
-    rows = [(i, "\n".join(rnd.choice(lines) for _ in range(rnd.randint(0, 4)))) for i in range(30)]
-    rows += [(40 + i, f"own {i}\nalone it stands in many texts\nmore {i}") for i in range(3)]
-    rows += [(50, "alone it stands in many texts"), (51, "x"), (52, None), (None, lines[0])]
-    seen, want = set(), []
+def deleted_by_hand(rows):
+    """Per row: its lines, the numbers of those that aren't blank, and of those that repeated runs cover."""
+    seen = set()
     for doc, text in ordered(rows):
         own = (text or "").split("\n")
         full = [i for i, x in enumerate(own) if x.strip()]
@@ -166,11 +141,47 @@ def test_line_dedup_short_runs(spark):
                     if key in seen:
                         gone |= set(full[k : k + n])
                     seen.add(key)
-        want.append((str(doc), str(sorted(gone))))
-    found = line_dedup(spark.createDataFrame(rows, SCHEMA).repartition(4))
-    got = {r["row"]["doc_id"]: r for r in found.collect()}
-    assert sorted((str(doc), str(list(r["removed"]))) for doc, r in got.items()) == sorted(want)
-    assert got[50]["text"] == "" and got[42]["text"] == "own 2\nmore 2"
+        yield doc, text, own, full, sorted(gone)
+
+
+def line_rows():
+    rnd = random.Random(2)
+    lines = ["A x", "B", "C", " D ", "", "E", "F f", "one two three four five", "  one  two\tthree", "six seven eight nine ten "]
+    rows = [(i, "\n".join(rnd.choice(lines) for _ in range(rnd.randint(0, 9)))) for i in range(80)]
+    rows += [(100, None), (101, ""), (102, "A x\nB\nC\nnew"), (None, "A x\nB\nC"), (103, "x"), (104, " \n\n")]
+    rows += [(140 + i, f"own {i}\nalone it stands in many texts\nmore {i}") for i in range(3)]
+    return rows + [(150, "alone it stands in many texts")]
+
+
+@pytest.mark.parametrize("hot_keys", [1000, 5])
+def test_line_dedup(spark, monkeypatch, hot_keys):
+    monkeypatch.setattr(ld, "HOT_KEYS", hot_keys)
+    rows, want = line_rows(), []
+    for doc, text, own, full, gone in deleted_by_hand(rows):
+        left = None if text is None else "\n".join(x for i, x in enumerate(own) if i not in gone)
+        want.append((str(doc), str(left), 0 if text is None else len(full), len(gone), str(gone)))
+    df = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    got = ld.line_dedup(clashing(df)).collect()
+    assert sorted((str(r["row"]["doc_id"]), str(r["text"]), r["n_lines"], r["n_removed"], str(list(r["removed"]))) for r in got) == sorted(want)
+    assert ld.line_dedup(df.limit(0)).count() == 0
+
+
+def test_line_dedup_repeated_rows_are_one_place(spark):
+    rows = [(1, "a b c d e\nx"), (1, "a b c d e\nx"), (2, "a b c d e"), (2, "a b c d e")]
+    got = ld.line_dedup(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted((r["row"]["doc_id"], r["text"]) for r in got) == [(1, "a b c d e\nx")] * 2 + [(2, "")] * 2
+
+
+def test_line_dedup_is_linear_in_a_long_text(spark):
+    """100,000 lines, copied once, twice within itself, and a long text of one line."""
+    text = "\n".join(f"line number {i} of a long text" for i in range(100_000))
+    rows = [(1, text), (2, text), (3, "own\n" + text), (4, "word " * 200_000)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    ld.line_dedup(df.where("doc_id = 4")).collect()
+    begin = time.perf_counter()
+    got = {r["row"]["doc_id"]: r for r in ld.line_dedup(df).collect()}
+    assert time.perf_counter() - begin < 60
+    assert [got[i]["n_removed"] for i in (1, 2, 3, 4)] == [0, 100_000, 100_000, 0] and got[3]["text"] == "own"
 
 
 def test_packing(spark, docs):
@@ -259,6 +270,78 @@ def test_piece_encoder_equals_library(spark, docs):
     assert op3_piece_viterbi(docs.limit(0)).count() == 0
 
 
+def test_paths_by_score_have_the_largest_sum():
+    """Against all segmentations, for made-up pieces whose scores decide."""
+    rnd = random.Random(11)
+    encoder = WordEncoder(public_tokenizers.path("piece_bpe_32k.model"), by_score=True)
+    scores = {p: -rnd.uniform(0.5, 6) for p in {"".join(rnd.choice("abc") for _ in range(rnd.randint(1, 4))) for _ in range(40)}}
+    scores.pop("c", None)  # a character beyond the vocabulary
+    encoder.pieces.score, encoder.pieces.longest, encoder.pieces.least = scores, 4, min(scores.values())
+
+    def worth(parts):
+        return sum(scores[p] if p in scores else encoder.pieces.least - 10.0 for p in parts)
+
+    def every(word):
+        if not word:
+            yield []
+        for n in range(1, min(4, len(word)) + 1):
+            if word[:n] in scores or n == 1:
+                yield from ([word[:n], *rest] for rest in every(word[n:]))
+
+    words = {"".join(rnd.choice("abc") for _ in range(rnd.randint(1, 9))) for _ in range(200)}
+    for word, last in encoder.paths(list(words)):
+        parts, end = [], len(word)
+        while end:
+            parts.insert(0, last[end])
+            end -= len(last[end])
+        assert "".join(parts) == word and abs(worth(parts) - max(map(worth, every(word)))) < 1e-9
+
+
+def test_other_vocabularies_are_refused(spark, docs, tmp_path):
+    """Rules that texts aren't split by here raise, before any job."""
+    byte_path, word_path = (public_tokenizers.path(x) for x in ("byte_bpe_50k.json", "word_bpe_49k.json"))
+    with pytest.raises(ValueError, match="normalizer"):
+        section_token_counts(docs, word_path)
+    with pytest.raises(ValueError, match="normalizer"):
+        pack(docs, byte_path)
+    other = json.loads(Path(byte_path).read_text())
+    other["pre_tokenizer"]["add_prefix_space"] = True
+    (tmp_path / "other.json").write_text(json.dumps(other))
+    with pytest.raises(ValueError, match="pre_tokenizer"):
+        SpanEncoder(str(tmp_path / "other.json"))
+
+
+def test_packing_is_linear_in_a_long_text():
+    def seconds(n):
+        packer, ids = Packer(2048, 16, 0), bytes(4 * n)
+        begin = time.process_time()
+        packer.add(1, 0, ids, n)
+        assert sum(r[2] for r in packer.done) + sum(held for held, _ in packer.open) == n
+        return time.process_time() - begin
+
+    assert seconds(8_000_000) < 30 * max(seconds(1_000_000), 0.01)
+
+
+def test_fingerprints_of_edited_texts_reuse_prefix_arrays():
+    rnd = random.Random(7)
+    for _ in range(300):
+        one, two = ("".join(rnd.choice("abé🙂") for _ in range(rnd.choice([0, 1, 5, 15, 16, 17, 40, 90]))) for _ in "ab")
+        keep, take = rnd.randint(0, len(one)), rnd.randint(0, len(two))
+        a, b, want = fp.PrefixHashes(one), fp.PrefixHashes(two), fp.PrefixHashes(one[:keep] + two[:take])
+        got = a.edited(keep, b, take)
+        assert got.n == want.n and all((x == y).all() for x, y in zip(got.sums, want.sums, strict=True))
+        assert (fp.edited_values(got, keep, a.values(), b.values()) == want.values()).all()
+
+
+def test_substring_dedup_spreads_rows_without_an_id(spark):
+    words = [f"w{i}" for i in range(30)]
+    rows = [(None, " ".join([str(k), *words])) for k in range(40)] + [(5, " ".join(words)), (None, None), (None, "")]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    got = op4_substring_dedup(df).collect()
+    assert len(got) == len(rows) and sorted(r.n_removed for r in got) == [0, 0, 0] + [30] * 40
+    assert [r.n_removed for r in got if r.doc_id == 5] == [30]
+
+
 @pytest.mark.parametrize("rule", ["largest", "first", "last"])
 def test_attribution(rule):
     rnd = random.Random(3)
@@ -437,3 +520,78 @@ def test_quality_rules(spark, docs):
     assert quality_rules(docs.limit(0)).count() == 0
     text = "PythonUDF", "ArrowEval", "MapIn"
     assert not any(t in counted._jdf.queryExecution().toString() for t in text)
+
+
+RULE_TEXTS = [
+    "word " * 60, "a b c " * 20, "\n".join("- " + " ".join(f"p{i}{c}" for c in "abcdef") for i in range(12)),
+    "\n".join(" ".join(f"p{i}{c}" for c in "abcdef") + "..." for i in range(12)), " ".join(f"w{i} 12{i} %%" for i in range(30)),
+    " ".join(f"of the w{i}" for i in range(40)), " ".join(f"UPPER{i}WORD" for i in range(60)), " ".join(f"fine{i}" for i in range(60)),
+    "x" * 5000, None, "",
+]
+
+
+def test_one_verdict_for_every_rule_list(spark):
+    """With and without counts, for every single rule, every list that lacks one, none at all, and the measured order."""
+    docs = spark.createDataFrame(list(enumerate(RULE_TEXTS)), SCHEMA)
+    lists = [[], None, *([r] for r in RULES), *([x for x in RULES if x is not r] for r in RULES)]
+    for rules in lists:
+        one, two = (
+            {r["row"]["doc_id"]: r.kept for r in quality_rules(docs, rules=rules, counted=counted).collect()} for counted in (True, False)
+        )
+        assert one == two and one[7] and not one[0] and not one[1] and not one[9]
+    alone = {r.name: {i for i, kept in ((x["row"]["doc_id"], x.kept) for x in quality_rules(docs, rules=[r]).collect()) if not kept} for r in RULES}
+    base = {x["row"]["doc_id"] for x in quality_rules(docs, rules=[]).collect() if not x.kept}
+    assert alone["bullet_lines"] - base == {2} and alone["ellipsis_lines"] - base == {3}
+    assert 4 in alone["letters"] and 5 in alone["top_pair"] and 6 in alone["capitals"]
+
+
+def test_rules_are_ordered_by_what_others_leave(spark):
+    """A rule that rejects only rows which a cheaper one rejects too comes last."""
+    docs = spark.createDataFrame([(i, "few" if i % 2 else "many words " * 10) for i in range(100)], SCHEMA)
+    same, wide, never = (Rule(n, u, r) for n, u, r in (("same", ("words", "repeats"), "n_words < 2"), ("wide", ("words",), "n_words < 3"), ("never", ("words",), "false")))
+    order = [r.name for r in order_rules(docs, rules=(never, same, wide))]
+    assert order[0] == "wide"
+    failed = quality_rules(docs, rules=[wide, same], counted=False).select("failed_rule").distinct().collect()
+    assert {r.failed_rule for r in failed} == {"base"}
+
+
+def votes_by_hand(texts, sample, labels):
+    """Exact cosines and votes, one document after another, in plain Python."""
+    model = NeighbourModel.fit(term_counts(sample), np.array(labels, dtype=np.float32))
+
+    def vector(text):
+        counts = term_counts([text])[0]
+        share = np.sqrt(counts / max(counts.sum(), 1))
+        weighted = share * model.idf
+        projected = (weighted / max(np.linalg.norm(weighted), 1e-9)) @ model.projection
+        return projected / max(np.linalg.norm(projected), 1e-9)
+
+    known = [(vector(t), y) for t, y in zip(sample, labels, strict=True)]
+    for text in texts:
+        own = vector(text)
+        near = sorted(((float(own @ v), y) for v, y in known), key=lambda x: -x[0])[:31]
+        weights = [max(c, 0.0) ** 8 for c, _ in near]
+        total = sum(weights)
+        yield sum(w * y for w, (_, y) in zip(weights, near, strict=True)) / total if total > 0 else sum(labels) / len(labels)
+
+
+def test_quality_scores_equal_votes_by_hand(spark):
+    root = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{root}/{t}.parquet") for t in ("documents", "labels"))
+    texts = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    taught = sorted((r.doc_id, r.quality) for r in labels.collect() if r.doc_id in texts and zlib.crc32(str(r.doc_id).encode()) % 5)
+    got = {r.doc_id: r for r in op1_quality_classifier(docs, labels).collect()}
+    assert set(got) == set(texts)
+    some = sorted(texts)[:200]
+    want = votes_by_hand([texts[d] for d in some], [texts[d] for d, _ in taught], [float(y) for _, y in taught])
+    for doc, score in zip(some, want, strict=True):
+        assert abs(got[doc].score - score) < 2e-3, doc
+        assert got[doc].held_out == (zlib.crc32(str(doc).encode()) % 5 == 0)
+        assert got[doc].predicted == (got[doc].score >= 0.3)
+
+
+def test_repeated_ids_teach_once(spark):
+    rows = [(1, "good words here"), (1, "other text"), (2, "bad 123"), (2, "bad 123"), (None, "x")]
+    labels = spark.createDataFrame([(1, 1), (2, 0), (2, None), (None, 1)], "doc_id long, quality int")
+    models = [fit_quality(spark.createDataFrame(r, SCHEMA).repartition(n), labels) for r, n in ((rows, 1), (rows[::-1], 3))]
+    assert len(models[0].labels) == 2 and (models[0].vectors == models[1].vectors).all()
