@@ -122,6 +122,20 @@ def bound_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+#: Keys with more than this share's inverse of all rows are joined by broadcast; there are fewer than so many.
+HOT_KEYS = 1000
+
+
+def join_repeated(rows: DataFrame, found: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """Rows with a key of ``found``, whose ``n`` is the key's number of rows among ``total``; common keys by broadcast.
+
+    So a key that a third of all rows have doesn't gather them in one task.
+    """
+    hot = F.broadcast(found.where(F.col("n") > F.lit(max(1, total // HOT_KEYS))).drop("n"))
+    rest = rows.join(hot.select(*keys), keys, "left_anti").join(found.drop("n"), keys)
+    return rows.join(hot, keys).unionByName(rest)
+
+
 def with_row(rows: DataFrame, results: str) -> T.StructType:
     """Schema of ``row``, as it is in ``rows`` (any column names), followed by the ``results``."""
     return T.StructType([T.StructField("row", rows.schema["row"].dataType), *T.StructType.fromDDL(results).fields])

@@ -5,19 +5,22 @@
    bit of a bitmap, so the XOR of two bitmaps counts the samples in which the
    sets differ.
 2. Documents with equal sets are collapsed to the smallest id of them.
-3. Documents that share a band key are tied to the smallest id under that key;
-   the components of these ties are the families. Every candidate pair lies
-   within one family.
-4. A family's members meet in units of at most two chunks of bounded size. In
-   a unit the odd sketches of all pairs are compared; pairs that may reach the
-   threshold are confirmed on their full shingle sets. Only links that join two
-   components of the unit are emitted, so a family of n copies yields at most
-   n - 1 rows per unit, never its pairs.
-5. The components of the confirmed links are the result.
+3. Only documents that share a band key are compared. First each with one hub,
+   the smallest id under any of its keys: a row per document, however large a
+   group is. That settles most groups of copies.
+4. Keys whose documents still lie in several components are compared again:
+   the members of the largest component on one side, all others on both, in
+   units of at most two chunks of bounded size, keys with the same documents
+   once. Pairs within a component are left out.
+5. In either step a unit first holds odd sketches alone, 128 bytes a document.
+   Full shingle sets are fetched only for documents with a pair whose sketches
+   may reach the threshold, and only links that join two components of a unit
+   are emitted, so a unit of n documents yields at most n - 1 rows.
+6. The components of the confirmed links are the result.
 
 Losses: with the production bands a pair at exactly the threshold misses all
 common band keys with a probability under 1e-8 (``miss_probability``); the
-odd-sketch bound is six standard deviations of the sample count wide.
+odd-sketch bound is five standard deviations of the sample count wide.
 
 Defined cases: a null, empty or white-space text has the empty set and is
 linked with nothing; fewer words than a shingle make one shingle; rows with
@@ -32,13 +35,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glmframe.llm.common import (
     bound_batches,
     checkpointed,
     connected_components,
+    join_repeated,
     mix64,
     shuffle_partitions,
     slices,
@@ -50,7 +54,7 @@ from glmframe.llm.common import (
 BANDS = 48
 BAND_ROWS = 5
 SKETCH_BITS = 1024
-#: A chunk of a family: at most so many documents, and about so many shingles.
+#: A chunk of a unit: about so many documents, and about so many shingles.
 CHUNK_DOCS = 256
 CHUNK_SHINGLES = 1 << 20
 SIGNATURE = "id long, n_shingles long, high long, low long, bands array<long>, sketch binary"
@@ -99,14 +103,16 @@ def odd_estimate(differing: float, samples: int, bits: int = SKETCH_BITS) -> flo
     return 1 + bits / (4 * samples) * math.log(max(1 - 2 * differing / bits, 1e-9))
 
 
-def odd_limit(percent: int, samples: int) -> int:
+def odd_limit(percent: int, samples: int, bits: int = SKETCH_BITS) -> int:
     """Largest XOR population count that a pair at the threshold may show.
 
-    A sample that differs toggles one bit in each sketch, so the count is at
-    most twice the number of differing samples, a binomial variable.
+    Each sample that differs, a binomial variable, toggles a bit in both
+    sketches; what these leave odd is expected for five standard deviations
+    more than the mean, and some bits are allowed for how they fall.
     """
     p = 1 - percent / 100
-    return math.ceil(2 * (samples * p + 6 * math.sqrt(samples * p * (1 - p))))
+    differing = samples * p + 5 * math.sqrt(samples * p * (1 - p))
+    return math.ceil(bits / 2 * (1 - math.exp(-4 * differing / bits)) + 8)
 
 
 def _signatures(width: int):
@@ -136,48 +142,61 @@ def _signatures(width: int):
 
 
 def _member_sets(width: int):
-    """Replaces the text of a family's member by its full shingle set; rows that follow an equal one go."""
+    """Replaces the text of a member by its full shingle set; rows that follow an equal one go."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
         for batch in batches:
             texts, take = utf8(batch.column("text")), []
-            for i, row in enumerate(zip(batch.column("id").to_pylist(), batch.column("sketch").to_pylist(), texts, strict=True)):
+            for i, row in enumerate(zip(*(batch.column(c).to_pylist() for c in MEMBER_NAMES), texts, strict=True)):
                 if row != last:
                     take.append(i)
                 last = row
-            sets = [s.tobytes() for s in shingle_sets([texts[i] for i in take], width)]
+            known: dict[bytes, bytes] = {}  # a member of many units has one set
+            for i in take:
+                known.setdefault(texts[i], b"")
+            for text, shingles in zip(known, shingle_sets(list(known), width), strict=True):
+                known[text] = shingles.tobytes()
             rest = batch.take(pa.array(take, pa.int64()))
             at = batch.schema.get_field_index("text")
-            yield rest.set_column(at, "shingles", pa.array(sets, pa.binary()))
+            yield rest.set_column(at, "shingles", pa.array([known[texts[i]] for i in take], pa.binary()))
 
     return run
 
 
+def near_pairs(parts: np.ndarray, groups: np.ndarray, sketches: np.ndarray, limit: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(i, later members) whose sketches may reach the threshold, of different groups (and parts, if there are two)."""
+    across = len(np.unique(parts)) > 1
+    for i in range(len(parts) - 1):
+        other = groups[i + 1 :] != groups[i]
+        if across:
+            other &= parts[i + 1 :] != parts[i]
+        near = i + 1 + np.flatnonzero(other)
+        if len(near):
+            near = near[np.bitwise_count(sketches[i] ^ sketches[near]).sum(axis=1) <= limit]
+        if len(near):
+            yield i, near
+
+
 def links_within(
-    ids: list[int], parts: np.ndarray, sketches: np.ndarray, sets: list[np.ndarray], limit: int, percent: int
+    ids: list[int],
+    parts: np.ndarray,
+    groups: np.ndarray,
+    sketches: np.ndarray,
+    sets: list[np.ndarray],
+    limit: int,
+    percent: int,
 ) -> list[tuple]:
     """Spanning links (id, id) of the components that pairs at or over the threshold make.
 
-    With members of two parts only pairs across are compared.
+    Members of one group are linked already. With members of two parts only
+    pairs across are compared.
     """
-    across = len(np.unique(parts)) > 1
-    parent = np.arange(len(ids))
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return int(i)
-
     links = []
-    label = np.arange(len(ids))  # the component of each member, kept flat
+    label = np.unique(groups, return_inverse=True)[1]  # the component of each member, kept flat
     size = np.array([len(s) for s in sets])
-    for i in range(len(ids) - 1):
-        apart = np.bitwise_count(sketches[i] ^ sketches[i + 1 :]).sum(axis=1)
-        near = i + 1 + np.flatnonzero((apart <= limit) & (label[i + 1 :] != label[i]))
-        if across:
-            near = near[parts[near] != parts[i]]
+    for i, near in near_pairs(parts, groups, sketches, limit):
+        near = near[label[near] != label[i]]
         # sets that differ too much in size can't reach the threshold
         near = near[100 * np.minimum(size[near], size[i]) >= percent * np.maximum(size[near], size[i])]
         if not len(near):
@@ -187,53 +206,123 @@ def links_within(
         at = np.minimum(np.searchsorted(own, other), len(own) - 1)
         common = np.add.reduceat((own[at] == other).astype(np.int64), cuts[:-1])
         for j in near[100 * common >= percent * (size[i] + size[near] - common)].tolist():
-            a, b = root(i), root(j)
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-                label[label == max(a, b)] = min(a, b)
+            if label[i] != label[j]:
+                label[label == label[j]] = label[i]
                 links.append((ids[i], ids[j]))
     return links
 
 
-def _confirm(limit: int, percent: int):
-    """Links of each unit; the rows of a unit follow one another."""
-
-    def unit(rows: list[tuple]) -> list[tuple]:
-        ids, chunks, sketches, sets = zip(*rows, strict=True)
-        return links_within(
-            list(ids),
-            np.array(chunks),
-            np.frombuffer(b"".join(sketches), dtype=np.uint64).reshape(len(ids), -1),
-            [np.frombuffer(s, dtype=np.uint64) for s in sets],
-            limit,
-            percent,
-        )
+#: A unit's rows follow one another: unit, part of the row in it, document, the component it is in so far, sketch.
+MEMBER = "family long, one long, two long, part long, id long, comp long, sketch binary"
+MEMBER_NAMES = [x.split()[0] for x in MEMBER.split(", ")]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, rows = None, []
 
-        def out(links: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_pydict(
-                {"u": pa.array([x[0] for x in links], pa.int64()), "v": pa.array([x[1] for x in links], pa.int64())}
-            )
+def _by_unit(work):
+    """Calls ``work`` with the columns of each unit, and yields the rows that it returns."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rows = None, []
         for batch in batches:
             found: list[tuple] = []
-            units = zip(*(batch.column(c).to_pylist() for c in ("family", "one", "two")), strict=True)
-            values = zip(*(batch.column(c).to_pylist() for c in ("id", "chunk", "sketch", "shingles")), strict=True)
-            for now, row in zip(units, values, strict=True):
-                if now != key and rows:
-                    found += unit(rows)
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[:3] != key and rows:
+                    found += work(rows)
                     rows = []
-                key = now
+                key = row[:3]
                 rows.append(row)
-            yield out(found)
+            yield from batched(found)
         if rows:
-            yield out(unit(rows))
+            yield from batched(work(rows))
+
+    def batched(found: list[tuple]) -> Iterator[pa.RecordBatch]:
+        if found:
+            names = MEMBER_NAMES if len(found[0]) > 2 else ["u", "v"]
+            kinds = [pa.binary() if n == "sketch" else pa.int64() for n in names]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)], names=names)
 
     return run
 
 
+def _arrays(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    sketches = np.frombuffer(b"".join(r[6] for r in rows), dtype=np.uint64).reshape(len(rows), -1)
+    return np.array([r[3] for r in rows]), np.array([r[5] for r in rows]), sketches
+
+
+def _gate(limit: int):
+    """The members of a unit that have a pair whose sketches may reach the threshold."""
+
+    def work(rows: list[tuple]) -> list[tuple]:
+        some: set[int] = set()
+        for i, near in near_pairs(*_arrays(rows), limit):
+            some.add(i)
+            some.update(near.tolist())
+        return [rows[i] for i in sorted(some)]
+
+    return _by_unit(work)
+
+
+def _confirm(limit: int, percent: int):
+    """Links of each unit, on full sets (the last column)."""
+
+    def work(rows: list[tuple]) -> list[tuple]:
+        sets = [np.frombuffer(r[7], dtype=np.uint64) for r in rows]
+        return links_within([r[4] for r in rows], *_arrays(rows), sets, limit, percent)
+
+    return _by_unit(work)
+
+
+def _links(units: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (u, v) that the units' members confirm: sketches first, then the sets of those that may be linked."""
+    parts, limit = 4 * shuffle_partitions(units.sparkSession), odd_limit(percent, BANDS * BAND_ROWS)
+    unit, order = ["family", "one", "two"], ["family", "one", "two", "part", "id"]
+    gated = units.select(*MEMBER_NAMES).repartition(parts, *unit).sortWithinPartitions(*order)
+    left = checkpointed(gated.mapInArrow(_gate(limit), MEMBER))
+    sets = texts.where("id is not null").join(left, "id").select(*MEMBER_NAMES, "text")
+    sets = sets.mapInArrow(_member_sets(width), f"{MEMBER}, shingles binary")
+    full = sets.repartition(parts, *unit).sortWithinPartitions(*order)
+    return checkpointed(full.mapInArrow(_confirm(limit, percent), "u long, v long"))
+
+
+def _chunks(docs: Column, shingles: Column) -> Column:
+    return F.greatest(F.ceil(docs / CHUNK_DOCS), F.ceil(shingles / CHUNK_SHINGLES))
+
+
+def _hub_units(shared: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Each document with one hub, the smallest id under any of its keys, ``CHUNK_DOCS`` documents a unit."""
+    spokes = shared.where("id <> least").groupBy("id").agg(F.min("least").alias("family"), F.max("n_shingles").alias("m"))
+    spokes = checkpointed(spokes)
+    hubs = spokes.groupBy("family").agg(F.count("*").alias("n"), _chunks(F.count("*"), F.sum("m")).alias("chunks"))
+    # the hub stands in each of its units
+    sides = hubs.select("family", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("one"), F.lit(0).alias("part"), F.col("family").alias("id"))
+    rows = join_repeated(spokes, hubs, ["family"], spokes.count())
+    rows = rows.select("family", F.pmod(F.xxhash64("family", "id"), F.col("chunks")).alias("one"), F.lit(1).alias("part"), "id")
+    members = rows.unionByName(sides).withColumn("two", F.col("one"))
+    return members.join(sketches, "id").withColumn("comp", F.col("id"))
+
+
+def _key_units(shared: DataFrame, sketches: DataFrame, components: DataFrame) -> DataFrame:
+    """Documents under keys that still join several components, the largest one's on one side only."""
+    comp = F.coalesce("component", "id").alias("comp")
+    placed = checkpointed(shared.join(components, F.col("id") == F.col("node"), "left").select("key", "id", "n_shingles", comp))
+    mixed = placed.groupBy("key").agg(
+        F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n"),
+        F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("print"),
+    )
+    # keys with the same documents once
+    mixed = mixed.where("low < high").groupBy("n", "print").agg(F.min("key").alias("key"))
+    sizes = placed.join(mixed.select("key"), "key", "left_semi").groupBy("key", "comp").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("m"))
+    whole = sizes.groupBy("key").agg(F.max(F.struct("n", "comp", "m")).alias("most"), F.sum("n").alias("n"), F.sum("m").alias("m"))
+    rest = _chunks(F.col("n") - F.col("most.n"), F.col("m") - F.col("most.m"))
+    base = _chunks(F.col("most.n"), F.col("most.m"))
+    whole = checkpointed(whole.select("key", "n", F.col("most.comp").alias("base"), base.alias("b"), rest.alias("t")))
+    rows = join_repeated(placed, whole, ["key"], placed.count())
+    in_base, first = F.col("comp") == F.col("base"), F.lit(0).cast("long")
+    chunk = F.when(in_base, F.pmod(F.xxhash64("id"), F.col("b"))).otherwise(F.col("b") + F.pmod(F.xxhash64("id"), F.col("t")))
+    others = F.sequence(F.when(in_base, F.col("b")).otherwise(first), F.col("b") + F.col("t") - 1)
+    rows = rows.join(sketches, "id").withColumns({"part": chunk, "other": F.explode(others)})
+    return rows.withColumns({"family": F.col("key"), "one": F.least("part", "other"), "two": F.greatest("part", "other")})
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -255,42 +344,27 @@ def near_duplicates(
     same = ["n_shingles", "high", "low"]
     sets = signed.where("n_shingles > 0 and id is not null")
     least = sets.groupBy(*same).agg(F.min("id").alias("rep"))
-    tied = checkpointed(sets.select("id", *same).join(least, same).select("id", "rep", "n_shingles"))
-    reps = tied.where("id = rep").distinct()
-
-    # families: documents that share a band key, tied to the smallest id under it
-    banded = sets.select("id", F.explode("bands").alias("key"))
-    keys = banded.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most")
-    ties = banded.join(keys.select("key", "least"), "key").where("id <> least")
-    families = connected_components(ties.select(F.col("id").alias("u"), F.col("least").alias("v")))
-    families = families.select(F.col("node").alias("id"), F.col("component").alias("family"))
-
-    # units: a family's chunks in twos, so that every pair of members meets and no task's memory grows with a family
-    sketched = sets.select("id", "n_shingles", "sketch").join(reps, ["id", "n_shingles"], "left_semi")
-    members = families.join(sketched, "id").distinct()
-    chunks = members.groupBy("family").agg(
-        F.greatest(F.ceil(F.count("*") / CHUNK_DOCS), F.ceil(F.sum("n_shingles") / CHUNK_SHINGLES)).alias("chunks")
-    )
-    own = F.pmod(F.xxhash64("id", "sketch"), "chunks")
-    placed = members.join(chunks, "family").withColumn("chunk", own).drop("n_shingles")
-    full = texts.where("id is not null").join(placed, "id").mapInArrow(
-        _member_sets(width), "id long, shingles binary, family long, sketch binary, chunks long, chunk long"
-    )
-    units = (
-        full.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-        .withColumns({"one": F.least("chunk", "other"), "two": F.greatest("chunk", "other")})
-        .select("family", "one", "two", "chunk", "id", "sketch", "shingles")
-        .repartition(4 * shuffle_partitions(spark), "family", "one", "two")
-        .sortWithinPartitions("family", "one", "two", "id")
-    )
-    links = units.mapInArrow(_confirm(odd_limit(percent, BANDS * BAND_ROWS), percent), "u long, v long")
+    tied = checkpointed(sets.select("id", *same).join(least, same).select("id", "rep", *same))
+    reps = tied.where("id = rep").select("id", *same).distinct()
+    own = checkpointed(sets.join(reps, ["id", *same], "left_semi").select("id", "n_shingles", "bands", "sketch").distinct())
+    sketches = own.select("id", "sketch")
+
+    # documents by band key, where two have it
+    banded = own.select("id", "n_shingles", F.explode("bands").alias("key"))
+    keys = banded.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count("*").alias("n"))
+    keys = checkpointed(keys.where("least < most").select("key", "least", "n"))
+    shared = checkpointed(join_repeated(banded, keys, ["key"], BANDS * own.count()).select("key", "id", "n_shingles", "least").distinct())
+
+    hubs = _links(_hub_units(shared, sketches), texts, width, percent)
+    rest = _links(_key_units(shared, sketches, connected_components(hubs)), texts, width, percent)
+    links = hubs.union(rest)
 
     # rows of one id with different sets: the id ties the representatives of these
     several = tied.groupBy("id").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least < most")
     bridges = tied.join(several.select("id"), "id").select(F.col("id").alias("u"), F.col("rep").alias("v"))
     components = connected_components(links.union(bridges))
     alone = signed.where("n_shingles = 0 or id is null").select("id", F.col("id").alias("rep"), "n_shingles")
-    found = tied.union(alone).join(components, F.col("rep") == F.col("node"), "left")
+    found = tied.select("id", "rep", "n_shingles").union(alone).join(components, F.col("rep") == F.col("node"), "left")
     return found.select("id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
 
 
