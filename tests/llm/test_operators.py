@@ -166,6 +166,70 @@ def test_line_dedup(spark, monkeypatch, hot_keys):
     assert ld.line_dedup(df.limit(0)).count() == 0
 
 
+def fetched_sets(monkeypatch):
+    """Counts of the documents whose sets are fetched, step by step."""
+    found, plain = [], nd.checkpointed
+
+    def spy(df):
+        out = plain(df)
+        if out.columns == nd.MEMBER_NAMES:
+            found.append(out.count())
+        return out
+
+    monkeypatch.setattr(nd, "checkpointed", spy)
+    return found
+
+
+def test_documents_that_share_boilerplate_ship_no_sets(spark, monkeypatch):
+    """All pairs have a similarity of about 0.5: many share a band key, none is linked."""
+    fetched = fetched_sets(monkeypatch)
+    shared = " ".join(f"same{i}" for i in range(70))
+    rows = [(k, shared + " " + " ".join(f"own{k}x{i}" for i in range(33))) for k in range(2000)]
+    got = nd.near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(8), width=5, percent=80).collect()
+    assert all(r.id == r.component_id for r in got) and len(got) == 2000
+    assert len(fetched) == 2 and sum(fetched) < 200
+
+
+def test_large_family_of_near_copies_is_linear(spark, monkeypatch):
+    """Every document has one word of its own: one row each with the hub, and few with others."""
+    fetched = fetched_sets(monkeypatch)
+    words = [f"w{i}" for i in range(150)]
+    rows = [(k, " ".join([*words[: k % 150], f"own{k}", *words[k % 150 + 1 :]])) for k in range(3000)]
+    got = nd.near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(8), width=5, percent=80).collect()
+    assert {r.component_id for r in got} == {0}
+    assert sum(fetched) < 2 * 3000
+
+
+def test_chains_of_near_copies_are_found_beside_a_large_component(spark, monkeypatch):
+    """Links that no hub sees: documents far from the smallest id but near to others under its keys."""
+    monkeypatch.setattr(nd, "CHUNK_DOCS", 8)
+    rnd = random.Random(12)
+    base = [f"w{i}" for i in range(100)]
+    rows = []
+    for k in range(150):
+        own = list(base)
+        for i in rnd.sample(range(100), rnd.randint(0, 7)):
+            own[i] = f"{i}v{rnd.randrange(3)}"
+        rows.append((k, " ".join(own)))
+    grams = {k: {tuple(w[i : i + 5]) for i in range(96)} for k, w in ((k, t.split()) for k, t in rows)}
+    parent = list(range(150))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(150):
+        for j in range(i):
+            both = len(grams[i] & grams[j])
+            if 100 * both >= 80 * (len(grams[i]) + len(grams[j]) - both):
+                x, y = root(i), root(j)
+                parent[max(x, y)] = min(x, y)
+    assert len({root(k) for k in range(150)}) > 3
+    got = nd.near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(4), width=5, percent=80).collect()
+    assert {r.id: r.component_id for r in got} == {k: root(k) for k in range(150)}
+
+
 def test_line_dedup_repeated_rows_are_one_place(spark):
     rows = [(1, "a b c d e\nx"), (1, "a b c d e\nx"), (2, "a b c d e"), (2, "a b c d e")]
     got = ld.line_dedup(spark.createDataFrame(rows, SCHEMA)).collect()
