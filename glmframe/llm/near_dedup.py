@@ -273,7 +273,7 @@ def _confirm(limit: int, percent: int):
 
 def _links(units: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """Links (u, v) that the units' members confirm: sketches first, then the sets of those that may be linked."""
-    parts, limit = 4 * shuffle_partitions(units.sparkSession), odd_limit(percent, BANDS * BAND_ROWS)
+    parts, limit = shuffle_partitions(units.sparkSession), odd_limit(percent, BANDS * BAND_ROWS)
     unit, order = ["family", "one", "two"], ["family", "one", "two", "part", "id"]
     gated = units.select(*MEMBER_NAMES).repartition(parts, *unit).sortWithinPartitions(*order)
     left = checkpointed(gated.mapInArrow(_gate(limit), MEMBER))
