@@ -612,7 +612,7 @@ def test_one_verdict_for_every_rule_list(spark):
 def test_rules_are_ordered_by_what_others_leave(spark):
     """A rule that rejects only rows which a cheaper one rejects too comes last."""
     docs = spark.createDataFrame([(i, "few" if i % 2 else " ".join(f"w{j}" for j in range(3000))) for i in range(100)], SCHEMA)
-    same, wide, never = (Rule(n, u, r) for n, u, r in (("same", ("words", "repeats"), "n_words < 2"), ("wide", ("words",), "n_words < 3"), ("never", ("words",), "false")))
+    same, wide, never = (Rule(n, u, r) for n, u, r in (("same", ("words", "repeats"), "n_repeat_words >= 0 and n_words < 2"), ("wide", ("words",), "n_words < 3"), ("never", ("words",), "false")))
     order = [r.name for r in order_rules(docs, rules=(never, same, wide))]
     assert order[0] == "wide"
     failed = quality_rules(docs, rules=[wide, same], counted=False).select("failed_rule").distinct().collect()
