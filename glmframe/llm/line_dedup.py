@@ -63,35 +63,39 @@ def _line_keys(text: Column) -> Column:
     )
 
 
-def _windows(lines: str, run: int, short_words: int) -> Column:
-    """Per window: fingerprint and its place, lines to its left and right, hash, first line, numbers of the lines.
+def _windows(run: int) -> Column:
+    """Per window of 1 to ``run`` lines: its first line, and the keys, words and numbers of its lines.
 
-    Places count the lines that aren't blank, ``at`` numbers all of them.
+    Lines are only picked here, each by its place (a slice would copy all of them for every window): what is
+    reckoned from them waits until a window has a row of its own, as functions of lambda variables aren't compiled.
     """
 
     def windows_of(n: int) -> Column:
-        def own(i: Column, name: str) -> list[Column]:
-            return [F.get(F.col(lines), i + k)[name] for k in range(n)]
-
-        def window(i: Column) -> Column:
-            keys = own(i, "key")
-            mark = F.least(*keys) if n > 1 else keys[0]
-            chosen = F.lit(0)
-            for k in range(1, n):
-                chosen = F.when(keys[k] == mark, F.lit(k)).otherwise(chosen)
-            return F.struct(
-                mark.alias("mark"), (i + chosen).alias("place"), chosen.alias("left"), (F.lit(n - 1) - chosen).alias("right"),
-                F.xxhash64(*keys).alias("hash"), i.alias("first"), F.array(*own(i, "at")).alias("at"),
-            )
-
-        starts = F.when(F.size(lines) >= n, F.sequence(F.lit(0), F.size(lines) - n)).otherwise(F.array().cast("array<int>"))
-        if n < run:
-            starts = F.filter(starts, lambda i: sum(own(i, "words"), F.lit(0)) >= short_words)
-        return F.transform(starts, window)
+        def picked(i: Column, name: str) -> Column:
+            return F.array(*(F.get("lines", i + k)[name] for k in range(n)))
+
+        starts = F.when(F.size("lines") >= n, F.sequence(F.lit(0), F.size("lines") - n)).otherwise(F.array().cast("array<int>"))
+        return F.transform(
+            starts, lambda i: F.struct(i.alias("first"), picked(i, "key").alias("keys"), picked(i, "words").alias("words"), picked(i, "at").alias("at"))
+        )
 
     return F.concat(*(windows_of(n) for n in range(1, run + 1)))
 
 
+def _chosen(each: DataFrame, run: int, short_words: int) -> DataFrame:
+    """Per window that counts: fingerprint and its place, lines to its left and right, hash, first line, line numbers.
+
+    Places count the lines that aren't blank, ``at`` numbers all of them.
+    """
+    size, mark = F.size("w.keys"), F.array_min("w.keys")
+    words = sum((F.coalesce(F.get("w.words", F.lit(k)), F.lit(0)) for k in range(run)), F.lit(0))
+    left = (size - F.array_position(F.reverse("w.keys"), mark)).cast("int")
+    counted = each.where((size == run) | (words >= short_words))
+    found = counted.select("id", "copy", mark.alias("mark"), left.alias("left"), size.alias("size"), F.xxhash64("w.keys").alias("hash"), "w.first", "w.at")
+    place, right = F.col("first") + F.col("left"), F.col("size") - 1 - F.col("left")
+    return found.select("id", "copy", "mark", place.alias("place"), "left", right.alias("right"), "hash", "first", "at")
+
+
 def _join_repeated(rows: DataFrame, found: DataFrame, keys: list[str], total: int) -> DataFrame:
     """Rows with a key of ``found`` (its ``n`` is the key's number of rows), common keys by broadcast."""
     hot = F.broadcast(found.where(F.col("n") > F.lit(max(1, total // HOT_KEYS))).drop("n"))
@@ -140,10 +144,10 @@ def line_dedup(
 
     # winnowing: every window with the position that it chooses; a row holds no more than its window
     lines = rows.select("id", "copy", _line_keys(F.col("text")).alias("lines"))
-    windows = lines.select("id", "copy", _windows("lines", run, short_words).alias("windows"))
+    windows = lines.select("id", "copy", _windows(run).alias("windows"))
     # not explode: it would infer a filter on the windows, which computes a text's lines anew for each of them
     each = windows.select("id", "copy", F.explode_outer("windows").alias("w")).where("w is not null")
-    chosen = checkpointed(each.select("id", "copy", "w.*"))
+    chosen = checkpointed(_chosen(each, run, short_words))
     total = chosen.count()
 
     # positions with a fingerprint in common
