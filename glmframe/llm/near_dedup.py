@@ -69,10 +69,15 @@ def shingle_sets(texts: list[bytes], width: int) -> Iterator[np.ndarray]:
     """Per text: the sorted distinct hashes of its ``width``-word shingles, A-Z in lower case."""
     for a, b in slices(texts):
         _, _, hashes, first = words_of(texts[a:b], lower=True)
-        for begin, end in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-            n = end - begin
-            starts = np.arange(begin, max(end - width, begin) + 1 if n else begin)
-            yield np.unique(span_hashes(hashes, starts, np.minimum(starts + width, end)))
+        n_words = np.diff(first)
+        n_starts = np.where(n_words < width, np.minimum(n_words, 1), n_words - width + 1)
+        cuts = np.concatenate([[0], np.cumsum(n_starts)])
+        starts = np.arange(cuts[-1]) + np.repeat(first[:-1] - cuts[:-1], n_starts)
+        ends = np.minimum(starts + width, np.repeat(first[1:], n_starts))
+        # one prefix sum for the words of all texts of the slice
+        shingles = span_hashes(hashes, starts, ends)
+        for begin, end in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            yield np.unique(shingles[begin:end])
 
 
 def _permutations(samples: int) -> tuple[np.ndarray, np.ndarray]:
