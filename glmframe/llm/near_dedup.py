@@ -348,8 +348,9 @@ def near_duplicates(
     # equal sets are tied to the smallest id without any comparison
     same = ["n_shingles", "high", "low"]
     sets = signed.where("n_shingles > 0 and id is not null")
-    least = sets.groupBy(*same).agg(F.min("id").alias("rep"))
-    tied = checkpointed(sets.select("id", *same).join(least, same).select("id", "rep", *same))
+    least = checkpointed(sets.groupBy(*same).agg(F.min("id").alias("rep"), F.count("*").alias("n")))
+    total = least.agg(F.sum("n")).first()[0] or 0
+    tied = checkpointed(join_repeated(sets.select("id", *same), least, same, total).select("id", "rep", *same))
     reps = tied.where("id = rep").select("id", *same).distinct()
     own = checkpointed(sets.join(reps, ["id", *same], "left_semi").select("id", "n_shingles", "bands", "sketch").distinct())
     sketches = own.select("id", "sketch")
