@@ -57,6 +57,8 @@ SKETCH_BITS = 1024
 #: A chunk of a unit: about so many documents, and about so many shingles.
 CHUNK_DOCS = 256
 CHUNK_SHINGLES = 1 << 20
+#: Bits of the map that tells which texts a join needs (4 MB, whatever the input).
+WANTED_BITS = 1 << 25
 SIGNATURE = "id long, n_shingles long, high long, low long, bands array<long>, sketch binary"
 
 
@@ -276,13 +278,30 @@ def _confirm(limit: int, percent: int):
     return _by_unit(work)
 
 
+def _wanted(texts: DataFrame, members: DataFrame) -> DataFrame:
+    """The texts that the members may need, so that a join with these moves few others.
+
+    Hashes of the members' ids are marked in a bitmap of a fixed size, which
+    is broadcast; a text passes if its bit is set. Other ids may share a bit,
+    so the join itself still decides; a full map lets all texts pass.
+    """
+    slot = F.pmod(F.xxhash64("id"), F.lit(WANTED_BITS))
+    marked = members.select(slot.alias("slot"))
+    marked = marked.groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits")
+    )
+    placed = texts.where("id is not null").withColumns({"bucket": F.bitmap_bucket_number(slot), "bit": F.bitmap_bit_position(slot)})
+    byte = F.expr("cast(conv(hex(substring(bits, cast(bit div 8 as int) + 1, 1)), 16, 10) as int)")
+    return placed.join(F.broadcast(marked), "bucket").where(F.getbit(byte, F.expr("cast(bit % 8 as int)")) == 1).select("id", "text")
+
+
 def _links(units: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """Links (u, v) that the units' members confirm: sketches first, then the sets of those that may be linked."""
     parts, limit = shuffle_partitions(units.sparkSession), odd_limit(percent, BANDS * BAND_ROWS)
     unit, order = ["family", "one", "two"], ["family", "one", "two", "part", "id"]
     gated = units.select(*MEMBER_NAMES).repartition(parts, *unit).sortWithinPartitions(*order)
     left = checkpointed(gated.mapInArrow(_gate(limit), MEMBER))
-    sets = texts.where("id is not null").join(left, "id").select(*MEMBER_NAMES, "text")
+    sets = _wanted(texts, left).join(left, "id").select(*MEMBER_NAMES, "text")
     sets = sets.mapInArrow(_member_sets(width), f"{MEMBER}, shingles binary")
     full = sets.repartition(parts, *unit).sortWithinPartitions(*order)
     return checkpointed(full.mapInArrow(_confirm(limit, percent), "u long, v long"))
