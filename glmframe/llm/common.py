@@ -61,6 +61,22 @@ def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
     return mix64((prefix[ends] - prefix[starts]) * down[starts])
 
 
+#: Bytes whose prefix sums are held at a time (one longer word makes a stretch of its own).
+_STRETCH = 1 << 18
+
+
+def _word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of each word's bytes; a word's hash doesn't depend on its place, so stretches are taken one by one."""
+    out, i = np.empty(len(starts), dtype=np.uint64), 0
+    while i < len(starts):
+        a = starts[i]
+        j = max(i + 1, int(np.searchsorted(ends, a + _STRETCH, side="right")))
+        values = np.add(raw[a : ends[j - 1]], np.uint64(1), dtype=np.uint64)
+        out[i:j] = span_hashes(values, starts[i:j] - a, ends[i:j] - a)
+        i = j
+    return out
+
+
 def words_of(texts: Sequence[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words of UTF-8 texts: starts, ends (in the joined buffer), hashes, first word of each text.
 
@@ -72,7 +88,7 @@ def words_of(texts: Sequence[bytes], lower: bool = False) -> tuple[np.ndarray, n
     inside = ~_IS_SPACE[raw]
     edge = np.flatnonzero(np.diff(inside, prepend=False, append=False))
     starts, ends = edge[::2], edge[1::2]
-    hashes = span_hashes(raw.astype(np.uint64) + np.uint64(1), starts, ends)
+    hashes = _word_hashes(raw, starts, ends)
     at = np.cumsum([0, *(len(t) + 1 for t in texts)])
     return starts, ends, hashes, np.searchsorted(starts, at)
 
