@@ -91,7 +91,9 @@ def _block_hashes(window: int, buckets: int):
             texts = utf8(batch.column("text"))
             for b in np.unique(block):
                 own = [texts[i] for i in np.flatnonzero(block == b)]
-                held.setdefault(int(b), []).append(np.unique(window_hashes(own, window)[0]))
+                parts = held.setdefault(int(b), [])
+                # slice by slice: words and offsets of a whole batch are never held at once
+                parts.extend(np.unique(window_hashes(own[i:j], window)[0]) for i, j in slices(own))
         for b, parts in held.items():
             found = np.unique(np.concatenate(parts))
             edges = _bucket_edges(found, buckets)
