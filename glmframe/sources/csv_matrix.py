@@ -26,9 +26,12 @@ from __future__ import annotations
 import json
 import logging
 from collections.abc import Iterable, Sequence
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from glmframe.frame import LABEL, PACKED, FeatureFrame, build_frame, parse_option_list, split_roles
 from glmframe.functions.numeric import lenient_number, trim_cell
@@ -68,6 +71,23 @@ def _squeezed(line: Column) -> Column:
     return F.translate(line, SQUEEZE_CHARS, "")
 
 
+# Fixed value: parts of the header that a line is searched for.
+HEADER_PARTS = 4
+
+
+def _may_be_header(line: Column, header: Sequence[str]) -> Column:
+    """False for most data lines, true for every header line; the costly test comes last.
+
+    Parts of a name without blanks, quotes and backslashes are in a header line as they
+    are, unless it has backslashes that the parse drops.
+    """
+    blanked = "".join(" " if ch in SQUEEZE_CHARS else ch for ch in " ".join(header))
+    parts = set(blanked.split(" "))
+    longest = sorted(parts, key=lambda p: (-len(p), p))[:HEADER_PARTS]
+    held = reduce(and_, [F.contains(line, F.lit(p)) for p in longest])
+    return (held | _any_of(line, "\\")) & (_squeezed(line) == F.lit(_squeeze_text(SEPARATOR.join(header))))
+
+
 def _paths(path: str | Sequence[str]) -> list[str]:
     return [path] if isinstance(path, str) else list(path)
 
@@ -127,6 +147,13 @@ def duplicate_names(names: Sequence[str]) -> dict[str, int]:
 _QUOTED = r'\s*+"[^"]*+(?:""[^"]*+)*+'
 FIELD_PATTERN = rf'(?s){_QUOTED}"\s*+,|{_QUOTED}\z|[^,]*+,'
 QUOTED_PATTERN = r'(?s)^"(.*?)"?$'
+# Characters that a line needs more than a split for.
+ODD_PATTERN = rf'[\x00-\x1f"\\{BACKSLASH_MARK}]'
+
+
+def _any_of(text: Column, *chars: str) -> Column:
+    """Whether the text holds one of the characters (a byte search each, no pattern)."""
+    return reduce(or_, [F.contains(text, F.lit(ch)) for ch in chars])
 
 
 def cell_array(line: Column) -> Column:
@@ -134,7 +161,20 @@ def cell_array(line: Column) -> Column:
 
     The plan is the same size for any number of cells (one regex extraction
     and one lambda), which keeps very wide matrices cheap to plan and compile.
+    A line without quotes, backslashes and control characters (most are) is just
+    split, and rid of blanks if it has any, which is much cheaper.
     """
+    raw = F.split(line, SEPARATOR)
+    plain = F.when(_any_of(line, " "), F.transform(raw, lambda c: F.trim(c))).otherwise(raw)
+    return (
+        F.when(~line.rlike(ODD_PATTERN), plain)
+        .when(_any_of(line, QUOTE, "\\", BACKSLASH_MARK), _quoted_cells(line))
+        .otherwise(F.transform(raw, trim_cell))
+    )
+
+
+def _quoted_cells(line: Column) -> Column:
+    """The cells of any line, by the field pattern."""
     raw = F.regexp_extract_all(F.concat(_normalised_line(line), F.lit(SEPARATOR)), F.lit(FIELD_PATTERN), 0)
 
     def clean(c: Column) -> Column:
@@ -159,7 +199,7 @@ def parse_lines(lines: DataFrame, header: Sequence[str], keep_order: bool = Fals
             F.col("_metadata.file_block_start").alias(ORDER_COLS[1]),
         ]
     parsed = lines.select(F.col("value").alias("line"), cell_array(F.col("value")).alias("_cells"), *extra)
-    candidate = _squeezed(F.col("line")) == F.lit(_squeeze_text(SEPARATOR.join(header)))
+    candidate = _may_be_header(F.col("line"), header)
     exact = F.col("_cells") == F.from_json(F.lit(json.dumps(list(header))), "array<string>")
     return parsed.where(~(candidate & exact)).drop("line")
 
