@@ -341,10 +341,17 @@ def _quoted_text(text: str) -> str:
     return text if plain else '"' + text.replace("\\", "\\\\").replace('"', DOUBLED_QUOTE) + '"'
 
 
-def _quoted(cell: Column) -> Column:
-    cell = F.regexp_replace(cell, "[\r\n]+", " ")
+def _quoted(text: Column) -> Column:
+    cell = F.regexp_replace(text, "[\r\n]+", " ")
     inner = F.replace(F.replace(cell, F.lit("\\"), F.lit("\\\\")), F.lit(QUOTE), F.lit(DOUBLED_QUOTE))
-    return F.when(cell.rlike(r'[,"\\]'), F.concat(F.lit(QUOTE), inner, F.lit(QUOTE))).otherwise(cell)
+    quoted = F.when(cell.rlike(r'[,"\\]'), F.concat(F.lit(QUOTE), inner, F.lit(QUOTE))).otherwise(cell)
+    return F.when(_any_of(text, SEPARATOR, QUOTE, "\\", "\r", "\n"), quoted).otherwise(text)
+
+
+def _cell_text(field: T.StructField) -> Column:
+    """A column's cells as the file holds them; the text of a number or a truth value needs no quotes."""
+    text = F.coalesce(F.col(f"`{field.name}`").cast("string"), F.lit(""))
+    return text if isinstance(field.dataType, (T.NumericType, T.BooleanType)) else _quoted(text)
 
 
 def write_matrix_csv(
@@ -356,16 +363,17 @@ def write_matrix_csv(
     its own first file and the rows as many part files, each cell as text;
     cells that a reader would split or change are quoted, line breaks become
     blanks (one line is one record). Unless ``keep_order`` is set (rows must
-    reach the files in the frame's order, e.g. after ``orderBy``), rows are
-    spread over the task slots first.
+    reach the files in the frame's order, e.g. after ``orderBy``), rows of fewer
+    partitions than there are task slots are spread over these first.
     """
     spark = df.sparkSession
     names = list(header) if header is not None else df.columns
     head_dir, rows_dir = f"{path}/0-header", f"{path}/1-rows"
     head = SEPARATOR.join(_quoted_text(n) for n in names)
     spark.createDataFrame([(head,)], "value STRING").coalesce(1).write.text(head_dir)
-    if not keep_order:
-        df = df.repartition(spark.sparkContext.defaultParallelism)  # before formatting
-    cells = [_quoted(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))) for c in df.columns]
+    slots = spark.sparkContext.defaultParallelism
+    if not keep_order and df.rdd.getNumPartitions() < slots:
+        df = df.repartition(slots)  # before formatting
+    cells = [_cell_text(f) for f in df.schema.fields]
     df.select(F.concat_ws(SEPARATOR, *cells).alias("value")).write.text(rows_dir)
     return [head_dir, rows_dir]
