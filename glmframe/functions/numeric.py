@@ -142,5 +142,11 @@ def threshold_class(probability: Column, threshold: float = 0.5) -> Column:
 
 
 def format_fixed(c: Column | str, digits: int = 6) -> Column:
-    """``printf('%.<digits>f')`` text of a double (``%f`` is six digits)."""
-    return F.format_string(f"%.{int(digits)}f", _col(c))
+    """``printf('%.<digits>f')`` text of a double (``%f`` is six digits).
+
+    The two classes have fixed texts, which spares most predictions the formatter.
+    """
+    value, digits = _col(c), int(digits)
+    text = value.cast("string")  # tells 0.0 from -0.0
+    classes = F.when(text == F.lit("0.0"), F.lit(f"{0:.{digits}f}")).when(text == F.lit("1.0"), F.lit(f"{1:.{digits}f}"))
+    return classes.otherwise(F.format_string(f"%.{digits}f", value))
