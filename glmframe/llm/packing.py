@@ -23,6 +23,8 @@ the id column and the text are read, so other columns can't clash.
 from __future__ import annotations
 
 import re
+import string
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -40,8 +42,8 @@ OPEN_WINDOWS = 16
 #: Partitions (later: groups) whose leftovers are packed together.
 MERGE = 32
 LEAST_TAIL = 64
-#: Distinct parts whose ids a worker keeps at most; beyond it starts anew.
-CACHE_PARTS = 120_000
+#: Distinct parts whose ids a worker gathers; beyond it starts anew, and keeps those before as what it looks up next.
+CACHE_PARTS = 160_000
 PIECE = (
     "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, slot long"
 )
@@ -64,6 +66,8 @@ PRE_TOKENIZER = {
         {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
     ],
 }
+#: Signs that are a piece of their own behind a word.
+_STOPS = ".,;:!?"
 #: How the vocabulary splits lower-case Latin text.
 _PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:_|[^\w\s])+")
 
@@ -73,30 +77,53 @@ class PartEncoder:
 
     def __init__(self, path: str):
         self.merges = Merges(path, NORMALIZER, PRE_TOKENIZER)
+        #: Whether letters and stops mean nothing but themselves: no token that is looked for before the split begins so.
+        self.simple = all(self.merges.plain(ch) for ch in string.ascii_letters + _STOPS)
         self.parts: dict[str, bytes] = {"": b""}
         self.pieces: dict[str, bytes] = {}
+        #: What was known before the caches last started anew: a common part is never encoded again.
+        self.old_parts: dict[str, bytes] = {}
+        self.old_pieces: dict[str, bytes] = {}
 
     def _piece(self, piece: str) -> bytes:
         found = self.pieces.get(piece)
         if found is None:
-            found = self.pieces[piece] = b"".join([t.id.to_bytes(4, "little") for t in self.merges.tokens(piece)])
+            found = self.old_pieces.get(piece)
+            if found is None:
+                ids = [t.id for t in self.merges.tokens(piece)]
+                found = struct.pack(f"<{len(ids)}I", *ids)
+            self.pieces[piece] = found
         return found
 
+    def _part(self, part: str) -> bytes | None:
+        """Ids of a part, None where the library has to split it; a word of letters, or one and a stop, needs no pattern."""
+        if self.simple and part.isascii():
+            if part.isalpha():
+                return self._piece(part.lower())
+            if part[-1] in _STOPS and part[:-1].isalpha():
+                return self._piece(part[:-1].lower()) + self._piece(part[-1])
+        if self.merges.plain(part):
+            return b"".join([self._piece(x) for x in _PIECE.findall(part.lower())])
+        return None
+
     def encode(self, texts: list[str]) -> list[bytes]:
         own = [t.replace("\n", " ").split(" ") for t in texts]
         if len(self.parts) > CACHE_PARTS:
-            self.parts = {"": b""}
-        if len(self.pieces) > CACHE_PIECES:
-            self.pieces = {}
-        known, odd = self.parts, []
-        for part in {p for parts in own for p in parts}.difference(known):
-            if self.merges.plain(part):
-                known[part] = b"".join([self._piece(x) for x in _PIECE.findall(part.lower())])
-            else:
+            self.old_parts, self.parts = self.parts, {"": b""}
+        if len(self.pieces) > CACHE_PIECES // 2:
+            self.old_pieces, self.pieces = self.pieces, {}
+        known, old, odd = self.parts, self.old_parts, []
+        for part in set().union(*own).difference(known):
+            found = old.get(part)
+            if found is None:
+                found = self._part(part)
+            if found is None:
                 odd.append(part)
+            else:
+                known[part] = found
         for part, found in zip(odd, self.merges.whole.encode_batch(odd, add_special_tokens=False), strict=True):
             known[part] = b"".join([i.to_bytes(4, "little") for i in found.ids])
-        return [b"".join([known[p] for p in parts]) for parts in own]
+        return [b"".join(map(known.__getitem__, parts)) for parts in own]
 
 
 @lru_cache(maxsize=1)
